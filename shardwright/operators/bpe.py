@@ -290,6 +290,22 @@ def train_bpe(
     if checkpoint_every:
         checkpoint_dir(spark)
 
+    # AQE wraps every cached round in an initial + final plan, and each round nests the
+    # previous one: plan size (and planning time) would double per round.  The loop's
+    # jobs are a narrow projection plus a small aggregate, so it runs without AQE.
+    conf_key = "spark.sql.adaptive.enabled"
+    previous = spark.conf.get(conf_key, None)
+    spark.conf.set(conf_key, "false")
+    try:
+        return _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report)
+    finally:
+        if previous is None:
+            spark.conf.unset(conf_key)
+        else:
+            spark.conf.set(conf_key, previous)
+
+
+def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report) -> BPEModel:
     t0 = time.time()
     # explicit partition count: AQE must not coalesce the loop state into a few tasks
     held = chunk_table(docs, specials, text_col).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)

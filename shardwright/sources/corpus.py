@@ -23,13 +23,20 @@ ROW_BITS = 32
 
 
 def _strip_scheme(path: str) -> str:
-    return path.split(":", 1)[1] if path.startswith("file:") else path
+    """``file:/x``, ``file:///x`` -> ``/x``; other schemes are kept."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    return path
+
+
+def _norm_path_col(c):
+    return F.regexp_replace(c, r"^file:/*", "/")
 
 
 def _file_ranks(spark: SparkSession, files: Iterable[str]) -> DataFrame:
     """(file_path, file_rank) by component-wise path order (``a/b.txt`` before ``a.txt``)."""
-    ordered = sorted(set(files), key=lambda p: PurePosixPath(_strip_scheme(p)).parts)
-    return spark.createDataFrame([(p, i) for i, p in enumerate(ordered)], "file_path string, file_rank bigint")
+    ordered = sorted({_strip_scheme(p) for p in files}, key=lambda p: PurePosixPath(p).parts)
+    return spark.createDataFrame([(p, i) for i, p in enumerate(ordered)], "_path string, file_rank bigint")
 
 
 def _require_dir(path: str) -> None:
@@ -99,7 +106,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
         docs = docs.unionByName(p)
     ranks = _file_ranks(spark, files)
     # one row per file: broadcast is bounded by the listing the driver already holds
-    return docs.join(F.broadcast(ranks), "file_path").select(
+    keyed = docs.withColumn("_path", _norm_path_col(F.col("file_path")))
+    return keyed.join(F.broadcast(ranks), "_path").select(
         (F.col("file_rank") * F.lit(1 << ROW_BITS) + F.col("row_index")).alias("doc_key"),
         "file_path",
         "row_index",
