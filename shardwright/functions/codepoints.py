@@ -67,4 +67,4 @@ def ids_of(s: Column) -> Column:
 
 def digest(ids: Column) -> Column:
     """md5 of the comma-joined ids: a short, engine-independent fingerprint of an array."""
-    return F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","))
+    return F.md5(F.array_join(ids, ","))

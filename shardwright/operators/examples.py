@@ -39,15 +39,18 @@ def cut_examples(shards: DataFrame, context_length: int, on_small: str = "error"
         )
         k = F.when(k < 1, F.raise_error(msg).cast("int")).otherwise(k)
     idx = F.when(k >= 1, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    ex = src.select("split", "shard_idx", "tokens", F.explode(idx).alias("example_idx"))
-    start = F.col("example_idx") * F.lit(T)
-    return ex.select(
-        "split",
-        "shard_idx",
-        "example_idx",
-        F.slice("tokens", start + 1, F.lit(T)).alias("x"),
-        F.slice("tokens", start + 2, F.lit(T)).alias("y"),
+    # build the (x, y) pairs inside one transform and explode those: exploding the
+    # index alone would copy the whole shard array into every example row
+    blocks = F.transform(
+        idx,
+        lambda i: F.struct(
+            i.alias("example_idx"),
+            F.slice("tokens", i * F.lit(T) + 1, F.lit(T)).alias("x"),
+            F.slice("tokens", i * F.lit(T) + 2, F.lit(T)).alias("y"),
+        ),
     )
+    ex = src.select("split", "shard_idx", F.explode(blocks).alias("b"))
+    return ex.select("split", "shard_idx", "b.example_idx", "b.x", "b.y")
 
 
 def example_at(shards: DataFrame, split: str, shard_idx: int, index: int, context_length: int) -> DataFrame:

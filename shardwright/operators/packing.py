@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardwright.session import materialize
+
 UINT16_MAX_VOCAB = 1 << 16
 OFFSET_FANOUT = 4096  # documents per bucket in the prefix sums
 
@@ -81,34 +83,23 @@ def cut_shards(placed: DataFrame, shard_size: int, split: str = "split", ids: st
         raise ValueError(f"shard_size must be positive, got {shard_size}")
     S = F.lit(int(shard_size)).cast("bigint")
     n = F.size(ids).cast("bigint")
+    start = F.col("start")
+
+    def fragment(shard: Column) -> Column:
+        lo = F.greatest(shard * S, start)
+        hi = F.least((shard + 1) * S, start + n)
+        return F.struct(
+            shard.alias("shard_idx"),
+            F.struct(lo.alias("pos"), F.slice(ids, (lo - start + 1).cast("int"), (hi - lo).cast("int")).alias("frag")).alias("f"),
+        )
+
+    # one fragment per overlapped shard, built in a single transform (a document is
+    # never copied whole into each of its fragment rows)
+    shards_of_doc = F.sequence(F.floor(start / S), F.floor((start + n - 1) / S))
     frags = (
         placed.where(F.size(ids) > 0)
-        .select(
-            split,
-            "start",
-            ids,
-            F.explode(F.sequence(F.floor(F.col("start") / S), F.floor((F.col("start") + n - 1) / S))).alias(
-                "shard_idx"
-            ),
-        )
-        .select(
-            split,
-            "shard_idx",
-            F.greatest(F.col("shard_idx") * S, F.col("start")).alias("lo"),
-            F.least((F.col("shard_idx") + 1) * S, F.col("start") + n).alias("hi"),
-            "start",
-            ids,
-        )
-        .select(
-            split,
-            "shard_idx",
-            F.struct(
-                F.col("lo").alias("pos"),
-                F.slice(ids, (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias(
-                    "frag"
-                ),
-            ).alias("f"),
-        )
+        .select(split, F.explode(F.transform(shards_of_doc, fragment)).alias("g"))
+        .select(split, "g.shard_idx", "g.f")
     )
     grouped = frags.groupBy(split, "shard_idx").agg(F.array_sort(F.collect_list("f")).alias("fs"))
     tokens = F.flatten(F.transform("fs", lambda f: f["frag"]))
@@ -155,8 +146,15 @@ def pack_documents(
     ids: str = "ids",
     bos_id: int | None = None,
     eos_id: int | None = None,
+    materialize_as: str | None = "checkpoint",
 ) -> DataFrame:
-    """K1 + K3 + K4: tokenized, split-assigned documents -> shards."""
+    """K1 + K3 + K4: tokenized, split-assigned documents -> shards.
+
+    The prefix sums read the token counts at several levels; the tokenized table is
+    materialised once (``materialize_as``) so encoding is not recomputed per level.
+    Pass ``None`` when ``docs`` is already a stored table.
+    """
     marked = docs.select(key, split, add_boundaries(F.col(ids), bos_id, eos_id).alias("ids"))
+    marked = materialize(marked, materialize_as)
     placed = token_offsets(marked, key, split, "ids")
     return cut_shards(placed, shard_size, split, "ids")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from shardwright.functions.codepoints import digest
 from shardwright.operators import audit, bpe, evaluation, examples, packing, prep
 from shardwright.operators.specials import split_special
-from shardwright.sources.corpus import read_parquet_text
+from shardwright.session import materialize
+from shardwright.sources.corpus import balance, read_parquet_text
 
 # fixed query parameters (restated in plans/oracle.py)
 SEED = 1337
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return balance(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
 
 
 _MODELS: dict[tuple[str, int], bpe.BPEModel] = {}
@@ -53,10 +54,11 @@ def trained_model(spark: SparkSession, sf_dir: str, merges: int = TRAIN_MERGES)
     return _MODELS[key]
 
 
-def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def byte_tokens(spark: SparkSession, sf_dir: str, materialize_as: str | None = None) -> DataFrame:
     """Documents encoded with the byte-level tokenizer, split assigned."""
     docs = prep.assign_split(documents(spark, sf_dir), VAL_FRACTION, SEED, key="doc_id")
-    return docs.select("doc_id", "split", bpe.encode(F.col("text"), BYTE_MODEL).alias("ids"))
+    enc = docs.select("doc_id", "split", bpe.encode(F.col("text"), BYTE_MODEL).alias("ids"))
+    return materialize(enc, materialize_as)
 
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +73,7 @@ def example_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_corpus_scan(spark, sf_dir):
-    docs = read_parquet_text(spark, f"{sf_dir}/documents.parquet", extra_cols=["doc_id"])
+    docs = balance(read_parquet_text(spark, f"{sf_dir}/documents.parquet", extra_cols=["doc_id"]), "doc_id")
     return docs.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
@@ -110,7 +112,7 @@ def q_split_assign(spark, sf_dir):
 
 
 def q_special_split(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations")
+    conv = balance(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     src = F.concat(F.lit("<|bos|>"), F.replace(F.col("text"), F.lit("\n"), F.lit("<|eos|><|bos|>")), F.lit("<|eos|>"))
     segs = conv.select("conv_id", "turn", F.posexplode(split_special(src, SPLIT_SPECIALS)).alias("seg_idx", "seg"))
     return segs.select("conv_id", "turn", "seg_idx", F.col("seg.is_special").alias("is_special"), F.col("seg.chunk").alias("chunk"))
@@ -150,7 +152,7 @@ def q_compression(spark, sf_dir):
 
 
 def q_token_offsets(spark, sf_dir):
-    marked = byte_tokens(spark, sf_dir).select(
+    marked = byte_tokens(spark, sf_dir, "checkpoint").select(
         "doc_id", "split", packing.add_boundaries(F.col("ids"), None, EOS_ID).alias("ids")
     )
     return packing.token_offsets(marked, key="doc_id").select("split", "doc_id", "start", "n")

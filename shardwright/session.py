@@ -55,3 +55,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="shardwright-ckpt-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir() or folder
+
+
+def materialize(df, how: str | None = "checkpoint"):
+    """Materialise an expensive intermediate once so later branches read it instead
+    of recomputing it.  ``checkpoint``: reliable, in the shared checkpoint folder
+    (lineage cut, survives executor loss); ``persist``: memory and disk; ``None``:
+    leave lazy."""
+    from pyspark import StorageLevel
+
+    if how is None:
+        return df
+    if how == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if how == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    raise ValueError(f"unknown materialisation {how!r}")

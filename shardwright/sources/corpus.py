@@ -163,3 +163,17 @@ def export_parquet(df: DataFrame, out: str, partition_by: Iterable[str] = ()) ->
     if cols:
         w = w.partitionBy(*cols)
     w.parquet(out)
+
+
+def balance(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has task slots.
+
+    A single large Parquet row group is one input split, so every per-document
+    expression before the first shuffle would run in one task.  A big corpus
+    arrives in many splits and passes through unchanged (no extra shuffle); a thin
+    one is hash-partitioned on ``keys`` (deterministic under recomputation).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
