@@ -1,0 +1,5 @@
+"""Structured Streaming: append-and-flush shard packing for arriving documents."""
+
+from shardwright.streaming.packer import StreamingPacker, document_stream
+
+__all__ = ["StreamingPacker", "document_stream"]

@@ -1,0 +1,144 @@
+"""Shard packing over Structured Streaming micro-batches (append, flush at shard_size).
+
+The batch packer (``operators.packing``) places a whole corpus at once.  Documents
+that keep arriving are appended instead: each micro-batch is encoded, placed after
+everything already packed (per split, batch order then key order), and every
+shard that becomes full is written; the incomplete last shard of a split is kept
+as the *tail* and completed by later batches.  ``close`` flushes the tails as the
+final short shards.
+
+State per split: ``(split, next_offset, tail_start, tail ARRAY<INT>)``; the tail
+holds fewer than ``shard_size`` tokens, so the state is bounded.  It is written as
+a small Parquet table per epoch under ``state_dir`` (shared storage on a
+cluster); a replayed epoch reads the state of the epoch before it and rewrites the
+same shards (atomic renames), so retries are idempotent.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shardwright.operators import bpe, packing, prep
+from shardwright.sources import shards as shard_io
+
+STATE_SCHEMA = "split string, next_offset bigint, tail_start bigint, tail array<int>"
+
+
+def document_stream(spark: SparkSession, source_dir: str, schema: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Parquet files arriving under ``source_dir`` as a streaming DataFrame."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+
+
+class StreamingPacker:
+    """``foreachBatch`` sink: tokenize, split and pack arriving documents."""
+
+    def __init__(
+        self,
+        model: bpe.BPEModel,
+        out_dir: str,
+        state_dir: str,
+        shard_size: int,
+        validation_fraction: float = 0.01,
+        seed: int = 1337,
+        key: str = "doc_key",
+        text: str = "text",
+        bos_id: int | None = None,
+        eos_id: int | None = None,
+    ) -> None:
+        if shard_size < 1:
+            raise ValueError(f"shard_size must be positive, got {shard_size}")
+        if not 0.0 <= validation_fraction < 1.0:
+            raise ValueError(f"validation_fraction must be in [0, 1), got {validation_fraction}")
+        self.model, self.out_dir, self.state_dir = model, out_dir, state_dir
+        self.shard_size, self.fraction, self.seed = int(shard_size), float(validation_fraction), int(seed)
+        self.key, self.text, self.bos_id, self.eos_id = key, text, bos_id, eos_id
+        self.dtype = packing.dtype_for_vocab(model.vocab_size)
+
+    # ----------------------------------------------------------------- state
+    def _epochs(self) -> list[int]:
+        if not os.path.isdir(self.state_dir):
+            return []
+        return sorted(int(m.group(1)) for d in os.listdir(self.state_dir) if (m := re.fullmatch(r"epoch=(\d+)", d)))
+
+    def _state_before(self, spark: SparkSession, epoch: int) -> DataFrame:
+        prior = [e for e in self._epochs() if e < epoch]
+        if not prior:
+            return spark.createDataFrame([], STATE_SCHEMA)
+        return spark.read.schema(STATE_SCHEMA).parquet(os.path.join(self.state_dir, f"epoch={prior[-1]}"))
+
+    # ----------------------------------------------------------------- batch
+    def process_batch(self, batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        S = self.shard_size
+        state = self._state_before(spark, epoch_id).cache()
+        docs = prep.assign_split(batch, self.fraction, self.seed, key=self.key)
+        enc = docs.select(
+            self.key,
+            "split",
+            packing.add_boundaries(bpe.encode(F.col(self.text), self.model), self.bos_id, self.eos_id).alias("ids"),
+        )
+        enc = enc.persist()
+        placed = packing.token_offsets(enc, self.key, "split", "ids")
+        base = state.select("split", "next_offset")
+        placed = (
+            placed.join(base, "split", "left")
+            .withColumn("start", F.col("start") + F.coalesce(F.col("next_offset"), F.lit(0)))
+            .select("split", "start", "ids")
+        )
+        tails = state.where(F.size("tail") > 0).select("split", F.col("tail_start").alias("start"), F.col("tail").alias("ids"))
+        shards = packing.cut_shards(placed.unionByName(tails), S).persist()
+        full = shards.where(F.col("num_tokens") == F.lit(S))
+        shard_io.write_shards(full, self.out_dir, self.dtype).collect()  # one info row per shard
+
+        totals = enc.groupBy("split").agg(F.sum(F.size("ids")).cast("bigint").alias("added"))
+        new_state = (
+            totals.join(state, "split", "full_outer")
+            .select(
+                "split",
+                (F.coalesce("next_offset", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("next_offset"),
+            )
+            .join(
+                shards.where(F.col("num_tokens") < F.lit(S)).select(
+                    "split", (F.col("shard_idx").cast("bigint") * F.lit(S)).alias("tail_start"), F.col("tokens").alias("tail")
+                ),
+                "split",
+                "left",
+            )
+            .select(
+                "split",
+                "next_offset",
+                F.coalesce("tail_start", F.col("next_offset")).alias("tail_start"),
+                F.coalesce("tail", F.array().cast("array<int>")).alias("tail"),
+            )
+        )
+        new_state.write.mode("overwrite").parquet(os.path.join(self.state_dir, f"epoch={epoch_id}"))
+        shards.unpersist()
+        enc.unpersist()
+        state.unpersist()
+
+    def close(self, spark: SparkSession) -> DataFrame:
+        """Write the remaining tails as the last, shorter shards; return the K7 table."""
+        epochs = self._epochs()
+        if not epochs:
+            raise ValueError("nothing was packed")
+        state = self._state_before(spark, epochs[-1] + 1)
+        tails = state.where(F.size("tail") > 0).select(
+            "split",
+            (F.col("tail_start") / F.lit(self.shard_size)).cast("int").alias("shard_idx"),
+            packing.shard_name(F.col("split"), (F.col("tail_start") / F.lit(self.shard_size)).cast("int")).alias("filename"),
+            F.size("tail").cast("bigint").alias("num_tokens"),
+            F.col("tail").alias("tokens"),
+        )
+        shard_io.write_shards(tails, self.out_dir, self.dtype).collect()
+        return state.select(
+            "split",
+            F.ceil(F.col("next_offset") / F.lit(self.shard_size)).cast("bigint").alias("n_shards"),
+            F.col("next_offset").alias("num_tokens"),
+            F.lit(self.dtype).alias("dtype"),
+            F.lit(int(self.model.vocab_size)).alias("vocab_size"),
+            F.lit(self.shard_size).alias("shard_size"),
+        ).where(F.col("num_tokens") > 0)

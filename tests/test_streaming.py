@@ -1,0 +1,48 @@
+"""The streaming packer writes the same shards as the batch packer."""
+
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from shardwright.operators import bpe, packing, prep
+from shardwright.sources.shards import read_shards
+from shardwright.streaming import StreamingPacker, document_stream
+
+
+def test_stream_equals_batch(spark, tmp_path, sf0001):
+    rows = spark.read.parquet(f"{sf0001}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    src = tmp_path / "src"
+    src.mkdir()
+    per = (len(rows) + 3) // 4
+    for i in range(4):
+        part = rows[i * per : (i + 1) * per]
+        table = pa.table({"doc_key": [r["doc_id"] for r in part], "text": [r["text"] for r in part]})
+        path = src / f"part-{i}.parquet"
+        pq.write_table(table, path)
+        os.utime(path, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))  # arrival order = key order
+
+    model = bpe.BPEModel(("<|bos|>", "<|eos|>"))
+    out, state, ck = tmp_path / "shards", tmp_path / "state", tmp_path / "ck"
+    packer = StreamingPacker(model, str(out), str(state), shard_size=4096, validation_fraction=0.1, seed=1337, eos_id=257)
+    q = (
+        document_stream(spark, str(src), "doc_key bigint, text string", max_files_per_trigger=1)
+        .writeStream.foreachBatch(packer.process_batch)
+        .option("checkpointLocation", str(ck))
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    man = {r["split"]: r for r in packer.close(spark).collect()}
+
+    streamed = {(r["split"], r["shard_idx"]): list(r["tokens"]) for r in read_shards(spark, str(out), "uint16").collect()}
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_key bigint, text string")
+    enc = prep.assign_split(docs, 0.1, 1337).select("doc_key", "split", bpe.encode(F.col("text"), model).alias("ids"))
+    batch = {
+        (r["split"], r["shard_idx"]): list(r["tokens"])
+        for r in packing.pack_documents(enc, 4096, eos_id=257, materialize_as=None).collect()
+    }
+    assert streamed == batch
+    assert man["train"]["num_tokens"] == sum(len(v) for (s, _), v in batch.items() if s == "train")
+    assert man["train"]["n_shards"] == len([k for k in batch if k[0] == "train"])
