@@ -38,6 +38,7 @@ log = logging.getLogger(__name__)
 
 KEY_SHIFT = 21  # 2**21 > 0x10FFFF: a pair of code points packs into one BIGINT
 KEY_MUL = 1 << KEY_SHIFT
+DELTA_REDUCERS = 32  # reducers for a round's context sums (tiny, bounded by vocabulary)
 
 
 # --------------------------------------------------------------------------- model
@@ -293,16 +294,17 @@ def train_bpe(
     # AQE wraps every cached round in an initial + final plan, and each round nests the
     # previous one: plan size (and planning time) would double per round.  The loop's
     # jobs are a narrow projection plus a small aggregate, so it runs without AQE.
-    conf_key = "spark.sql.adaptive.enabled"
-    previous = spark.conf.get(conf_key, None)
-    spark.conf.set(conf_key, "false")
+    conf = spark.conf
+    saved = {k: conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    conf.set("spark.sql.adaptive.enabled", "false")
     try:
         return _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report)
     finally:
-        if previous is None:
-            spark.conf.unset(conf_key)
-        else:
-            spark.conf.set(conf_key, previous)
+        for k, v in saved.items():
+            if v is None:
+                conf.unset(k)
+            else:
+                conf.set(k, v)
 
 
 def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report) -> BPEModel:
@@ -312,6 +314,10 @@ def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts,
     state = held
     counts: dict[int, int] = {int(r["k"]): int(r["n"]) for r in pair_counts(state).collect()}
     report.seconds_round0 = time.time() - t0
+    # every round's aggregate has at most 2 * vocab + 2 keys per map task: a bounded
+    # number of reducers instead of the session's (cluster-sized) shuffle width
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, min(parts, DELTA_REDUCERS))))
     heap = [(-n, k) for k, n in counts.items()]
     heapq.heapify(heap)
 
@@ -326,10 +332,11 @@ def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts,
         a_cp, b_cp = divmod(k, KEY_MUL)
         # one pass: the cached frame holds the rewritten chunks, the action sums the deltas
         x_cp = id_to_cp(first + r)
+        _b = time.time()
         nxt = _merge_round(state, a_cp, b_cp, x_cp).persist(StorageLevel.MEMORY_AND_DISK)
         _t = time.time()
         ctx_rows = _context_sums(nxt).collect()
-        log.debug("round %d: %.3fs", r, time.time() - _t)
+        log.debug("round %d: build %.3fs, job %.3fs", r, _t - _b, time.time() - _t)
         held.unpersist()
         held, state = nxt, nxt.select("s", "w")
         report.max_delta_rows = max(report.max_delta_rows, len(ctx_rows))
