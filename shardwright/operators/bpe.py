@@ -122,7 +122,9 @@ def pair_keys(s: Column) -> Column:
 
 def _pair_keys_from(cps: Column) -> Column:
     n = F.size(cps)
-    return F.transform(F.slice(cps, F.lit(1), n - 1), lambda x, i: x * F.lit(KEY_MUL) + F.element_at(cps, i + 2))
+    return F.zip_with(
+        F.slice(cps, F.lit(1), n - 1), F.slice(cps, F.lit(2), n - 1), lambda x, y: x * F.lit(KEY_MUL) + y
+    )
 
 
 def pair_counts(state: DataFrame) -> DataFrame:
@@ -309,14 +311,16 @@ def train_bpe(
 
 def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report) -> BPEModel:
     t0 = time.time()
-    # explicit partition count: AQE must not coalesce the loop state into a few tasks
-    held = chunk_table(docs, specials, text_col).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = docs.sparkSession
+    # AQE is off here, so the chunk grouping yields exactly `parts` hash partitions:
+    # the loop state is spread over the cluster without a second shuffle
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    held = chunk_table(docs, specials, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     state = held
     counts: dict[int, int] = {int(r["k"]): int(r["n"]) for r in pair_counts(state).collect()}
     report.seconds_round0 = time.time() - t0
     # every round's aggregate has at most 2 * vocab + 2 keys per map task: a bounded
-    # number of reducers instead of the session's (cluster-sized) shuffle width
-    spark = docs.sparkSession
+    # number of reducers instead of the state's width
     spark.conf.set("spark.sql.shuffle.partitions", str(max(1, min(parts, DELTA_REDUCERS))))
     heap = [(-n, k) for k, n in counts.items()]
     heapq.heapify(heap)

@@ -61,8 +61,18 @@ def byte_tokens(spark: SparkSession, sf_dir: str, materialize_as: str | None = N
     return materialize(enc, materialize_as)
 
 
+_SHARDS: dict[tuple[str, int, str], DataFrame] = {}
+
+
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(byte_tokens(spark, sf_dir), SHARD_SIZE, key="doc_id", eos_id=EOS_ID)
+    """The packed shard table, built once per session and corpus and kept as a
+    reliable checkpoint: later stages read it the way the reference's training
+    reads the written shard files, instead of re-tokenizing the corpus."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _SHARDS:
+        packed = packing.pack_documents(byte_tokens(spark, sf_dir), SHARD_SIZE, key="doc_id", eos_id=EOS_ID)
+        _SHARDS[key] = materialize(packed, "checkpoint")
+    return _SHARDS[key]
 
 
 def example_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
