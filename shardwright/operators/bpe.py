@@ -128,10 +128,17 @@ def _pair_keys_from(cps: Column) -> Column:
 
 
 def pair_counts(state: DataFrame) -> DataFrame:
-    """T3 over ``state(s, w)``: ``(k BIGINT, n BIGINT)`` with k = packed code-point pair."""
-    cps = state.select(_cps(F.col("s")).alias("cps"), "w")
-    keys = cps.select(F.explode(_pair_keys_from(F.col("cps"))).alias("k"), "w")
-    return keys.groupBy("k").agg(F.sum("w").alias("n"))
+    """T3 over ``state(s, w)``: ``(k BIGINT, n BIGINT)`` with k = packed code-point pair.
+
+    One regex pass with a lookahead capture yields every overlapping two-token
+    string; they are summed by a partial + final aggregate and packed into keys only
+    after the aggregation (at most one row per distinct pair).
+    """
+    pairs = state.select(F.explode(F.regexp_extract_all("s", F.lit("(?s)(?=(..))"), F.lit(1))).alias("p"), "w")
+    summed = pairs.groupBy("p").agg(F.sum("w").alias("n"))
+    left = F.ascii(F.substring("p", 1, 1)).cast("bigint")
+    right = F.ascii(F.substring("p", 2, 1)).cast("bigint")
+    return summed.select((left * F.lit(KEY_MUL) + right).alias("k"), "n")
 
 
 def unpack_pair(k: Column) -> tuple[Column, Column]:

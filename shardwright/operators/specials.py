@@ -66,7 +66,12 @@ def split_special(text: Column, specials: Sequence[str]) -> Column:
             ).otherwise(F.array(F.struct(F.lit(False).alias("is_special"), p.alias("chunk")))),
         )
     )
-    return F.filter(segs, lambda s: s["is_special"] | (s["chunk"] != F.lit("")))
+    segmented = F.filter(segs, lambda s: s["is_special"] | (s["chunk"] != F.lit("")))
+    # one regex scan decides; texts without any special skip the split + extract
+    plain = F.when(text == F.lit(""), F.array().cast(SEGMENT_TYPE)).otherwise(
+        F.array(F.struct(F.lit(False).alias("is_special"), text.alias("chunk")))
+    )
+    return F.when(text.rlike(pat), segmented).otherwise(plain)
 
 
 def special_id_of(name: Column, specials: Sequence[str]) -> Column:
