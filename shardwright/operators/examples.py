@@ -112,14 +112,18 @@ def batches(examples: DataFrame, batch_size: int, first_only: bool = True) -> Da
 
 
 def token_id_audit(df: DataFrame, cols: list[str], vocab_size: int, group: str | None = None) -> DataFrame:
-    """Min / max id and the count of ids outside ``[0, vocab_size)`` per group."""
+    """Min / max id and the number of rows holding an id outside ``[0, vocab_size)``.
+
+    Row-level ``array_min`` / ``array_max`` (codegen, no per-element lambda) feed a
+    partial + final aggregate.
+    """
     V = int(vocab_size)
     ids = F.concat(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
-    bad = F.size(F.filter(ids, lambda i: (i < F.lit(0)) | (i >= F.lit(V))))
+    lo, hi = F.array_min(ids), F.array_max(ids)
     aggs = [
-        F.min(F.array_min(ids)).alias("min_id"),
-        F.max(F.array_max(ids)).alias("max_id"),
-        F.sum(bad).cast("bigint").alias("n_bad"),
+        F.min(lo).alias("min_id"),
+        F.max(hi).alias("max_id"),
+        F.count_if((lo < F.lit(0)) | (hi >= F.lit(V))).cast("bigint").alias("n_bad"),
     ]
     return df.groupBy(group).agg(*aggs) if group else df.agg(*aggs)
 

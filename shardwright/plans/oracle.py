@@ -225,7 +225,7 @@ SQL: dict[str, str] = {
     "token_id_audit": (
         f"WITH {TOKENS_CTE}\n"
         "SELECT split, CAST(min(list_min(x || y)) AS INTEGER) AS min_id, CAST(max(list_max(x || y)) AS INTEGER) AS max_id, "
-        f"CAST(sum(len(list_filter(x || y, lambda v: v < 0 OR v >= {BYTE_VOCAB}))) AS BIGINT) AS n_bad, "
+        f"CAST(count(*) FILTER (WHERE list_min(x || y) < 0 OR list_max(x || y) >= {BYTE_VOCAB}) AS BIGINT) AS n_bad, "
         f"CAST(count(*) FILTER (WHERE len(x) > {CONTEXT}) AS BIGINT) AS n_too_long FROM exy GROUP BY split"
     ),
     "bigram_table": (
