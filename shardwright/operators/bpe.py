@@ -177,48 +177,60 @@ def sql_str(text: str) -> str:
     return f"decode(unhex('{text.encode('utf-8').hex().upper()}'), 'UTF-8')"
 
 
-def _merge_round(state: DataFrame, a_cp: int, b_cp: int, x_cp: int) -> DataFrame:
-    """One merge over ``state(s, w)`` -> ``(s, w, ctx_k, ctx_n)``.
-
-    The chunk is cut at the non-overlapping occurrences of the pair (the same
-    matches as ``replace``) and re-joined with the new symbol X.  The count deltas
-    only depend on the symbols around each occurrence, so per chunk we emit the
-    left-context code points (last symbol of each non-empty piece before an
-    occurrence), the right-context ones (first symbol of each non-empty piece
-    after one, tagged +2^21), the number of occurrences and the number of
-    back-to-back occurrences.  ``deltas_from_contexts`` turns the summed contexts
-    into pair deltas on the driver; the chunk itself never leaves the executors.
-
-    Written as SQL text: one call per projection instead of hundreds of small
-    Column constructions per round.
+STEP_TAG = 1 << 23  # context keys of step j in a pass are offset by j * 2^23
+
+
+def _merge_round(state: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
+    """Merges ``(a, b) -> X`` applied in sequence over ``state(s, w)`` in one pass.
+
+    Returns ``(c1 .. cK, w, ctx_k, ctx_n)``: ``cj`` is every chunk after the first j
+    merges.  For each step the chunk is cut at the non-overlapping occurrences of
+    the pair (the same matches as ``replace``) and re-joined with the new symbol.
+    The count deltas only depend on the symbols around each occurrence, so per
+    chunk and step we emit the left-context code points (last symbol of each
+    non-empty piece before an occurrence), the right-context ones (first symbol of
+    each non-empty piece after one, tagged +2^21), the number of occurrences and
+    the number of back-to-back occurrences; step j's keys are offset by j * 2^23.
+    ``deltas_from_contexts`` turns the summed contexts into pair deltas on the
+    driver; the chunks themselves never leave the executors.
+
+    Written as SQL text: a few calls per step instead of hundreds of small Column
+    constructions per round.
     """
-    pair = sql_str(chr(a_cp) + chr(b_cp))
-    pat = sql_str(hexq(chr(a_cp) + chr(b_cp)))
-    x = sql_str(chr(x_cp))
-    # `pieces` is its own column: referenced from lambdas it must be a value, not an
-    # expression re-evaluated per element.  Distinct input name `cur`: inside
-    # lambdas Spark could bind `s` to the lateral alias of the same select list.
-    cut = state.selectExpr(
-        "s AS cur",
-        "w",
-        f"CASE WHEN instr(s, {pair}) > 0 THEN split(s, {pat}, -1) END AS pieces",
-    )
-    ctx = cut.selectExpr(
-        "cur",
-        "w",
-        "pieces",
-        "transform(filter(slice(pieces, 1, size(pieces) - 1), p -> p != ''),"
-        " p -> CAST(ascii(substring(p, -1, 1)) AS BIGINT)) AS lefts",
-        "transform(filter(slice(pieces, 2, size(pieces) - 1), p -> p != ''),"
-        f" p -> CAST(ascii(p) AS BIGINT) + {TAG_RIGHT}) AS rights",
-        "CAST(size(filter(slice(pieces, 2, size(pieces) - 2), p -> p = '')) AS BIGINT) AS runs",
-    )
-    return ctx.selectExpr(
-        f"CASE WHEN pieces IS NULL THEN cur ELSE array_join(pieces, {x}) END AS s",
+    cur = state.selectExpr("s AS c0", "w")
+    for j, (a_cp, b_cp, x_cp) in enumerate(steps):
+        pair = sql_str(chr(a_cp) + chr(b_cp))
+        pat = sql_str(hexq(chr(a_cp) + chr(b_cp)))
+        x = sql_str(chr(x_cp))
+        off = j * STEP_TAG
+        keep = [f"c{i}" for i in range(j + 1)] + ["w"] + [f"k{i}" for i in range(j)] + [f"n{i}" for i in range(j)]
+        # `pieces` is its own column: referenced from lambdas it must be a value,
+        # not an expression re-evaluated per element
+        cut = cur.selectExpr(*keep, f"CASE WHEN instr(c{j}, {pair}) > 0 THEN split(c{j}, {pat}, -1) END AS pieces")
+        ctx = cut.selectExpr(
+            *keep,
+            "pieces",
+            "transform(filter(slice(pieces, 1, size(pieces) - 1), p -> p != ''),"
+            f" p -> CAST(ascii(substring(p, -1, 1)) AS BIGINT) + {off}) AS lefts",
+            "transform(filter(slice(pieces, 2, size(pieces) - 1), p -> p != ''),"
+            f" p -> CAST(ascii(p) AS BIGINT) + {TAG_RIGHT + off}) AS rights",
+            "CAST(size(filter(slice(pieces, 2, size(pieces) - 2), p -> p = '')) AS BIGINT) AS runs",
+        )
+        cur = ctx.selectExpr(
+            *keep,
+            f"CASE WHEN pieces IS NULL THEN c{j} ELSE array_join(pieces, {x}) END AS c{j + 1}",
+            "CASE WHEN pieces IS NULL THEN CAST(array() AS ARRAY<BIGINT>) ELSE "
+            f"concat(lefts, rights, array(CAST({TAG_OCC + off} AS BIGINT), CAST({TAG_RUN + off} AS BIGINT))) END AS k{j}",
+            "CASE WHEN pieces IS NULL THEN CAST(array() AS ARRAY<BIGINT>) ELSE "
+            "concat(array_repeat(CAST(1 AS BIGINT), size(lefts) + size(rights)),"
+            f" array(CAST(size(pieces) - 1 AS BIGINT), runs)) END AS n{j}",
+        )
+    K = len(steps)
+    return cur.selectExpr(
+        *[f"c{i}" for i in range(1, K + 1)],
         "w",
-        f"concat(lefts, rights, array(CAST({TAG_OCC} AS BIGINT), CAST({TAG_RUN} AS BIGINT))) AS ctx_k",
-        "concat(array_repeat(CAST(1 AS BIGINT), size(lefts) + size(rights)),"
-        " array(CAST(size(pieces) - 1 AS BIGINT), runs)) AS ctx_n",
+        f"concat({', '.join(f'k{i}' for i in range(K))}) AS ctx_k",
+        f"concat({', '.join(f'n{i}' for i in range(K))}) AS ctx_n",
     )
 
 
@@ -229,7 +241,7 @@ def _context_sums(nxt: DataFrame) -> DataFrame:
     not be matched against the cache, and each round would recompute its history.
     """
     return (
-        nxt.where("ctx_k IS NOT NULL")
+        nxt.where("size(ctx_k) > 0")
         .selectExpr("explode(arrays_zip(ctx_k, ctx_n)) AS e", "w")
         .groupBy(F.col("e.ctx_k").alias("k"))
         .agg(F.sum(F.col("e.ctx_n") * F.col("w")).alias("n"))
@@ -262,6 +274,7 @@ def deltas_from_contexts(rows, a_cp: int, b_cp: int, x_cp: int) -> dict[int, int
 @dataclass
 class TrainReport:
     rounds: int = 0
+    passes: int = 0
     seconds_round0: float = 0.0
     seconds_rounds: float = 0.0
     max_delta_rows: int = 0
@@ -276,6 +289,7 @@ def train_bpe(
     checkpoint_every: int = 25,
     num_partitions: int | None = None,
     report: TrainReport | None = None,
+    speculate: bool = True,
 ) -> BPEModel:
     """Learn ``vocab_size - 256 - len(specials)`` merges (fewer only if no pair is left).
 
@@ -307,7 +321,7 @@ def train_bpe(
     saved = {k: conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report)
+        return _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report, speculate)
     finally:
         for k, v in saved.items():
             if v is None:
@@ -316,7 +330,7 @@ def train_bpe(
                 conf.set(k, v)
 
 
-def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report) -> BPEModel:
+def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report, speculate) -> BPEModel:
     t0 = time.time()
     spark = docs.sparkSession
     # AQE is off here, so the chunk grouping yields exactly `parts` hash partitions:
@@ -334,32 +348,59 @@ def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts,
 
     merges: list[tuple[int, int]] = []
     merged_counts: list[int] = []
+    passes = 0
     t1 = time.time()
-    for r in range(num_merges):
+    while len(merges) < num_merges:
         best = _pop_best(heap, counts)
         if best is None:
             break  # no pair left anywhere
-        k, n = best
-        a_cp, b_cp = divmod(k, KEY_MUL)
+        k1, n1 = best
+        a1, b1 = divmod(k1, KEY_MUL)
+        x1 = id_to_cp(first + len(merges))
+        steps = [(a1, b1, x1)]
+        runner_up = None
+        if speculate and len(merges) + 1 < num_merges:
+            # the current runner-up, applied on top of the best pair in the same pass;
+            # kept only if it is the true best once the first merge's deltas are in
+            runner_up = _pop_best(heap, counts)
+            if runner_up is not None:
+                heapq.heappush(heap, (-runner_up[1], runner_up[0]))
+                a2, b2 = divmod(runner_up[0], KEY_MUL)
+                steps.append((a2, b2, id_to_cp(first + len(merges) + 1)))
         # one pass: the cached frame holds the rewritten chunks, the action sums the deltas
-        x_cp = id_to_cp(first + r)
         _b = time.time()
-        nxt = _merge_round(state, a_cp, b_cp, x_cp).persist(StorageLevel.MEMORY_AND_DISK)
+        nxt = _merge_round(state, steps).persist(StorageLevel.MEMORY_AND_DISK)
         _t = time.time()
-        ctx_rows = _context_sums(nxt).collect()
-        log.debug("round %d: build %.3fs, job %.3fs", r, _t - _b, time.time() - _t)
-        held.unpersist()
-        held, state = nxt, nxt.select("s", "w")
+        ctx_rows = [(int(row["k"]), int(row["n"])) for row in _context_sums(nxt).collect()]
+        log.debug("pass %d: build %.3fs, job %.3fs", passes, _t - _b, time.time() - _t)
+        passes += 1
         report.max_delta_rows = max(report.max_delta_rows, len(ctx_rows))
-        _apply_delta(heap, counts, deltas_from_contexts(((int(r["k"]), int(r["n"])) for r in ctx_rows), a_cp, b_cp, x_cp))
-        merges.append((cp_to_id(a_cp), cp_to_id(b_cp)))
-        merged_counts.append(n)
-        if checkpoint_every and (r + 1) % checkpoint_every == 0:
+        by_step: dict[int, list[tuple[int, int]]] = {}
+        for key, total in ctx_rows:
+            by_step.setdefault(key // STEP_TAG, []).append((key % STEP_TAG, total))
+        _apply_delta(heap, counts, deltas_from_contexts(by_step.get(0, []), a1, b1, x1))
+        merges.append((cp_to_id(a1), cp_to_id(b1)))
+        merged_counts.append(n1)
+        accepted = 1
+        if runner_up is not None:
+            now = _pop_best(heap, counts)
+            if now is not None:
+                heapq.heappush(heap, (-now[1], now[0]))
+                if now[0] == runner_up[0]:
+                    a2, b2, x2 = steps[1]
+                    _apply_delta(heap, counts, deltas_from_contexts(by_step.get(1, []), a2, b2, x2))
+                    merges.append((cp_to_id(a2), cp_to_id(b2)))
+                    merged_counts.append(now[1])
+                    accepted = 2
+        held.unpersist()
+        held, state = nxt, nxt.selectExpr(f"c{accepted} AS s", "w")
+        if checkpoint_every and passes % checkpoint_every == 0:
             # cut lineage in the shared checkpoint folder: a lost executor then
-            # recomputes at most `checkpoint_every` rounds, not the whole history
+            # recomputes at most `checkpoint_every` passes, not the whole history
             state = state.checkpoint(eager=True)
             held.unpersist()
             held = state
+    report.passes = passes
     report.rounds = len(merges)
     report.seconds_rounds = time.time() - t1
     report.distinct_pairs = len(counts)

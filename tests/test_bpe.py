@@ -188,3 +188,13 @@ def test_pair_counts_and_best_pair(spark):
     st = bpe.chunk_table(frame(spark, ["ababab", "ba"]))
     best = bpe.best_pair(bpe.pair_counts(st)).collect()[0]
     assert (best["left_id"], best["right_id"], best["n"]) == (97, 98, 3)
+
+
+def test_speculative_passes_equal_single_merge_passes(spark):
+    texts = CORPUS + ["aaaa abab", "the theme there"]
+    rep_a, rep_b = bpe.TrainReport(), bpe.TrainReport()
+    a = bpe.train_bpe(frame(spark, texts), 300, SPECIALS, report=rep_a, speculate=True)
+    b = bpe.train_bpe(frame(spark, texts), 300, SPECIALS, report=rep_b, speculate=False)
+    assert a.merges == b.merges and a.pair_counts == b.pair_counts
+    assert list(a.merges) == rules.train(texts, 300, SPECIALS)
+    assert rep_a.passes < rep_b.passes == len(b.merges)
