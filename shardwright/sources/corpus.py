@@ -173,7 +173,11 @@ def balance(df: DataFrame, *keys: str) -> DataFrame:
     arrives in many splits and passes through unchanged (no extra shuffle); a thin
     one is hash-partitioned on ``keys`` (deterministic under recomputation).
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the scan as is
+        return df
+    if current >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
