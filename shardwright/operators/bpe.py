@@ -111,22 +111,6 @@ def chunk_table(docs: DataFrame, specials: Sequence[str] = (), text_col: str = "
     return plain.groupBy("chunk").agg(F.count(F.lit(1)).alias("w")).select(byte_string(F.col("chunk")).alias("s"), "w")
 
 
-def _cps(s: Column) -> Column:
-    return F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("bigint"))
-
-
-def pair_keys(s: Column) -> Column:
-    """ARRAY<BIGINT> of adjacent pairs as ``left_cp * 2^21 + right_cp`` (overlapping)."""
-    return _pair_keys_from(_cps(s))
-
-
-def _pair_keys_from(cps: Column) -> Column:
-    n = F.size(cps)
-    return F.zip_with(
-        F.slice(cps, F.lit(1), n - 1), F.slice(cps, F.lit(2), n - 1), lambda x, y: x * F.lit(KEY_MUL) + y
-    )
-
-
 def pair_counts(state: DataFrame) -> DataFrame:
     """T3 over ``state(s, w)``: ``(k BIGINT, n BIGINT)`` with k = packed code-point pair.
 

@@ -198,3 +198,13 @@ def test_speculative_passes_equal_single_merge_passes(spark):
     assert a.merges == b.merges and a.pair_counts == b.pair_counts
     assert list(a.merges) == rules.train(texts, 300, SPECIALS)
     assert rep_a.passes < rep_b.passes == len(b.merges)
+
+
+def test_special_id_column_lookup(spark):
+    from shardwright.operators.specials import special_id_of
+
+    df = spark.createDataFrame([("<|eos|>",), ("<|bos|>",)], "name string")
+    assert [r["i"] for r in df.select(special_id_of(F.col("name"), SPECIALS).alias("i")).collect()] == [257, 256]
+    bad = spark.createDataFrame([("<|pad|>",)], "name string")
+    with pytest.raises(Exception, match="Unknown special token"):
+        bad.select(special_id_of(F.col("name"), SPECIALS).alias("i")).collect()
