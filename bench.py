@@ -39,6 +39,8 @@ def main() -> None:
     times["bpe_train"] = round(time.time() - t0, 3)
     extra["bpe_round0_sec"] = round(rep.seconds_round0, 3)
     extra["bpe_sec_per_merge"] = round(rep.seconds_rounds / max(rep.rounds, 1), 3)
+    extra["bpe_merges"] = rep.rounds
+    extra["bpe_passes"] = rep.passes
 
     for name, fn in Q.QUERIES.items():
         if name == "bpe_train" or (only and name not in only):

@@ -73,6 +73,10 @@ def read_parquet_text(spark: SparkSession, path: str, extra_cols: Iterable[str]
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
     if "text" not in df.columns:
         raise ValueError(f"Parquet input under {path} has no 'text' column")
+    text_type = df.schema["text"].dataType.simpleString()
+    if text_type != "string":
+        # Spark's cast and Python's str() disagree for floats and booleans: require text
+        raise ValueError(f"Parquet column 'text' under {path} must be a string, got {text_type}")
     return df.where(F.col("text").isNotNull()).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.row_index").cast("bigint").alias("row_index"),

@@ -104,3 +104,9 @@ def test_split_assignment(spark):
     for bad in (-0.1, 1.0):
         with pytest.raises(ValueError):
             prep.assign_split(df, bad, 1)
+
+
+def test_parquet_text_must_be_string(spark, tmp_path):
+    spark.createDataFrame([(1.5,)], "text double").write.parquet(str(tmp_path / "num"))
+    with pytest.raises(ValueError, match="must be a string"):
+        corpus.read_parquet_text(spark, str(tmp_path / "num"))
