@@ -379,8 +379,8 @@ def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts,
         held.unpersist()
         held, state = nxt, nxt.selectExpr(f"c{accepted} AS s", "w")
         if checkpoint_every and passes % checkpoint_every == 0:
-            # cut lineage in the shared checkpoint folder: a lost executor then
-            # recomputes at most `checkpoint_every` passes, not the whole history
+            # cut lineage in the shared checkpoint folder (every `checkpoint_every`
+            # passes): a lost executor recomputes a few passes, not the whole history
             state = state.checkpoint(eager=True)
             held.unpersist()
             held = state
