@@ -187,34 +187,34 @@ def _merge_round(state: DataFrame, steps: list[tuple[int, int, int]]) -> DataFra
         pat = sql_str(hexq(chr(a_cp) + chr(b_cp)))
         x = sql_str(chr(x_cp))
         off = j * STEP_TAG
-        keep = [f"c{i}" for i in range(j + 1)] + ["w"] + [f"k{i}" for i in range(j)] + [f"n{i}" for i in range(j)]
+        keep = [f"c{i}" for i in range(j + 1)] + ["w"] + [f"{v}{i}" for i in range(j) for v in ("k", "o", "r")]
         # `pieces` is its own column: referenced from lambdas it must be a value,
         # not an expression re-evaluated per element
         cut = cur.selectExpr(*keep, f"CASE WHEN instr(c{j}, {pair}) > 0 THEN split(c{j}, {pat}, -1) END AS pieces")
-        ctx = cut.selectExpr(
+        cur = cut.selectExpr(
             *keep,
-            "pieces",
+            f"CASE WHEN pieces IS NULL THEN c{j} ELSE array_join(pieces, {x}) END AS c{j + 1}",
+            "CASE WHEN pieces IS NULL THEN CAST(array() AS ARRAY<BIGINT>) ELSE concat("
             "transform(filter(slice(pieces, 1, size(pieces) - 1), p -> p != ''),"
-            f" p -> CAST(ascii(substring(p, -1, 1)) AS BIGINT) + {off}) AS lefts",
+            f" p -> CAST(ascii(substring(p, -1, 1)) AS BIGINT) + {off}), "
             "transform(filter(slice(pieces, 2, size(pieces) - 1), p -> p != ''),"
-            f" p -> CAST(ascii(p) AS BIGINT) + {TAG_RIGHT + off}) AS rights",
-            "CAST(size(filter(slice(pieces, 2, size(pieces) - 2), p -> p = '')) AS BIGINT) AS runs",
-        )
-        cur = ctx.selectExpr(
-            *keep,
-            f"CASE WHEN pieces IS NULL THEN c{j} ELSE array_join(pieces, {x}) END AS c{j + 1}",
-            "CASE WHEN pieces IS NULL THEN CAST(array() AS ARRAY<BIGINT>) ELSE "
-            f"concat(lefts, rights, array(CAST({TAG_OCC + off} AS BIGINT), CAST({TAG_RUN + off} AS BIGINT))) END AS k{j}",
-            "CASE WHEN pieces IS NULL THEN CAST(array() AS ARRAY<BIGINT>) ELSE "
-            "concat(array_repeat(CAST(1 AS BIGINT), size(lefts) + size(rights)),"
-            f" array(CAST(size(pieces) - 1 AS BIGINT), runs)) END AS n{j}",
+            f" p -> CAST(ascii(p) AS BIGINT) + {TAG_RIGHT + off}), "
+            f"array(CAST({TAG_OCC + off} AS BIGINT), CAST({TAG_RUN + off} AS BIGINT))) END AS k{j}",
+            f"CAST(size(pieces) - 1 AS BIGINT) AS o{j}",
+            f"CAST(size(filter(slice(pieces, 2, size(pieces) - 2), p -> p = '')) AS BIGINT) AS r{j}",
         )
     K = len(steps)
+    # per step: weight 1 for every context key, then the occurrence and run counts
+    counts = [
+        f"CASE WHEN size(k{i}) = 0 THEN CAST(array() AS ARRAY<BIGINT>) ELSE "
+        f"concat(array_repeat(CAST(1 AS BIGINT), size(k{i}) - 2), array(o{i}, r{i})) END"
+        for i in range(K)
+    ]
     return cur.selectExpr(
         *[f"c{i}" for i in range(1, K + 1)],
         "w",
         f"concat({', '.join(f'k{i}' for i in range(K))}) AS ctx_k",
-        f"concat({', '.join(f'n{i}' for i in range(K))}) AS ctx_n",
+        f"concat({', '.join(counts)}) AS ctx_n",
     )
 
 
