@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.llm import mixing, quality, url_reputation
+from shardwright.llm import mixing, quality, segtree_bpe, simple8b, token_counts, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = simple8b.encoded_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return simple8b.read_documents(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, bad: the label of the document that the page shows (the last number of its path)."""
     number = F.regexp_extract(F.col("url"), r"/(\d{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)
@@ -36,8 +42,28 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op10_segtree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(docs)
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    out = segtree_bpe.encoded_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
+    "op4_simple8b": op4_simple8b,
     "op5_url_reputation": op5_url_reputation,
+    "op8_token_counts": op8_token_counts,
+    "op10_segtree_bpe": op10_segtree_bpe,
 }
