@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.llm import mixing, quality, segtree_bpe, simple8b, token_counts, url_reputation
+from shardwright.llm import embed_dedup, mixing, quality, segtree_bpe, simple8b, token_counts, toxicity, url_reputation
+from shardwright.llm.common import id_bucket
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"))
 
 
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,13 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, _table(spark, sf_dir, "labels"), held_out=5)
+    held = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.toxicity_scores(docs, machine).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -61,9 +73,11 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_embed_dedup": op2_embed_dedup,
     "op3_mixing": op3_mixing,
     "op4_simple8b": op4_simple8b,
     "op5_url_reputation": op5_url_reputation,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op10_segtree_bpe": op10_segtree_bpe,
 }
