@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.llm import embed_dedup, mixing, quality, segtree_bpe, simple8b, token_counts, toxicity, url_reputation
+from shardwright.llm import embed_dedup, mixing, parity_join, quality, segtree_bpe, simple8b, token_counts, toxicity, url_reputation
 from shardwright.llm.common import id_bucket
 
 
@@ -59,6 +59,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_segtree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_digests(docs)
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_reputation": op5_url_reputation,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_parity_join": op9_parity_join,
     "op10_segtree_bpe": op10_segtree_bpe,
 }
