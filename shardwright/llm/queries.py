@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.llm import embed_dedup, mixing, parity_join, quality, segtree_bpe, simple8b, token_counts, toxicity, url_reputation
+from shardwright.llm import context_mixing, embed_dedup, mixing, parity_join, quality, segtree_bpe, simple8b, token_counts, toxicity, url_reputation
 from shardwright.llm.common import id_bucket
 
 
@@ -47,6 +47,10 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scores(_table(spark, sf_dir, "documents"), held_out=7, held=2)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     machine = toxicity.train(docs, _table(spark, sf_dir, "labels"), held_out=5)
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_simple8b": op4_simple8b,
     "op5_url_reputation": op5_url_reputation,
+    "op6_context_mixing": op6_context_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_parity_join": op9_parity_join,
