@@ -143,7 +143,7 @@ class Mixer:
         q = (m[..., 1] + 30 * centre) / (m.sum(2) + 30)  # little evidence leaves the probability as it is
         return np.clip(0.5 * p + 0.5 * q[row, step], 1e-6, 1 - 1e-6), row, step
 
-    def code(self, ctx: np.ndarray, values: np.ndarray, kind: int, place: np.ndarray, times: np.ndarray | None = None, run: int = 8192) -> np.ndarray:
+    def code(self, ctx: np.ndarray, values: np.ndarray, kind: int, place: np.ndarray, times: np.ndarray | None = None, run: int = 2048) -> np.ndarray:
         """ln probability of each byte.  With ``times`` (occurrences), weights and map learn on the way."""
         out = np.empty(len(values))
         for a in range(0, len(values), run):
@@ -165,7 +165,7 @@ class Mixer:
         one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
         self.moment[kind], self.steps[kind] = (one, two), self.steps[kind] + 1
         t = self.steps[kind]
-        rate = 0.02 / (1 + t / 200)
+        rate = 0.05 / (1 + t / 400)
         self.weights[kind] = (self.weights[kind] + rate * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
         flat = np.bincount((row * MAP + step) * 2 + bit, times, 8 * MAP * 2)
         self.maps[kind] += flat.reshape(8, MAP, 2)
