@@ -1,4 +1,14 @@
-"""A training-corpus pipeline of five stages over ``documents``."""
+"""A training-corpus pipeline over ``documents``: five stages, each on all that its predecessor kept.
+
+    toxicity           documents that score as toxic go
+    quality rules      documents that the cascade rejects go
+    n-gram Jaccard     of each class of near-duplicates the document of the least id stays
+    mixing             sources are mixed to their target weights: a row per document and pass, its
+                       text the words taken
+    byte-level BPE     every row of the mix is encoded, and decoded again
+
+The first four return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +16,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardwright.llm import mixing, quality
+from shardwright.llm import mixing, parity_join, quality, toxicity
 from shardwright.llm.common import stored
+from shardwright.llm.queries import bpe_digests
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxic_filter(docs, machine)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return parity_join.one_of_each(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_digests(docs.select("doc_id", "text"))
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", quality_rules),
-    ("mixing", mix),
+    ("toxicity", clean),
+    ("quality rules", good),
+    ("n-gram Jaccard join", distinct),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE encoding and decoding", tokens),
 ]
 
-ORACLE_SQL: str | None = None  # toxicity, mixing and BPE stages have no SQL form
+#: The fitted machine, the drawn mix and BPE have no SQL form; the tests hold run() against brute force.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{i}")
     return STAGES[-1][1](spark, docs, sf_dir)

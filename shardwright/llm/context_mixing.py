@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from shardwright.llm.common import id_bucket, mix64, slices, spread, stored, text_bytes
 
-D = 0.4
+D = 0.2
 #: log2 of the slots of each predictor: five inside a word, three at its start.
 INNER, START = (16, 18, 20, 21, 22), (16, 18, 20)
 SLOTS = INNER + START
@@ -426,7 +426,7 @@ def scores(docs: DataFrame, held_out: int = 7, held: int = 2, bucket_words: int
                 base = np.bincount(doc, np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0), len(n))
                 seen = np.bincount(doc, c > 0, len(n)).astype(np.int64)
                 size = np.array([sum(map(len, ws)) + len(ws) + 1 for ws in words_of])
-                head = pd.DataFrame({"doc_id": keys.slice(a, z - a).to_pandas(), "held": marks.slice(a, z - a).to_pandas(), "n": n, "size": size, "score": score, "base": base, "seen": seen})
+                head = pd.DataFrame({"doc_id": keys.slice(a, z - a).fill_null(0).to_numpy(zero_copy_only=False), "no_id": keys.slice(a, z - a).is_null().to_numpy(zero_copy_only=False), "held": marks.slice(a, z - a).to_pandas(), "n": n, "size": size, "score": score, "base": base, "seen": seen})
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, (t := pa.Table.from_pandas(head, preserve_index=False)).schema) as w:
                     w.write_table(t)
@@ -469,7 +469,7 @@ def scores(docs: DataFrame, held_out: int = 7, held: int = 2, bucket_words: int
             seen[: len(s)] += s.astype(np.int64)
         score = head["score"] / np.log(10)
         return pd.DataFrame({
-            "doc_id": head["doc_id"].astype("Int64"), "held_out": head["held"], "n_tokens": head["n"], "n_known": seen, "train_tokens": n_all,
+            "doc_id": head["doc_id"].astype("Int64").mask(head["no_id"]), "held_out": head["held"], "n_tokens": head["n"], "n_known": seen, "train_tokens": n_all,
             "base_score": base - head["n"] * rest, "score": score, "bits_per_byte": -score * np.log2(10) / head["size"],
         })
 

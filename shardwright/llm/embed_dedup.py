@@ -105,7 +105,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
     e = F.col("embedding").cast("array<double>")
     good = (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     ok = F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))
-    rows = vectors.select("vec_id", "embedding", F.when(ok, F.xxhash64("embedding")).alias("h1"), F.when(ok, F.hash("embedding")).alias("h2"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", F.when(ok, F.xxhash64("embedding")).alias("h1"), F.when(ok, F.hash("embedding")).alias("h2"))
     first = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "embedding")).alias("f"), F.count(F.lit(1)).alias("copies"))
     reps = stored(first.select("h1", "h2", F.col("f.vec_id").alias("rep"), "copies", F.col("f.embedding").cast("array<double>").alias("x")), "lsh-vectors")
     n = reps.count()

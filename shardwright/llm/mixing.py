@@ -279,21 +279,21 @@ def mixed_documents(docs: DataFrame, block: int = 128, seed: int = 11) -> DataFr
     Spans are gathered per document (a list bounded by its own length), so the texts are
     shuffled once, by a hash of the whole row; identical rows share one text."""
     cols = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in cols]))
-    spans = Mix(keyed.select("_row", "text", "source"), block, seed, key="_row").spans()
+    keyed = docs.select(F.xxhash64(*[F.col(c) for c in cols]).alias("_row"), F.struct(*cols).alias("_doc"))
+    spans = Mix(keyed.select("_row", "_doc.text", "_doc.source"), block, seed, key="_row").spans()
     passes = spans.groupBy("_row", "start", "pass_no").agg(F.collect_list(F.struct("from_word", "words")).alias("cuts"))
     cuts = passes.groupBy("_row").agg(F.sort_array(F.collect_list("cuts")).alias("_cuts"))
-    both = keyed.dropDuplicates(["_row"]).join(cuts, "_row").select(*cols, "_cuts")
+    both = keyed.dropDuplicates(["_row"]).join(cuts, "_row").select("_doc", "_cuts")
     at, chars = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else None
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, texts = [], []
-            for i, (text, lists) in enumerate(zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(cols)).to_pylist())):
+            row, texts, have = [], [], b.column(0).flatten()
+            for i, (text, lists) in enumerate(zip(have[at].cast(pa.binary()).to_pylist(), b.column(1).to_pylist())):
                 for c in lists:
                     row.append(i)
                     texts.append(cut_text(text, [(x["from_word"], x["words"]) for x in c]).decode("utf-8", "replace"))
-            out = [b.column(i).take(pa.array(row, pa.int64())) for i in range(len(cols))]
+            out = [x.take(pa.array(row, pa.int64())) for x in have]
             out[at] = pa.array(texts, pa.string())
             if chars is not None:
                 out[chars] = pa.array([len(x) for x in texts], out[chars].type)

@@ -196,10 +196,8 @@ def decode_ids(ids: list[int], ranks: Ranks) -> bytes:
 
 def encoded_documents(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> DataFrame:
     """docs with ``ids`` (array of int) in the place of ``text``; decode: also ``decoded``, the
-    bytes that those ids stand for."""
-    others = [c for c in docs.columns if c != "text"]
-    if clash := {"ids", "decoded"} & set(others):
-        raise ValueError(f"columns {sorted(clash)} would be overwritten: rename them first")
+    bytes that those ids stand for.  Columns of docs with those names are replaced."""
+    others = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
     rows = spread(docs.select(*others, text_bytes().alias("text")), *others[:1])
     fields = [f"`{n}` {t}" for n, t in docs.select(*others).dtypes] + ["ids array<int>"] + ["decoded binary"] * decode
 
@@ -219,7 +217,9 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str, decode: bool = F
 
 
 def decoded_documents(rows: DataFrame, path: str) -> DataFrame:
-    """rows with ``ids`` -> the same with ``decoded``; null ids decode to empty, an unknown id is an error."""
+    """rows with ``ids`` -> the same with ``decoded`` (replaced if there); null ids decode to empty, an
+    unknown id is an error."""
+    rows = rows.drop("decoded")
     at = rows.columns.index("ids")
     fields = [f"`{n}` {t}" for n, t in rows.dtypes] + ["decoded binary"]
 
