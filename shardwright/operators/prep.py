@@ -22,37 +22,41 @@ def text_digest(text: Column) -> Column:
 def dedup_exact(docs: DataFrame, key: str = "doc_key", text: str = "text") -> DataFrame:
     """P2, document unit: keep the smallest key of each distinct text, with ``n_copies``.
 
-    The grouping is a partial + final aggregate, so a text copied across a third of
-    the corpus is combined map-side; the survivors are matched back on the unique
+    A null text has no content to compare: such documents are no copies of each other and all
+    stay, with ``n_copies`` 1.  The grouping is a partial + final aggregate, so a text copied across
+    a third of the corpus is combined map-side; the survivors are matched back on the unique
     document key (evenly spread), never on the hot digest.
     """
-    firsts = docs.groupBy(text_digest(F.col(text)).alias("_digest")).agg(
+    firsts = docs.where(F.col(text).isNotNull()).groupBy(text_digest(F.col(text)).alias("_digest")).agg(
         F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies")
     )
-    return docs.join(firsts.select(key, "n_copies"), key, "inner")
+    same = docs.where(F.col(text).isNotNull()).join(firsts.select(key, "n_copies"), key, "inner")
+    return same.unionByName(docs.where(F.col(text).isNull()).withColumn("n_copies", F.lit(1).cast("bigint")))
 
 
 def line_table(docs: DataFrame, key: str = "doc_key", text: str = "text") -> DataFrame:
-    """Documents as ``(key, line_no, line)``; ``line_no`` is 0-based, split on ``\\n``."""
+    """Documents as ``(key, line_no, line)``; ``line_no`` is 0-based, split on ``\\n``.  A null text has no line."""
     return docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 
 def first_lines(lines: DataFrame, key: str = "doc_key") -> DataFrame:
-    """P2, line unit: first occurrence ``(key, line_no)`` of each distinct non-empty line."""
+    """P2, line unit: first occurrence ``(key, line_no)`` of each distinct non-empty line, its md5
+    ``digest`` and ``n_copies``."""
     firsts = (
         lines.where(F.col("line") != F.lit(""))
         .groupBy(text_digest(F.col("line")).alias("_digest"))
-        .agg(F.min(F.struct(key, "line_no")).alias("_first"), F.count(F.lit(1)).alias("n_copies"))
+        .agg(F.min(F.struct(key, "line_no")).alias("_first"), F.min(F.md5("line")).alias("digest"), F.count(F.lit(1)).alias("n_copies"))
     )
-    return firsts.select(F.col(f"_first.{key}").alias(key), F.col("_first.line_no").alias("line_no"), "n_copies")
+    return firsts.select(F.col(f"_first.{key}").alias(key), F.col("_first.line_no").alias("line_no"), "digest", "n_copies")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_key", text: str = "text") -> DataFrame:
     """P2, line unit: drop every non-empty line already seen earlier in the corpus
     (corpus order = key, then line number); empty lines are kept.
 
-    Returns the documents with ``text`` rebuilt.  Survivors are matched on the unique
-    ``(key, line_no)``; the per-document regroup is bounded by the document itself.
+    Returns every document with ``text`` rebuilt: one whose lines were all seen earlier has an
+    empty text, a null text stays null.  Survivors are matched on the unique ``(key, line_no)``;
+    the per-document regroup is bounded by the document itself.
     """
     lines = line_table(docs, key, text)
     keep = first_lines(lines, key).select(key, "line_no", F.lit(True).alias("_keep"))
@@ -61,10 +65,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_key", text: str = "text") -> Da
         .where((F.col("line") == F.lit("")) | F.col("_keep").isNotNull())
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
-        .select(key, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias(text))
+        .select(key, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("_kept"))
     )
-    rest = docs.drop(text)
-    return rest.join(kept, key, "inner")
+    was = F.when(F.col(text).isNotNull(), F.coalesce("_kept", F.lit("")))
+    return docs.join(kept, key, "left").withColumn(text, was).drop("_kept")
 
 
 def split_draw(key: Column, seed: int) -> Column:
@@ -79,11 +83,12 @@ def assign_split(
     """One draw per document (empty ones too); ``val`` if draw < fraction.
 
     Deviation, stated: the draw is a keyed hash instead of one sequential random
-    stream in file order, so it parallelises and does not shift when a file is added.
+    stream in file order, so it parallelises.  It depends on the key alone: with keys made from a
+    document's own file and row (``sources.corpus``), adding a file moves no document.
     """
     fraction = float(fraction)
     if not 0.0 <= fraction < 1.0:
-        raise ValueError(f"validation_fraction must be in [0, 1), got {fraction}")
+        raise ValueError(f"the validation share {fraction} is outside [0, 1)")
     return docs.withColumn(
         out, F.when(split_draw(F.col(key), seed) < F.lit(fraction), F.lit("val")).otherwise(F.lit("train"))
     )

@@ -1,162 +1,171 @@
 """Corpus scans, configured acquisition and export.
 
-A document is a row ``(doc_key BIGINT, text STRING, ...)``.  DataFrames have no
-order, so corpus order is an explicit key: files in sorted path order (component by
-component, like sorting ``pathlib.Path`` objects), then row order inside a file:
-``doc_key = file_rank * 2^32 + row_index``.  The file ranking is computed from the
-file listing Spark already holds on the driver (one entry per file) and joined
-as a small table.
+A document is a row ``(doc_key STRING, text STRING, ...)``.  DataFrames have no order,
+so corpus order is an explicit key made of the file's path below the corpus folder and
+of the row inside the file: path components and the zero-padded row number, joined by
+U+0000.  Comparing such keys compares paths component by component (``a/b.txt`` comes before
+``a.txt``), and a key depends on nothing but its own file: adding a file moves no document.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Mapping
-from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardwright.operators.prep import normalize_v0
 
-ROW_BITS = 32
+SEP = "\x00"
 
 
-def _strip_scheme(path: str) -> str:
-    """``file:/x``, ``file:///x`` -> ``/x``; other schemes are kept."""
-    if path.startswith("file:"):
-        return "/" + path[len("file:"):].lstrip("/")
-    return path
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, qualified path) of Spark's Hadoop configuration."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(p)
 
 
-def _norm_path_col(c):
-    return F.regexp_replace(c, r"^file:/*", "/")
+def same_form(uri: Column) -> Column:
+    """``file:///x`` and ``file:/x`` name one file; other URIs stay as they are."""
+    return F.regexp_replace(uri, "^file:/+", "file:/")
 
 
-def _file_ranks(spark: SparkSession, files: Iterable[str]) -> DataFrame:
-    """(file_path, file_rank) by component-wise path order (``a/b.txt`` before ``a.txt``)."""
-    ordered = sorted({_strip_scheme(p) for p in files}, key=lambda p: PurePosixPath(p).parts)
-    return spark.createDataFrame([(p, i) for i, p in enumerate(ordered)], "_path string, file_rank bigint")
+def order_key(path: Column, row_index: Column, root: str) -> Column:
+    """The order key of a row of a file below ``root`` (both as decoded, qualified paths)."""
+    below = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1 << 30))
+    name = F.coalesce(below, F.substring_index(path, "/", -1))
+    return F.concat_ws(SEP, F.replace(name, F.lit("/"), F.lit(SEP)), F.lpad(row_index.cast("string"), 19, "0"))
 
 
-def _require_dir(path: str) -> None:
-    if "://" not in path and not os.path.isdir(path):
-        raise FileNotFoundError(f"Input directory not found: {path}")
+def decoded_path(uri: Column) -> Column:
+    """A listed (percent-encoded) URI as the path that the scan reports."""
+    return F.url_decode(F.replace(same_form(uri), F.lit("+"), F.lit("%2B")))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Every file with suffix exactly ``.txt`` under ``path`` is one document.
 
-    Strict UTF-8 (malformed input fails the job), ``\\r\\n`` / lone ``\\r`` become
-    ``\\n`` as Python's text mode does; a BOM is kept.  Spark's file sources skip
-    hidden files (``.x``, ``_x``) and return no row for a zero-length file.
+    Strict UTF-8 (malformed input fails the job), ``\\r\\n`` / lone ``\\r`` become ``\\n`` as
+    Python's text mode does; a BOM is kept.  A scan gives no row for a file of no bytes; such
+    files are taken from Spark's own listing and joined in as empty documents.  Hidden files (``.x``,
+    ``_x``) are not listed by Spark and are skipped.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.txt")
-        .load(path)
-    )
-    return raw.select(
-        F.col("path").alias("file_path"),
-        F.lit(0).cast("bigint").alias("row_index"),
-        normalize_v0(F.decode(F.col("content"), "UTF-8")).alias("text"),
+    fs, root = hadoop_path(spark, path)
+    if not fs.exists(root):
+        raise FileNotFoundError(f"no such folder: {path}")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    listed = spark.createDataFrame([(f,) for f in raw.inputFiles()], "uri string").select(decoded_path(F.col("uri")).alias("path"))
+    empty = listed.join(raw.select("path"), "path", "left_anti").select("path", F.lit("").alias("text"))
+    full = raw.select("path", normalize_v0(F.decode(F.col("content"), "UTF-8")).alias("text"))
+    zero = F.lit(0).cast("bigint")
+    return full.union(empty).select(
+        order_key(F.col("path"), zero, root.toString()).alias("doc_key"), F.col("path").alias("file_path"), zero.alias("row_index"), "text"
     )
 
 
+def _check_text_column(spark: SparkSession, files: list[str]) -> None:
+    """Every Parquet file must have a string column ``text``.  Spark takes a table's schema from one
+    file and reads others as null, so the footers are read, one task per few files."""
+    from pyarrow import fs as pafs
+
+    def wrong(names: list[str], kind: str) -> str | None:
+        return None if "text" in names and kind in ("string", "large_string") else kind or "missing"
+
+    def look(batches):
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            out = []
+            for uri in b.column(0).to_pylist():
+                system, name = pafs.FileSystem.from_uri(uri)
+                schema = pq.read_schema(name, filesystem=system)
+                kind = str(schema.field("text").type) if "text" in schema.names else ""
+                if bad := wrong(schema.names, kind):
+                    out.append((uri, bad))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(2)], names=["uri", "kind"])
+
+    try:
+        pafs.FileSystem.from_uri(files[0])
+    except (pa.ArrowInvalid, OSError):  # a store that only Spark's readers know: footer by footer
+        for f in files:
+            types = dict(spark.read.parquet(f).dtypes)
+            if types.get("text") != "string":
+                raise ValueError(f"{f}: column 'text' is {types.get('text', 'missing')}, expected a string") from None
+        return
+    table = spark.createDataFrame([(f,) for f in files], "uri string")
+    bad = table.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))).mapInArrow(look, "uri string, kind string").limit(3).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['uri']}: column 'text' is {r['kind']}, expected a string" for r in bad))
+
+
 def read_parquet_text(spark: SparkSession, path: str, extra_cols: Iterable[str] = ()) -> DataFrame:
-    """Only column ``text`` (plus ``extra_cols``), nulls dropped, cast to string.
+    """Only column ``text`` (plus ``extra_cols``), nulls dropped.
 
-    Column pruning and the null filter reach the Parquet reader (ReadSchema /
-    PushedFilters).  A missing ``text`` column is an error.
+    Column pruning and the null filter reach the Parquet reader (ReadSchema / PushedFilters).  Any
+    file without ``text``, or with one that isn't a string, is an error (Spark's cast and
+    Python's ``str()`` disagree for other types).
     """
+    _, root = hadoop_path(spark, path)
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    if "text" not in df.columns:
-        raise ValueError(f"Parquet input under {path} has no 'text' column")
-    text_type = df.schema["text"].dataType.simpleString()
-    if text_type != "string":
-        # Spark's cast and Python's str() disagree for floats and booleans: require text
-        raise ValueError(f"Parquet column 'text' under {path} must be a string, got {text_type}")
+    _check_text_column(spark, df.inputFiles())
+    path_col = decoded_path(F.col("_metadata.file_path"))
+    row = F.col("_metadata.row_index").cast("bigint")
     return df.where(F.col("text").isNotNull()).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.row_index").cast("bigint").alias("row_index"),
-        F.col("text").cast("string").alias("text"),
-        *extra_cols,
+        order_key(path_col, row, root.toString()).alias("doc_key"), path_col.alias("file_path"), row.alias("row_index"), F.col("text").cast("string").alias("text"), *extra_cols
     )
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """S1 + S2 + S3: ``.txt`` and ``.parquet`` files under ``path`` in corpus order.
 
-    Returns ``(doc_key, file_path, row_index, text)``.
+    Returns ``(doc_key, file_path, row_index, text)``; sort by ``doc_key`` for the order.
     """
-    _require_dir(path)
+    fs, root = hadoop_path(spark, path)
+    if not fs.exists(root):
+        raise FileNotFoundError(f"no such folder: {path}")
     parts = []
-    txt = read_text_files(spark, path)
-    if txt.inputFiles():
-        parts.append(txt)
-    try:
-        pq = read_parquet_text(spark, path)
-        if pq.inputFiles():
-            parts.append(pq)
-    except Exception as exc:  # no parquet file at all: Spark cannot infer a schema
-        if "UNABLE_TO_INFER_SCHEMA" not in str(exc) and "Unable to infer schema" not in str(exc):
-            raise
+    for glob, read in (("*.txt", read_text_files), ("*.parquet", read_parquet_text)):
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+        if listing.inputFiles():
+            parts.append(read(spark, path))
     if not parts:
-        raise FileNotFoundError(f"No .txt or .parquet files found under {path}")
-    files = [f for p in parts for f in p.inputFiles()]
+        raise FileNotFoundError(f"{path} holds no .txt and no .parquet file")
     docs = parts[0]
     for p in parts[1:]:
         docs = docs.unionByName(p)
-    ranks = _file_ranks(spark, files)
-    # one row per file: broadcast is bounded by the listing the driver already holds
-    keyed = docs.withColumn("_path", _norm_path_col(F.col("file_path")))
-    return keyed.join(F.broadcast(ranks), "_path").select(
-        (F.col("file_rank") * F.lit(1 << ROW_BITS) + F.col("row_index")).alias("doc_key"),
-        "file_path",
-        "row_index",
-        "text",
-    )
+    return docs
 
 
 def read_sources(spark: SparkSession, sources: list[Mapping[str, str]], raw_dir: str | None = None) -> DataFrame:
-    """Configured multi-source acquisition.
+    """Configured multi-source acquisition -> (source_no, source_id, file_path, text).
 
-    Each source is ``{type: "fixture", path, id}``; the file becomes one document
-    tagged with ``source_id``.  Empty list, unknown type, missing key or duplicate id
-    -> ``ValueError``; missing file -> ``FileNotFoundError``.  With ``raw_dir`` the
-    result is also written there as Parquet partitioned by ``source_id``.
+    Each source is ``{type: "fixture", path, id}``; the file becomes one document tagged with
+    ``source_id``, an empty file an empty one; ``source_no`` is its place in the list.  Empty list,
+    unknown type, missing key or repeated id -> ``ValueError``; missing file -> ``FileNotFoundError``.
+    With ``raw_dir`` the result is also written there as Parquet partitioned by ``source_id``.
     """
     if not sources:
-        raise ValueError("Config sources list is empty")
-    seen: set[str] = set()
-    frames = []
-    for src in sources:
+        raise ValueError("no sources are configured")
+    rows = []
+    for i, src in enumerate(sources):
         if src.get("type") != "fixture":
-            raise ValueError(f"Unsupported source type: {src.get('type')!r}")
-        for k in ("path", "id"):
-            if k not in src:
-                raise ValueError(f"Fixture source missing required key: {k}")
-        sid = str(src["id"])
-        if sid in seen:
-            raise ValueError(f"Duplicate source id: {sid!r}")
-        seen.add(sid)
-        p = str(src["path"])
-        if "://" not in p and not os.path.isfile(p):
-            raise FileNotFoundError(f"Fixture not found: {p}")
-        one = spark.read.format("binaryFile").load(p)
-        frames.append(
-            one.select(
-                F.lit(sid).alias("source_id"),
-                F.col("path").alias("file_path"),
-                normalize_v0(F.decode(F.col("content"), "UTF-8")).alias("text"),
-            )
-        )
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+            raise ValueError(f"source {i}: type {src.get('type')!r} is not known")
+        if lacks := [k for k in ("path", "id") if k not in src]:
+            raise ValueError(f"source {i} lacks {', '.join(lacks)}")
+        if str(src["id"]) in {r[1] for r in rows}:
+            raise ValueError(f"source id {src['id']!r} is used twice")
+        fs, p = hadoop_path(spark, str(src["path"]))
+        if not fs.exists(p) or not fs.getFileStatus(p).isFile():
+            raise FileNotFoundError(f"source {i}: no such file: {src['path']}")
+        rows.append((i, str(src["id"]), p.toString()))
+    table = spark.createDataFrame(rows, "source_no int, source_id string, file_path string")
+    read = spark.read.format("binaryFile").load(sorted({r[2] for r in rows}))
+    texts = read.select(F.col("path").alias("file_path"), normalize_v0(F.decode(F.col("content"), "UTF-8")).alias("text"))
+    out = table.join(texts, "file_path", "left").select("source_no", "source_id", "file_path", F.coalesce("text", F.lit("")).alias("text"))
     if raw_dir is not None:
-        out.write.mode("overwrite").partitionBy("source_id").parquet(raw_dir)
+        export_parquet(out, raw_dir, ["source_id"])
     return out
 
 
@@ -177,11 +186,8 @@ def balance(df: DataFrame, *keys: str) -> DataFrame:
     arrives in many splits and passes through unchanged (no extra shuffle); a thin
     one is hash-partitioned on ``keys`` (deterministic under recomputation).
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the scan as is
-        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    current = df.rdd.getNumPartitions()
     if current >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -9,9 +9,11 @@ cannot leave a torn file); the driver only writes the small manifest.  On a clus
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import uuid
+from urllib.parse import unquote
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +28,22 @@ _NP = {"uint16": "<u2", "uint32": "<u4"}
 
 
 def _fs(path: str):
+    """(pyarrow file system, path in it); ``file:/x`` and a path without a scheme are local."""
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), unquote("/" + path[len("file:") :].lstrip("/"))
     if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+def _shared(spark: SparkSession, path: str) -> None:
+    """A path without a scheme is each executor's own disk: refused on a cluster."""
+    if ":" not in path.split("/")[0] and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path}: name a shared folder by its full URI on a cluster")
+
+
 def write_shards(shards: DataFrame, out_dir: str, dtype: str) -> DataFrame:
     """One ``.bin`` per shard row; returns ShardInfo rows ``(filename, split, num_tokens)``.
 
@@ -42,6 +53,7 @@ def write_shards(shards: DataFrame, out_dir: str, dtype: str) -> DataFrame:
         raise ValueError(f"unsupported shard dtype {dtype!r}")
     np_dtype = _NP[dtype]
     limit = 1 << (16 if dtype == "uint16" else 32)
+    _shared(shards.sparkSession, out_dir)
     filesystem, base = _fs(out_dir)
     filesystem.create_dir(base, recursive=True)
 
@@ -100,9 +112,10 @@ def write_manifest(manifest_rows: DataFrame, out_dir: str) -> str:
     if not rows:
         raise ValueError("empty manifest: no shards")
     first = rows[0]
-    os.makedirs(out_dir, exist_ok=True)
-    path = os.path.join(out_dir, MANIFEST)
-    with open(path, "w", encoding="utf-8") as f:
+    system, base = _fs(out_dir)
+    system.create_dir(base, recursive=True)
+    path = f"{base}/{MANIFEST}"
+    with system.open_output_stream(path) as raw, io.TextIOWrapper(raw, encoding="utf-8") as f:
         f.write("{\n")
         f.write(f'  "version": {MANIFEST_VERSION},\n  "dtype": {json.dumps(first["dtype"])},\n')
         f.write(f'  "vocab_size": {int(first["vocab_size"])},\n  "shard_size": {int(first["shard_size"])},\n')
@@ -119,10 +132,11 @@ def write_manifest(manifest_rows: DataFrame, out_dir: str) -> str:
 
 def load_manifest(path: str) -> dict:
     """S9 read: the manifest as a dict (a directory or the file itself)."""
-    if os.path.isdir(path):
-        path = os.path.join(path, MANIFEST)
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    system, name = _fs(path)
+    if not name.endswith(".json"):
+        name = f"{name.rstrip('/')}/{MANIFEST}"
+    with system.open_input_stream(name) as f:
+        return json.loads(f.read())
 
 
 def manifest_shards(spark: SparkSession, path: str) -> DataFrame:

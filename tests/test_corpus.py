@@ -6,16 +6,7 @@ from pyspark.sql import functions as F
 from shardwright.operators import prep
 from shardwright.sources import corpus
 
-TINY = (
-    "Cheapscape learns language models from scratch.\n"
-    "The quick brown fox jumps over the lazy dog.\n"
-    "Machine learning starts with small, inspectable data.\n"
-    "\n"
-    "Cheapscape learns language models from scratch.\n"
-    "\n"
-    "  trailing spaces matter\n"
-    "Punctuation: hello, world! Does it survive?\n"
-)
+NOTE = "first line\nsecond, longer line\nthird\n\nfirst line\n\n   indented\nlast: done?\n"
 
 
 def test_text_scan_newlines_bom_and_order(spark, tmp_path):
@@ -56,14 +47,14 @@ def test_malformed_utf8_fails(spark, tmp_path):
 
 
 def test_read_sources(spark, tmp_path):
-    fx = tmp_path / "tiny_corpus.txt"
-    fx.write_text(TINY, encoding="utf-8")
+    fx = tmp_path / "note.txt"
+    fx.write_text(NOTE, encoding="utf-8")
     raw = tmp_path / "raw"
-    df = corpus.read_sources(spark, [{"type": "fixture", "path": str(fx), "id": "tiny_corpus_v0"}], str(raw))
+    df = corpus.read_sources(spark, [{"type": "fixture", "path": str(fx), "id": "note"}], str(raw))
     rows = df.collect()
-    assert rows[0]["text"] == TINY and rows[0]["source_id"] == "tiny_corpus_v0"
+    assert rows[0]["text"] == NOTE and rows[0]["source_id"] == "note"
     back = spark.read.parquet(str(raw)).collect()
-    assert back[0]["text"] == TINY and back[0]["source_id"] == "tiny_corpus_v0"
+    assert back[0]["text"] == NOTE and back[0]["source_id"] == "note"
     with pytest.raises(FileNotFoundError):
         corpus.read_sources(spark, [{"type": "fixture", "path": str(tmp_path / "nope.txt"), "id": "x"}])
     with pytest.raises(ValueError):
@@ -84,8 +75,8 @@ def test_normalize_and_dedup(spark):
 
 
 def test_dedup_lines(spark):
-    lines = TINY.split("\n")
-    df = spark.createDataFrame([(0, TINY), (1, "The quick brown fox jumps over the lazy dog.\nnew")], "doc_key bigint, text string")
+    lines = NOTE.split("\n")
+    df = spark.createDataFrame([(0, NOTE), (1, "third\nnew")], "doc_key bigint, text string")
     out = {r["doc_key"]: r["text"] for r in prep.dedup_lines(df).collect()}
     assert out[0] == "\n".join(lines[:4] + lines[5:])  # second copy of line 1 dropped, empty lines kept
     assert out[1] == "new"
@@ -108,5 +99,56 @@ def test_split_assignment(spark):
 
 def test_parquet_text_must_be_string(spark, tmp_path):
     spark.createDataFrame([(1.5,)], "text double").write.parquet(str(tmp_path / "num"))
-    with pytest.raises(ValueError, match="must be a string"):
+    with pytest.raises(ValueError, match="expected a string"):
         corpus.read_parquet_text(spark, str(tmp_path / "num"))
+
+
+def test_no_file_is_lost(spark, tmp_path):
+    """Spaces, percent signs and other marks in names, empty files, a Parquet folder with a space."""
+    root = tmp_path / "odd names"
+    (root / "sub").mkdir(parents=True)
+    files = {"a b.txt": "A", "pct%41.txt": "P", "plus+.txt": "+", "q?#.txt": "Q", "c.txt": "C", "z.txt": "", "sub/e.txt": "", "ü.txt": "U"}
+    for name, text in files.items():
+        (root / name).write_text(text, encoding="utf-8")
+    spark.createDataFrame([("row",)], "text string").write.parquet(str(root / "d e.parquet"))
+    rows = corpus.read_corpus(spark, str(root)).orderBy("doc_key").collect()
+    want = sorted([*files.items(), ("d e.parquet", "row")], key=lambda x: x[0].split("/"))
+    assert [r["text"] for r in rows] == [t for _, t in want]
+    assert [r["doc_key"].split("\x00")[0] for r in rows] == [n.split("/")[0] for n, _ in want]
+
+
+def test_parquet_files_that_disagree(spark, tmp_path):
+    for other in ("n int", "text int"):
+        root = tmp_path / other.replace(" ", "-")
+        spark.createDataFrame([("ok",)], "text string").write.parquet(str(root / "a"))
+        spark.createDataFrame([(1,)], other).write.parquet(str(root / "b"))
+        with pytest.raises(ValueError, match="column 'text'"):
+            corpus.read_parquet_text(spark, str(root))
+
+
+def test_added_file_moves_no_document(spark, tmp_path):
+    root = tmp_path / "grow"
+    root.mkdir()
+    for i in range(40):
+        (root / f"n{i:02d}.txt").write_text(f"text {i}", encoding="utf-8")
+    split = lambda: {r["text"]: r["split"] for r in prep.assign_split(corpus.read_corpus(spark, str(root)), 0.3).collect()}
+    before = split()
+    (root / "a-first.txt").write_text("new", encoding="utf-8")
+    after = split()
+    assert len(set(before.values())) == 2 and {k: after[k] for k in before} == before
+
+
+def test_empty_source_is_a_document(spark, tmp_path):
+    (tmp_path / "none.txt").write_text("")
+    (tmp_path / "some%20.txt").write_text("x\r\ny")
+    src = [{"type": "fixture", "path": str(tmp_path / n), "id": i} for n, i in (("some%20.txt", "b"), ("none.txt", "a"))]
+    rows = corpus.read_sources(spark, src).orderBy("source_no").collect()
+    assert [(r["source_id"], r["text"]) for r in rows] == [("b", "x\ny"), ("a", "")]
+
+
+def test_dedup_keeps_every_document(spark):
+    rows = [(1, "a\nb"), (2, "b\na"), (3, None), (4, ""), (5, "a\nc"), (6, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_key bigint, text string, lang string")
+    got = {r["doc_key"]: r["text"] for r in prep.dedup_lines(df).collect()}
+    assert got == {1: "a\nb", 2: "", 3: None, 4: "", 5: "c", 6: None}
+    assert {r["doc_key"]: r["n_copies"] for r in prep.dedup_exact(df).collect()} == dict.fromkeys(range(1, 7), 1)
