@@ -17,15 +17,18 @@ from shardwright.functions.codepoints import SURROGATE_SHIFT, tok
 def encode_partitions(model, text_col: str, out_col: str, allow_specials: bool = True):
     pairs = [tok(a) + tok(b) for a, b in model.merges]
     news = [tok(model.first_merge_id + r) for r in range(len(model.merges))]
-    table = list(zip(pairs, news))
+    table = [(p[0], p[1], p, x) for p, x in zip(pairs, news)]
     specials = list(model.specials) if allow_specials else []
     ids = model.special_ids
     pattern = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
 
     def chunk_ids(chunk: str) -> np.ndarray:
         s = chunk.encode("utf-8").decode("latin-1")
-        for p, x in table:
-            s = s.replace(p, x)
+        there = set(s)  # symbols that are or were in the chunk: a merge of others cannot apply
+        for a, b, p, x in table:
+            if a in there and b in there and p in s:
+                s = s.replace(p, x)
+                there.add(x)
         cps = np.frombuffer(s.encode("utf-32-le"), dtype="<u4").astype(np.int64)
         cps[cps > 0xDFFF] -= SURROGATE_SHIFT
         return cps.astype(np.int32)

@@ -57,11 +57,9 @@ def byte_string(text: Column) -> Column:
 
 def ids_of(s: Column) -> Column:
     """ARRAY<INT> of token ids from a token string (``''`` -> empty array)."""
-    return F.when(s == F.lit(""), F.array().cast("array<int>")).otherwise(
-        F.transform(
-            F.split(s, ""),
-            lambda c: F.when(F.ascii(c) > F.lit(0xDFFF), F.ascii(c) - F.lit(SURROGATE_SHIFT)).otherwise(F.ascii(c)),
-        )
+    return F.transform(
+        F.filter(F.split(s, ""), lambda c: c != F.lit("")),  # split('', '') is ['']
+        lambda c: F.when(F.ascii(c) > F.lit(0xDFFF), F.ascii(c) - F.lit(SURROGATE_SHIFT)).otherwise(F.ascii(c)),
     )
 
 

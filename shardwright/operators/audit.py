@@ -10,11 +10,11 @@ from shardwright.operators.bpe import BPEModel, decode, encode
 
 def roundtrip_audit(docs: DataFrame, model: BPEModel, group: str, text: str = "text", method: str = "auto") -> DataFrame:
     """``decode(encode(t)) == t`` for every document, counted per group."""
-    ids = encode(F.col(text), model, method=method)
-    back = decode(ids, model)
-    return docs.groupBy(group).agg(
+    # the ids are a column of their own: decode refers to its input several times
+    coded = docs.select(F.col(group).alias("g"), F.col(text).alias("t"), encode(F.col(text), model, method=method).alias("ids"))
+    return coded.groupBy(F.col("g").alias(group)).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_docs"),
-        F.count_if(back != F.col(text)).cast("bigint").alias("n_mismatch"),
+        F.count_if(~decode(F.col("ids"), model).eqNullSafe(F.col("t"))).cast("bigint").alias("n_mismatch"),
     )
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import logging
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from shardwright.functions.codepoints import MAX_VOCAB, byte_string, cp_to_id, hexq, id_to_cp, ids_of, tok
 from shardwright.operators.specials import special_ids, split_special
-from shardwright.session import checkpoint_dir
+from shardwright.session import checkpoint_dir, drop_folder, store_at
 
 log = logging.getLogger(__name__)
 
@@ -117,8 +118,14 @@ def pair_counts(state: DataFrame) -> DataFrame:
     One regex pass with a lookahead capture yields every overlapping two-token
     string; they are summed by a partial + final aggregate and packed into keys only
     after the aggregation (at most one row per distinct pair).
+    A zero-width match steps over one UTF-16 unit, so strings with supplementary code points are cut
+    into symbols first.
     """
-    pairs = state.select(F.explode(F.regexp_extract_all("s", F.lit("(?s)(?=(..))"), F.lit(1))).alias("p"), "w")
+    cut = F.split("s", "")
+    zipped = F.transform(F.slice(cut, F.lit(1), F.size(cut) - 1), lambda c, i: F.concat(c, F.get(cut, i + 1)))
+    by_regex = F.regexp_extract_all("s", F.lit("(?s)(?=(..))"), F.lit(1))
+    pair = F.when(F.col("s").rlike("[\\x{10000}-\\x{10FFFF}]"), zipped).otherwise(by_regex)
+    pairs = state.select(F.explode(pair).alias("p"), "w")
     summed = pairs.groupBy("p").agg(F.sum("w").alias("n"))
     left = F.ascii(F.substring("p", 1, 1)).cast("bigint")
     right = F.ascii(F.substring("p", 2, 1)).cast("bigint")
@@ -284,7 +291,7 @@ def train_bpe(
     first = 256 + len(special_ids(specials))
     if vocab_size < first:
         raise ValueError(
-            f"vocab_size must be at least {first} (256 bytes + {len(specials)} special tokens), got {vocab_size}"
+            f"{vocab_size} ids cannot hold the bytes and {len(specials)} specials, which take {first}"
         )
     if vocab_size > MAX_VOCAB:
         raise ValueError(f"vocab_size {vocab_size} exceeds the supported maximum {MAX_VOCAB}")
@@ -333,6 +340,7 @@ def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts,
     merges: list[tuple[int, int]] = []
     merged_counts: list[int] = []
     passes = 0
+    kept = ""
     t1 = time.time()
     while len(merges) < num_merges:
         best = _pop_best(heap, counts)
@@ -381,14 +389,20 @@ def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts,
         if checkpoint_every and passes % checkpoint_every == 0:
             # cut lineage in the shared checkpoint folder (every `checkpoint_every`
             # passes): a lost executor recomputes a few passes, not the whole history
-            state = state.checkpoint(eager=True)
+            folder = f"{checkpoint_dir(spark)}/bpe-state-{uuid.uuid4().hex}"
+            state = store_at(state, folder)
             held.unpersist()
-            held = state
+            held = state.persist(StorageLevel.MEMORY_AND_DISK)
+            if kept:  # one state in the shared folder at a time
+                drop_folder(spark, kept)
+            kept = folder
     report.passes = passes
     report.rounds = len(merges)
     report.seconds_rounds = time.time() - t1
     report.distinct_pairs = len(counts)
     held.unpersist()
+    if kept:
+        drop_folder(spark, kept)
     return BPEModel(specials, tuple(merges), vocab_size, tuple(merged_counts))
 
 
@@ -465,8 +479,11 @@ def encode_documents(
     allow_specials: bool = True,
     method: str = "auto",
 ) -> DataFrame:
-    """T8 over a DataFrame.  ``method="arrow"`` runs the merge fold in Arrow batches
-    (``mapInPandas``, merge list shipped once per task); otherwise JVM expressions."""
+    """T8 over a DataFrame.  ``method="arrow"`` applies the merges in Arrow batches
+    (``mapInPandas``, merge list shipped once per task), and so does ``"auto"`` beyond
+    ``FOLD_LIMIT`` merges, where JVM expressions of that many calls are several times slower."""
+    if method == "auto" and len(model.merges) > FOLD_LIMIT:
+        method = "arrow"
     if method != "arrow":
         return docs.withColumn(out_col, encode(F.col(text_col), model, allow_specials, method))
     from shardwright.functions.arrow_encode import encode_partitions
@@ -492,5 +509,5 @@ def decode(ids: Column, model: BPEModel) -> Column:
     valid = F.make_valid_utf8(F.unhex(joined).cast("string"))
     bad = F.filter(ids, lambda i: (i < F.lit(0)) | (i >= F.lit(n)))
     return F.when(
-        unknown, F.raise_error(F.concat(F.lit("Unknown token id: "), F.element_at(bad, 1).cast("string")))
+        unknown, F.raise_error(F.concat(F.lit("no bytes for token id "), F.element_at(bad, 1).cast("string")))
     ).otherwise(F.coalesce(valid, F.lit("")))

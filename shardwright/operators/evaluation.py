@@ -7,7 +7,7 @@ The reference scores examples with a neural model (not built here); the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,33 +28,20 @@ def bigram_xent(examples: DataFrame, vocab_size: int, alpha: float = 1.0, train_
     """Per split, token-weighted mean of -ln p(y | x) and its perplexity."""
     if alpha <= 0:
         raise ValueError("alpha must be positive")
+    sums = bigram_nll(examples, vocab_size, alpha, train_split)
+    mean = F.col("nll_sum") / F.col("n_tokens")
+    return sums.select("split", "n_tokens", mean.alias("nll"), F.exp(mean).alias("ppl"))
+
+
+def bigram_nll(examples: DataFrame, vocab_size: int, alpha: float = 1.0, train_split: str = "train") -> DataFrame:
+    """Per split: ``n_tokens`` and ``nll_sum``.  The tokens are read once: the pair table holds at most
+    splits * vocab^2 rows, and the train counts of a pair and of its first token are sums over it."""
     pairs = bigram_table(examples, "split")
-    train = pairs.where(F.col("split") == F.lit(train_split))
-    c_xy = train.select("x", "y", F.col("n").alias("c_xy"))
-    c_x = train.groupBy("x").agg(F.sum("n").alias("c_x"))
-    scored = (
-        pairs.join(c_xy, ["x", "y"], "left")
-        .join(c_x, ["x"], "left")
-        .select(
-            "split",
-            "n",
-            (
-                -F.log(
-                    (F.coalesce(F.col("c_xy"), F.lit(0)) + F.lit(float(alpha)))
-                    / (F.coalesce(F.col("c_x"), F.lit(0)) + F.lit(float(alpha) * int(vocab_size)))
-                )
-            ).alias("nll_one"),
-        )
-    )
-    per_split = scored.groupBy("split").agg(
-        F.sum("n").cast("bigint").alias("n_tokens"), F.sum(F.col("n") * F.col("nll_one")).alias("nll_sum")
-    )
-    return per_split.select(
-        "split",
-        "n_tokens",
-        (F.col("nll_sum") / F.col("n_tokens")).alias("nll"),
-        F.exp(F.col("nll_sum") / F.col("n_tokens")).alias("ppl"),
-    )
+    train = F.when(F.col("split") == F.lit(train_split), F.col("n")).otherwise(F.lit(0))
+    c_xy, c_x = (F.sum(train).over(Window.partitionBy(*by)) for by in (("x", "y"), ("x",)))
+    nll = -F.log((c_xy + F.lit(float(alpha))) / (c_x + F.lit(float(alpha) * int(vocab_size))))
+    scored = pairs.select("split", "n", nll.alias("nll"))
+    return scored.groupBy("split").agg(F.sum("n").cast("bigint").alias("n_tokens"), F.sum(F.col("n") * F.col("nll")).alias("nll_sum"))
 
 
 def perplexity(scores: DataFrame, group: str, nll_col: str = "nll_sum", n_col: str = "n_tokens") -> DataFrame:

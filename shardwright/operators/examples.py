@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _check_context(context_length: int) -> None:
     if context_length < 1:
-        raise ValueError(f"context_length must be positive, got {context_length}")
+        raise ValueError(f"a context holds at least one token, not {context_length}")
 
 
 def num_examples(tokens_col: str, context_length: int):
@@ -31,10 +31,9 @@ def cut_examples(shards: DataFrame, context_length: int, on_small: str = "error"
     src = shards
     if on_small == "error":
         msg = F.format_string(
-            "Shard %s has %d tokens; need at least %d for one example of context_length=%d",
+            "%s: %d tokens are too few for an example of %d and its successor",
             F.col("filename"),
             F.size("tokens"),
-            F.lit(T + 1),
             F.lit(T),
         )
         k = F.when(k < 1, F.raise_error(msg).cast("int")).otherwise(k)
@@ -61,7 +60,7 @@ def example_at(shards: DataFrame, split: str, shard_idx: int, index: int, contex
     k = num_examples("tokens", T)
     i = F.lit(int(index))
     real = F.when(i < 0, i + k).otherwise(i)
-    msg = F.format_string("Index %d out of range for %d examples", i, k)
+    msg = F.format_string("no example %d among %d", i, k)
     checked = F.when((real < 0) | (real >= k), F.raise_error(msg).cast("int")).otherwise(real)
     sel = one.select("split", "shard_idx", "tokens", checked.alias("example_idx"))
     start = F.col("example_idx") * F.lit(T)
@@ -78,7 +77,7 @@ def first_train_shard(shards: DataFrame) -> DataFrame:
     """Shard 0 of split ``train``; absent -> error (checked eagerly, one row)."""
     first = shards.where((F.col("split") == F.lit("train")) & (F.col("shard_idx") == F.lit(0)))
     if first.isEmpty():
-        raise ValueError("No train shards found")
+        raise ValueError("the shards have no first one of the split train")
     return first
 
 
@@ -90,7 +89,7 @@ def batches(examples: DataFrame, batch_size: int, first_only: bool = True) -> Da
     dropped).  A group holds at most B examples.  Fewer than B examples -> error.
     """
     if batch_size < 1:
-        raise ValueError(f"batch_size must be positive, got {batch_size}")
+        raise ValueError(f"a batch holds at least one example, not {batch_size}")
     B = int(batch_size)
     ex = examples.where(F.col("example_idx") < F.lit(B)) if first_only else examples
     grouped = ex.groupBy("split", "shard_idx", F.floor(F.col("example_idx") / F.lit(B)).cast("int").alias("batch_id")).agg(
@@ -98,7 +97,7 @@ def batches(examples: DataFrame, batch_size: int, first_only: bool = True) -> Da
     )
     xs = F.transform("rows", lambda r: r["x"])
     if first_only:
-        msg = F.format_string("Need at least %d examples to fill a batch; shard only has %d", F.lit(B), F.size("rows"))
+        msg = F.format_string("a batch of %d is more than the %d examples of the shard", F.lit(B), F.size("rows"))
         xs = F.when(F.size("rows") < F.lit(B), F.raise_error(msg)).otherwise(xs)
     else:
         grouped = grouped.where(F.size("rows") == F.lit(B))
@@ -118,6 +117,7 @@ def token_id_audit(df: DataFrame, cols: list[str], vocab_size: int, group: str |
     partial + final aggregate.
     """
     V = int(vocab_size)
+    _require_integers(df, cols)
     ids = F.concat(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
     lo, hi = F.array_min(ids), F.array_max(ids)
     aggs = [
@@ -128,6 +128,30 @@ def token_id_audit(df: DataFrame, cols: list[str], vocab_size: int, group: str |
     return df.groupBy(group).agg(*aggs) if group else df.agg(*aggs)
 
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _require_integers(df: DataFrame, cols: list[str]) -> None:
+    types = dict(df.dtypes)
+    for c in cols:
+        if types[c] not in [f"array<{t}>" for t in INTEGERS]:
+            raise TypeError(f"token ids must have an integer dtype, column {c} is {types[c]}")
+
+
+def example_audit(df: DataFrame, cols: list[str], vocab_size: int, context_length: int, group: str) -> DataFrame:
+    """X6 and X7 of the same rows in one scan and one aggregate."""
+    _require_integers(df, cols)
+    _check_context(context_length)
+    ids = F.concat(*[F.col(c) for c in cols])
+    lo, hi = F.array_min(ids), F.array_max(ids)
+    return df.groupBy(group).agg(
+        F.min(lo).alias("min_id"),
+        F.max(hi).alias("max_id"),
+        F.count_if((lo < F.lit(0)) | (hi >= F.lit(int(vocab_size)))).cast("bigint").alias("n_bad"),
+        F.count_if(F.size(cols[0]) > F.lit(int(context_length))).cast("bigint").alias("n_too_long"),
+    )
+
+
 def context_audit(df: DataFrame, col: str, context_length: int, group: str | None = None) -> DataFrame:
     """Sequences longer than the allowed context."""
     _check_context(context_length)
@@ -143,14 +167,14 @@ def strict(audit: DataFrame, vocab_size: int | None = None) -> DataFrame:
     checks = []
     if "n_bad" in audit.columns:
         msg = F.format_string(
-            "token_ids must be in [0, %d), got min=%d, max=%d",
+            "ids outside [0, %d): they run from %d to %d",
             F.lit(int(vocab_size or 0)),
             F.col("min_id"),
             F.col("max_id"),
         )
         checks.append((F.col("n_bad") > 0, msg))
     if "n_too_long" in audit.columns:
-        checks.append((F.col("n_too_long") > 0, F.lit("Sequence length exceeds context_length")))
+        checks.append((F.col("n_too_long") > 0, F.lit("a sequence exceeds the context")))
     target = audit.columns[-1]
     guarded = F.col(target)
     for cond, msg in checks:

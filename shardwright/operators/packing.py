@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.session import materialize
+from shardwright.session import store
 
 UINT16_MAX_VOCAB = 1 << 16
-OFFSET_FANOUT = 4096  # documents per bucket in the prefix sums
+ROWS_PER_SLICE = 50_000  # documents per slice of the prefix sums
 
 
 def add_boundaries(ids: Column, bos_id: int | None = None, eos_id: int | None = None) -> Column:
@@ -24,46 +24,45 @@ def add_boundaries(ids: Column, bos_id: int | None = None, eos_id: int | None =
     return F.concat(*parts) if len(parts) > 1 else ids
 
 
+def range_slices(sized: DataFrame, order_col: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """``sized`` with ``_slice``: numbers of ranges of ``order_col`` in ascending order, about
+    ``rows_per_slice`` rows each, whatever the type and density of the keys.  Written once
+    in the shared checkpoint folder: the ranges are drawn once and later reads are pruned."""
+    sized = store(sized, "sizes")
+    n = max(1, -(-sized.count() // rows_per_slice))
+    ranged = sized.repartitionByRange(n, order_col) if n > 1 else sized.coalesce(1)
+    return store(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+
+
 def prefix_offsets(
     df: DataFrame,
     part_cols: Sequence[str],
     order_col: str,
     size_col: str,
     out_col: str = "start",
-    fanout: int = OFFSET_FANOUT,
-    depth: int = 2,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """K3: exclusive running sum of ``size_col`` within ``part_cols`` ordered by
-    ``order_col`` (a non-negative integer key, unique within the partition).
-
-    Never one window over all rows: documents are bucketed ``order div fanout``;
-    bucket totals get offsets recursively (``depth`` levels, 4096^3 ~ 6.9e10 rows
-    before the top window holds more than 4096 rows per split); each document then
-    adds a running sum inside its bucket.  Every window partition holds at most
-    ``fanout`` rows.  The bucket-offset table is joined on (part, bucket): AQE
-    broadcasts it when its measured size is small, otherwise the join shares the
-    window's hash partitioning.
+    ``order_col`` (any orderable key, unique within the partition).
+
+    Never one window over all rows: rows are range-ordered by key into slices; the slices'
+    totals get offsets in a window of one row per slice, and each row adds a running
+    sum inside its slice.  ``df`` should hold nothing but keys and sizes.
     """
     part_cols = list(part_cols)
-    if depth <= 0:
-        w = Window.partitionBy(*part_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out_col, F.coalesce(F.sum(size_col).over(w), F.lit(0)).cast("bigint"))
-    bucket = f"_b{depth}"
-    boff = f"_bo{depth}"
-    with_b = df.withColumn(bucket, F.floor(F.col(order_col) / F.lit(fanout)).cast("bigint"))
-    sums = with_b.groupBy(*part_cols, bucket).agg(F.sum(size_col).cast("bigint").alias("_t"))
-    sums_off = prefix_offsets(sums, part_cols, bucket, "_t", boff, fanout, depth - 1).drop("_t")
-    joined = with_b.join(sums_off, [*part_cols, bucket], "inner")
-    w = Window.partitionBy(*part_cols, bucket).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn(
-        out_col, (F.col(boff) + F.coalesce(F.sum(size_col).over(w), F.lit(0))).cast("bigint")
-    ).drop(bucket, boff)
+    rows = range_slices(df, order_col, rows_per_slice)
+    before = lambda cols, by: Window.partitionBy(*cols).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*part_cols, "_slice").agg(F.sum(size_col).cast("bigint").alias("_t"))
+    offsets = sums.withColumn("_o", F.coalesce(F.sum("_t").over(before(part_cols, "_slice")), F.lit(0))).drop("_t")
+    joined = rows.join(offsets, [*part_cols, "_slice"])
+    inside = F.coalesce(F.sum(size_col).over(before([*part_cols, "_slice"], order_col)), F.lit(0))
+    return joined.withColumn(out_col, (F.col("_o") + inside).cast("bigint")).drop("_slice", "_o")
 
 
 def token_offsets(docs: DataFrame, key: str = "doc_key", split: str = "split", ids: str = "ids") -> DataFrame:
-    """K3: ``start`` of each document in its split's concatenated stream, plus ``n``."""
-    with_n = docs.withColumn("n", F.size(ids).cast("bigint"))
-    return prefix_offsets(with_n, [split], key, "n", "start")
+    """K3: ``(key, split, n, start)``: tokens of each document and its place in its split's stream."""
+    sized = docs.select(key, split, F.size(ids).cast("bigint").alias("n"))
+    return prefix_offsets(sized, [split], key, "n", "start")
 
 
 def shard_name(split: Column, shard_idx: Column) -> Column:
@@ -80,7 +79,7 @@ def cut_shards(placed: DataFrame, shard_size: int, split: str = "split", ids: st
     has no shard.  A group never exceeds ``shard_size`` tokens.
     """
     if shard_size < 1:
-        raise ValueError(f"shard_size must be positive, got {shard_size}")
+        raise ValueError(f"a shard holds at least one token, not {shard_size}")
     S = F.lit(int(shard_size)).cast("bigint")
     n = F.size(ids).cast("bigint")
     start = F.col("start")
@@ -115,7 +114,7 @@ def cut_shards(placed: DataFrame, shard_size: int, split: str = "split", ids: st
 def dtype_for_vocab(vocab_size: int) -> str:
     """K5: ``uint16`` when every id < 65536 fits, else ``uint32``."""
     if vocab_size < 1:
-        raise ValueError(f"vocab_size must be positive, got {vocab_size}")
+        raise ValueError(f"a vocabulary has at least one id, not {vocab_size}")
     return "uint16" if vocab_size <= UINT16_MAX_VOCAB else "uint32"
 
 
@@ -146,15 +145,14 @@ def pack_documents(
     ids: str = "ids",
     bos_id: int | None = None,
     eos_id: int | None = None,
-    materialize_as: str | None = "checkpoint",
 ) -> DataFrame:
     """K1 + K3 + K4: tokenized, split-assigned documents -> shards.
 
-    The prefix sums read the token counts at several levels; the tokenized table is
-    materialised once (``materialize_as``) so encoding is not recomputed per level.
-    Pass ``None`` when ``docs`` is already a stored table.
+    The tokens are written once; the offsets read only the keys and sizes of that table, and
+    the tokens move once, to be joined with their offsets by key.
     """
     marked = docs.select(key, split, add_boundaries(F.col(ids), bos_id, eos_id).alias("ids"))
-    marked = materialize(marked, materialize_as)
-    placed = token_offsets(marked, key, split, "ids")
+    marked = store(marked.withColumn("n", F.size("ids").cast("bigint")), "tokens")
+    starts = prefix_offsets(marked.select(key, split, "n"), [split], key, "n", "start")
+    placed = marked.drop("n").join(starts.select(key, split, "start"), [key, split])
     return cut_shards(placed, shard_size, split, "ids")

@@ -22,9 +22,9 @@ def special_ids(specials: Sequence[str]) -> dict[str, int]:
     """Reserved ids in declaration order; names must be unique and non-empty."""
     specials = list(specials)
     if len(set(specials)) != len(specials):
-        raise ValueError("Special tokens must be unique")
+        raise ValueError("a special token is declared twice")
     if any(s == "" for s in specials):
-        raise ValueError("Special tokens must be non-empty strings")
+        raise ValueError("an empty special token would match everywhere")
     return {s: 256 + i for i, s in enumerate(specials)}
 
 
@@ -32,7 +32,7 @@ def special_id(specials: Sequence[str], name: str) -> int:
     """Id of one special token by name (boundary markers); unknown name -> error."""
     ids = special_ids(specials)
     if name not in ids:
-        raise ValueError(f"Special token {name!r} is not in the tokenizer (known: {sorted(ids)})")
+        raise ValueError(f"no special token {name!r} among {sorted(ids)}")
     return ids[name]
 
 
@@ -78,7 +78,7 @@ def special_id_of(name: Column, specials: Sequence[str]) -> Column:
     """Column lookup of a special name -> id; unknown names raise at run time."""
     ids = special_ids(specials)
     if not ids:
-        return F.raise_error(F.concat(F.lit("Unknown special token: "), name)).cast("int")
+        return F.raise_error(F.concat(F.lit("no such special token: "), name)).cast("int")
     m = F.create_map(*[x for k, v in ids.items() for x in (F.lit(k), F.lit(v))])
     looked = F.try_element_at(m, name)
-    return F.when(looked.isNull(), F.raise_error(F.concat(F.lit("Unknown special token: "), name))).otherwise(looked)
+    return F.when(looked.isNull(), F.raise_error(F.concat(F.lit("no such special token: "), name))).otherwise(looked)

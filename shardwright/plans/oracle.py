@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from shardwright.plans.queries import (
     ALPHA,
+    AUDIT_CONTEXT,
+    AUDIT_VOCAB,
     BATCH,
     BYTE_VOCAB,
     CONTEXT,
     EOS_ID,
     SEED,
     SHARD_SIZE,
+    SPACE_ID,
     SPECIALS,
     TRAIN_MERGES,
     VAL_FRACTION,
@@ -173,6 +176,15 @@ SQL: dict[str, str] = {
         "WHERE line <> '' GROUP BY line)\n"
         "SELECT CAST(v // 1048576 AS BIGINT) AS doc_id, CAST(v % 1048576 AS INTEGER) AS line_no, digest, n_copies FROM f"
     ),
+    "dedup_lines_docs": (
+        "WITH l AS (SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM "
+        "(SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),\n"
+        "r AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS k FROM l),\n"
+        "t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE k = 1 OR line = ''), '') AS s "
+        "FROM r GROUP BY doc_id)\n"
+        "SELECT doc_id, CAST(octet_length(encode(s)) AS BIGINT) AS n_bytes, md5(s) AS digest FROM t"
+    ),
+    "file_corpus": "SELECT doc_id, 'from ' || source AS folder, md5(text) AS digest, true AS has_split FROM documents WHERE text IS NOT NULL",
     "split_assign": (
         f"SELECT {SPLIT_EXPR} AS split, count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes "
         "FROM documents GROUP BY 1"
@@ -215,6 +227,20 @@ SQL: dict[str, str] = {
         f"WITH {TOKENS_CTE}\n"
         f"SELECT split, shard_idx, example_idx, {ids_digest('x')} AS x_digest, {ids_digest('y')} AS y_digest FROM exy"
     ),
+    "example_at": (
+        f"WITH {TOKENS_CTE}\n"
+        f"SELECT split, shard_idx, example_idx, {ids_digest('x')} AS x_digest, {ids_digest('y')} AS y_digest FROM exy "
+        "WHERE split = 'train' AND shard_idx = 0 ORDER BY example_idx DESC LIMIT 1"
+    ),
+    "shard_files": (
+        f"WITH {TOKENS_CTE}\n"
+        "SELECT split, shard_idx, printf('%s_%05d.bin', split, shard_idx) AS filename, "
+        f"CAST(len(tokens) AS BIGINT) AS num_tokens, {ids_digest('tokens')} AS digest FROM sh"
+    ),
+    "perplexity": (
+        f"WITH {TOKENS_CTE},\n{BIGRAM_CTE}\n"
+        "SELECT 'all' AS corpus, CAST(sum(n) AS BIGINT) AS n_tokens, round(exp(sum(n * nll1) / sum(n)), 6) AS ppl FROM sc"
+    ),
     "first_batch": (
         f"WITH {TOKENS_CTE}\n"
         f"SELECT split, shard_idx, CAST(0 AS INTEGER) AS batch_id, CAST(count(*) AS INTEGER) AS n_rows, "
@@ -225,8 +251,9 @@ SQL: dict[str, str] = {
     "token_id_audit": (
         f"WITH {TOKENS_CTE}\n"
         "SELECT split, CAST(min(list_min(x || y)) AS INTEGER) AS min_id, CAST(max(list_max(x || y)) AS INTEGER) AS max_id, "
-        f"CAST(count(*) FILTER (WHERE list_min(x || y) < 0 OR list_max(x || y) >= {BYTE_VOCAB}) AS BIGINT) AS n_bad, "
-        f"CAST(count(*) FILTER (WHERE len(x) > {CONTEXT}) AS BIGINT) AS n_too_long FROM exy GROUP BY split"
+        f"CAST(count(*) FILTER (WHERE list_min(x || y) < 0 OR list_max(x || y) >= {AUDIT_VOCAB}) AS BIGINT) AS n_bad, "
+        f"CAST(count(*) FILTER (WHERE len(x) > {AUDIT_CONTEXT}) AS BIGINT) AS n_too_long FROM "
+        f"(SELECT split, list_filter(x, lambda i: i <> {SPACE_ID}) AS x, y FROM exy) GROUP BY split"
     ),
     "bigram_table": (
         f"WITH {TOKENS_CTE}\n"

@@ -7,6 +7,7 @@ matching DuckDB SQL (``plans.oracle``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from shardwright.functions.codepoints import digest
 from shardwright.operators import audit, bpe, evaluation, examples, packing, prep
 from shardwright.operators.specials import split_special
-from shardwright.session import materialize
-from shardwright.sources.corpus import balance, read_parquet_text
+from shardwright.session import checkpoint_dir, store
+from shardwright.sources import shards as shard_files
+from shardwright.sources.corpus import balance, hadoop_path, read_parquet_text
 
 # fixed query parameters (restated in plans/oracle.py)
 SEED = 1337
@@ -29,6 +31,9 @@ SHARD_SIZE = 65536
 CONTEXT = 128
 BATCH = 4
 ALPHA = 1.0
+AUDIT_VOCAB = 200  # below the ids of the specials: some rows break it
+AUDIT_CONTEXT = 110
+SPACE_ID = 32
 BYTE_MODEL = bpe.BPEModel(SPECIALS)  # 256 bytes + 2 specials, no merges
 BYTE_VOCAB = BYTE_MODEL.vocab_size
 
@@ -41,42 +46,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
 
 
-_MODELS: dict[tuple[str, int], bpe.BPEModel] = {}
+_MODELS: dict[tuple, bpe.BPEModel] = {}
 
 
 def trained_model(spark: SparkSession, sf_dir: str, merges: int = TRAIN_MERGES) -> bpe.BPEModel:
     """The small BPE model learned from the whole ``documents`` table (memoised: the
     model is vocabulary-sized metadata, deterministic for a given table)."""
-    key = (sf_dir, merges)
+    key = (*state_of(spark, sf_dir), merges)
     if key not in _MODELS:
+        _MODELS.clear()
         docs = documents(spark, sf_dir)
         _MODELS[key] = bpe.train_bpe(docs, 256 + len(SPECIALS) + merges, SPECIALS)
     return _MODELS[key]
 
 
-def byte_tokens(spark: SparkSession, sf_dir: str, materialize_as: str | None = None) -> DataFrame:
+def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded with the byte-level tokenizer, split assigned."""
     docs = prep.assign_split(documents(spark, sf_dir), VAL_FRACTION, SEED, key="doc_id")
-    enc = docs.select("doc_id", "split", bpe.encode(F.col("text"), BYTE_MODEL).alias("ids"))
-    return materialize(enc, materialize_as)
+    return docs.select("doc_id", "split", bpe.encode(F.col("text"), BYTE_MODEL).alias("ids"))
 
 
-_SHARDS: dict[tuple[str, int, str], DataFrame] = {}
+_SHARDS: dict[tuple, DataFrame] = {}
+
+
+def state_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """The corpus as it is now: application, path, size and time of change."""
+    fs, path = hadoop_path(spark, f"{sf_dir}/documents.parquet")
+    s = fs.getContentSummary(path)
+    return spark.sparkContext.applicationId, sf_dir, s.getLength(), fs.getFileStatus(path).getModificationTime()
 
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed shard table, built once per session and corpus and kept as a
-    reliable checkpoint: later stages read it the way the reference's training
-    reads the written shard files, instead of re-tokenizing the corpus."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    """The packed shard table, built once per application and state of the corpus (the last one
+    is kept): later stages read it the way training reads written shard files, instead
+    of re-tokenizing the corpus."""
+    key = state_of(spark, sf_dir)
     if key not in _SHARDS:
         packed = packing.pack_documents(byte_tokens(spark, sf_dir), SHARD_SIZE, key="doc_id", eos_id=EOS_ID)
-        _SHARDS[key] = materialize(packed, "checkpoint")
+        _SHARDS.clear()
+        _SHARDS[key] = store(packed, "shards")
     return _SHARDS[key]
 
 
 def example_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return examples.cut_examples(shards(spark, sf_dir), CONTEXT, on_small="drop")
+    return examples.cut_examples(shards(spark, sf_dir), CONTEXT, on_small="error")
 
 
 # ------------------------------------------------------------------ queries
@@ -100,18 +113,23 @@ def q_dedup_exact(spark, sf_dir):
 
 def q_dedup_lines(spark, sf_dir):
     lines = prep.line_table(documents(spark, sf_dir), key="doc_id")
-    firsts = (
-        lines.where(F.col("line") != F.lit(""))
-        .groupBy(prep.text_digest(F.col("line")).alias("_d"))
-        .agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"),
-            F.min(F.md5("line")).alias("digest"),
-            F.count(F.lit(1)).alias("n_copies"),
-        )
-    )
-    return firsts.select(
-        F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "digest", "n_copies"
-    )
+    return prep.first_lines(lines, key="doc_id").select("doc_id", "line_no", "digest", "n_copies")
+
+
+def q_dedup_lines_docs(spark, sf_dir):
+    docs = prep.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), key="doc_id")
+    return docs.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5("text").alias("digest"))
+
+
+def q_file_corpus(spark, sf_dir):
+    """The corpus as a tree of files: written by source, read back in corpus order."""
+    root = f"{checkpoint_dir(spark)}/file-corpus-{uuid.uuid4().hex}"
+    out = documents(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("from "), "source").alias("src"))
+    out.repartition("src").write.partitionBy("src").parquet(root)
+    docs = prep.assign_split(read_parquet_text(spark, root, extra_cols=["doc_id"]), VAL_FRACTION, SEED)
+    folder = F.substring_index(F.split_part("doc_key", F.lit("\x00"), F.lit(1)), "=", -1)
+    named = docs.select("doc_id", F.url_decode(folder).alias("folder"), "text", F.col("split").isin("train", "val").alias("has_split"))
+    return named.select("doc_id", "folder", F.md5("text").alias("digest"), "has_split")
 
 
 def q_split_assign(spark, sf_dir):
@@ -162,7 +180,7 @@ def q_compression(spark, sf_dir):
 
 
 def q_token_offsets(spark, sf_dir):
-    marked = byte_tokens(spark, sf_dir, "checkpoint").select(
+    marked = byte_tokens(spark, sf_dir).select(
         "doc_id", "split", packing.add_boundaries(F.col("ids"), None, EOS_ID).alias("ids")
     )
     return packing.token_offsets(marked, key="doc_id").select("split", "doc_id", "start", "n")
@@ -196,10 +214,34 @@ def q_first_batch(spark, sf_dir):
 
 
 def q_token_id_audit(spark, sf_dir):
-    ex = example_rows(spark, sf_dir)
-    ids = examples.token_id_audit(ex, ["x", "y"], BYTE_VOCAB, group="split")
-    ctx = examples.context_audit(ex, "x", CONTEXT, group="split")
-    return ids.join(ctx, "split")
+    # bounds that the data do break: ids from AUDIT_VOCAB on, and shards' last examples padded by none
+    short = example_rows(spark, sf_dir).withColumn("x", F.expr(f"filter(x, i -> i <> {SPACE_ID})"))
+    return examples.example_audit(short, ["x", "y"], AUDIT_VOCAB, AUDIT_CONTEXT, "split")
+
+
+def q_example_at(spark, sf_dir):
+    """X3 by a negative index: the last example of the first train shard."""
+    one = examples.example_at(shards(spark, sf_dir), "train", 0, -1, CONTEXT)
+    return one.select("split", "shard_idx", "example_idx", digest(F.col("x")).alias("x_digest"), digest(F.col("y")).alias("y_digest"))
+
+
+def q_shard_files(spark, sf_dir):
+    """Shards written as binary files with a manifest, read back by the manifest's width."""
+    out = f"{checkpoint_dir(spark)}/shard-files-{uuid.uuid4().hex}"
+    packed = shards(spark, sf_dir)
+    info = shard_files.write_shards(packed, out, packing.dtype_for_vocab(BYTE_VOCAB))
+    info.write.format("noop").mode("overwrite").save()
+    shard_files.write_manifest(packing.manifest(packed, BYTE_VOCAB, SHARD_SIZE), out)
+    named = shard_files.manifest_shards(spark, out).select("split", "shard_idx", "filename")
+    read = shard_files.read_shards(spark, out, shard_files.load_manifest(out)["dtype"])
+    both = named.join(read, ["split", "shard_idx", "filename"])
+    return both.select("split", "shard_idx", "filename", F.size("tokens").cast("bigint").alias("num_tokens"), digest(F.col("tokens")).alias("digest"))
+
+
+def q_perplexity(spark, sf_dir):
+    """E3 over all splits together."""
+    sums = evaluation.bigram_nll(example_rows(spark, sf_dir), BYTE_VOCAB, ALPHA).withColumn("corpus", F.lit("all"))
+    return evaluation.perplexity(sums, "corpus").select("corpus", "n_tokens", F.round("ppl", 6).alias("ppl"))
 
 
 def q_bigram_table(spark, sf_dir):
@@ -216,6 +258,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_v0": q_normalize_v0,
     "dedup_exact": q_dedup_exact,
     "dedup_lines": q_dedup_lines,
+    "dedup_lines_docs": q_dedup_lines_docs,
+    "file_corpus": q_file_corpus,
     "split_assign": q_split_assign,
     "special_split": q_special_split,
     "pair_counts": q_pair_counts,
@@ -227,9 +271,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_offsets": q_token_offsets,
     "pack_shards": q_pack_shards,
     "manifest": q_manifest,
+    "shard_files": q_shard_files,
     "examples": q_examples,
+    "example_at": q_example_at,
     "first_batch": q_first_batch,
     "token_id_audit": q_token_id_audit,
     "bigram_table": q_bigram_table,
     "bigram_xent": q_bigram_xent,
+    "perplexity": q_perplexity,
 }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -72,3 +73,20 @@ def materialize(df, how: str | None = "checkpoint"):
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     raise ValueError(f"unknown materialisation {how!r}")
+
+
+def store(df, label: str):
+    """Write ``df`` as Parquet in a new folder below the shared checkpoint folder and read it back:
+    later branches read only the columns they need, and a lost executor costs a reread."""
+    return store_at(df, f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+
+
+def store_at(df, out: str):
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``store_at`` made."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,210 +1,177 @@
-"""Tokenizer contract (T1-T12, S6), restated as DataFrame tests."""
+"""Byte-level BPE: literal values, and a DuckDB chain of full recounts as the independent rule."""
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import rules
 from shardwright.functions.codepoints import cp_to_id, id_to_cp, ids_of, tok
-from shardwright.operators import bpe
-from shardwright.operators.specials import special_id, special_ids, split_special
+from shardwright.operators import audit, bpe
+from shardwright.operators.specials import special_id, special_id_of, special_ids, split_special
+from shardwright.plans import oracle
+from shardwright.plans.queries import SPECIALS
 from shardwright.sources.artifacts import load_tokenizer, save_tokenizer
 
-CORPUS = ["the quick brown fox", "the quick brown fox jumps", "the lazy dog sleeps", "the the the the"]
-SPECIALS = ["<|bos|>", "<|eos|>"]
+RIVER = ["river banks and rivers", "the bank by the river", "banking on the bank", "riverrun riverrun"]
+ODD = ["crème brûlée", "Жук над рекой", "🦊🦊 fox", "漢字かな", "\ttab\r\nline  ", ""]
 
 
-def frame(spark, texts):
-    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_key int, text string")
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def enc(spark, model, texts, method="auto"):
-    rows = frame(spark, texts).select("doc_key", bpe.encode(F.col("text"), model, method=method).alias("ids")).collect()
-    return [list(r["ids"]) for r in sorted(rows, key=lambda r: r["doc_key"])]
+def recount(texts, n):
+    """(merges with counts, token strings) by DuckDB, from full recounts."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    rows = con.execute(f"WITH {oracle.merge_chain(n)} SELECT rank, left_id, right_id, n FROM ({oracle.merges_union(n)}) WHERE left_id IS NOT NULL ORDER BY rank").fetchall()
+    m = len(rows)
+    coded = con.execute(f"WITH {oracle.merge_chain(m)} SELECT {oracle.encode_fold(oracle.byte_str('text'), m)} FROM documents ORDER BY doc_id").fetchall()
+    return rows, [[ord(c) for c in s or ""] for (s,) in coded]
 
 
-def dec(spark, model, id_lists):
-    df = spark.createDataFrame([(i, ids) for i, ids in enumerate(id_lists)], "k int, ids array<int>")
-    rows = df.select("k", bpe.decode(F.col("ids"), model).alias("t")).collect()
-    return [r["t"] for r in sorted(rows, key=lambda r: r["k"])]
+def encoded(df, model, method="auto"):
+    rows = bpe.encode_documents(df, model, method=method).select("doc_id", "ids").collect()
+    return [list(r["ids"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-@pytest.fixture(scope="module")
-def model320(spark):
-    return bpe.train_bpe(frame(spark, CORPUS), 320)
+def decoded(spark, model, lists):
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, ids array<int>")
+    return [r["t"] for r in df.select("k", bpe.decode(F.col("ids"), model).alias("t")).orderBy("k").collect()]
 
 
-def test_roundtrip_without_training(spark):
-    m = bpe.BPEModel()
-    texts = ["hello world", "", "  spaces  ", "tabs\tand\nnewlines"]
-    assert dec(spark, m, enc(spark, m, texts)) == texts
+def soup(seed, n=20):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("xy zé🦊\n", k=rng.randint(0, 35))) for _ in range(n)]
 
 
-def test_roundtrip_unicode_and_after_training(spark, model320):
-    texts = ["café", "naïve résumé", "emoji: 🚀🔥", "日本語のテキスト", *CORPUS, "an unseen sentence about foxes and dogs"]
+@pytest.mark.parametrize("texts", [RIVER, ["xxx", "xxxxx", "yxxy", "xxxx"], soup(11), soup(12)], ids=["river", "overlaps", "soup", "soup2"])
+def test_training_and_encoding_match_the_recount_chain(spark, texts):
+    rows, coded = recount(texts, 14)
+    model = bpe.train_bpe(docs(spark, texts), 258 + 14, SPECIALS, checkpoint_every=3)
+    assert [(r, a, b, n) for r, ((a, b), n) in enumerate(zip(model.merges, model.pair_counts))] == [tuple(map(int, x)) for x in rows]
     for method in ("fold", "aggregate", "arrow"):
-        if method == "arrow":
-            df = bpe.encode_documents(frame(spark, texts), model320, method="arrow")
-            ids = [list(r["ids"]) for r in sorted(df.collect(), key=lambda r: r["doc_key"])]
-        else:
-            ids = enc(spark, model320, texts, method)
-        assert dec(spark, model320, ids) == texts
-        assert ids == [rules.encode(t, list(model320.merges)) for t in texts]
+        assert encoded(docs(spark, texts), model, method) == coded
+    assert decoded(spark, model, coded) == texts
 
 
-def test_base_vocab_is_bytes(spark):
-    m = bpe.BPEModel()
-    got = dec(spark, m, [[b] for b in range(256)])
-    assert got == [bytes([b]).decode("utf-8", errors="replace") for b in range(256)]
+def test_order_and_speculation_change_nothing(spark):
+    one, two, three = bpe.TrainReport(), bpe.TrainReport(), bpe.TrainReport()
+    a = bpe.train_bpe(docs(spark, RIVER), 300, SPECIALS, report=one)
+    b = bpe.train_bpe(docs(spark, RIVER[::-1]), 300, SPECIALS, report=two)
+    c = bpe.train_bpe(docs(spark, RIVER), 300, SPECIALS, report=three, speculate=False)
+    assert a.merges == b.merges == c.merges and a.pair_counts == c.pair_counts
+    assert one.passes < three.passes == len(c.merges)
 
 
-def test_training_reduces_token_count(spark, model320):
-    assert len(enc(spark, model320, ["the quick brown fox"])[0]) < len(b"the quick brown fox")
+def test_sf0001_documents(spark, sf0001):
+    table = spark.read.parquet(f"{sf0001}/documents.parquet")
+    rows, _ = recount([r["text"] for r in table.select("text").collect()], 9)
+    model = bpe.train_bpe(table, 258 + 9, SPECIALS, num_partitions=3)
+    assert [m for m in model.merges] == [(a, b) for _, a, b, _ in rows]
 
 
-def test_first_merge_ababab(spark):
-    m = bpe.train_bpe(frame(spark, ["ababab"]), 257)
-    assert m.merges == ((97, 98),)
-    assert enc(spark, m, ["abab"]) == [[256, 256]]
+def test_fixed_values(spark):
+    m = bpe.train_bpe(docs(spark, ["ababab"]), 257)
+    assert m.merges == ((97, 98),) and encoded(docs(spark, ["abab"]), m) == [[256, 256]]
+    assert special_ids(list(SPECIALS)) == {"<|bos|>": 256, "<|eos|>": 257}
+    twenty = bpe.train_bpe(docs(spark, RIVER), 278, SPECIALS)
+    assert (len(twenty.merges), twenty.vocab_size, twenty.first_merge_id) == (20, 278, 258)
+    best = bpe.best_pair(bpe.pair_counts(bpe.chunk_table(docs(spark, ["ababab", "ba"])))).collect()[0]
+    assert (best["left_id"], best["right_id"], best["n"]) == (97, 98, 3)
 
 
-def test_tie_break_independent_of_order(spark):
-    a = bpe.train_bpe(frame(spark, CORPUS), 340)
-    b = bpe.train_bpe(frame(spark, list(reversed(CORPUS))), 340)
-    assert a.merges == b.merges
-    assert list(a.merges) == rules.train(CORPUS, 340)
+def test_training_ends_when_no_pair_is_left(spark):
+    m = bpe.train_bpe(docs(spark, ["ab", "cd"]), 300)
+    assert m.merges == ((97, 98), (99, 100)) and m.vocab_size == 300
+    assert bpe.train_bpe(docs(spark, ["", "z"]), 270).merges == ()
 
 
-def test_merge_budget(spark):
-    m = bpe.train_bpe(frame(spark, CORPUS), 278, SPECIALS)
-    assert len(m.merges) == 20 and m.vocab_size == 278
-    big = bpe.train_bpe(frame(spark, CORPUS), 400, SPECIALS)
-    assert len(big.merges) <= 400 - 258 and big.vocab_size == 400
-    assert list(big.merges) == rules.train(CORPUS, 400, SPECIALS)  # stops only when no pair is left
+def test_texts_of_all_kinds_round_trip(spark):
+    plain, trained = bpe.BPEModel(), bpe.train_bpe(docs(spark, RIVER + ODD), 330)
+    for model in (plain, trained):
+        assert decoded(spark, model, encoded(docs(spark, ODD + RIVER), model)) == ODD + RIVER
+    assert len(encoded(docs(spark, RIVER), trained)[0]) < len(RIVER[0].encode())
 
 
-def test_vocab_too_small_raises(spark):
-    with pytest.raises(ValueError):
-        bpe.train_bpe(frame(spark, CORPUS), 256, ["<|bos|>"])
+def test_round_trip_audit_counts_what_differs(spark):
+    df = docs(spark, RIVER).withColumn("g", F.col("doc_id") % 2)
+    got = {r["g"]: (r["n_docs"], r["n_mismatch"]) for r in audit.roundtrip_audit(df, bpe.train_bpe(df, 262), "g").collect()}
+    assert got == {0: (2, 0), 1: (2, 0)}
+    null = spark.createDataFrame([(0, None), (0, "x")], "g int, text string")
+    assert audit.roundtrip_audit(null, bpe.BPEModel(), "g").collect()[0]["n_docs"] == 2
+
 
+def test_malformed_bytes(spark):
+    raw = ["E697", "FF", "41E69742", "F09F9A", "EDA080", "C080", "F4908080"]
+    lists = [list(bytes.fromhex(h)) for h in raw]
+    assert decoded(spark, bpe.BPEModel(), lists) == [bytes.fromhex(h).decode("utf-8", errors="replace") for h in raw]
 
-def test_special_ids_and_errors():
-    assert special_ids(SPECIALS) == {"<|bos|>": 256, "<|eos|>": 257}
+
+def test_errors(spark):
+    with pytest.raises(ValueError):
+        bpe.train_bpe(docs(spark, RIVER), 256, SPECIALS)
     with pytest.raises(ValueError):
-        special_ids(["<|x|>", "<|x|>"])
+        special_ids(["<s>", "<s>"])
     with pytest.raises(ValueError):
-        special_id(SPECIALS, "<|pad|>")
-
-
-def test_specials_not_split_and_not_reused(spark):
-    m = bpe.train_bpe(frame(spark, CORPUS), 400, SPECIALS)
-    text = "<|bos|>the quick brown fox<|eos|>"
-    ids = enc(spark, m, [text])[0]
-    assert ids[0] == 256 and ids[-1] == 257
-    assert dec(spark, m, [ids]) == [text]
-    assert min(m.first_merge_id + r for r in range(len(m.merges))) >= 258
-
-
-def test_decode_unknown_id_raises(spark):
-    m = bpe.train_bpe(frame(spark, CORPUS), 300, ["<|bos|>"])
-    with pytest.raises(Exception, match="Unknown token id"):
-        dec(spark, m, [[1, 999999]])
-    with pytest.raises(Exception, match="Unknown token id"):
-        dec(spark, m, [[m.known_ids]])  # between last learned merge and vocab_size
-
-
-def test_save_and_load(spark, tmp_path):
-    m = bpe.train_bpe(frame(spark, CORPUS), 360, SPECIALS)
-    loaded = load_tokenizer(save_tokenizer(m, str(tmp_path)))
-    assert loaded.merges == m.merges and loaded.special_ids == m.special_ids and loaded.vocab_size == 360
-    s = "<|bos|>the quick brown fox<|eos|>"
-    assert enc(spark, loaded, [s]) == enc(spark, m, [s])
-
-
-def test_overlap_cases(spark):
-    texts = ["aaa", "aaaaa", "baab", "aaaa"]
-    m = bpe.train_bpe(frame(spark, texts), 262)
-    assert list(m.merges) == rules.train(texts, 262)
-    assert enc(spark, m, texts) == [rules.encode(t, list(m.merges)) for t in texts]
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_random_against_rules(spark, seed):
-    rnd = random.Random(seed)
-    alpha = "ab a\nc" + "é🚀"
-    specials = ["<|b", "<|bos|>"] if seed == 3 else []
-    texts = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 40))) for _ in range(25)]
-    if specials:
-        texts = [t.replace("c", "<|bos|>").replace("\n", "<|b") for t in texts]
-    vs = 256 + len(specials) + 40
-    m = bpe.train_bpe(frame(spark, texts), vs, specials, checkpoint_every=7)
-    assert list(m.merges) == rules.train(texts, vs, specials)
-    assert enc(spark, m, texts) == [rules.encode(t, list(m.merges), specials) for t in texts]
-    assert dec(spark, m, enc(spark, m, texts)) == texts
-
-
-def test_split_special_rule(spark):
-    rnd = random.Random(7)
-    specials = ["<|b", "<|bos|>", "<|eos|>"]
-    pieces = ["<|b", "<|bos|>", "<|eos|>", "x", "<|", "|>", "bos", " "]
-    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 8))) for _ in range(200)]
-    df = frame(spark, texts).select("doc_key", split_special(F.col("text"), specials).alias("segs"))
-    got = {r["doc_key"]: [(s["is_special"], s["chunk"]) for s in r["segs"]] for r in df.collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == rules.split_special(t, specials), t
-    none = frame(spark, [""]).select(split_special(F.col("text"), []).alias("s")).collect()[0]["s"]
+        special_id(SPECIALS, "<|none|>")
+    m = bpe.train_bpe(docs(spark, ["ab"]), 300)
+    for unknown in (999999, m.known_ids, -1):
+        with pytest.raises(Exception, match="no bytes for token id"):
+            decoded(spark, m, [[65, unknown]])
+
+
+def test_specials_are_kept_whole(spark):
+    m = bpe.train_bpe(docs(spark, [f"<|bos|>{t}<|eos|>" for t in RIVER]), 290, SPECIALS)
+    text = "<|bos|>river<|eos|><|eos|>x"
+    ids = encoded(docs(spark, [text]), m)[0]
+    assert ids[0] == 256 and ids.count(257) == 2 and decoded(spark, m, [ids]) == [text]
+    names = spark.createDataFrame([("<|eos|>",), ("<|bos|>",)], "name string")
+    assert [r["i"] for r in names.select(special_id_of(F.col("name"), SPECIALS).alias("i")).collect()] == [257, 256]
+    with pytest.raises(Exception, match="no such special token"):
+        names.select(special_id_of(F.lit("<|none|>"), SPECIALS).alias("i")).collect()
+
+
+def test_longest_special_at_the_leftmost_place(spark):
+    cases = {
+        "a<|bos|>b": [(False, "a"), (True, "<|bos|>"), (False, "b")],
+        "<|b<|bos|>": [(True, "<|b"), (True, "<|bos|>")],
+        "<|bo<|eos|>": [(True, "<|b"), (False, "o"), (True, "<|eos|>")],
+        "<|eos|><|eos|>": [(True, "<|eos|>"), (True, "<|eos|>")],
+        "|> <|": [(False, "|> <|")],
+        "": [],
+    }
+    df = docs(spark, list(cases)).select("text", split_special(F.col("text"), ["<|b", "<|bos|>", "<|eos|>"]).alias("s"))
+    assert {r["text"]: [(x["is_special"], x["chunk"]) for x in r["s"]] for r in df.collect()} == cases
+    none = docs(spark, [""]).select(split_special(F.col("text"), []).alias("s")).collect()[0]["s"]
     assert [(x["is_special"], x["chunk"]) for x in none] == [(False, "")]
 
 
-def test_malformed_bytes_decode(spark):
-    m = bpe.BPEModel()
-    cases = ["E697", "FF", "41E69742", "F09F9A", "EDA080", "C080", "F4908080"]
-    ids = [list(bytes.fromhex(h)) for h in cases]
-    assert dec(spark, m, ids) == [bytes.fromhex(h).decode("utf-8", errors="replace") for h in cases]
+def test_artifact_through_a_uri(spark, tmp_path):
+    m = bpe.train_bpe(docs(spark, RIVER), 300, SPECIALS)
+    back = load_tokenizer(spark, save_tokenizer(spark, m, (tmp_path / "tok one").as_uri().replace("%20", " ")))
+    assert (back.merges, back.specials, back.vocab_size) == (m.merges, m.specials, 300)
 
 
-def test_code_point_mapping(spark):
+def test_code_points(spark):
     for i in [0, 255, 0xD7FF, 0xD800, 0xFFFF, 65536, 0x10FFFF - 0x800]:
         assert cp_to_id(id_to_cp(i)) == i
-    with pytest.raises(ValueError):
-        id_to_cp(0x110000)
-    s = "".join(tok(i) for i in [5, 0xD7FF, 0xD800, 65535, 65536, 70000])
-    got = spark.createDataFrame([(s,), ("",)], "s string").select(ids_of(F.col("s")).alias("ids")).collect()
-    assert list(got[0]["ids"]) == [5, 0xD7FF, 0xD800, 65535, 65536, 70000]
-    assert list(got[1]["ids"]) == []
-
-
-def test_incremental_equals_full_recount_on_documents(spark, sf0001):
-    """On the sf0.001 documents, the incremental loop picks the same merges (and
-    counts) as a full recount every round."""
-    docs = spark.read.parquet(f"{sf0001}/documents.parquet")
-    texts = [r["text"] for r in docs.select("text").collect()]
-    m = bpe.train_bpe(docs, 256 + 10, num_partitions=3)
-    assert list(m.merges) == rules.train(texts, 256 + 10)
-
-
-def test_pair_counts_and_best_pair(spark):
-    st = bpe.chunk_table(frame(spark, ["ababab", "ba"]))
-    best = bpe.best_pair(bpe.pair_counts(st)).collect()[0]
-    assert (best["left_id"], best["right_id"], best["n"]) == (97, 98, 3)
-
+    wide = [5, 0xD7FF, 0xD800, 65535, 65536, 70000, 70000, 70000]
+    df = spark.createDataFrame([("".join(map(tok, wide)), 2), ("", 1)], "s string, w long")
+    assert [list(r["ids"]) for r in df.select(ids_of(F.col("s")).alias("ids")).collect()] == [wide, []]
+    left, right = bpe.unpack_pair(F.col("k"))
+    got = {(r["a"], r["b"]): r["n"] for r in bpe.pair_counts(df).select(left.alias("a"), right.alias("b"), "n").collect()}
+    assert got == {(5, 0xD7FF): 2, (0xD7FF, 0xD800): 2, (0xD800, 65535): 2, (65535, 65536): 2, (65536, 70000): 2, (70000, 70000): 4}
 
-def test_speculative_passes_equal_single_merge_passes(spark):
-    texts = CORPUS + ["aaaa abab", "the theme there"]
-    rep_a, rep_b = bpe.TrainReport(), bpe.TrainReport()
-    a = bpe.train_bpe(frame(spark, texts), 300, SPECIALS, report=rep_a, speculate=True)
-    b = bpe.train_bpe(frame(spark, texts), 300, SPECIALS, report=rep_b, speculate=False)
-    assert a.merges == b.merges and a.pair_counts == b.pair_counts
-    assert list(a.merges) == rules.train(texts, 300, SPECIALS)
-    assert rep_a.passes < rep_b.passes == len(b.merges)
 
+def test_one_training_state_is_kept(spark):
+    from pathlib import Path
 
-def test_special_id_column_lookup(spark):
-    from shardwright.operators.specials import special_id_of
+    from shardwright.session import checkpoint_dir
 
-    df = spark.createDataFrame([("<|eos|>",), ("<|bos|>",)], "name string")
-    assert [r["i"] for r in df.select(special_id_of(F.col("name"), SPECIALS).alias("i")).collect()] == [257, 256]
-    bad = spark.createDataFrame([("<|pad|>",)], "name string")
-    with pytest.raises(Exception, match="Unknown special token"):
-        bad.select(special_id_of(F.col("name"), SPECIALS).alias("i")).collect()
+    states = lambda: {p.name for p in Path(checkpoint_dir(spark).removeprefix("file:")).glob("bpe-state-*")}
+    before = states()
+    bpe.train_bpe(docs(spark, RIVER), 256 + 40, checkpoint_every=2)
+    assert states() == before

@@ -51,10 +51,10 @@ def test_boundaries_and_offsets_with_empty_doc(spark):
 
 
 def test_offsets_many_buckets(spark):
-    # more documents than one bucket at a small fanout: every level of the prefix sum is used
-    rows = [(i * 3, "train" if i % 3 else "val", 1 + i % 5) for i in range(500)]
+    # many slices of sparse keys
+    rows = [(i * 3_000_000_007, "train" if i % 3 else "val", 1 + i % 5) for i in range(500)]
     df = spark.createDataFrame(rows, "k bigint, split string, n bigint")
-    got = packing.prefix_offsets(df, ["split"], "k", "n", "start", fanout=7, depth=2).collect()
+    got = packing.prefix_offsets(df, ["split"], "k", "n", "start", rows_per_slice=7).collect()
     exp, run = {}, {}
     for k, s, n in rows:
         exp[k] = run.get(s, 0)
@@ -62,6 +62,23 @@ def test_offsets_many_buckets(spark):
     assert {r["k"]: r["start"] for r in got} == exp
 
 
+def test_offsets_of_path_keys(spark, tmp_path):
+    """Keys of a file corpus: the window over slices has a row per slice, not per file."""
+    from shardwright.sources.corpus import read_corpus
+
+    for i in range(60):
+        (tmp_path / f"f{i:02d}.txt").write_text("x" * (i % 5))
+    corpus = read_corpus(spark, str(tmp_path)).select("doc_key", F.lit("train").alias("split"), F.length("text").cast("long").alias("n"))
+    sliced = packing.range_slices(corpus, "doc_key", 20)
+    assert sliced.select("_slice").distinct().count() <= 3
+    rows = packing.prefix_offsets(corpus, ["split"], "doc_key", "n", "start", rows_per_slice=20).orderBy("doc_key").collect()
+    run = 0
+    for r in rows:
+        assert r["start"] == run
+        run += r["n"]
+    assert len(rows) == 60
+
+
 def test_partition_count_invariance(spark):
     ids = [list(range(i, i + (i % 7))) for i in range(60)]
     d = docs_frame(spark, ids)
@@ -96,13 +113,15 @@ def test_manifest_table_and_file(spark, tmp_path):
     man = packing.manifest(sh, 4096, 4)
     rows = {r["split"]: r for r in man.collect()}
     assert rows["train"]["num_tokens"] == 4 and rows["val"]["num_tokens"] == 2 and rows["train"]["dtype"] == "uint16"
-    path = shard_io.write_manifest(man, str(tmp_path))
+    uri = (tmp_path / "out dir").as_uri()
+    path = shard_io.write_manifest(man, uri)
+    assert path == str(tmp_path / "out dir" / "manifest.json")
     m = json.loads(open(path).read())
     assert m["dtype"] == "uint16" and m["vocab_size"] == 4096 and m["shard_size"] == 4
     assert m["splits"]["train"] == {"shards": ["train_00000.bin"], "num_tokens": 4}
     assert m["splits"]["val"] == {"shards": ["val_00000.bin"], "num_tokens": 2}
-    assert shard_io.load_manifest(str(tmp_path)) == m
-    assert shard_io.manifest_shards(spark, str(tmp_path)).count() == 2
+    assert shard_io.load_manifest(uri) == m
+    assert shard_io.manifest_shards(spark, uri).count() == 2
 
 
 def one_shard(spark, tokens, split="train", idx=0):
@@ -118,14 +137,14 @@ def test_example_index_rules(spark):
     sh = one_shard(spark, list(range(10)))
     assert list(examples.example_at(sh, "train", 0, -1, 4).collect()[0]["x"]) == [4, 5, 6, 7]
     assert list(examples.example_at(sh, "train", 0, 0, 4).collect()[0]["y"]) == [1, 2, 3, 4]
-    with pytest.raises(Exception, match="out of range"):
+    with pytest.raises(Exception, match="no example"):
         examples.example_at(sh, "train", 0, 2, 4).collect()
-    with pytest.raises(Exception, match="out of range"):
+    with pytest.raises(Exception, match="no example"):
         examples.example_at(sh, "train", 0, -3, 4).collect()
 
 
 def test_small_shard_and_bad_context(spark):
-    with pytest.raises(Exception, match="need at least"):
+    with pytest.raises(Exception, match="too few"):
         examples.cut_examples(one_shard(spark, [1, 2, 3]), 4).collect()
     assert examples.cut_examples(one_shard(spark, [1, 2, 3]), 4, on_small="drop").count() == 0
     with pytest.raises(ValueError):
@@ -139,11 +158,11 @@ def test_train_shard_and_batch(spark):
     assert ex.count() == 7
     b = examples.batches(ex, 2).collect()[0]
     assert len(b["x"]) == 2 and list(b["x"][1]) == list(range(16, 32))
-    with pytest.raises(Exception, match="Need at least"):
+    with pytest.raises(Exception, match="more than the"):
         examples.batches(ex, 8).collect()
     full = examples.batches(ex, 2, first_only=False).collect()
     assert len(full) == 3  # 7 examples -> 3 complete batches of 2
-    with pytest.raises(ValueError, match="No train shards"):
+    with pytest.raises(ValueError, match="no first one"):
         examples.first_train_shard(one_shard(spark, [1, 2], split="val"))
 
 
@@ -151,8 +170,12 @@ def test_token_audits(spark):
     df = spark.createDataFrame([([0, 64],), ([1, 2, 3, 4, 5, 6, 7, 8, 9],)], "x array<int>")
     a = examples.token_id_audit(df, ["x"], 64).collect()[0]
     assert (a["min_id"], a["max_id"], a["n_bad"]) == (0, 64, 1)
-    with pytest.raises(Exception, match="must be in"):
+    with pytest.raises(Exception, match="ids outside"):
         examples.strict(examples.token_id_audit(df, ["x"], 64), 64).collect()
+    both = examples.example_audit(df.withColumn("g", F.lit(1)), ["x"], 64, 8, "g").collect()[0]
+    assert (both["n_bad"], both["n_too_long"]) == (1, 1)
+    with pytest.raises(TypeError, match="integer dtype"):
+        examples.token_id_audit(df.select(F.col("x").cast("array<double>").alias("x")), ["x"], 64)
     assert examples.context_audit(df, "x", 8).collect()[0]["n_too_long"] == 1
     with pytest.raises(Exception, match="exceeds"):
         examples.strict(examples.context_audit(df, "x", 8)).collect()

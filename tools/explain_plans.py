@@ -30,7 +30,7 @@ def summarise(text: str) -> dict:
     head = text.split("\n\n")[0]
     exchanges = re.findall(r"Arguments: (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)[^\n]*", text)
     return {
-        "exchanges": len(re.findall(r"\bExchange \(", head)) - len(re.findall(r"BroadcastExchange \(", head)),
+        "exchanges": len(re.findall(r"Exchange \(", head)) - len(re.findall(r"BroadcastExchange \(", head)),
         "broadcasts": len(re.findall(r"BroadcastExchange \(", head)),
         "bhj": len(re.findall(r"BroadcastHashJoin", head)),
         "smj": len(re.findall(r"SortMergeJoin", head)),
