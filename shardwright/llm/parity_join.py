@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import Memo, mix64, spread, stored, text_bytes
+from shardwright.llm.common import FILTER_BITS, Memo, id_filter, mix64, spread, stored, text_bytes
 from shardwright.llm.components import components
 
 SHINGLE = 5
@@ -235,26 +235,6 @@ def candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(meet, "kind int, a long, b long, n long")
 
 
-FILTER_BITS = 1 << 24
-
-
-def id_filter(ids: DataFrame) -> bytes:
-    """A bitmap of FILTER_BITS bits (2 MB whatever the input) with the hashed ids set: a document whose bit
-    is clear is in no pair.  When it fills up it only lets more documents through."""
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = ids.select(h.alias("h")).distinct().withColumn("part", (F.col("h") / 65_536).cast("int"))
-
-    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(65_536, np.uint8)
-        x[pdf["h"].to_numpy() % 65_536] = 1
-        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(x).tobytes()]})
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.groupBy("part").applyInPandas(fill, "part int, bits binary").collect():
-        out[r["part"] * 8192 : (r["part"] + 1) * 8192] = np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes()
-
-
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, h (its set, packed) of the documents whose ids(id) are asked for (and a few more)."""
     spark = docs.sparkSession

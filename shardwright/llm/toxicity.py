@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import Memo, id_bucket, spread, stored, text_bytes
+from shardwright.llm.common import FILTER_BITS, Memo, id_bucket, id_filter, spread, stored, text_bytes
 
 BITS, RANK = 22, 8
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -46,19 +46,22 @@ def slots_of(text: bytes, memo: Memo) -> np.ndarray:
     return np.sort(np.fromiter(got, np.uint32, len(got)))
 
 
-def document_slots(docs: DataFrame) -> DataFrame:
-    """doc_id, slots (binary, little-endian uint32)."""
+def document_slots(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, slots (binary, little-endian uint32) of the documents of ids(id), and a few more."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(slot)
+        memo, bits = Memo(slot), np.unpackbits(np.frombuffer(shared.value, np.uint8))
         for b in batches:
+            b = b.filter(pa.array(bits[b.column(2).to_numpy(zero_copy_only=False)] > 0))
             out = []
             for text in b.column(1).to_pylist():
                 out.append(slots_of(text or b"", memo).astype("<u4").tobytes())
                 memo.trim()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "slots"])
 
-    rows = spread(docs.select("doc_id", text_bytes().alias("text")), "doc_id")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
+    rows = spread(docs.select("doc_id", text_bytes().alias("text"), bit), "doc_id")
     return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, slots binary")
 
 
@@ -127,9 +130,11 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, features: np.ndarray, epo
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, fit_rows: int = 20_000, most_features: int = 4096) -> Machine:
     """A machine from docs(doc_id, text) and labels(doc_id, toxic) whose ``id_bucket(held_out)`` isn't 0."""
-    known = labels.where(F.col("toxic").isin(0, 1) & (id_bucket("doc_id", held_out) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    # texts become slots before the shuffle; unlabelled ones end there
-    rows = stored(document_slots(docs.where(id_bucket("doc_id", held_out) != 0)).join(known, "doc_id").select("doc_id", "slots", "y"), "toxicity-rows")
+    known = labels.where(F.col("toxic").isin(0, 1) & (id_bucket("doc_id", held_out) != 0)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
+    known = stored(known, "toxicity-labels")
+    # texts become slots before the shuffle, and only those with a label; a merge join at every size
+    slots = document_slots(docs.where(id_bucket("doc_id", held_out) != 0).select(F.col("doc_id").cast("bigint"), "text"), known.select(F.col("doc_id").alias("id")))
+    rows = stored(slots.join(known.hint("merge"), "doc_id").select("doc_id", "slots", "y"), "toxicity-rows")
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).collect()[0]
     if not positive or positive == n:
         share = positive / n if n else 0.0
