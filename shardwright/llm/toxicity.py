@@ -7,8 +7,8 @@ slots show by chance are the features.  A machine of rank ``RANK``
 
     z(x) = w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,     score = 1 / (1 + exp(-z))
 
-is fitted by Adam to at most ``fit_rows`` labelled rows (the least by a hash of their id; all of them
-if there are fewer): pairs of terms add what no sum of single weights can.
+is fitted by Adam to about ``fit_rows`` labelled rows (drawn by a hash of their id; all of them if there
+are fewer): pairs of terms add what no sum of single weights can.
 
 Defined cases: a null or empty text has no terms and the score of w0; labels other than 0 and 1, null
 ids and repeated labels (the greater holds) are no special case; without labels of both kinds every
@@ -84,7 +84,7 @@ class Machine:
 
 def evidence(counts: DataFrame, n: float, positive: float, most_features: int) -> np.ndarray:
     """Slots by log-likelihood ratio G2 of counts(slot, n, pos): those above twice the logarithm of the
-    number of slots (what the best of so many reach by chance), at least 32 if there are so many."""
+    number of slots (what the best of so many reach by chance), at least 8 if there are so many."""
     n, positive = float(n), float(positive)
 
     def part(k, expected):  # k * ln(k / expected), 0 at k = 0
@@ -97,7 +97,7 @@ def evidence(counts: DataFrame, n: float, positive: float, most_features: int) -
     )
     top = counts.select("slot", g2.alias("g")).orderBy(F.desc("g"), "slot").limit(most_features).collect()
     bar = 2 * np.log(max(2, counts.count()))
-    return np.array(sorted(r["slot"] for i, r in enumerate(top) if i < 32 or r["g"] > bar), np.int64)
+    return np.array(sorted(r["slot"] for i, r in enumerate(top) if i < 8 or r["g"] > bar), np.int64)
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, features: np.ndarray, epochs: int = 60, seed: int = 3) -> Machine:
@@ -107,7 +107,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, features: np.ndarray, epo
     theta = {"w0": np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))]), "w": np.zeros(m), "v": rng.normal(0, 0.05, (m, RANK))}
     moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in theta.items()}
     step, size = 0, 256
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-1500 * size // max(1, len(rows))))):  # few rows: more rounds over them
         order = rng.permutation(len(rows))
         for a in range(0, len(order), size):
             pick = order[a : a + size]
@@ -160,8 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, fit_rows: int =
             out = [np.flatnonzero(np.isin(features, np.frombuffer(x, "<u4"))).astype("<i4").tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], names=["doc_id", "at", "y"])
 
-    # at most fit_rows rows of a few features each
-    sample = rows.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(fit_rows).mapInArrow(only, "doc_id long, at binary, y int")
+    # about fit_rows rows of a few features each
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(max(n, 1))) < fit_rows)
+    sample = drawn.mapInArrow(only, "doc_id long, at binary, y int")
     got = sample.select("doc_id", "at", "y").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["at"])))
     return fit_machine([np.frombuffer(r["at"], "<i4") for r in got], np.array([r["y"] for r in got], float), features)
