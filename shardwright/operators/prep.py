@@ -27,11 +27,9 @@ def dedup_exact(docs: DataFrame, key: str = "doc_key", text: str = "text") -> Da
     a third of the corpus is combined map-side; the survivors are matched back on the unique
     document key (evenly spread), never on the hot digest.
     """
-    firsts = docs.where(F.col(text).isNotNull()).groupBy(text_digest(F.col(text)).alias("_digest")).agg(
-        F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies")
-    )
-    same = docs.where(F.col(text).isNotNull()).join(firsts.select(key, "n_copies"), key, "inner")
-    return same.unionByName(docs.where(F.col(text).isNull()).withColumn("n_copies", F.lit(1).cast("bigint")))
+    same = F.coalesce(text_digest(F.col(text)), F.concat(F.lit("null "), F.col(key).cast("string")))
+    firsts = docs.groupBy(same.alias("_digest")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies"))
+    return docs.join(firsts.select(key, "n_copies"), key, "inner")
 
 
 def line_table(docs: DataFrame, key: str = "doc_key", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from shardwright.plans.queries import QUERIES  # noqa: E402
 from shardwright.session import local_session  # noqa: E402
 
 
@@ -57,7 +57,7 @@ def main() -> None:
         "| query | shuffles | broadcast joins | sort-merge joins | windows | Arrow/Python nodes | scan reads | pushed filters |",
         "|---|---|---|---|---|---|---|---|",
     ]
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         s = summarise(plan_text(fn(spark, sf)))
         lines.append(
             f"| {name} | {s['exchanges']} | {s['bhj']} | {s['smj']} | {s['windows']} | {s['python']} | "
