@@ -39,6 +39,7 @@ log = logging.getLogger(__name__)
 
 KEY_SHIFT = 21  # 2**21 > 0x10FFFF: a pair of code points packs into one BIGINT
 KEY_MUL = 1 << KEY_SHIFT
+BYTES_PER_PARTITION = 32 << 20  # of the training state
 DELTA_REDUCERS = 32  # reducers for a round's context sums (tiny, bounded by vocabulary)
 
 
@@ -301,7 +302,10 @@ def train_bpe(
     if num_merges == 0:
         return BPEModel(specials, (), vocab_size)
 
-    parts = num_partitions or max(spark.sparkContext.defaultParallelism, 1)
+    if not num_partitions:  # as many as the input needs, and one per slot at least
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).collect()[0]["n"]
+        num_partitions = max(spark.sparkContext.defaultParallelism, 1, -(-size // BYTES_PER_PARTITION))
+    parts = num_partitions
     if checkpoint_every:
         checkpoint_dir(spark)
 
