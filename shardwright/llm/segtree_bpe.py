@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from shardwright.llm.chunks import ChunkCoder, text_slices
+from shardwright.llm.chunks import ChunkCoder, Codes, text_slices
 from shardwright.llm.common import spread, text_bytes
 
 NONE = np.int64(1) << np.int64(62)
@@ -41,6 +41,11 @@ class Ranks:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = dict(zip(self.rank.values(), self.rank))
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
+        self.size = np.zeros(max(self.token) + 1, np.int64)  # bytes of each token, 0 if there is none
+        for r, token in self.token.items():
+            self.size[r] = len(token)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.token.get(r, b"") for r in range(len(self.size))), np.uint8)
         self.pair: dict[tuple[int, int], int] = {}
         for token, r in self.rank.items():
             for i in range(1, len(token)):
@@ -181,17 +186,25 @@ def coder_of(path: str, pattern: str) -> ChunkCoder:
     """Kept in the Python worker: later tasks find the chunks that earlier ones have coded."""
     ranks, find = ranks_of(path), regex.compile(pattern).findall
 
-    def encode_many(chunks: list[str]) -> list[bytes]:
+    def encode_many(chunks: list[str]) -> Codes:
         cut = [find(x) for x in chunks]
         distinct = list(dict.fromkeys(chain.from_iterable(cut)))
         ids = dict(zip(distinct, encode_pieces([p.encode() for p in distinct], ranks)))
-        return [np.fromiter(chain.from_iterable(map(ids.__getitem__, x)), np.int32).tobytes() for x in cut]
+        each = [list(chain.from_iterable(map(ids.__getitem__, x))) for x in cut]
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())), n
 
     return ChunkCoder(encode_many)
 
 
-def decode_ids(ids: list[int], ranks: Ranks) -> bytes:
-    return b"".join(map(ranks.token.__getitem__, ids))
+def decoded_array(ids: np.ndarray, ends: np.ndarray, ranks: Ranks) -> pa.Array:
+    """The bytes of each run ends[i]..ends[i + 1] of ids, by one gather from the vocabulary's bytes."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(ranks.size) or not ranks.size[ids].all()):
+        raise ValueError("an id that no token has")
+    n = ranks.size[ids]
+    at = np.concatenate([[0], np.cumsum(n)])
+    out = ranks.flat[np.repeat(ranks.start[ids] - at[:-1], n) + np.arange(at[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(out)])
 
 
 def encoded_documents(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> DataFrame:
@@ -205,12 +218,11 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str, decode: bool = F
         coder, ranks = coder_of(path, pattern), ranks_of(path)
         for b in batches:
             for part, texts in text_slices(b, len(others)):
-                coded = [np.frombuffer(x, np.int32) for x in coder.code(texts)]
-                ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded)))
-                cols = [*part.columns[: len(others)], ids]
+                ids, n = coder.code(texts)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                cols = [*part.columns[: len(others)], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
                 if decode:
-                    cols.append(pa.array([decode_ids(x.tolist(), ranks) for x in coded], pa.binary()))
+                    cols.append(decoded_array(ids, ends, ranks))
                 yield pa.RecordBatch.from_arrays(cols, names=[*others, "ids", "decoded"][: len(cols)])
 
     return rows.mapInArrow(work, ", ".join(fields))
@@ -226,7 +238,9 @@ def decoded_documents(rows: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(path)
         for b in batches:
-            out = [decode_ids(x or [], ranks) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
+            lists = [np.array(x or [], np.int64) for x in b.column(at).to_pylist()]
+            ends = np.cumsum([0, *map(len, lists)])
+            out = decoded_array(np.concatenate([np.zeros(0, np.int64), *lists]), ends, ranks)
+            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 
     return rows.mapInArrow(work, ", ".join(fields))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.chunks import ChunkCoder, text_slices
+from shardwright.llm.chunks import ChunkCoder, Codes, text_slices
 from shardwright.llm.common import new_folder, spread, text_bytes
 
 #: Fixed values of the format: (ids in a word, bits of each) of selectors 1..14.
@@ -47,24 +47,35 @@ BLOCK = "file_no int, block_no int, ids_before long, n_ids long, doc_ids binary,
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words (uint64) of non-negative ids."""
-    v = np.ascontiguousarray(ids, np.uint64)
+    v = np.asarray(ids)
+    v = v if v.dtype.kind == "u" else v.astype(np.uint64)
     n = len(v)
     if not n:
         return np.zeros(0, np.uint64)
     pick = np.zeros(n, np.int8)  # the selector of a word that begins here
-    top = int(v.max())
-    for s in range(len(LAYOUT), 0, -1):  # wider first: those that hold more ids replace them
+    top, start = int(v.max()), None
+    for s in range(len(LAYOUT), 0, -1):  # wider first: of the places that one fits, those that the next fits too
         c, bits = LAYOUT[s - 1]
         if c > n:
-            continue
+            break
         if top >> bits == 0:
             pick[: n - c + 1] = s
             continue
-        over = np.concatenate([[0], np.cumsum(v >> np.uint64(bits) != 0, dtype=np.int32)])
-        pick[: n - c + 1][over[c:] == over[: n - c + 1]] = s
+        over = np.zeros(n + 1, np.int32)
+        np.cumsum(v >= v.dtype.type(1 << bits), out=over[1:])
+        if start is None:
+            start = np.flatnonzero(over[c:] == over[: n - c + 1])
+        else:
+            start = start[: np.searchsorted(start, n - c, "right")]
+            start = start[over[start + c] == over[start]]
+        if not len(start):
+            break
+        pick[start] = s
+    v = v.astype(np.uint64)
     step, i, at = COUNT[pick].tolist(), 0, []
+    put = at.append
     while i < n:
-        at.append(i)
+        put(i)
         i += step[i]
     at = np.array(at)
     chosen = pick[at]
@@ -143,17 +154,62 @@ def coder_of(path: str) -> ChunkCoder:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def encode_many(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(chunks, add_special_tokens=False)]
+    size = np.zeros(t.get_vocab_size(), np.int64)  # bytes of each token: a character stands for a byte
+    for token, i in t.get_vocab().items():
+        size[i] = len(token)
+
+    def apart(chunks: list[str]) -> Codes:
+        out = [np.array(e.ids, np.int32) for i in range(0, len(chunks), 2048) for e in t.encode_batch(chunks[i : i + 2048], add_special_tokens=False)]
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.fromiter(map(len, out), np.int64, len(out))
+
+    def together(chunks: list[str]) -> Codes:
+        """Chunks that begin with their space, as one text a few hundred; cut where their bytes end."""
+        ids, n = [], []
+        for i in range(0, len(chunks), 256):
+            part = chunks[i : i + 256]
+            got = np.array(t.encode("".join(part), add_special_tokens=False).ids, np.int32)
+            ends = np.cumsum(size[got])
+            want = np.cumsum([len(x.encode()) for x in part])
+            at = np.searchsorted(ends, want)
+            if at[-1] >= len(ends) or (ends[at] != want).any():  # a token across two chunks: never, by the pattern
+                got, m = apart(part)
+            else:
+                m = np.diff(at + 1, prepend=0)
+            ids.append(got)
+            n.append(m)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(n) if n else np.zeros(0, np.int64)
+
+    def encode_many(chunks: list[str]) -> Codes:
+        tight = [len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() for x in chunks]
+        if all(tight):
+            return together(chunks)
+        return apart(chunks)
 
     return ChunkCoder(encode_many)
 
 
+def id_width(path: str, end_id: int) -> str:
+    """Type of an id on the way to the files, by the largest id there is."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def _with_end(ids: np.ndarray, n: np.ndarray, end_id: int, width: str) -> pa.Array:
+    """One binary per document: its ids and the end id."""
+    ends = np.cumsum(n + 1)
+    out = np.full(int(ends[-1]), end_id, width)
+    keep = np.ones(len(out), bool)
+    keep[ends - 1] = False
+    out[keep] = ids
+    offsets = np.concatenate([[0], ends * out.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
 def token_ids(docs: DataFrame, path: str, end_id: int, edges: np.ndarray | None = None) -> DataFrame:
-    """doc_id, file_no, ids (binary: little-endian uint32, the end id last).  ``edges``: the last doc_id of
+    """doc_id, file_no, ids (binary: little-endian, the end id last; two bytes each if all ids of the vocabulary fit).  ``edges``: the last doc_id of
     every file but the last; a null doc_id belongs to file 0."""
-    end = np.array([end_id], "<u4").tobytes()
-    edges = np.zeros(0, np.int64) if edges is None else edges
+    edges, width = np.zeros(0, np.int64) if edges is None else edges, id_width(path, end_id)
     rows = spread(docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text")), "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +218,8 @@ def token_ids(docs: DataFrame, path: str, end_id: int, edges: np.ndarray | None
             for part, texts in text_slices(b, 1):
                 keys = part.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
                 file_no = pa.array(np.searchsorted(edges, keys, "left").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), file_no, pa.array([x + end for x in coder.code(texts)], pa.binary())], names=["doc_id", "file_no", "ids"])
+                ids, n = coder.code(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), file_no, _with_end(ids, n, end_id, width)], names=["doc_id", "file_no", "ids"])
 
     return rows.mapInArrow(work, "doc_id long, file_no int, ids binary")
 
@@ -188,8 +245,8 @@ def file_edges(docs: DataFrame, docs_per_file: int = 8192) -> np.ndarray:
     return np.array(sorted(set(got or [])), np.int64)
 
 
-def write_files(ids: DataFrame, n_files: int, out: str, block_ids: int = 1 << 16) -> None:
-    """ids(doc_id, file_no, ids) as Simple-8b files below ``out``, in ascending order of doc_id."""
+def write_files(ids: DataFrame, n_files: int, out: str, width: str, block_ids: int = 1 << 16) -> None:
+    """ids(doc_id, file_no, ids of type ``width``) as Simple-8b files below ``out``, in ascending order of doc_id."""
     ordered = ids.repartition(n_files, "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "ids")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +268,7 @@ def write_files(ids: DataFrame, n_files: int, out: str, block_ids: int = 1 << 16
                 if f != now:
                     now, block, before = f, 0, 0
                 keys.append(key)
-                parts.append(np.frombuffer(raw, "<u4"))
+                parts.append(np.frombuffer(raw, width))
                 held += len(parts[-1])
         if keys:
             yield flush()
@@ -240,9 +297,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 if ends[-1] != len(ids):
                     raise ValueError(f"block {row['block_no']} of file {row['file_no']} is damaged")
                 first = ends - n
+                offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+                each = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, mask=keys == -(2**63)), pa.array(np.full(len(n), row["file_no"], np.int32)), pa.array(first + row["ids_before"]), pa.array(n),
-                     pa.array([ids[a:e].tobytes() for a, e in zip(first, ends)], pa.binary())],
+                    [pa.array(keys, mask=keys == -(2**63)), pa.array(np.full(len(n), row["file_no"], np.int32)), pa.array(first + row["ids_before"]), pa.array(n), each],
                     names=["doc_id", "file_no", "in_file", "n_tokens", "ids"],
                 )
 
@@ -255,5 +313,5 @@ def encoded_files(docs: DataFrame, path: str, end_id: int = 2) -> str:
     """Encode docs(doc_id, text) and write the files in the shared folder; returns their place."""
     out = new_folder(docs.sparkSession, "simple8b")
     edges = file_edges(docs)
-    write_files(token_ids(docs, path, end_id, edges), len(edges) + 1, out)
+    write_files(token_ids(docs, path, end_id, edges), len(edges) + 1, out, id_width(path, end_id))
     return out

@@ -106,9 +106,9 @@ def section_tokens(docs: DataFrame, tokenizer: str, vocabulary: str, rule: str =
             for part, texts in text_slices(b, 1):
                 given = part.column(2).to_pylist() if sections else [None] * len(texts)
                 row, out = [], [[], [], [], [], []]
-                for i, (text, code, spans) in enumerate(zip(texts, coder.code(texts), given)):
-                    raw = text.encode()
-                    start, end = token_spans(raw, np.frombuffer(code, "<u4"), lengths)
+                ids, counts = coder.code(texts)
+                for i, (raw, code, spans) in enumerate(zip(texts.cast(pa.binary()).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), given)):
+                    start, end = token_spans(raw, code, lengths)
                     if sections:
                         spans = [s for s in spans or [] if s and s["start"] is not None and s["end"] is not None]
                         left, right = (np.array([s[x] for s in spans], np.int64) for x in ("start", "end"))
