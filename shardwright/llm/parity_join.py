@@ -12,16 +12,17 @@ agrees with every partner in one that isn't empty: only those are joined.  A doc
 empties also joins in the next round, under another seed, where it can only lack partners that
 had too many as well; after ``ROUNDS`` rounds what is left joins on the scheme alone.  No pair is lost.
 
-Join.  Segment signatures travel as packed arrays, dealt by signature over buckets whose number
-follows from the shingles.  Equal sets are one before that; in a batch a signature that several
-documents share is sent once, so a hot group sends as many entries as there are batches.  A
-signature's documents give a star around the least id, and are written as a group.
-
-Verify.  1. Each document against the centre it shares most signatures with; links are
-joined to components.  2. All star pairs whose ends lie in different components.  3. Groups that still
-span components: all pairs across them, block by block (no task holds a hot group), cut down by set size and
-by the Hamming distance of one-bit parity sketches, which never exceeds the symmetric
-difference.  Verification is exact, on whole sets.
+Join.  The texts are read once: a task gives every document's size, fingerprint and a sketch of one-bit
+parities, and the segment signatures as packed arrays, dealt by signature over buckets whose number
+follows from the input.  In a part of a batch equal sets are one, and a signature that several documents share
+is sent once, so a hot group sends as many entries as there are parts (some MB of text each).  A signature's documents
+give a star around the least id, and are written as a group.
+
+Verify.  A pair whose sizes rule it out, or whose parity sketches differ in more bits than shingles may
+(their Hamming distance never exceeds the symmetric difference), is dropped; whole sets are made for
+what is left.  1. Each document against the centre it shares most signatures with; links are joined to
+components.  2. All star pairs whose ends lie in different components.  3. Groups that still span
+components: all pairs across them, block by block (no task holds a hot group).  Links are exact.
 
 Defined cases: fewer than k words: the whole sequence is the one shingle; no words or a null text: no
 shingles, no links; a null id has no component; rows of one id are one node; an empty table gives an empty
@@ -35,22 +36,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import FILTER_BITS, Memo, id_filter, mix64, spread, stored, text_bytes
+from shardwright.llm.common import FILTER_BITS, Memo, id_filter, mix64, slices, spread, stored, text_bytes
 from shardwright.llm.components import components
 
 SHINGLE = 5
 RATIO = 1.5
 ROUNDS = 6
-BITS = 1024  # of the one-bit parity sketch
+BITS = 1024  # of the smallest one-bit parity sketch
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def word_memo() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 600_000)
+    return Memo(xxhash.xxh3_64_intdigest, 400_000)
 
 
 def shingles(text: bytes, memo: Memo, k: int = SHINGLE) -> np.ndarray:
@@ -133,32 +135,30 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def parity_sketch(h: np.ndarray) -> np.ndarray:
-    """BITS bits, each the parity of the shingles that hash to it."""
-    bit = np.bincount((h >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1
+    """Bits (packed), each the parity of the shingles that hash to it; four to eight a shingle, BITS at least."""
+    m = max(BITS, 1 << (4 * len(h) - 1).bit_length()) if len(h) else BITS
+    bit = np.bincount(((h >> np.uint64(7)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bit.astype(np.uint8))
 
 
-# ---------------------------------------------------------------- the job
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch (bytes) as one of ``size`` bytes: parities of bits that are the same modulo the smaller size."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (fingerprints of the set) for every row of docs."""
+def hamming(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, at the size of the smaller."""
+    n = min(len(a), len(b))
+    x, y = (folded(np.frombuffer(v, np.uint8), n) for v in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
-        for b in batches:
-            sets = [shingles(x or b"", memo) for x in b.column(1).to_pylist()]
-            f1 = np.array([np.bitwise_xor.reduce(h) if len(h) else 0 for h in sets], np.uint64)
-            f2 = np.array([mix64(h).sum(dtype=np.uint64) if len(h) else 0 for h in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], names=["doc_id", "n_shingles", "f1", "f2"]
-            )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, f1 long, f2 long")
+# ---------------------------------------------------------------- the job
 
 
-def _pack(*arrays: np.ndarray) -> list[pa.Array]:
-    return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+def _packed(bucket: int, kind: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    head = [pa.array([bucket], pa.int32()), pa.array([kind], pa.int32())]
+    return pa.RecordBatch.from_arrays([*head, *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=["bucket", "kind", "x", "y", "z"])
 
 
 def _stars(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,38 +178,51 @@ def _stars(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, np.stack([g, i], 1) if len(g) else np.zeros((0, 2), np.int64), np.column_stack([pairs, times]), g[many], i[many]
 
 
-def candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """kind 0: (a, b, n) b shares n signatures with the centre a; kind 1: (a, b) id b is of group a."""
+def prepared(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """docs(doc_id, text) -> packed rows (bucket, kind, x, y, z); kind 0: entries (signature, id) of a bucket;
+    of a batch alone, 1: star pairs (centre, id, times), 2: groups (group, id), 3: documents (``information``)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
-        spread_by = 0
         for b in batches:
-            seen: dict[bytes, int] = {}
-            sigs, ids = [], []
-            for key, text in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), key=lambda r: r[0]):
-                h = shingles(text or b"", memo)
-                if len(h) < 4 or seen.setdefault(xxhash.xxh3_128_digest(h.tobytes()), key) != key:
-                    continue  # equal sets of a batch: the least id stands for them
-                s = signatures(h)
-                sigs.append(s)
-                ids.append(np.full(len(s), key))
-            if not sigs:
-                continue
-            sig, own = np.concatenate(sigs), np.concatenate(ids)
-            bucket = (sig % np.uint64(n_buckets)).astype(np.int64)
-            group = (bucket << 32) | (sig >> np.uint64(32)).astype(np.int64)
-            first, all_, pairs, g, i = _stars(group, own)
-            lone = all_[first]
-            cut = np.flatnonzero(np.concatenate([[True], lone[1:, 0] >> 32 != lone[:-1, 0] >> 32]))
-            for x, y in zip(cut, [*cut[1:], len(lone)]):
-                part = lone[x:y]
-                k = int(part[0, 0] >> 32)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), *_pack((part[:, 0] & 0xFFFFFFFF).astype("<u4"), part[:, 1].astype("<i8"), part[:0, 1])], names=["bucket", "kind", "x", "y", "z"])
-            for kind, arrays in ((1, (pairs[:, 0], pairs[:, 1], pairs[:, 2])), (2, (g, i, i[:0]))):
-                if len(arrays[0]):  # of this batch alone: any bucket will do
-                    spread_by = (spread_by * 31 + int(arrays[1][0])) % n_buckets
-                    yield pa.RecordBatch.from_arrays([pa.array([spread_by], pa.int32()), pa.array([kind], pa.int32()), *_pack(*(x.astype("<i8") for x in arrays))], names=["bucket", "kind", "x", "y", "z"])
+            raw = b.column(1).fill_null(b"")
+            for x, y in slices(pc.binary_length(raw).to_pylist(), 6 << 20):
+                yield from part(b.column(0).slice(x, y - x).to_pylist(), raw.slice(x, y - x).to_pylist(), memo)
+            pa.default_memory_pool().release_unused()
+
+    def part(keys: list, texts: list[bytes], memo: Memo) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        about, sketches, whole = [], [], {}
+        for key, text in zip(keys, texts):
+            h = shingles(text, memo)
+            print_ = xxhash.xxh3_128_digest(h.tobytes())
+            sketches.append(parity_sketch(h).tobytes())
+            about.append((key or 0, key is None, len(h), *np.frombuffer(print_, np.int64).tolist(), len(sketches[-1])))
+            if key is not None and len(h) >= 4:  # equal sets: the least id stands for them
+                if print_ not in least:
+                    whole[print_] = signatures(h)
+                least[print_] = min(key, least.get(print_, key))
+        anywhere = int(about[0][0]) % n_buckets  # rows of this part alone may go to any bucket
+        yield _packed(anywhere, 3, np.array(about, "<i8"), np.frombuffer(b"".join(sketches), np.uint8), np.zeros(0))
+        if not whole:
+            return
+        own = np.repeat(np.array([least[p] for p in whole], np.int64), list(map(len, whole.values())))
+        sig = np.concatenate(list(whole.values()))
+        group = ((sig % np.uint64(n_buckets)) << np.uint64(32) | (sig >> np.uint64(32))).astype(np.int64)
+        first, entries, pairs, g, i = _stars(group, own)
+        lone = entries[first]
+        cut = np.flatnonzero(np.concatenate([[True], lone[1:, 0] >> 32 != lone[:-1, 0] >> 32]))
+        for x, y in zip(cut, [*cut[1:], len(lone)]):
+            yield _packed(int(lone[x, 0] >> 32), 0, (lone[x:y, 0] & 0xFFFFFFFF).astype("<u4"), lone[x:y, 1].astype("<i8"), lone[:0, 1])
+        for kind, arrays in ((1, (pairs[:, 0], pairs[:, 1], pairs[:, 2])), (2, (g, i, i[:0]))):
+            if len(arrays[0]):
+                yield _packed(anywhere, kind, *(np.ascontiguousarray(x).astype("<i8") for x in arrays))
+
+    return docs.mapInArrow(send, "bucket int, kind int, x binary, y binary, z binary")
+
+
+def candidates(sent: DataFrame) -> DataFrame:
+    """kind 0: (a, b, n) b shares n signatures with the centre a; kind 1: (a, b) id b is of group a."""
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -231,8 +244,42 @@ def candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
             give(1, a, np.frombuffer(y, "<i8"), np.ones(len(a), np.int64))
         return pd.concat(out) if out else pd.DataFrame({"kind": [], "a": [], "b": [], "n": []})
 
-    sent = docs.mapInArrow(send, "bucket int, kind int, x binary, y binary, z binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "kind int, a long, b long, n long")
+    return sent.where("kind < 3").groupBy("bucket").applyInPandas(meet, "kind int, a long, b long, n long")
+
+
+def information(sent: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, f1, f2 (fingerprint of the set), sketch for every document row."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = np.frombuffer(x, "<i8").reshape(-1, 6)
+                offsets = np.concatenate([[0], np.cumsum(t[:, 5])]).astype(np.int32)
+                sketch = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer(offsets), pa.py_buffer(y)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t[:, 0], mask=t[:, 1] > 0), *(pa.array(t[:, k]) for k in (2, 3, 4)), sketch], names=["doc_id", "n_shingles", "f1", "f2", "sketch"]
+                )
+
+    return sent.where("kind = 3").select("x", "y").mapInArrow(unpack, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of pairs(a, b, ...) that set sizes and parity sketches(id, size, sketch) don't rule out."""
+    left, right = (sketches.select(F.col("id").alias(x), F.col("size").alias(f"_s{x}"), F.col("sketch").alias(f"_k{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "_sa", "_sb", "_ka", "_kb")
+    names, m = pairs.columns, len(pairs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sa, sb = (b.column(m + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            near = 9 * np.abs(sa - sb) <= sa + sb
+            far = [hamming(x, y) if c else 0 for c, x, y in zip(near.tolist(), b.column(m + 2).to_pylist(), b.column(m + 3).to_pylist())]
+            ok = near & (9 * np.array(far) <= sa + sb)
+            yield pa.RecordBatch.from_arrays(b.columns[:m], names=names).filter(pa.array(ok))
+
+    return both.mapInArrow(keep, pairs.schema).distinct()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -251,7 +298,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [shingles(t or b"", memo).astype("<u8").tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "h"])
 
-    return keep.mapInArrow(work, "doc_id long, h binary").dropDuplicates(["doc_id", "h"])  # rows of one id may differ
+    sets = keep.mapInArrow(work, "doc_id long, h binary")
+    return sets.repartition("doc_id").dropDuplicates(["doc_id", "h"])  # rows of one id may differ
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -274,27 +322,30 @@ def _classes(pairs: DataFrame, cc: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def across(groups: DataFrame, cc: DataFrame, sets: DataFrame, block: int = 1024) -> DataFrame:
+def across(groups: DataFrame, cc: DataFrame, sketches: DataFrame, block: int = 1024) -> DataFrame:
     """groups(g, id) that span components: pairs of different components that set size and the Hamming
     distance of parity sketches don't rule out."""
     c = cc.select(F.col("node").alias("id"), "component")
     rows = stored(groups.join(c, "id", "left").select("g", "id", F.coalesce("component", "id").alias("c")), "parity-groups")
-    open_ = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 2 and c0 < c1").select("g", "m")
-    open_ = stored(open_, "parity-open")
+    prints = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"f{k}") for k in (1, 2)]
+    open_ = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), *prints).where("m > 2 and c0 < c1")
+    # groups of the same documents: one will do
+    open_ = stored(open_.groupBy("m", "f1", "f2").agg(F.min("g").alias("g")).select("g", "m"), "parity-open")
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [folded(np.frombuffer(x, np.uint8), BITS // 8).tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["id", "size", "sketch"])
+
+    sketches = sketches.select("id", "size", "sketch").mapInArrow(small, "id long, size long, sketch binary")
     s = F.ceil(F.col("m") / block).cast("int")
     dealt = rows.join(open_, "g").withColumn("s", s).withColumn("own", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     dealt = dealt.select("g", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets_ = [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets_], pa.int64()), pa.array([parity_sketch(h).tobytes() for h in sets_], pa.binary())], names=["id", "size", "sketch"])
-
-    sk = sets.mapInArrow(sketch, "id long, size long, sketch binary")
     n = max(16, open_.agg(F.sum("m")).collect()[0][0] or 0)
     tasks = max(16, n // 5000)
-    filled = dealt.join(sk, "id").withColumn("t", F.pmod(F.xxhash64("g", "i", "j"), F.lit(tasks)))
+    filled = dealt.join(sketches, "id").withColumn("t", F.pmod(F.xxhash64("g", "i", "j"), F.lit(tasks)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[int, int]] = set()
@@ -319,27 +370,36 @@ def across(groups: DataFrame, cc: DataFrame, sets: DataFrame, block: int = 1024)
 def similar_documents(docs: DataFrame, entries_per_bucket: int = 1 << 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id for every row of docs."""
     rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text")), "doc_id")
-    known = rows.where("doc_id is not null")
-    sets = stored(document_sets(rows), "parity-sets")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
+    n_buckets = int(max(rows.sparkSession.sparkContext.defaultParallelism * 2, size // 12 // entries_per_bucket))  # about an entry per 12 bytes
+    sent = stored(prepared(rows, n_buckets), "parity-sent", ("kind",))
+    about = information(sent)
     # equal sets: one representative, the least id (aggregated before the shuffle)
+    sets = about.drop("sketch")
     reps = sets.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     marked = stored(sets.join(reps, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", "rep"), "parity-marked")
-    total = marked.agg(F.sum("n_shingles")).collect()[0][0] or 0
-    n_buckets = int(max(rows.sparkSession.sparkContext.defaultParallelism * 2, total * 0.6 // entries_per_bucket))
-    found = stored(candidates(known, n_buckets), "parity-candidates")
     same = marked.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    sketches = about.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch")
 
-    pairs = stored(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "parity-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    whole = stored(sets_of(known, ends), "parity-whole")
+    found = stored(candidates(sent), "parity-candidates", ("kind",))
+    pairs = stored(possible(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), sketches), "parity-pairs")
+    known = rows.where("doc_id is not null")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    whole = stored(sets_of(known, ends(pairs)), "parity-whole")
+    linked = lambda p, w, label: stored(verified(p, w).select(F.col("b").alias("u"), F.col("a").alias("v")), label)
     # 1. each document and its best centre
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    edges = stored(verified(best, whole).select(F.col("b").alias("u"), F.col("a").alias("v")).union(same), "parity-links")
+    edges = linked(best, whole, "parity-links").union(same)
     cc = stored(components(edges), "parity-components")
     # 2. the other star pairs, 3. groups, as far as they span components
+    groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id")).distinct()
     for step in ("stars", "groups"):
-        rest = _classes(pairs, cc) if step == "stars" else across(found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id")).distinct(), cc, whole)
-        more = stored(verified(rest, whole).select(F.col("b").alias("u"), F.col("a").alias("v")), f"parity-{step}")
+        rest = stored(_classes(pairs, cc) if step == "stars" else possible(across(groups, cc, sketches), sketches), f"parity-{step}-left")
+        if rest.isEmpty():
+            continue
+        if step == "groups":
+            whole = stored(sets_of(known, ends(rest)), "parity-whole")
+        more = linked(rest, whole, f"parity-{step}")
         if not more.isEmpty():
             edges = edges.union(more)
             cc = stored(components(edges), "parity-components")

@@ -112,8 +112,10 @@ def test_every_linking_pair_shares_a_signature():
         if J.links(a, b):
             seen += 1
             assert len(np.intersect1d(J.signatures(a), J.signatures(b)))
-            far = np.bitwise_count(J.parity_sketch(a) ^ J.parity_sketch(b)).sum()
+            far = J.hamming(J.parity_sketch(a).tobytes(), J.parity_sketch(b).tobytes())
             assert far <= len(np.setxor1d(a, b)) <= (len(a) + len(b)) / 9
+            small = np.bincount(((a >> np.uint64(7)) % J.BITS).astype(int), minlength=J.BITS) & 1
+            assert np.array_equal(J.folded(J.parity_sketch(a), J.BITS // 8), np.packbits(small.astype(np.uint8)))
     assert seen > 700
 
 
@@ -129,12 +131,13 @@ def test_groups_across_components(spark):
     rows = [(i, shingle_set(prose(3, 60) + f" w{i % 2}" * 3 + f" u{i}")) for i in range(6)]
     sets = [(i, np.sort(np.array([hash(x) & (2**62 - 1) for x in s], "<u8")).tobytes()) for i, s in rows]
     df = spark.createDataFrame(sets, "doc_id long, h binary")
+    sk = spark.createDataFrame([(i, len(h) // 8, J.parity_sketch(np.frombuffer(h, "<u8")).tobytes()) for i, h in sets], "id long, size long, sketch binary")
     groups = spark.createDataFrame([(1, i) for i in range(6)], "g long, id long")
     cc = spark.createDataFrame([(0, 0), (2, 0)], "node long, component long")
-    pairs = {(r["a"], r["b"]) for r in J.across(groups, cc, df, block=2).collect()}
+    pairs = {(r["a"], r["b"]) for r in J.across(groups, cc, sk, block=2).collect()}
     true = {p for p in similar(dict(rows))}
     assert true - {(0, 2)} <= pairs and (0, 2) not in pairs
-    assert {(r["a"], r["b"]) for r in J.verified(J.across(groups, cc, df), df).collect()} == true - {(0, 2)}
+    assert {(r["a"], r["b"]) for r in J.verified(J.across(groups, cc, sk), df).collect()} == true - {(0, 2)}
 
 
 def test_hard_documents(spark, hard, none):
