@@ -84,7 +84,7 @@ class _Codes:
 class ChunkCoder:
     """``encode_many(list of str) -> Codes`` codes chunks; codes are kept for about ``most`` of them."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Codes], most: int = 1_500_000):
+    def __init__(self, encode_many: Callable[[list[str]], Codes], most: int = 2_500_000):
         self.encode_many, self.most = encode_many, most
         self.inner = _Codes()  # of " " + word, for words without white space at their ends
 
@@ -136,7 +136,7 @@ class ChunkCoder:
         return self.inner.gather(place), np.add.reduceat(self.inner.n[place], first, dtype=np.int64)
 
 
-def text_slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Runs of rows with their texts (a binary column; null: empty); about ``most`` bytes of text each."""
     raw = batch.column(column).fill_null(b"")
     for a, b in slices(pc.binary_length(raw).to_pylist(), most):

@@ -203,7 +203,10 @@ def decoded_array(ids: np.ndarray, ends: np.ndarray, ranks: Ranks) -> pa.Array:
         raise ValueError("an id that no token has")
     n = ranks.size[ids]
     at = np.concatenate([[0], np.cumsum(n)])
-    out = ranks.flat[np.repeat(ranks.start[ids] - at[:-1], n) + np.arange(at[-1])]
+    shift, out = (ranks.start[ids] - at[:-1]), np.empty(int(at[-1]), np.uint8)
+    for a in range(0, len(ids), 1 << 19):
+        b = min(a + (1 << 19), len(ids))
+        out[at[a] : at[b]] = ranks.flat[np.repeat(shift[a:b], n[a:b]) + np.arange(at[a], at[b])]
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(out)])
 
 

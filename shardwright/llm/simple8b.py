@@ -26,7 +26,6 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -215,7 +214,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, edges: np.ndarray | None
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path)
         for b in batches:
-            for part, texts in text_slices(b, 1):
+            for part, texts in text_slices(b, 1, 18 << 20):
                 keys = part.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
                 file_no = pa.array(np.searchsorted(edges, keys, "left").astype(np.int32))
                 ids, n = coder.code(texts)
