@@ -109,12 +109,12 @@ class Memo(dict):
 
 def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Cut rows of these sizes into runs of at most ``most`` in all (a single larger row is a run)."""
-    start = at = total = 0
+    start = total = 0
+    end = 0
     for at, n in enumerate(sizes):
         if total and total + n > most:
             yield start, at
             start, total = at, 0
-        total += n
-    else:
-        if total or start < at + 1:
-            yield start, at + 1
+        total, end = total + n, at + 1
+    if start < end:
+        yield start, end
