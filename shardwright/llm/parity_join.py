@@ -47,7 +47,7 @@ from shardwright.llm.components import components
 SHINGLE = 5
 RATIO = 1.5
 ROUNDS = 6
-BITS = 1024  # of the smallest one-bit parity sketch
+BITS = 2048  # of the smallest one-bit parity sketch
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -328,9 +328,9 @@ def across(groups: DataFrame, cc: DataFrame, sketches: DataFrame, block: int = 1
     c = cc.select(F.col("node").alias("id"), "component")
     rows = stored(groups.join(c, "id", "left").select("g", "id", F.coalesce("component", "id").alias("c")), "parity-groups")
     prints = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"f{k}") for k in (1, 2)]
-    open_ = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), *prints).where("m > 2 and c0 < c1")
+    open_ = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("id").alias("lead"), *prints).where("m > 2 and c0 < c1")
     # groups of the same documents: one will do
-    open_ = stored(open_.groupBy("m", "f1", "f2").agg(F.min("g").alias("g")).select("g", "m"), "parity-open")
+    open_ = stored(open_.groupBy("m", "f1", "f2", "lead").agg(F.min("g").alias("g")).select("g", "m", "lead"), "parity-open")
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -341,11 +341,11 @@ def across(groups: DataFrame, cc: DataFrame, sketches: DataFrame, block: int = 1
     s = F.ceil(F.col("m") / block).cast("int")
     dealt = rows.join(open_, "g").withColumn("s", s).withColumn("own", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    dealt = dealt.select("g", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    dealt = dealt.select("g", "lead", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
     n = max(16, open_.agg(F.sum("m")).collect()[0][0] or 0)
-    tasks = max(16, n // 5000)
-    filled = dealt.join(sketches, "id").withColumn("t", F.pmod(F.xxhash64("g", "i", "j"), F.lit(tasks)))
+    tasks = max(16, n // 5000)  # blocks of groups with one least id go together: a pair that they share is given once
+    filled = dealt.join(sketches, "id").withColumn("t", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(tasks)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[int, int]] = set()
