@@ -235,7 +235,9 @@ class Mix:
         first = F.greatest(F.col("start"), F.col("block") * b)
         end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
         at = at.withColumns({"a": first - F.col("block") * b, "_end": end - F.col("block") * b, "from_word": first - F.col("start")})
-        mix = at.join(slot_table(self.rows.sparkSession, self.plan, self.shard_slots), ["source_no", "block"])
+        # Spark takes the slots for as small as the range that they are made from: without the hint it broadcasts them
+        slots = slot_table(self.rows.sparkSession, self.plan, self.shard_slots).hint("merge")
+        mix = at.join(slots, ["source_no", "block"])
         in_block = F.least(F.lit(b).cast("bigint"), F.col("source_size") - F.col("block") * b)
         mix = mix.withColumn("words", F.least(F.col("_end"), in_block - F.col("cut")) - F.col("a")).where("words > 0")
         return mix.select("shard", "slot", "pass_no", self.key, "source_no", "start", "size", "a", "from_word", "words")
