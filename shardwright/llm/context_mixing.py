@@ -10,8 +10,9 @@ the weights of a gate (how much the long contexts have seen, and how far into th
 is), squashed, and refined by an adaptive probability map, whose answer is averaged in.
 
 Learning is online and prequential: a task codes each run of its words with the counts of the
-runs before (weights and map learn from those predictions), then counts it.  The tasks' counts
-add up by slot, their weights are averaged by bits, their maps add up.  Tables have a fixed
+runs before, then counts it; weights and map learn from the predictions of one distinct word in
+``TEACH`` of each run.  The tasks' counts add up by slot, their weights are averaged by bits, their
+maps add up.  Tables have a fixed
 number of slots, so the model is bounded and every task may hold it; all training documents
 are counted.  Distinct words of a run are coded once, weighted by how often they occur.
 
@@ -33,6 +34,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -50,6 +52,7 @@ GATES = (48, 4)  # inside a word, at its start
 MAP = 33  # steps of the probability map, over stretched probabilities -8..8
 PART = 1 << 16  # slots that travel together
 HOT = 1 << 18
+TEACH = 32
 END = 10
 _NODES = np.array([[(1 << k) | (v >> (8 - k)) for k in range(8)] for v in range(256)], np.uint64)
 _BITS = np.array([[(v >> (7 - k)) & 1 for k in range(8)] for v in range(256)], np.uint8)
@@ -106,13 +109,13 @@ def slots(ctx: np.ndarray, values: np.ndarray, kind: int) -> np.ndarray:
 class Mixer:
     """Counts, weights and map.  ``weights[kind]``: (gates, predictors + 1)."""
 
-    n0: np.ndarray = field(default_factory=lambda: np.zeros(OFFSET[-1], np.uint32))
-    n1: np.ndarray = field(default_factory=lambda: np.zeros(OFFSET[-1], np.uint32))
+    n: np.ndarray = field(default_factory=lambda: np.zeros(2 * OFFSET[-1], np.uint32))  # zeros and ones of a slot side by side
     weights: list[np.ndarray] = field(default_factory=lambda: [np.full((GATES[k], len(b) + 1), 0.35, np.float32) for k, b in enumerate((INNER, START))])
     maps: np.ndarray = field(default_factory=lambda: np.zeros((2, 8, MAP, 2)))
     bits: float = 0.0
     moment: list = field(default_factory=lambda: [None, None])
     steps: list = field(default_factory=lambda: [0, 0])
+    frozen: tuple | None = None
 
     def __post_init__(self):
         for w in self.weights:
@@ -122,17 +125,37 @@ class Mixer:
         """Votes (predictors + 1, bits) and gates of bits at these slots."""
         x = np.empty((len(at) + 1, at.shape[1]), np.float32)
         seen = []
+        pairs = self.n.reshape(-1, 2)
         for k, a in enumerate(at):
-            one, zero = self.n1[a].astype(np.float32), self.n0[a].astype(np.float32)
-            x[k] = np.log((one + np.float32(D)) / (zero + np.float32(D)))
+            if self.frozen is not None:
+                x[k] = self.frozen[0][a]
+                if k >= len(at) - 2:
+                    seen.append(self.frozen[1][a])
+                continue
+            both = pairs[a].astype(np.float32)
+            x[k] = np.log((both[:, 1] + np.float32(D)) / (both[:, 0] + np.float32(D)))
             if k >= len(at) - 2:
-                seen.append(one + zero)
+                seen.append(self.level(both.sum(1)))
         x[-1] = 1
-        gate = (seen[1] > 0).astype(np.int64) + (seen[1] > 2) + (seen[1] > 15)
+        gate = seen[1].astype(np.int64)
         if kind == 0:
-            gate = (gate * 3 + (seen[0] > 0) + (seen[0] > 3)) * 4 + np.repeat(np.minimum(place, 4) - 1, 8)
+            gate = (gate * 3 + np.minimum(seen[0], 2)) * 4 + np.repeat(np.minimum(place, 4) - 1, 8)
         return x, gate
 
+    @staticmethod
+    def level(seen: np.ndarray) -> np.ndarray:
+        """How often a context was seen: never, once or twice, up to 15 times, more."""
+        return (seen > 0).astype(np.uint8) + (seen > 2) + (seen > 15)
+
+    def freeze(self) -> None:
+        pairs = self.n.reshape(-1, 2)
+        votes, level = np.empty(len(pairs), np.float32), np.empty(len(pairs), np.uint8)
+        for a in range(0, len(pairs), 1 << 20):
+            both = pairs[a : a + (1 << 20)].astype(np.float32)
+            votes[a : a + len(both)] = np.log((both[:, 1] + np.float32(D)) / (both[:, 0] + np.float32(D)))
+            level[a : a + len(both)] = self.level(both.sum(1))
+        self.frozen, self.n = (votes, level), self.n[:2].copy()
+
     def refine(self, z: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of a one after the map; also the map's row and step of each bit."""
         p = 1 / (1 + np.exp(-z))
@@ -171,34 +194,66 @@ class Mixer:
         self.maps[kind] += flat.reshape(8, MAP, 2)
         self.bits += float(times.sum())
 
-    def count(self, ctx: np.ndarray, values: np.ndarray, kind: int, times: np.ndarray, run: int = 1 << 17) -> None:
+    def count(self, ctx: np.ndarray, values: np.ndarray, kind: int, times: np.ndarray, run: int = 1 << 15) -> None:
         for a in range(0, len(values), run):
             v, t = values[a : a + run], np.repeat(times[a : a + run], 8).astype(np.uint32)
-            bit = _BITS[v].ravel().astype(bool)
+            bit = _BITS[v].ravel().astype(np.int64)
             for at in slots(ctx[a : a + run], v, kind):
-                np.add.at(self.n1, at[bit], t[bit])
-                np.add.at(self.n0, at[~bit], t[~bit])
-
-
-def start_units(words_of: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts of texts, end symbols included: contexts (starts, 3), first byte, number of the text."""
-    n = np.fromiter(map(len, words_of), np.int64, len(words_of)) + 1
-    firsts = np.frombuffer(b"".join(bytes([w[0] for w in ws]) + b"\n" for ws in words_of), np.uint8)
-    tails = np.frombuffer(b"".join(b"\0\0" + b"".join([w[-2:].rjust(2) for w in ws]) for ws in words_of), "<u2").astype(np.uint64)
-    memo: dict[bytes, int] = {}
-    for ws in words_of:
-        for w in ws:
-            if w not in memo:
-                memo[w] = word_hash(w)
-    whole = np.fromiter((h for ws in words_of for h in (0, *map(memo.__getitem__, ws))), np.uint64, int(n.sum()))
-    return np.stack([np.zeros_like(whole), tails + np.uint64(1), whole], 1), firsts, np.repeat(np.arange(len(words_of)), n)
+                np.add.at(self.n, at * 2 + bit, t)
 
 
-def distinct_starts(ctx: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(one place of each distinct start, which of them each is, how often)."""
-    key = mix64(ctx[:, 2] + firsts.astype(np.uint64) * _PHI)
-    _, at, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return at, which, times
+@dataclass
+class Tokens:
+    """Words of texts as numbers: ``words`` distinct, ``at`` the number of each word, ``n`` words by text."""
+
+    words: list[bytes]
+    at: np.ndarray
+    n: np.ndarray
+
+    def sequence(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens with the end symbols (numbered len(words)), the token before each (len(words) + 1
+        at a text's beginning), the number of the text."""
+        text = np.repeat(np.arange(len(self.n)), self.n + 1)
+        last = np.cumsum(self.n + 1) - 1
+        seq = np.empty(len(text), np.int64)
+        inside = np.ones(len(text), bool)
+        inside[last] = False
+        seq[inside], seq[last] = self.at, len(self.words)
+        before = np.concatenate([[0], seq[:-1]])
+        before[last - self.n] = len(self.words) + 1
+        return seq, before, text
+
+
+def tokens_of(texts: pa.Array) -> Tokens:
+    """Texts (binary, without nulls), A-Z lower-cased and cut at white space, by array operations."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    edge = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().view(pa.binary()).dictionary_encode()
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    edge = edge - edge[0]
+    if b"" in words:  # from white space at an end of a text
+        gone = words.index(b"")
+        keep = at != gone
+        edge = np.concatenate([[0], np.cumsum(keep)])[edge]
+        at = at[keep]
+        at -= at > gone
+        del words[gone]
+    return Tokens(words, at, np.diff(edge))
+
+
+class Starts:
+    """First bytes of tokens by the token before: the distinct ones, and which of them each token has."""
+
+    def __init__(self, t: Tokens):
+        seq, before, self.text = t.sequence()
+        first = np.frombuffer(bytes([w[0] for w in t.words]) + b"\n", np.uint8)
+        tail = np.frombuffer(b"".join([w[-2:].rjust(2) for w in t.words]) + b"\0\0\0\0", "<u2").astype(np.uint64)
+        whole = np.array([*map(word_hash, t.words), 0, 0], np.uint64)
+        _, at, self.which, self.times = np.unique(before * 256 + first[seq], return_index=True, return_inverse=True, return_counts=True)
+        b = before[at]
+        self.first = first[seq[at]]
+        self.ctx = np.stack([np.zeros(len(b), np.uint64), tail[b] + np.uint64(1), whole[b]], 1)
+        self.place = np.zeros(len(b), np.int64)
 
 
 class Learner:
@@ -207,48 +262,51 @@ class Learner:
     def __init__(self):
         self.mixer, self.words, self.run = Mixer(), Counter(), 2_000
 
-    def add(self, words_of: list[list[bytes]]) -> None:
-        for ws in words_of:
-            self.words.update(ws)
-        ctx, firsts, _ = start_units(words_of)
-        at, _, times = distinct_starts(ctx, firsts)
-        part = slice(None, None, 8)  # of the distinct starts, all are counted, an eighth also teaches the weights
-        self.mixer.code(ctx[at[part]], firsts[at[part]], 1, np.zeros(len(at[part]), np.int64), times[part])
-        self.mixer.count(ctx[at], firsts[at], 1, times)
+    def add(self, t: Tokens) -> None:
+        for w, c in zip(t.words, np.bincount(t.at, minlength=len(t.words)).tolist()):
+            self.words[w] += c
+        s = Starts(t)
+        teach = slice(None, None, TEACH)
+        self.mixer.code(s.ctx[teach], s.first[teach], 1, s.place[teach], s.times[teach])
+        self.mixer.count(s.ctx, s.first, 1, s.times)
         if len(self.words) >= self.run:
             self.flush()
 
     def flush(self) -> None:
-        if not self.words:
-            return
-        words, times = list(self.words), np.fromiter(self.words.values(), np.int64, len(self.words))
+        words = sorted(self.words)  # neighbours share their first bytes, and so the slots of those
+        times = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         for a, b in slices([len(w) + 1 for w in words], 1 << 20):
             values, ctx, place, which = inner_contexts(words[a:b])
             t = times[a:b][which]
-            self.mixer.code(ctx, values, 0, place, t)
+            teach = mix64(which) % np.uint64(TEACH) == 0
+            self.mixer.code(ctx[teach], values[teach], 0, place[teach], t[teach])
             self.mixer.count(ctx, values, 0, t)
         self.words.clear()
-        self.run = min(self.run * 4, 200_000)
+        self.run = min(self.run * 4, 500_000)
 
 
 @dataclass
 class Model:
+    """A mixer that learns no more: votes and what contexts have seen are looked up ready-made."""
+
     mixer: Mixer
 
+    def __post_init__(self):
+        self.mixer.freeze()
+
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """ln probability of each word after its first byte, its space included."""
-        out = np.zeros(len(words))
+        out, order = np.zeros(len(words)), sorted(range(len(words)), key=words.__getitem__)
+        words = [words[i] for i in order]
         for a, b in slices([len(w) + 1 for w in words], 1 << 20):
             values, ctx, place, which = inner_contexts(words[a:b])
-            out[a:b] = np.bincount(which, self.mixer.code(ctx, values, 0, place), b - a)
+            out[order[a:b]] = np.bincount(which, self.mixer.code(ctx, values, 0, place), b - a)
         return out
 
-    def start_scores(self, words_of: list[list[bytes]]) -> np.ndarray:
+    def start_scores(self, t: Tokens) -> np.ndarray:
         """ln probability of all word starts and the end, by text."""
-        ctx, firsts, text = start_units(words_of)
-        at, which, _ = distinct_starts(ctx, firsts)
-        p = self.mixer.code(ctx[at], firsts[at], 1, np.zeros(len(at), np.int64))
-        return np.bincount(text, p[which], len(words_of))
+        s = Starts(t)
+        return np.bincount(s.text, self.mixer.code(s.ctx, s.first, 1, s.place)[s.which], len(t.n))
 
 
 # ---------------------------------------------------------------- the job
@@ -285,25 +343,22 @@ def learn(docs: DataFrame, n_buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, some = Learner(), False
         for b in batches:
-            texts = [x or b"" for x in b.column(0).to_pylist()]
-            counts: Counter = Counter()
-            for a, z in slices([len(x) + 1 for x in texts], 4 << 20):
-                words_of = [x.lower().split() for x in texts[a:z]]
-                for ws in words_of:
-                    counts.update(ws)
-                learner.add(words_of)
+            raw = b.column(0).fill_null(b"")
+            for a, z in slices(pc.binary_length(raw).to_pylist(), 8 << 20):
+                t = tokens_of(raw.slice(a, z - a))
+                learner.add(t)
                 some = True
-            counts[b"\n"] = len(texts)  # the end symbols
-            h = np.fromiter(map(word_hash, counts), np.uint64, len(counts))
-            n = np.fromiter(counts.values(), np.int64, len(counts))
-            for part, at in _word_parts(h, n_buckets):
-                yield _row(0, part, h[at].tobytes(), n[at].astype("<u4").tobytes())
+                h = np.array([*map(word_hash, t.words), word_hash(b"\n")], np.uint64)
+                n = np.append(np.bincount(t.at, minlength=len(t.words)), len(t.n))  # the end symbols last
+                for part, at in _word_parts(h, n_buckets):
+                    yield _row(0, part, h[at].tobytes(), n[at].astype("<u4").tobytes())
+            pa.default_memory_pool().release_unused()
         if some:
             learner.flush()
             m = learner.mixer
-            for k in range(0, len(m.n0), PART):
-                if m.n0[k : k + PART].any() or m.n1[k : k + PART].any():
-                    yield _row(1, k // PART, _zip(m.n0[k : k + PART]), _zip(m.n1[k : k + PART]))
+            for k in range(0, len(m.n), PART):
+                if m.n[k : k + PART].any():
+                    yield _row(1, k // PART, _zip(m.n[k : k + PART]), b"")
             weights = np.concatenate([w.ravel().astype(float) * m.bits for w in m.weights] + [[m.bits]])
             yield _row(2, TaskContext.get().partitionId() % 32, weights.tobytes(), m.maps.tobytes())
 
@@ -315,7 +370,10 @@ def learn(docs: DataFrame, n_buckets: int) -> DataFrame:
             u, at = np.unique(h, return_inverse=True)
             x, y = u.tobytes(), np.bincount(at, n, len(u)).astype("<i8").tobytes()
         elif kind == 1:
-            x, y = (_zip(np.sum([_unzip(v, np.uint32) for v in pdf[c]], axis=0, dtype=np.uint64).clip(0, 2**31).astype(np.uint32)) for c in "xy")
+            all_ = np.zeros(len(_unzip(pdf["x"].iloc[0], np.uint32)), np.uint64)
+            for v in pdf["x"]:
+                all_ += _unzip(v, np.uint32)
+            x, y = _zip(all_.clip(0, 2**31).astype(np.uint32)), b""
         else:
             x, y = (np.sum([np.frombuffer(v) for v in pdf[c]], axis=0).tobytes() for c in "xy")
         return pd.DataFrame({"kind": [kind], "part": [part], "x": [x], "y": [y]})
@@ -339,8 +397,8 @@ def _load(shared) -> Model:
     if shared.value["id"] not in _LOADED:
         _LOADED.clear()
         m, got = Mixer(), shared.value
-        for part, (x, y) in got["parts"].items():
-            m.n0[part * PART : part * PART + PART], m.n1[part * PART : part * PART + PART] = _unzip(x, np.uint32), _unzip(y, np.uint32)
+        for part, (x, _) in got["parts"].items():
+            m.n[part * PART : part * PART + PART] = _unzip(x, np.uint32)
         if got["weights"] is not None and got["weights"][-1]:
             w = (got["weights"][:-1] / got["weights"][-1]).astype(np.float32)
             cut = m.weights[0].size
@@ -399,37 +457,42 @@ def scores(docs: DataFrame, held_out: int = 7, held: int = 2, bucket_words: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = _load(shared)
         hot, hot_n = shared_hot.value
-        memo: dict[bytes, int] = {}  # word -> place in these:
+        memo = pa.array([], pa.binary())  # known words; by their places:
         known, count, hashes = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         batch = TaskContext.get().partitionId() << 32
         for b in batches:
-            keys, texts, marks = b.column(0), [x or b"" for x in b.column(1).to_pylist()], b.column(2)
-            for a, z in slices([len(x) + 1 for x in texts], 4 << 20):
-                words_of = [x.lower().split() for x in texts[a:z]]
-                if len(memo) > 600_000:
-                    memo.clear()
-                    known, count, hashes = known[:0], count[:0], hashes[:0]
-                new = list(set().union(*words_of, [b"\n"]) - memo.keys())
-                if new:
+            keys, raw, marks = b.column(0), b.column(1).fill_null(b""), b.column(2)
+            for a, z in slices(pc.binary_length(raw).to_pylist(), 8 << 20):
+                t = tokens_of(raw.slice(a, z - a))
+                names = [*t.words, b"\n"]  # the end symbol is numbered as in its sequence
+                if len(memo) > 1_200_000:
+                    memo, known, count, hashes = memo[:0], known[:0], count[:0], hashes[:0]
+                column = pa.array(names, pa.binary())
+                place = pc.index_in(column, value_set=memo).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                fresh = np.flatnonzero(place < 0)
+                if len(fresh):
+                    new = [names[i] for i in fresh.tolist()]
                     h = np.fromiter(map(word_hash, new), np.uint64, len(new))
                     at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
                     c = np.where(hot[at] == h, hot_n[at], -1) if len(hot) else np.full(len(new), -1)
-                    memo.update(zip(new, range(len(memo), len(memo) + len(new))))
+                    place[fresh] = len(memo) + np.arange(len(new))
+                    memo = pa.concat_arrays([memo, column.take(pa.array(fresh))])
                     spelled = lm.word_scores(new)
                     spelled[[i for i, w in enumerate(new) if w == b"\n"]] = 0
                     known, count, hashes = np.concatenate([known, spelled]), np.concatenate([count, c]), np.concatenate([hashes, h])
-                n = np.array([len(ws) + 1 for ws in words_of])
-                doc = np.repeat(np.arange(len(words_of)), n)
-                token = np.fromiter((i for ws in words_of for i in (*map(memo.__getitem__, ws), memo[b"\n"])), np.int64, int(n.sum()))
+                n = t.n + 1
+                seq, _, doc = t.sequence()
+                token = place[seq]
                 c = count[token]
-                score = np.bincount(doc, known[token], len(n)) + lm.start_scores(words_of)
+                score = np.bincount(doc, known[token], len(n)) + lm.start_scores(t)
                 base = np.bincount(doc, np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0), len(n))
                 seen = np.bincount(doc, c > 0, len(n)).astype(np.int64)
-                size = np.array([sum(map(len, ws)) + len(ws) + 1 for ws in words_of])
+                long = np.array([len(w) + 1 for w in t.words] + [1])
+                size = np.bincount(doc, long[seq], len(n)).astype(np.int64)
                 head = pd.DataFrame({"doc_id": keys.slice(a, z - a).fill_null(0).to_numpy(zero_copy_only=False), "no_id": keys.slice(a, z - a).is_null().to_numpy(zero_copy_only=False), "held": marks.slice(a, z - a).to_pandas(), "n": n, "size": size, "score": score, "base": base, "seen": seen})
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, (t := pa.Table.from_pandas(head, preserve_index=False)).schema) as w:
-                    w.write_table(t)
+                with pa.ipc.new_stream(sink, (table := pa.Table.from_pandas(head, preserve_index=False)).schema) as w:
+                    w.write_table(table)
                 yield _entry(batch % n_buckets, 0, batch, sink.getvalue().to_pybytes(), b"", b"")
                 cold = c < 0
                 word, at = np.unique(token[cold], return_inverse=True)

@@ -81,11 +81,23 @@ def test_base_score_matches_brute_force(spark, request, table):
 
 def learnt(texts):
     learner = M.Learner()
-    learner.add([t.split() for t in texts])
+    for t in texts:
+        learner.add(toks([t]))
     learner.flush()
     return M.Model(learner.mixer)
 
 
+def toks(texts):
+    import pyarrow as pa
+
+    return M.tokens_of(pa.array(texts, pa.binary()))
+
+
+def test_tokens():
+    t = toks([b" A b\t\nc ", b"", b"x\x0b\x0cy \x1c z\x85", b"  ", b"\xff\xfe q", b"a"])
+    assert t.n.tolist() == [3, 0, 4, 0, 2, 1] and [t.words[i] for i in t.at] == b"a b c x y \x1c z\x85 \xff\xfe q a".split(b" ")
+
+
 def test_bits_are_a_distribution():
     """The probabilities of all continuations of a context add up to one."""
     m = learnt([prose(i, 200).encode() for i in range(20)])
@@ -97,7 +109,7 @@ def test_bits_are_a_distribution():
 
 def test_learning_beats_no_learning():
     train, test = [prose(i, 300).encode() for i in range(30)], prose(99, 200).encode().split()
-    score = lambda m: m.word_scores(test).sum() + m.start_scores([test]).sum()
+    score = lambda m: m.word_scores(test).sum() + m.start_scores(toks([b" ".join(test)])).sum()
     some, none = score(learnt(train)), score(M.Model(M.Mixer()))
     assert some > 0.5 * none  # less than half of the bits
 
@@ -106,4 +118,5 @@ def test_word_scores_do_not_depend_on_company():
     m = learnt([prose(i, 100).encode() for i in range(10)])
     words = prose(50, 40).encode().split()
     assert np.allclose(m.word_scores(words), [m.word_scores([w])[0] for w in words])
-    assert np.allclose(m.start_scores([words, words[:5], []])[1:], [m.start_scores([words[:5]])[0], m.start_scores([[]])[0]])
+    some = b" ".join(words[:5])
+    assert np.allclose(m.start_scores(toks([b" ".join(words), some, b""]))[1:], [m.start_scores(toks([some]))[0], m.start_scores(toks([b""]))[0]])
