@@ -4,15 +4,15 @@
 2. Normalised vectors x are hashed by ``floor((a.x + b) / w)``, a from the normal (2-stable) law;
    K such values are a table's key, and L tables are kept.  A pair at cosine c has distance
    ``sqrt(2 - 2c)`` and shares a table's key with probability p(distance)^K.  K follows from
-   the number of vectors (unrelated vectors are to share a key about ``company`` times a table), L from
-   the share of pairs at exactly the threshold that may be missed (``miss``); pairs above it are
-   found more surely still.
-3. Only ids and keys are shuffled to find the buckets with company; only their vectors follow.
-   A bucket of more than ``block`` members is dealt over block pairs, so no task holds it whole.
-4. A task computes exact cosines in double precision inside its block.  A pair that shares
-   several tables counts in the first one (all keys are known from the vectors), so links are
-   summed without a list of pairs.  Each block gives its members' link counts and a spanning star
-   of each of its components: rows in proportion to members, not pairs.
+   the number of vectors (a bucket is to hold about ``company`` unrelated ones), L from the share of
+   pairs at exactly the threshold that may be missed (``miss``); pairs above it are found more surely.
+3. Only ids and keys are shuffled to find the buckets with company; only their vectors follow.  A
+   bucket of more than ``block`` members is dealt over pairs of sub-blocks, so no task holds it whole.
+4. A task computes the exact cosines of a block in double precision and gives a star for each
+   of the components that its links form: rows in proportion to members, not pairs.
+5. The stars' components hold all links between them.  The cosines inside each component, again in
+   blocks, give the number of links of every vector, each pair once; so a pair that shares no bucket
+   counts as well if other links connect it.
 
 Defined cases: a vector that is null, empty, zero, or has null or non-finite parts links with
 nothing and is its own component.  A null id links with nothing, has no component and is kept.
@@ -59,7 +59,7 @@ class Tables:
         return mix64((q * salt).sum(2, dtype=np.uint64)).view(np.int64)
 
 
-def plan_tables(rows: int, threshold: float, w: float = 2.5, company: float = 2.0, miss: float = 0.002, seed: int = 5) -> Tables:
+def plan_tables(rows: int, threshold: float, w: float = 2.5, company: float = 256.0, miss: float = 0.01, seed: int = 5) -> Tables:
     near, far = collision(math.sqrt(2 - 2 * threshold), w), collision(math.sqrt(2), w)
     k = max(8, math.ceil(math.log(max(rows, 1) / company) / -math.log(far)))
     return Tables(k, math.ceil(math.log(miss) / math.log1p(-(near**k))), w, seed)
@@ -70,34 +70,35 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def block_links(x: np.ndarray, keys: np.ndarray, own: np.ndarray, copies: np.ndarray, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each row of a block and the first row of its component in the block.
-    ``own``: 0 or 1, the sub-block of each row; in a mixed block only pairs of both count."""
-    n, links = len(x), np.zeros(len(x), np.int64)
-    mixed = own.min() != own.max()
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a in range(0, n, 256):
-        near = (x[a : a + 256] @ x.T) >= threshold
-        i, j = np.nonzero(near)
-        i += a
-        ok = (i < j) & ((own[i] != own[j]) if mixed else True)
-        i, j = i[ok], j[ok]
-        if len(i) and table:  # pairs that share an earlier table are counted there
-            fresh = ~np.concatenate([(keys[i[s : s + 50_000], :table] == keys[j[s : s + 50_000], :table]).any(1) for s in range(0, len(i), 50_000)])
-            i, j = i[fresh], j[fresh]
-        links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
-        for p, q in zip(i.tolist(), j.tolist()):
-            p, q = find(p), find(q)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-    return links, np.array([find(i) for i in range(n)])
+def block_roots(x: np.ndarray, threshold: float) -> np.ndarray:
+    """The first row of each row's component, of the links inside a block."""
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, True)
+    root = np.arange(len(x))
+    while True:  # labels run along links; each round also jumps to the label's own label
+        new = np.where(near, root[None, :], len(x)).min(1)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _runs(key: np.ndarray) -> list[np.ndarray]:
+    """Places of equal keys."""
+    order = np.argsort(key, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+
+
+def in_blocks(rows: DataFrame, by: list[str], size: str, block: int, per_task: int, total: int) -> DataFrame:
+    """Deal rows(by, rep, size of the group) over the blocks of their group: a group of s sub-blocks has
+    a block for every pair of them, and a row goes to the s blocks of its own.  Adds ``blk`` (the
+    block), ``side`` (0: the sub-block of lower number) and ``g`` (what a task takes at a time)."""
+    s = F.ceil(F.col(size) / block).cast("int")
+    dealt = rows.withColumn("_s", s).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_s")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    dealt = dealt.withColumn("blk", F.xxhash64(*by, F.least("_own", "_other"), F.greatest("_own", "_other")))
+    dealt = dealt.withColumn("side", (F.col("_own") > F.col("_other")).cast("int"))
+    return dealt.withColumn("g", F.pmod("blk", F.lit(max(16, total // per_task)))).select("g", "blk", "rep", "side")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, tables: Tables | None = None) -> DataFrame:
@@ -107,7 +108,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
     ok = F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", F.when(ok, F.xxhash64("embedding")).alias("h1"), F.when(ok, F.hash("embedding")).alias("h2"))
     first = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "embedding")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    reps = stored(first.select("h1", "h2", F.col("f.vec_id").alias("rep"), "copies", F.col("f.embedding").cast("array<double>").alias("x")), "lsh-vectors")
+    reps = stored(first.select("h1", "h2", F.col("f.vec_id").alias("rep"), "copies", F.col("f.embedding").alias("x")), "lsh-vectors")
     n = reps.count()
     t = tables or plan_tables(n, threshold)
 
@@ -124,41 +125,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
 
     sig = stored(spread(reps.select("rep", "x"), "rep").mapInArrow(hash_rows, "rep long, t int, key long, dim int"), "lsh-keys")
     full = stored(sig.groupBy("t", "key", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lsh-buckets")
-    # a bucket of n members has s sub-blocks; block (i, j), i <= j, compares the sub-blocks i and j
-    s = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("s")).cast("int")
-    dealt = sig.join(full, ["t", "key", "dim"]).withColumn("s", s).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    dealt = dealt.select("rep", "t", "key", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    groups = max(16, n // 500)  # groups a task handles at a time: rows in proportion to the input
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("t", "key", "dim", "i", "j"), F.lit(groups)))
-    filled = dealt.join(reps.select("rep", "x", "copies"), "rep")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (table, _, _, _, _), at in pdf.groupby(["t", "key", "dim", "i", "j"], sort=False).indices.items():
-            if len(at) < 2:
-                continue
-            x = _unit(pdf["x"].values[at].tolist())
-            near = x[:1] @ x.T if len(at) == 2 else None
-            if near is not None and near[0, 1] < threshold:
-                continue
-            ids, side, copies = (pdf[c].values[at] for c in ("rep", "side", "copies"))
-            order = np.argsort(ids)
-            ids, x = ids[order], x[order]
-            links, root = block_links(x, t.keys(x) if table else np.zeros((len(at), 0)), side[order], copies[order], int(table), threshold)
-            some = links > 0
-            out.append(np.stack([ids[some], links[some], ids[root[some]]], 1))
-        got = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-        return pd.DataFrame(got, columns=["rep", "links", "root"])
-
-    found = stored(filled.groupBy("g").applyInPandas(compare, "rep long, links long, root long"), "lsh-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    dealt = in_blocks(sig.join(full, ["t", "key", "dim"]), ["t", "key", "dim"], "n", block, 20_000, n * t.n)
+
+    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, out = pdf["rep"].to_numpy(), pdf["x"].to_numpy(), []
+        for at in _runs(pdf["blk"].to_numpy()):
+            at = at[np.argsort(ids[at])]
+            root = ids[at][block_roots(_unit(list(x[at])), threshold)]
+            some = root != ids[at]
+            out.append(np.stack([ids[at][some], root[some]], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["u", "v"])
+
+    stars = dealt.join(reps.select("rep", "x"), "rep").groupBy("g").applyInPandas(connect, "u long, v long")
+    cc = stored(components(stars), "lsh-components")
+    sizes = stored(cc.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "lsh-sizes")
+    inside = in_blocks(cc.withColumnRenamed("node", "rep").join(sizes, "component"), ["component"], "n", block, 20_000, n)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, side, copies, out = *(pdf[c].to_numpy() for c in ("rep", "x", "side", "copies")), []
+        for at in _runs(pdf["blk"].to_numpy()):
+            unit = _unit(list(x[at]))
+            near = unit @ unit.T >= threshold
+            np.fill_diagonal(near, False)
+            if side[at].min() != side[at].max():  # a block of two sub-blocks: pairs inside one are another block's
+                near &= side[at][:, None] != side[at][None, :]
+            out.append(np.stack([ids[at], near @ copies[at]], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["rep", "links"])
+
+    links = inside.join(reps.select("rep", "x", "copies"), "rep").groupBy("g").applyInPandas(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     by_rep = reps.select("h1", "h2", "rep", "copies").join(links, "rep", "left")
     marked = rows.select("vec_id", "h1", "h2").join(by_rep, ["h1", "h2"], "left")
     marked = stored(marked.select("vec_id", "rep", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links")), "lsh-rows")
-    edges = found.select(F.col("rep").alias("u"), F.col("root").alias("v")).union(marked.where("rep is not null").select(F.col("vec_id").alias("u"), F.col("rep").alias("v")))
-    cc = components(edges.where("u <> v"))
-    out = marked.join(cc, F.col("vec_id") == F.col("node"), "left")
+    # a row's component is that of its vector; rows of one id may join several
+    by_id = marked.where("rep is not null and vec_id <> rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v")).distinct()
+    joined = components(by_id.union(cc.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    out = marked.join(joined, F.col("vec_id") == F.col("node"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", "n_links", component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
