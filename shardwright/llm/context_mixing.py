@@ -3,18 +3,18 @@
 The scored stream of a text is its words (A-Z lower-cased), a space after each, and a newline as the end.
 Bytes are coded bit by bit, most significant first.  A predictor is a table of zero and one
 counts, addressed by a hash of its context and of the bits of this byte so far; it votes with
-``ln((n1 + D) / (n0 + D))``.  Inside a word the contexts are the last 1, 2, 3 and 4 bytes of
-the word and all of its bytes so far; a word's first byte has the order-0 context of word
-starts, the last two bytes of the word before, and the whole word before.  The votes are summed with
-the weights of a gate (how much the long contexts have seen, and how far into the word the bit
-is), squashed, and refined by an adaptive probability map, whose answer is averaged in.
+``ln((n1 + D) / (n0 + D))``.  Inside a word the contexts are the last 2, 3 and 4 bytes of the word
+and all of its bytes so far; a word's first byte has the order-0 context of word starts, the last
+two bytes of the word before, and the whole word before.  The votes are summed with the weights of
+a gate (how much the long contexts have seen, and how far into the word the bit is), squashed, and
+refined by an adaptive probability map, whose answer is averaged in.
 
 Learning is online and prequential: a task codes each run of its words with the counts of the
 runs before, then counts it; weights and map learn from the predictions of one distinct word in
 ``TEACH`` of each run.  The tasks' counts add up by slot, their weights are averaged by bits, their
-maps add up.  Tables have a fixed
-number of slots, so the model is bounded and every task may hold it; all training documents
-are counted.  Distinct words of a run are coded once, weighted by how often they occur.
+maps add up.  Tables have a fixed number of slots, so the model is bounded and every task may hold
+it; all training documents are counted.  Distinct words of a run are coded once, weighted by how
+often they occur.
 
 The add-one unigram base needs exact counts of an unbounded vocabulary: word hashes (64 bits)
 and counts are summed by bucket; the ``HOT`` most frequent words go to every task, the rest of a
@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from shardwright.llm.common import id_bucket, mix64, slices, spread, stored, text_bytes
 
 D = 0.2
-#: log2 of the slots of each predictor: five inside a word, three at its start.
-INNER, START = (16, 18, 20, 21, 22), (16, 18, 20)
+#: log2 of the slots of each predictor: four inside a word, three at its start.
+INNER, START = (18, 20, 21, 22), (16, 18, 20)
 SLOTS = INNER + START
 OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in SLOTS])])
 GATES = (48, 4)  # inside a word, at its start
@@ -69,7 +69,7 @@ def word_hash(word: bytes) -> int:
 
 def inner_contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the bytes after the first of each word and the space behind it: values, contexts
-    (bytes, 5), place in the word, number of the word."""
+    (bytes, 4), place in the word, number of the word."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     s = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(n + 1)[:-1]])
@@ -86,7 +86,7 @@ def inner_contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     prefix = before[:-1] - before[first[which]]
     two = last[0] | last[1] << np.uint64(8)
     three = two | last[2] << np.uint64(16)
-    ctx = np.stack([last[0], two, three, three | last[3] << np.uint64(24), prefix], 1)
+    ctx = np.stack([two, three, three | last[3] << np.uint64(24), prefix], 1)
     keep = j > 0
     return s[keep].astype(np.uint8), ctx[keep], j[keep], which[keep]
 
@@ -293,6 +293,31 @@ class Model:
 
     def __post_init__(self):
         self.mixer.freeze()
+        self.forget()
+
+    def forget(self) -> None:
+        """Words scored so far (``names``), and by their places: ln probability, count (-1: not hot), hash."""
+        self.names = pa.array([], pa.binary())
+        self.known, self.count, self.hashes = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def places(self, names: list[bytes], hot: np.ndarray, hot_n: np.ndarray) -> np.ndarray:
+        """Places of distinct words; new ones are scored.  Kept from task to task of a Python worker."""
+        if len(self.names) > 2_500_000:
+            self.forget()
+        column = pa.array(names, pa.binary())
+        place = pc.index_in(column, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = [names[i] for i in fresh.tolist()]
+            h = np.fromiter(map(word_hash, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+            c = np.where(hot[at] == h, hot_n[at], -1) if len(hot) else np.full(len(new), -1)
+            spelled = self.word_scores(new)
+            spelled[[i for i, w in enumerate(new) if w == b"\n"]] = 0
+            place[fresh] = len(self.names) + np.arange(len(new))
+            self.names = pa.concat_arrays([self.names, column.take(pa.array(fresh))])
+            self.known, self.count, self.hashes = np.concatenate([self.known, spelled]), np.concatenate([self.count, c]), np.concatenate([self.hashes, h])
+        return place
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """ln probability of each word after its first byte, its space included."""
@@ -457,29 +482,14 @@ def scores(docs: DataFrame, held_out: int = 7, held: int = 2, bucket_words: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = _load(shared)
         hot, hot_n = shared_hot.value
-        memo = pa.array([], pa.binary())  # known words; by their places:
-        known, count, hashes = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         batch = TaskContext.get().partitionId() << 32
         for b in batches:
             keys, raw, marks = b.column(0), b.column(1).fill_null(b""), b.column(2)
             for a, z in slices(pc.binary_length(raw).to_pylist(), 8 << 20):
                 t = tokens_of(raw.slice(a, z - a))
                 names = [*t.words, b"\n"]  # the end symbol is numbered as in its sequence
-                if len(memo) > 1_200_000:
-                    memo, known, count, hashes = memo[:0], known[:0], count[:0], hashes[:0]
-                column = pa.array(names, pa.binary())
-                place = pc.index_in(column, value_set=memo).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                fresh = np.flatnonzero(place < 0)
-                if len(fresh):
-                    new = [names[i] for i in fresh.tolist()]
-                    h = np.fromiter(map(word_hash, new), np.uint64, len(new))
-                    at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
-                    c = np.where(hot[at] == h, hot_n[at], -1) if len(hot) else np.full(len(new), -1)
-                    place[fresh] = len(memo) + np.arange(len(new))
-                    memo = pa.concat_arrays([memo, column.take(pa.array(fresh))])
-                    spelled = lm.word_scores(new)
-                    spelled[[i for i, w in enumerate(new) if w == b"\n"]] = 0
-                    known, count, hashes = np.concatenate([known, spelled]), np.concatenate([count, c]), np.concatenate([hashes, h])
+                place = lm.places(names, hot, hot_n)
+                known, count, hashes = lm.known, lm.count, lm.hashes
                 n = t.n + 1
                 seq, _, doc = t.sequence()
                 token = place[seq]
