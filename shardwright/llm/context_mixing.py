@@ -10,8 +10,8 @@ a gate (how much the long contexts have seen, and how far into the word the bit
 refined by an adaptive probability map, whose answer is averaged in.
 
 Learning is online and prequential: a task codes each run of its words with the counts of the
-runs before, then counts it; weights and map learn from the predictions of one distinct word in
-``TEACH`` of each run.  The tasks' counts add up by slot, their weights are averaged by bits, their
+runs before, then counts it; weights and map learn from the predictions of all its words and word
+starts.  The tasks' counts add up by slot, their weights are averaged by bits, their
 maps add up.  Tables have a fixed number of slots, so the model is bounded and every task may hold
 it; all training documents are counted.  Distinct words of a run are coded once, weighted by how
 often they occur.
@@ -52,7 +52,6 @@ GATES = (48, 4)  # inside a word, at its start
 MAP = 33  # steps of the probability map, over stretched probabilities -8..8
 PART = 1 << 16  # slots that travel together
 HOT = 1 << 18
-TEACH = 32
 END = 10
 _NODES = np.array([[(1 << k) | (v >> (8 - k)) for k in range(8)] for v in range(256)], np.uint64)
 _BITS = np.array([[(v >> (7 - k)) & 1 for k in range(8)] for v in range(256)], np.uint8)
@@ -266,8 +265,7 @@ class Learner:
         for w, c in zip(t.words, np.bincount(t.at, minlength=len(t.words)).tolist()):
             self.words[w] += c
         s = Starts(t)
-        teach = slice(None, None, TEACH)
-        self.mixer.code(s.ctx[teach], s.first[teach], 1, s.place[teach], s.times[teach])
+        self.mixer.code(s.ctx, s.first, 1, s.place, s.times)
         self.mixer.count(s.ctx, s.first, 1, s.times)
         if len(self.words) >= self.run:
             self.flush()
@@ -278,8 +276,7 @@ class Learner:
         for a, b in slices([len(w) + 1 for w in words], 1 << 20):
             values, ctx, place, which = inner_contexts(words[a:b])
             t = times[a:b][which]
-            teach = mix64(which) % np.uint64(TEACH) == 0
-            self.mixer.code(ctx[teach], values[teach], 0, place[teach], t[teach])
+            self.mixer.code(ctx, values, 0, place, t)
             self.mixer.count(ctx, values, 0, t)
         self.words.clear()
         self.run = min(self.run * 4, 500_000)

@@ -114,6 +114,15 @@ def test_learning_beats_no_learning():
     assert some > 0.5 * none  # less than half of the bits
 
 
+def test_every_counted_bit_teaches():
+    texts = [prose(i, 300).encode() for i in range(8)]
+    learner = M.Learner()
+    for t in texts:
+        learner.add(toks([t]))
+    learner.flush()
+    assert learner.mixer.bits == 8 * sum(sum(len(w) + 1 for w in t.split()) + 1 for t in texts)
+
+
 def test_word_scores_do_not_depend_on_company():
     m = learnt([prose(i, 100).encode() for i in range(10)])
     words = prose(50, 40).encode().split()
