@@ -27,6 +27,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -411,7 +412,7 @@ def _model_bytes(learned: DataFrame) -> dict:
     return {"parts": {p: v for (_, p), v in parts.items()}, "weights": w, "maps": np.sum([y for _, y in sums], axis=0) if sums else None}
 
 
-_LOADED: dict[int, Model] = {}
+_LOADED: dict[str, Model] = {}
 
 
 def _load(shared) -> Model:
@@ -473,7 +474,7 @@ def scores(docs: DataFrame, held_out: int = 7, held: int = 2, bucket_words: int
     learned = stored(learn(rows.where(~is_held).select("text"), n_buckets), "mixing-learned")
     n_all, n_distinct, hot, hot_n = _hot_words(learned)
     model = _model_bytes(learned)
-    model["id"] = id(model)
+    model["id"] = uuid.uuid4().hex  # workers outlive a call: never the id of another call's model
     shared, shared_hot = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast((hot, hot_n))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

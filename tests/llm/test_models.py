@@ -79,6 +79,24 @@ def test_base_score_matches_brute_force(spark, request, table):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+def test_a_second_call_scores_with_its_own_model(spark, monkeypatch):
+    corpora = [spark.createDataFrame([(i, " ".join([w, prose(i, 20)])) for i in range(40)], "doc_id long, text string").repartition(2).cache() for w in ("first", "other words")]
+    get = lambda docs: {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in M.scores(docs).collect()}
+    apart = [get(d) for d in corpora]
+    real, place = M._model_bytes, {}
+
+    def same_place(learned):  # what the allocator may do once the first call's dict is freed
+        got = real(learned)
+        place.clear()
+        place.update(got)
+        return place
+
+    monkeypatch.setattr(M, "_model_bytes", same_place)
+    for docs, want in zip(corpora, apart):
+        got = get(docs)
+        assert all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
+
+
 def learnt(texts):
     learner = M.Learner()
     for t in texts:
