@@ -145,17 +145,32 @@ def frames_of(words: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- documents to ids
 
 
-@lru_cache(2)
-def coder_of(path: str) -> ChunkCoder:
+def added_tokens(path: str) -> dict[int, bytes]:
+    """Added tokens of a tokenizer file: bytes by id."""
+    from tokenizers import Tokenizer
+
+    added = Tokenizer.from_file(path).get_added_tokens_decoder()
+    # texts are cut at spaces: an added token that takes white space in could reach across a cut
+    if any(a.lstrip or a.rstrip or a.single_word or a.normalized or any(map(str.isspace, a.content)) for a in added.values()):
+        raise ValueError("added tokens that depend on what stands around them")
+    return {i: a.content.encode() for i, a in added.items()}
+
+
+@lru_cache(4)
+def coder_of(path: str, specials: bool = False) -> ChunkCoder:
+    """``specials``: added tokens' strings in a text get their ids, as the library does by default."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = not specials  # True: their strings in a text are ordinary text
 
     size = np.zeros(t.get_vocab_size(), np.int64)  # bytes of each token: a character stands for a byte
     for token, i in t.get_vocab().items():
         size[i] = len(token)
+    if specials:
+        for i, token in added_tokens(path).items():
+            size[i] = len(token)
 
     def apart(chunks: list[str]) -> Codes:
         out = [np.array(e.ids, np.int32) for i in range(0, len(chunks), 2048) for e in t.encode_batch(chunks[i : i + 2048], add_special_tokens=False)]
@@ -205,14 +220,14 @@ def _with_end(ids: np.ndarray, n: np.ndarray, end_id: int, width: str) -> pa.Arr
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int, edges: np.ndarray | None = None) -> DataFrame:
+def token_ids(docs: DataFrame, path: str, end_id: int, edges: np.ndarray | None = None, specials: bool = False) -> DataFrame:
     """doc_id, file_no, ids (binary: little-endian, the end id last; two bytes each if all ids of the vocabulary fit).  ``edges``: the last doc_id of
     every file but the last; a null doc_id belongs to file 0."""
     edges, width = np.zeros(0, np.int64) if edges is None else edges, id_width(path, end_id)
     rows = spread(docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text")), "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(path)
+        coder = coder_of(path, specials)
         for b in batches:
             for part, texts in text_slices(b, 1, 18 << 20):
                 keys = part.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
@@ -308,9 +323,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "file_no").select("doc_id", (F.col("file_start") + F.col("in_file")).alias("start"), "n_tokens", "ids")
 
 
-def encoded_files(docs: DataFrame, path: str, end_id: int = 2) -> str:
+def encoded_files(docs: DataFrame, path: str, end_id: int = 2, specials: bool = False) -> str:
     """Encode docs(doc_id, text) and write the files in the shared folder; returns their place."""
     out = new_folder(docs.sparkSession, "simple8b")
     edges = file_edges(docs)
-    write_files(token_ids(docs, path, end_id, edges), len(edges) + 1, out, id_width(path, end_id))
+    write_files(token_ids(docs, path, end_id, edges, specials), len(edges) + 1, out, id_width(path, end_id))
     return out

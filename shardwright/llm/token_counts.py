@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shardwright.llm.chunks import text_slices
 from shardwright.llm.common import spread, text_bytes
-from shardwright.llm.simple8b import coder_of
+from shardwright.llm.simple8b import added_tokens, coder_of
 
 RULES = ("most", "first", "last")
 
@@ -91,9 +91,9 @@ def line_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [n]]).astype(np.int64)
 
 
-def section_tokens(docs: DataFrame, tokenizer: str, vocabulary: str, rule: str = "most", key: str = "doc_id", sections: str | None = None) -> DataFrame:
+def section_tokens(docs: DataFrame, tokenizer: str, vocabulary: str, rule: str = "most", key: str = "doc_id", sections: str | None = None, specials: bool = False) -> DataFrame:
     """key, section_no, char_start, char_end, n_tokens, n_crossing (of them, tokens that cross a
-    boundary), a row per section of every row of docs; -1 only where it has tokens."""
+    boundary), a row per section of every row of docs; -1 only where it has tokens.  ``specials``: see ``coder_of``."""
     if rule not in RULES:
         raise ValueError(f"rule: one of {RULES}")
     cols = [F.col(key), text_bytes().alias("text")] + ([F.col(sections).alias("sections")] if sections else [])
@@ -101,7 +101,12 @@ def section_tokens(docs: DataFrame, tokenizer: str, vocabulary: str, rule: str =
     kind = dict(rows.dtypes)[key]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, lengths = coder_of(tokenizer), token_bytes(vocabulary)
+        coder, lengths = coder_of(tokenizer, specials), token_bytes(vocabulary)
+        if specials:
+            added = added_tokens(tokenizer)
+            lengths = np.concatenate([lengths, np.zeros(max([len(lengths), *(i + 1 for i in added)]) - len(lengths), np.int64)])
+            for i, token in added.items():
+                lengths[i] = len(token)
         for b in batches:
             for part, texts in text_slices(b, 1):
                 given = part.column(2).to_pylist() if sections else [None] * len(texts)

@@ -164,6 +164,23 @@ def test_sections_match_the_library_offsets(spark, library, rule):
         assert {k: have[i, k] for k in range(len(spans))} == {k: (*spans[k], n[k]) for k in range(len(spans))}
 
 
+def test_added_tokens_like_the_unchanged_library(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shardwright.llm import queries
+
+    plain = Tokenizer.from_file(JSON)
+    texts = odd_texts() + ["x <|endoftext|>", "<|endoftext|> <|endoftext|>x  <|endoftext|>\n<|endoftext|>", "a b <|endo ftext|>", " <|endoftext|> é"]
+    want = plain.encode_batch(texts, add_special_tokens=False)
+    ids, n = B.coder_of(JSON, True).code(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in want] and 50256 in ids
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op4_simple8b(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(e.ids) + 1, zlib.crc32(np.array([*e.ids, 2], "<u4").tobytes())) for i, e in enumerate(want)}
+    sums = queries.op8_token_counts(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in sums} == {i: len(e.ids) for i, e in enumerate(want)}
+
+
 def test_given_sections_and_hard_rows(spark, hard, none):
     rows = [(1, "hello wonderful world", [(0, 3), (8, 12)]), (2, "abc", None), (3, "abc", []), (4, None, [(0, 5)]), (5, "abc def", [(0, 0), (0, 7)])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sections array<struct<start int, end int>>")
