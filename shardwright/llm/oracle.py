@@ -7,6 +7,7 @@ versions in the tests.
 from __future__ import annotations
 
 from shardwright.llm.common import LOWER, UPPER
+from shardwright.llm.license_scan import BASE, EVIDENCE, NOTICES, mandatory_words, parts_of
 from shardwright.llm.url_reputation import RULES, SUFFIXES, Bound
 
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
@@ -104,4 +105,55 @@ c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_quality": OP1, "op2_embed_dedup": OP2, "op5_url_reputation": _op5(), "op9_parity_join": OP9}
+OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS x, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:x], '') AS p, array_to_string(u[x + 1:y], '') AS m, array_to_string(u[y + 1:n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars,
+    CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def template_regex(markup: str) -> str:
+    """A template as a regular expression over words that each follow a space."""
+    out = ""
+    for kind, value in parts_of(markup):
+        if kind == "words":
+            out += "".join(" " + w.decode() for w in value)
+        elif kind == "any":
+            out += f"( [^ ]+){{{value[0]},{value[1]}}}"
+        elif kind == "match":
+            out += "(" + "|".join("".join(" " + x.decode() for x in w) for w in value) + ")"
+        else:
+            out += "(" if kind == "begin" else ")?"
+    return out
+
+
+def _op13() -> str:
+    found = [f"regexp_matches(s, '{template_regex(t.markup)} ')" for t in BASE + NOTICES]
+    weight = [mandatory_words(t.markup) for t in BASE + NOTICES]
+    places = []
+    for t in BASE:
+        words = t.markup.split()
+        same = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(words))
+        places.append(f"list_transform(list_filter(range(1, len(ws) + 1), lambda i: {same}), lambda i: [i - 1, {BASE.index(t)}])")
+    name = lambda rows: ", ".join(f"CASE WHEN {f} THEN '{t.label}' END" for f, t in rows)
+    label = lambda rows: f"array_to_string(list_sort(list_distinct([{name(rows)}])), ',')"
+    both = list(zip(found, BASE + NOTICES))
+    scores = ", ".join(f"CASE WHEN {f} THEN {m} / ({m} + {EVIDENCE}.0)::DOUBLE ELSE 0 END" for f, m in zip(found, weight))
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS s, {" || ".join(places)} AS hit FROM w)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(hit) AS BIGINT) AS n_base, CAST(list_min(list_transform(hit, lambda x: x[1])) AS BIGINT) AS first_word,
+    CAST(list_max(list_transform(hit, lambda x: x[1])) AS BIGINT) AS last_word, {label(both[: len(BASE)])} AS base_labels, {label(both)} AS labels,
+    CAST(greatest({scores}) AS DOUBLE) AS score FROM p
+"""
+
+
+SQL: dict[str, str] = {"op1_quality": OP1, "op2_embed_dedup": OP2, "op5_url_reputation": _op5(), "op9_parity_join": OP9, "op12_fill_middle": OP12, "op13_license_scan": _op13()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.llm import context_mixing, embed_dedup, mixing, parity_join, quality, segtree_bpe, simple8b, token_counts, toxicity, url_reputation
+from shardwright.llm import context_mixing, embed_dedup, fill_middle, license_scan, mixing, parity_join, quality, segtree_bpe, simple8b, token_counts, toxicity, url_reputation
 from shardwright.llm.common import id_bucket
 
 
@@ -79,6 +79,28 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    base = F.filter("hits", lambda h: h["base"])
+    starts = F.transform(base, lambda h: h["first_word"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        license_scan.labels_of(base).alias("base_labels"),
+        license_scan.labels_of(F.col("hits")).alias("labels"),
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_embed_dedup": op2_embed_dedup,
@@ -90,4 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_parity_join": op9_parity_join,
     "op10_segtree_bpe": op10_segtree_bpe,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_license_scan": op13_license_scan,
 }
