@@ -105,6 +105,23 @@ c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+OP11 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, m, g, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS g
+    FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(ws) >= m) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, g, f AS a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:m], ' ') AS rp
+    FROM (SELECT lang, m, g, f, string_split(g, ' ') AS ws, unnest(range(1, m)) AS k FROM g WHERE m > 1)),
+s AS (SELECT c.lang, c.g, a, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score, k
+    FROM c JOIN g x ON x.lang = c.lang AND x.g = lp JOIN g y ON y.lang = c.lang AND y.g = rp),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM s) WHERE o = 1),
+h AS (SELECT lang, sub, max(f) AS longer FROM (SELECT lang, f, unnest(CASE m WHEN 3 THEN [ws[1:2], ws[2:3]] ELSE [ws[1:2], ws[2:3], ws[3:4], ws[1:3], ws[2:4]] END) AS part,
+    array_to_string(part, ' ') AS sub FROM (SELECT lang, m, f, string_split(g, ' ') AS ws FROM g WHERE m > 2)) GROUP BY lang, sub),
+z AS (SELECT b.lang, b.g AS phrase, a, l, r, score FROM b LEFT JOIN h ON h.lang = b.lang AND h.sub = b.g WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 OP12 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
@@ -156,4 +173,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(hit) AS BIGINT) AS n
 """
 
 
-SQL: dict[str, str] = {"op1_quality": OP1, "op2_embed_dedup": OP2, "op5_url_reputation": _op5(), "op9_parity_join": OP9, "op12_fill_middle": OP12, "op13_license_scan": _op13()}
+SQL: dict[str, str] = {"op1_quality": OP1, "op2_embed_dedup": OP2, "op5_url_reputation": _op5(), "op9_parity_join": OP9, "op11_phrases": OP11, "op12_fill_middle": OP12, "op13_license_scan": _op13()}

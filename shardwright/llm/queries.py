@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.llm import context_mixing, embed_dedup, fill_middle, license_scan, mixing, parity_join, quality, segtree_bpe, simple8b, token_counts, toxicity, url_reputation
+from shardwright.llm import context_mixing, embed_dedup, fill_middle, license_scan, mixing, parity_join, phrases, quality, segtree_bpe, simple8b, token_counts, toxicity, url_reputation
 from shardwright.llm.common import id_bucket
 
 
@@ -79,6 +79,10 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     text = fill_middle.restored(F.col("output"), F.col("form"))
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_parity_join": op9_parity_join,
     "op10_segtree_bpe": op10_segtree_bpe,
+    "op11_phrases": op11_phrases,
     "op12_fill_middle": op12_fill_middle,
     "op13_license_scan": op13_license_scan,
 }
