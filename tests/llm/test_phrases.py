@@ -79,7 +79,7 @@ def test_chunks_are_cut_at_breaks(monkeypatch):
     s.add(b"A b c. a b! B")
     word, codes = s.rows(7, "en")
     assert word.column("word").to_pylist() == [b"a", b"b", b"c"] and word.column("n").to_pylist() == [2, 3, 1]
-    assert codes.column("n").to_pylist() == [3, 3] and codes.column("local").to_pylist() == [0, 1]
+    assert codes.column("n").to_pylist() == [3, 3, 0] and codes.column("local").to_pylist() == [0, 1, 2]
     assert np.frombuffer(b"".join(codes.column("codes").to_pylist()), "<u4").tolist() == [1, 2, 3, 0, 1, 2, 0, 2, 0]
 
 
