@@ -1,8 +1,9 @@
-"""T8, Arrow path: the merge fold in Python over Arrow batches (``mapInPandas``).
+"""T8, Arrow path: merges applied in Arrow batches (``mapInPandas``).
 
-For merge lists too long for one JVM expression.  The merge list (bounded by the
-vocabulary) is captured once per task; each document is folded with ``str.replace``
-in learned order, which equals lowest-rank-first encoding (see ``operators.bpe``).
+For merge lists too long for one JVM expression.  The merge list (bounded by the vocabulary) is
+captured once per task.  A chunk is cut where no merge can join two neighbours, and each distinct
+piece is merged once, lowest rank first, with a linked list and a heap (``functions.symbols``): the
+work per chunk does not grow with the model.
 """
 
 from __future__ import annotations
@@ -12,43 +13,38 @@ import re
 import numpy as np
 
 from shardwright.functions.codepoints import SURROGATE_SHIFT, tok
+from shardwright.functions.symbols import Merger, codes_of
 
 
 def encode_partitions(model, text_col: str, out_col: str, allow_specials: bool = True):
-    pairs = [tok(a) + tok(b) for a, b in model.merges]
-    news = [tok(model.first_merge_id + r) for r in range(len(model.merges))]
-    table = [(p[0], p[1], p, x) for p, x in zip(pairs, news)]
+    merges = [(tok(a), tok(b), tok(model.first_merge_id + r)) for r, (a, b) in enumerate(model.merges)]
     specials = list(model.specials) if allow_specials else []
     ids = model.special_ids
     pattern = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
 
-    def chunk_ids(chunk: str) -> np.ndarray:
-        s = chunk.encode("utf-8").decode("latin-1")
-        there = set(s)  # symbols that are or were in the chunk: a merge of others cannot apply
-        for a, b, p, x in table:
-            if a in there and b in there and p in s:
-                s = s.replace(p, x)
-                there.add(x)
-        cps = np.frombuffer(s.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        cps[cps > 0xDFFF] -= SURROGATE_SHIFT
-        return cps.astype(np.int32)
-
-    def encode_one(text):
-        if text is None:
-            return None
-        if pattern is None:
-            return chunk_ids(text) if text else np.zeros(0, np.int32)
-        out, pos = [], 0
-        for m in pattern.finditer(text):
-            if m.start() > pos:
-                out.append(chunk_ids(text[pos : m.start()]))
-            out.append(np.array([ids[m.group(0)]], np.int32))
-            pos = m.end()
-        if pos < len(text):
-            out.append(chunk_ids(text[pos:]))
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
-
     def run(batches):
+        merger = Merger(merges)
+
+        def chunk_ids(chunk: str) -> np.ndarray:
+            cps = codes_of(merger.merge(chunk.encode("utf-8").decode("latin-1")))
+            cps[cps > 0xDFFF] -= SURROGATE_SHIFT
+            return cps.astype(np.int32)
+
+        def encode_one(text):
+            if text is None:
+                return None
+            if pattern is None:
+                return chunk_ids(text) if text else np.zeros(0, np.int32)
+            out, pos = [], 0
+            for m in pattern.finditer(text):
+                if m.start() > pos:
+                    out.append(chunk_ids(text[pos : m.start()]))
+                out.append(np.array([ids[m.group(0)]], np.int32))
+                pos = m.end()
+            if pos < len(text):
+                out.append(chunk_ids(text[pos:]))
+            return np.concatenate(out) if out else np.zeros(0, np.int32)
+
         for pdf in batches:
             pdf[out_col] = [encode_one(t) for t in pdf[text_col]]
             yield pdf

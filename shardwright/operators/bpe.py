@@ -5,12 +5,9 @@ order, then one id per learned merge in learning order.
 
 Training keeps a table ``state(s, w)`` of *distinct* plain chunks (``w`` = how many
 times the chunk occurs) where ``s`` holds one code point per token (see
-``functions.codepoints``).  Round 0 counts every adjacent pair with a partial +
-final hash aggregate.  Every later round touches only the chunks that contain the
-chosen pair and emits count *deltas* for the pairs around each replaced
-occurrence; a delta has O(vocabulary) rows, so only it reaches the driver.  The
-driver keeps the pair -> count map (at most one entry per distinct adjacent pair,
-bounded by vocab_size**2) and picks the next pair with a heap.
+``functions.codepoints``).  A pass over it learns many merges: the frequent pairs of the moment
+cut the corpus into short pieces that repeat, so that the distinct pieces, of bounded size, tell
+the next merges exactly (``_train_loop``).  The driver sees the pairs it considers and the merges.
 
 Encoding applies all merges once, in learned order: a merge of rank r only creates
 pairs containing its new id, and every merge using that id has a higher rank, so
@@ -19,19 +16,21 @@ this equals "repeatedly merge the lowest-ranked present pair".
 
 from __future__ import annotations
 
-import heapq
 import logging
 import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardwright.functions.codepoints import MAX_VOCAB, byte_string, cp_to_id, hexq, id_to_cp, ids_of, tok
+from shardwright.functions.codepoints import MAX_VOCAB, byte_string, cp_to_id, ids_of, tok
+from shardwright.functions.symbols import Merger, learn, pair_sums, pieces
 from shardwright.operators.specials import special_ids, split_special
 from shardwright.session import checkpoint_dir, drop_folder, store_at
 
@@ -40,7 +39,6 @@ log = logging.getLogger(__name__)
 KEY_SHIFT = 21  # 2**21 > 0x10FFFF: a pair of code points packs into one BIGINT
 KEY_MUL = 1 << KEY_SHIFT
 BYTES_PER_PARTITION = 32 << 20  # of the training state
-DELTA_REDUCERS = 32  # reducers for a round's context sums (tiny, bounded by vocabulary)
 
 
 # --------------------------------------------------------------------------- model
@@ -155,112 +153,8 @@ def best_pair(counts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- T5 / T6 (train)
 
 
-def _key(a_cp: int, b_cp: int) -> int:
-    return a_cp * KEY_MUL + b_cp
-
-
-TAG_RIGHT = KEY_MUL  # right-context keys are cp + 2^21
-TAG_OCC = 2 * KEY_MUL  # occurrences of the pair
-TAG_RUN = 2 * KEY_MUL + 1  # occurrences that directly follow another one
-
-
-def sql_str(text: str) -> str:
-    """SQL literal for any string (UTF-8 hex, constant-folded by the optimizer)."""
-    return f"decode(unhex('{text.encode('utf-8').hex().upper()}'), 'UTF-8')"
-
-
-STEP_TAG = 1 << 23  # context keys of step j in a pass are offset by j * 2^23
-
-
-def _merge_round(state: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
-    """Merges ``(a, b) -> X`` applied in sequence over ``state(s, w)`` in one pass.
-
-    Returns ``(c1 .. cK, w, ctx_k, ctx_n)``: ``cj`` is every chunk after the first j
-    merges.  For each step the chunk is cut at the non-overlapping occurrences of
-    the pair (the same matches as ``replace``) and re-joined with the new symbol.
-    The count deltas only depend on the symbols around each occurrence, so per
-    chunk and step we emit the left-context code points (last symbol of each
-    non-empty piece before an occurrence), the right-context ones (first symbol of
-    each non-empty piece after one, tagged +2^21), the number of occurrences and
-    the number of back-to-back occurrences; step j's keys are offset by j * 2^23.
-    ``deltas_from_contexts`` turns the summed contexts into pair deltas on the
-    driver; the chunks themselves never leave the executors.
-
-    Written as SQL text: a few calls per step instead of hundreds of small Column
-    constructions per round.
-    """
-    cur = state.selectExpr("s AS c0", "w")
-    for j, (a_cp, b_cp, x_cp) in enumerate(steps):
-        pair = sql_str(chr(a_cp) + chr(b_cp))
-        pat = sql_str(hexq(chr(a_cp) + chr(b_cp)))
-        x = sql_str(chr(x_cp))
-        off = j * STEP_TAG
-        keep = [f"c{i}" for i in range(j + 1)] + ["w"] + [f"{v}{i}" for i in range(j) for v in ("k", "o", "r")]
-        # `pieces` is its own column: referenced from lambdas it must be a value,
-        # not an expression re-evaluated per element
-        cut = cur.selectExpr(*keep, f"CASE WHEN instr(c{j}, {pair}) > 0 THEN split(c{j}, {pat}, -1) END AS pieces")
-        cur = cut.selectExpr(
-            *keep,
-            f"CASE WHEN pieces IS NULL THEN c{j} ELSE array_join(pieces, {x}) END AS c{j + 1}",
-            "CASE WHEN pieces IS NULL THEN CAST(array() AS ARRAY<BIGINT>) ELSE concat("
-            "transform(filter(slice(pieces, 1, size(pieces) - 1), p -> p != ''),"
-            f" p -> CAST(ascii(substring(p, -1, 1)) AS BIGINT) + {off}), "
-            "transform(filter(slice(pieces, 2, size(pieces) - 1), p -> p != ''),"
-            f" p -> CAST(ascii(p) AS BIGINT) + {TAG_RIGHT + off}), "
-            f"array(CAST({TAG_OCC + off} AS BIGINT), CAST({TAG_RUN + off} AS BIGINT))) END AS k{j}",
-            f"CAST(size(pieces) - 1 AS BIGINT) AS o{j}",
-            f"CAST(size(filter(slice(pieces, 2, size(pieces) - 2), p -> p = '')) AS BIGINT) AS r{j}",
-        )
-    K = len(steps)
-    # per step: weight 1 for every context key, then the occurrence and run counts
-    counts = [
-        f"CASE WHEN size(k{i}) = 0 THEN CAST(array() AS ARRAY<BIGINT>) ELSE "
-        f"concat(array_repeat(CAST(1 AS BIGINT), size(k{i}) - 2), array(o{i}, r{i})) END"
-        for i in range(K)
-    ]
-    return cur.selectExpr(
-        *[f"c{i}" for i in range(1, K + 1)],
-        "w",
-        f"concat({', '.join(f'k{i}' for i in range(K))}) AS ctx_k",
-        f"concat({', '.join(counts)}) AS ctx_n",
-    )
-
-
-def _context_sums(nxt: DataFrame) -> DataFrame:
-    """Sum the per-chunk contexts (weighted): at most 2 * vocabulary + 2 rows.
-
-    DataFrame API on purpose: a ``spark.sql`` view over the persisted round would
-    not be matched against the cache, and each round would recompute its history.
-    """
-    return (
-        nxt.where("size(ctx_k) > 0")
-        .selectExpr("explode(arrays_zip(ctx_k, ctx_n)) AS e", "w")
-        .groupBy(F.col("e.ctx_k").alias("k"))
-        .agg(F.sum(F.col("e.ctx_n") * F.col("w")).alias("n"))
-    )
-
-
-def deltas_from_contexts(rows, a_cp: int, b_cp: int, x_cp: int) -> dict[int, int]:
-    """Summed contexts of one merge (a, b) -> X as pair-count deltas."""
-    out: dict[int, int] = {}
-
-    def add(k: int, v: int) -> None:
-        out[k] = out.get(k, 0) + v
-
-    for key, total in rows:
-        if key == TAG_OCC:
-            add(_key(a_cp, b_cp), -total)
-        elif key == TAG_RUN:
-            add(_key(b_cp, a_cp), -total)
-            add(_key(x_cp, x_cp), total)
-        elif key >= TAG_RIGHT:
-            c = key - TAG_RIGHT
-            add(_key(b_cp, c), -total)
-            add(_key(x_cp, c), total)
-        else:
-            add(_key(key, a_cp), -total)
-            add(_key(key, x_cp), total)
-    return out
+TOP_PAIRS = 1 << 16  # pairs that a pass may consider
+MOST_SYMBOLS = 1 << 20  # symbols of the distinct pieces that one pass learns from
 
 
 @dataclass
@@ -269,8 +163,8 @@ class TrainReport:
     passes: int = 0
     seconds_round0: float = 0.0
     seconds_rounds: float = 0.0
-    max_delta_rows: int = 0
-    distinct_pairs: int = 0
+    piece_symbols: int = 0  # the most that a pass learned from
+    merges_of_passes: list[int] = field(default_factory=list)
 
 
 def train_bpe(
@@ -278,7 +172,7 @@ def train_bpe(
     vocab_size: int,
     specials: Sequence[str] = (),
     text_col: str = "text",
-    checkpoint_every: int = 25,
+    checkpoint_every: int = 1,
     num_partitions: int | None = None,
     report: TrainReport | None = None,
     speculate: bool = True,
@@ -287,6 +181,9 @@ def train_bpe(
 
     Deterministic and independent of row order.  Merges cross spaces and newlines
     (no pre-tokenisation); pairs never cross a special token or a document.
+
+    The state is written every ``checkpoint_every`` passes and cached in between.  Without
+    ``speculate`` a pass learns one merge.
     """
     specials = tuple(specials)
     first = 256 + len(special_ids(specials))
@@ -305,18 +202,15 @@ def train_bpe(
     if not num_partitions:  # as many as the input needs, and one per slot at least
         size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).collect()[0]["n"]
         num_partitions = max(spark.sparkContext.defaultParallelism, 1, -(-size // BYTES_PER_PARTITION))
-    parts = num_partitions
-    if checkpoint_every:
-        checkpoint_dir(spark)
 
-    # AQE wraps every cached round in an initial + final plan, and each round nests the
-    # previous one: plan size (and planning time) would double per round.  The loop's
-    # jobs are a narrow projection plus a small aggregate, so it runs without AQE.
+    # without AQE the chunk grouping yields exactly that many hash partitions: the state is
+    # spread over the cluster without a second shuffle
     conf = spark.conf
     saved = {k: conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
     conf.set("spark.sql.adaptive.enabled", "false")
+    conf.set("spark.sql.shuffle.partitions", str(num_partitions))
     try:
-        return _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report, speculate)
+        return _train_loop(chunk_table(docs, specials, text_col), specials, num_merges, vocab_size, checkpoint_every, report, speculate)
     finally:
         for k, v in saved.items():
             if v is None:
@@ -325,113 +219,159 @@ def train_bpe(
                 conf.set(k, v)
 
 
-def _train_loop(docs, specials, text_col, num_merges, first, vocab_size, parts, checkpoint_every, report, speculate) -> BPEModel:
+def _train_loop(chunks, specials, num_merges, vocab_size, checkpoint_every, report, speculate) -> BPEModel:
+    """Passes over ``state(s, w)``, each of which learns as many merges as it can prove.
+
+    A pass counts all pairs and takes the first h of them in merge order (count, then ids).  Every
+    chunk is cut wherever two neighbours are none of these h; pieces of one symbol go, equal pieces
+    are one row with the sum of their weights.  Inside the pieces learning goes on as if they were the
+    corpus, as long as the best pair comes before e, the first pair left out.  That is exact:
+
+    * an occurrence of a considered pair is never cut, so its count is the corpus's;
+    * a new symbol X made of (a, b) always ends in the same symbol z of the pass's alphabet, so (X, c)
+      occurs only where (z, c) did: all its occurrences are in the pieces, or all are cut, and then its
+      count is at most that of (z, c), which doesn't come before e; nor does (X, c), being no more
+      frequent and having the greater ids.  The same holds for (c, X) and (X, Y).
+
+    h is chosen so that the pieces have at most MOST_SYMBOLS symbols in all (re-cut with a smaller
+    h if they have more, down to the best pair alone), so one task can learn from them.
+    The corpus itself is only scanned: to count, to cut and to apply the merges of a pass.
+    """
     t0 = time.time()
-    spark = docs.sparkSession
-    # AQE is off here, so the chunk grouping yields exactly `parts` hash partitions:
-    # the loop state is spread over the cluster without a second shuffle
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    held = chunk_table(docs, specials, text_col).persist(StorageLevel.MEMORY_AND_DISK)
-    state = held
-    counts: dict[int, int] = {int(r["k"]): int(r["n"]) for r in pair_counts(state).collect()}
+    spark = chunks.sparkSession
+    first = 256 + len(specials)
+    state = _State(chunks, checkpoint_every)
+    merges: list[tuple[str, str, int]] = []
+    share = 0.3  # of the best pair's count, down to which pairs are considered
     report.seconds_round0 = time.time() - t0
-    # every round's aggregate has at most 2 * vocab + 2 keys per map task: a bounded
-    # number of reducers instead of the state's width
-    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, min(parts, DELTA_REDUCERS))))
-    heap = [(-n, k) for k, n in counts.items()]
-    heapq.heapify(heap)
-
-    merges: list[tuple[int, int]] = []
-    merged_counts: list[int] = []
-    passes = 0
-    kept = ""
     t1 = time.time()
     while len(merges) < num_merges:
-        best = _pop_best(heap, counts)
-        if best is None:
+        rows = symbol_pairs(state.df).orderBy(F.desc("n"), F.asc("k")).limit(TOP_PAIRS + 1).collect()
+        if not rows:
             break  # no pair left anywhere
-        k1, n1 = best
-        a1, b1 = divmod(k1, KEY_MUL)
-        x1 = id_to_cp(first + len(merges))
-        steps = [(a1, b1, x1)]
-        runner_up = None
-        if speculate and len(merges) + 1 < num_merges:
-            # the current runner-up, applied on top of the best pair in the same pass;
-            # kept only if it is the true best once the first merge's deltas are in
-            runner_up = _pop_best(heap, counts)
-            if runner_up is not None:
-                heapq.heappush(heap, (-runner_up[1], runner_up[0]))
-                a2, b2 = divmod(runner_up[0], KEY_MUL)
-                steps.append((a2, b2, id_to_cp(first + len(merges) + 1)))
-        # one pass: the cached frame holds the rewritten chunks, the action sums the deltas
-        _b = time.time()
-        nxt = _merge_round(state, steps).persist(StorageLevel.MEMORY_AND_DISK)
-        _t = time.time()
-        ctx_rows = [(int(row["k"]), int(row["n"])) for row in _context_sums(nxt).collect()]
-        log.debug("pass %d: build %.3fs, job %.3fs", passes, _t - _b, time.time() - _t)
-        passes += 1
-        report.max_delta_rows = max(report.max_delta_rows, len(ctx_rows))
-        by_step: dict[int, list[tuple[int, int]]] = {}
-        for key, total in ctx_rows:
-            by_step.setdefault(key // STEP_TAG, []).append((key % STEP_TAG, total))
-        _apply_delta(heap, counts, deltas_from_contexts(by_step.get(0, []), a1, b1, x1))
-        merges.append((cp_to_id(a1), cp_to_id(b1)))
-        merged_counts.append(n1)
-        accepted = 1
-        if runner_up is not None:
-            now = _pop_best(heap, counts)
-            if now is not None:
-                heapq.heappush(heap, (-now[1], now[0]))
-                if now[0] == runner_up[0]:
-                    a2, b2, x2 = steps[1]
-                    _apply_delta(heap, counts, deltas_from_contexts(by_step.get(1, []), a2, b2, x2))
-                    merges.append((cp_to_id(a2), cp_to_id(b2)))
-                    merged_counts.append(now[1])
-                    accepted = 2
-        held.unpersist()
-        held, state = nxt, nxt.selectExpr(f"c{accepted} AS s", "w")
-        if checkpoint_every and passes % checkpoint_every == 0:
-            # cut lineage in the shared checkpoint folder (every `checkpoint_every`
-            # passes): a lost executor recomputes a few passes, not the whole history
-            folder = f"{checkpoint_dir(spark)}/bpe-state-{uuid.uuid4().hex}"
-            state = store_at(state, folder)
-            held.unpersist()
-            held = state.persist(StorageLevel.MEMORY_AND_DISK)
-            if kept:  # one state in the shared folder at a time
-                drop_folder(spark, kept)
-            kept = folder
-    report.passes = passes
+        pairs = [(int(r["n"]), chr(r["k"] >> KEY_SHIFT) + chr(r["k"] & (KEY_MUL - 1))) for r in rows]
+        most = min(TOP_PAIRS, len(pairs))
+        h = max(1, sum(n >= share * pairs[0][0] for n, _ in pairs[:most]), _surely(pairs[:most]))
+        if not speculate:
+            h = 1
+        kept, folder = _pieces(state.df, pairs[:h])
+        while (size := kept.agg(F.coalesce(F.sum(F.char_length("s")), F.lit(0)).alias("n")).collect()[0]["n"]) > MOST_SYMBOLS and h > 1:
+            h = max(1, h // 2)
+            share = min(0.9, max(share, pairs[h - 1][0] / pairs[0][0]))
+            fewer = _pieces(kept, pairs[:h])
+            drop_folder(spark, folder)
+            kept, folder = fewer
+        if size * 8 < MOST_SYMBOLS:
+            share = max(0.02, share * 0.6)
+        wanted = min(num_merges - len(merges), 1 if not speculate else num_merges)
+        new = [tok(first + len(merges) + i) for i in range(wanted)]
+        learned = _learned(kept, new, pairs[h] if h < len(pairs) else None)
+        drop_folder(spark, folder)
+        report.passes += 1
+        report.piece_symbols = max(report.piece_symbols, size)
+        report.merges_of_passes.append(len(learned))
+        log.debug("pass %d: %d of %d pairs, %d symbols, %d merges", report.passes, h, len(pairs), size, len(learned))
+        merges += learned
+        if len(merges) < num_merges:
+            state.apply([(a, b, x) for (a, b, _), x in zip(learned, new)])
+    state.drop()
     report.rounds = len(merges)
     report.seconds_rounds = time.time() - t1
-    report.distinct_pairs = len(counts)
-    held.unpersist()
-    if kept:
-        drop_folder(spark, kept)
-    return BPEModel(specials, tuple(merges), vocab_size, tuple(merged_counts))
-
-
-def _pop_best(heap: list[tuple[int, int]], counts: dict[int, int]) -> tuple[int, int] | None:
-    """Max count, then smallest packed key = smallest (left, right); stale entries skipped."""
-    while heap:
-        negn, k = heapq.heappop(heap)
-        if counts.get(k) == -negn:
-            return k, -negn
-    return None
-
-
-def _apply_delta(heap: list[tuple[int, int]], counts: dict[int, int], delta: dict[int, int]) -> None:
-    for k, d in delta.items():
-        if d == 0:
-            continue
-        v = counts.get(k, 0) + d
-        if v > 0:
-            counts[k] = v
-            heapq.heappush(heap, (-v, k))
+    ids = tuple((cp_to_id(ord(a)), cp_to_id(ord(b))) for a, b, _ in merges)
+    return BPEModel(specials, ids, vocab_size, tuple(n for _, _, n in merges))
+
+
+def _surely(pairs: list[tuple[int, str]]) -> int:
+    """How many of the first pairs make pieces that fit whatever repeats: two symbols an occurrence."""
+    total = h = 0
+    for n, _ in pairs:
+        total += 2 * n
+        if total > MOST_SYMBOLS:
+            break
+        h += 1
+    return h
+
+
+class _State:
+    """The chunks ``(s, w)`` as merged so far: written to the shared folder every ``every`` passes
+    (one state is kept there), cached in between."""
+
+    def __init__(self, chunks: DataFrame, every: int):
+        self.spark, self.every, self.age, self.folder, self.cached = chunks.sparkSession, max(1, every), 0, "", []
+        self._write(chunks)
+
+    def _write(self, df: DataFrame) -> None:
+        old, self.folder = self.folder, f"{checkpoint_dir(self.spark)}/bpe-state-{uuid.uuid4().hex}"
+        self.df = store_at(df, self.folder)
+        for c in self.cached:
+            c.unpersist()
+        self.cached, self.age = [], 0
+        if old:
+            drop_folder(self.spark, old)
+
+    def apply(self, merges: list[tuple[str, str, str]]) -> None:
+        def work(batches):
+            merger = Merger(merges)
+            for b in batches:
+                s = [merger.merge(x) for x in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), b.column(1)], names=["s", "w"])
+
+        merged = self.df.select("s", "w").mapInArrow(work, "s string, w bigint").where(F.char_length("s") > 1)
+        self.age += 1
+        if self.age >= self.every:
+            self._write(merged)
         else:
-            counts.pop(k, None)
-    if len(heap) > 4 * max(len(counts), 1024):  # drop stale entries now and then
-        heap[:] = [(-v, k) for k, v in counts.items()]
-        heapq.heapify(heap)
+            self.df = merged.persist(StorageLevel.MEMORY_AND_DISK)
+            self.cached.append(self.df)
+
+    def drop(self) -> None:
+        for c in self.cached:
+            c.unpersist()
+        drop_folder(self.spark, self.folder)
+
+
+def symbol_pairs(state: DataFrame) -> DataFrame:
+    """T3 over ``state(s, w)`` in Arrow batches: ``(k BIGINT, n BIGINT)`` like ``pair_counts``, for any alphabet."""
+
+    def work(batches):
+        for b in batches:
+            for k, n in pair_sums(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
+
+    return state.select("s", "w").mapInArrow(work, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def _pieces(state: DataFrame, pairs: list[tuple[int, str]]) -> tuple[DataFrame, str]:
+    """Distinct pieces ``(s, w)`` of the strings, cut wherever two neighbours are none of ``pairs``; their folder."""
+    joins = np.array(sorted((ord(p[0]) << KEY_SHIFT) | ord(p[1]) for _, p in pairs), np.int64)
+
+    def work(batches):
+        for b in batches:
+            held: dict[str, int] = {}
+            for s, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x, y in pieces(s, joins):
+                    held[s[x:y]] = held.get(s[x:y], 0) + w
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["s", "w"])
+
+    cut = state.select("s", "w").mapInArrow(work, "s string, w bigint").groupBy("s").agg(F.sum("w").alias("w"))
+    folder = f"{checkpoint_dir(state.sparkSession)}/bpe-pieces-{uuid.uuid4().hex}"
+    return store_at(cut, folder), folder
+
+
+def _learned(kept: DataFrame, new: list[str], until: tuple[int, str] | None) -> list[tuple[str, str, int]]:
+    """The merges that a pass's pieces (at most MOST_SYMBOLS symbols, so one task's) allow."""
+
+    def work(batches):
+        strings, weights = [], []
+        for b in batches:
+            strings += b.column(0).to_pylist()
+            weights += b.column(1).to_pylist()
+        out = learn(strings, weights, new, until, len(new))
+        columns = [pa.array(range(len(out)), pa.int64()), *(pa.array([m[i] for m in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64())))]
+        yield pa.RecordBatch.from_arrays(columns, names=["i", "a", "b", "n"])
+
+    rows = kept.select("s", "w").coalesce(1).mapInArrow(work, "i bigint, a string, b string, n bigint").collect()
+    return [(r["a"], r["b"], int(r["n"])) for r in sorted(rows, key=lambda r: r["i"])]
 
 
 # ------------------------------------------------------------------- T8 (encode)

@@ -16,6 +16,7 @@ from shardwright.plans.queries import (
     BYTE_VOCAB,
     CONTEXT,
     EOS_ID,
+    LONG_MERGES,
     SEED,
     SHARD_SIZE,
     SPACE_ID,
@@ -136,6 +137,36 @@ def q_compression() -> str:
     )
 
 
+def long_chain() -> str:
+    """CTE ``m(rank, k, n)``: LONG_MERGES merges of the conversations, each from a full recount."""
+    chars_of = "SELECT x.w AS w, regexp_extract_all(x.s, '(?s).') AS ch FROM (SELECT unnest(state) AS x)"
+    pairs = f"SELECT w, unnest(list_transform(list_zip(ch[:-2], ch[2:]), lambda z: z[1] || z[2])) AS k FROM ({chars_of})"
+    best = f"SELECT {{'k': k, 'n': n}} FROM (SELECT k, CAST(sum(w) AS BIGINT) AS n FROM ({pairs}) GROUP BY k) ORDER BY n DESC, k LIMIT 1"
+    return (
+        f"WITH RECURSIVE c AS (SELECT {byte_str('text')} AS s, count(*) AS w FROM conversations WHERE text <> '' GROUP BY text),\n"
+        "r AS (SELECT 0 AS rank, CAST(NULL AS VARCHAR) AS k, CAST(0 AS BIGINT) AS n, (SELECT list({'s': s, 'w': w}) FROM c) AS state\n"
+        f"UNION ALL SELECT rank + 1, best.k, best.n, list_transform(state, lambda x: {{'s': replace(x.s, best.k, chr({FIRST_MERGE} + CAST(rank AS INTEGER))), 'w': x.w}})\n"
+        f"FROM (SELECT rank, state, ({best}) AS best FROM r) WHERE rank < {LONG_MERGES} AND best.k IS NOT NULL),\n"
+        "m AS MATERIALIZED (SELECT rank - 1 AS rank, k, n FROM r WHERE rank > 0)"
+    )
+
+
+def q_bpe_train_long() -> str:
+    return (
+        f"{long_chain()}\nSELECT CAST(rank AS INTEGER) AS rank, CAST(unicode(substring(k, 1, 1)) AS INTEGER) AS left_id, "
+        f"CAST(unicode(substring(k, 2, 1)) AS INTEGER) AS right_id, CAST({FIRST_MERGE} + rank AS INTEGER) AS new_id, n FROM m"
+    )
+
+
+def q_bpe_encode_long() -> str:
+    fold = f"list_reduce(ms, lambda acc, x: replace(acc, x[1:2], x[3:3]), {byte_str('text')})"
+    return (
+        f"{long_chain()},\nl AS (SELECT list(k || chr({FIRST_MERGE} + CAST(rank AS INTEGER)) ORDER BY rank) AS ms FROM m),\n"
+        f"e AS (SELECT doc_id, {fold} AS s FROM documents, l)\n"
+        f"SELECT doc_id, CAST(length(s) AS BIGINT) AS n_tokens, {ids_digest(f'list_transform({chars('s')}, lambda c: unicode(c))')} AS digest FROM e"
+    )
+
+
 TOKENS_CTE = (
     f"d AS (SELECT doc_id, {SPLIT_EXPR} AS split, {byte_ids('text')} || [{EOS_ID}] AS ids FROM documents),\n"
     f"o AS (SELECT split, doc_id, ids, CAST(len(ids) AS BIGINT) AS n, "
@@ -206,6 +237,8 @@ SQL: dict[str, str] = {
         "SELECT CAST(k // 256 AS INTEGER) AS left_id, CAST(k % 256 AS INTEGER) AS right_id, count(*) AS n FROM k GROUP BY k"
     ),
     "bpe_train": q_bpe_train(),
+    "bpe_train_long": q_bpe_train_long(),
+    "bpe_encode_long": q_bpe_encode_long(),
     "bpe_vocab": q_bpe_vocab(),
     "bpe_encode": q_bpe_encode(),
     "bpe_roundtrip": (

@@ -27,6 +27,7 @@ SPECIALS = ("<|bos|>", "<|eos|>")
 EOS_ID = 257
 SPLIT_SPECIALS = ("<|b", "<|bos|>", "<|eos|>")  # "<|b" checks longest-at-leftmost
 TRAIN_MERGES = 8
+LONG_MERGES = 1024  # learned from the conversations
 SHARD_SIZE = 65536
 CONTEXT = 128
 BATCH = 4
@@ -47,6 +48,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MODELS: dict[tuple, bpe.BPEModel] = {}
+_LONG_MODELS: dict[tuple, bpe.BPEModel] = {}
 
 
 def trained_model(spark: SparkSession, sf_dir: str, merges: int = TRAIN_MERGES) -> bpe.BPEModel:
@@ -60,6 +62,15 @@ def trained_model(spark: SparkSession, sf_dir: str, merges: int = TRAIN_MERGES)
     return _MODELS[key]
 
 
+def long_model(spark: SparkSession, sf_dir: str) -> bpe.BPEModel:
+    """A model of LONG_MERGES merges, learned from the whole ``conversations`` table (memoised)."""
+    key = (*state_of(spark, sf_dir, "conversations"), LONG_MERGES)
+    if key not in _LONG_MODELS:
+        _LONG_MODELS.clear()
+        _LONG_MODELS[key] = bpe.train_bpe(table(spark, sf_dir, "conversations"), 256 + len(SPECIALS) + LONG_MERGES, SPECIALS)
+    return _LONG_MODELS[key]
+
+
 def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded with the byte-level tokenizer, split assigned."""
     docs = prep.assign_split(documents(spark, sf_dir), VAL_FRACTION, SEED, key="doc_id")
@@ -69,9 +80,9 @@ def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHARDS: dict[tuple, DataFrame] = {}
 
 
-def state_of(spark: SparkSession, sf_dir: str) -> tuple:
-    """The corpus as it is now: application, path, size and time of change."""
-    fs, path = hadoop_path(spark, f"{sf_dir}/documents.parquet")
+def state_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> tuple:
+    """A table as it is now: application, path, size and time of change."""
+    fs, path = hadoop_path(spark, f"{sf_dir}/{name}.parquet")
     s = fs.getContentSummary(path)
     return spark.sparkContext.applicationId, sf_dir, s.getLength(), fs.getFileStatus(path).getModificationTime()
 
@@ -158,6 +169,16 @@ def q_bpe_train(spark, sf_dir):
     return model.merges_df(spark).select("rank", "left_id", "right_id", "new_id", F.col("pair_count").alias("n"))
 
 
+def q_bpe_train_long(spark, sf_dir):
+    model = long_model(spark, sf_dir)
+    return model.merges_df(spark).select("rank", "left_id", "right_id", "new_id", F.col("pair_count").alias("n"))
+
+
+def q_bpe_encode_long(spark, sf_dir):
+    coded = bpe.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), long_model(spark, sf_dir))
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest(F.col("ids")).alias("digest"))
+
+
 def q_bpe_vocab(spark, sf_dir):
     model = trained_model(spark, sf_dir)
     return model.vocab_df(spark).select("token_id", "kind", F.hex("bytes").alias("bytes_hex"))
@@ -264,6 +285,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "special_split": q_special_split,
     "pair_counts": q_pair_counts,
     "bpe_train": q_bpe_train,
+    "bpe_train_long": q_bpe_train_long,
+    "bpe_encode_long": q_bpe_encode_long,
     "bpe_vocab": q_bpe_vocab,
     "bpe_encode": q_bpe_encode,
     "bpe_roundtrip": q_bpe_roundtrip,
