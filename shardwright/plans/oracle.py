@@ -21,6 +21,7 @@ from shardwright.plans.queries import (
     SHARD_SIZE,
     SPACE_ID,
     SPECIALS,
+    TEXT_LANG,
     TRAIN_MERGES,
     VAL_FRACTION,
 )
@@ -216,6 +217,13 @@ SQL: dict[str, str] = {
         "SELECT doc_id, CAST(octet_length(encode(s)) AS BIGINT) AS n_bytes, md5(s) AS digest FROM t"
     ),
     "file_corpus": "SELECT doc_id, 'from ' || source AS folder, md5(text) AS digest, true AS has_split FROM documents WHERE text IS NOT NULL",
+    "corpus_order": (
+        "WITH d AS (SELECT doc_id, lang || CASE WHEN doc_id % 3 > 0 THEN '-' || (doc_id % 3) ELSE '' END AS folder, "
+        f"lang = '{TEXT_LANG}' AS as_text, regexp_replace(text, '\\r\\n?', chr(10), 'g') || chr(10) AS file, text FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)\n"
+        "SELECT row_number() OVER (ORDER BY folder, CASE WHEN as_text THEN 'doc' ELSE 'part' END, doc_id) - 1 AS rank, "
+        "md5(CASE WHEN as_text THEN file ELSE text END) AS digest, "
+        "CAST(octet_length(encode(CASE WHEN as_text THEN file ELSE text END)) AS BIGINT) AS n_bytes FROM d"
+    ),
     "split_assign": (
         f"SELECT {SPLIT_EXPR} AS split, count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes "
         "FROM documents GROUP BY 1"

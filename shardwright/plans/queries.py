@@ -18,7 +18,7 @@ from shardwright.operators import audit, bpe, evaluation, examples, packing, pre
 from shardwright.operators.specials import split_special
 from shardwright.session import checkpoint_dir, store
 from shardwright.sources import shards as shard_files
-from shardwright.sources.corpus import balance, hadoop_path, read_parquet_text
+from shardwright.sources.corpus import balance, hadoop_path, ranked, read_corpus, read_parquet_text
 
 # fixed query parameters (restated in plans/oracle.py)
 SEED = 1337
@@ -35,6 +35,7 @@ ALPHA = 1.0
 AUDIT_VOCAB = 200  # below the ids of the specials: some rows break it
 AUDIT_CONTEXT = 110
 SPACE_ID = 32
+TEXT_LANG = "es"  # the language that corpus_order writes as text files
 BYTE_MODEL = bpe.BPEModel(SPECIALS)  # 256 bytes + 2 specials, no merges
 BYTE_VOCAB = BYTE_MODEL.vocab_size
 
@@ -143,6 +144,22 @@ def q_file_corpus(spark, sf_dir):
     return named.select("doc_id", "folder", F.md5("text").alias("digest"), "has_split")
 
 
+def q_corpus_order(spark, sf_dir):
+    """A tree of folders, one language as text files (one each), all others in Parquet, read back
+    and numbered in corpus order.  Folder names differ in marks that sort before ``/``, so an
+    order of plain strings gives other ranks."""
+    root = f"{checkpoint_dir(spark)}/corpus-order-{uuid.uuid4().hex}"
+    nth = F.col("doc_id") % 3
+    folder = F.concat("lang", F.when(nth > 0, F.concat(F.lit("-"), nth)).otherwise(""))
+    docs = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", "lang", folder.alias("src"))
+    name = F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("doc")
+    docs.where(F.col("lang") == TEXT_LANG).select("src", name, "text").write.partitionBy("src", "doc").mode("append").text(root)
+    rows = docs.where(F.col("lang") != TEXT_LANG).select("src", "doc_id", "text")
+    rows.repartition("src").sortWithinPartitions("src", "doc_id").write.partitionBy("src").mode("append").parquet(root)
+    read = read_corpus(spark, root).select("doc_key", F.md5("text").alias("digest"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+    return ranked(read).select("rank", "digest", "n_bytes")
+
+
 def q_split_assign(spark, sf_dir):
     docs = prep.assign_split(documents(spark, sf_dir), VAL_FRACTION, SEED, key="doc_id")
     return docs.groupBy("split").agg(
@@ -281,6 +298,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_lines": q_dedup_lines,
     "dedup_lines_docs": q_dedup_lines_docs,
     "file_corpus": q_file_corpus,
+    "corpus_order": q_corpus_order,
     "split_assign": q_split_assign,
     "special_split": q_special_split,
     "pair_counts": q_pair_counts,

@@ -10,12 +10,15 @@ U+0000.  Comparing such keys compares paths component by component (``a/b.txt``
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardwright.operators.packing import prefix_offsets
 from shardwright.operators.prep import normalize_v0
+from shardwright.sources.listing import known_store, list_files, open_store, read_files
 
 SEP = "\x00"
 
@@ -44,34 +47,34 @@ def decoded_path(uri: Column) -> Column:
     return F.url_decode(F.replace(same_form(uri), F.lit("+"), F.lit("%2B")))
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+def read_text_files(spark: SparkSession, path: str, hidden: bool = False) -> DataFrame:
     """Every file with suffix exactly ``.txt`` under ``path`` is one document.
 
     Strict UTF-8 (malformed input fails the job), ``\\r\\n`` / lone ``\\r`` become ``\\n`` as
-    Python's text mode does; a BOM is kept.  A scan gives no row for a file of no bytes; such
-    files are taken from Spark's own listing and joined in as empty documents.  Hidden files (``.x``,
-    ``_x``) are not listed by Spark and are skipped.
+    Python's text mode does; a BOM is kept, a file of no bytes is an empty document.  Hidden files
+    and folders (``.x``, ``_x``) are skipped unless ``hidden``.  Tasks list the folders and read the files.
+
+    In a store that only Spark's readers know, Spark lists on the driver, hidden files are always
+    skipped, and files of no bytes, which a scan gives no row, are taken from that listing.
     """
     fs, root = hadoop_path(spark, path)
     if not fs.exists(root):
         raise FileNotFoundError(f"no such folder: {path}")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    listed = spark.createDataFrame([(f,) for f in raw.inputFiles()], "uri string").select(decoded_path(F.col("uri")).alias("path"))
-    empty = listed.join(raw.select("path"), "path", "left_anti").select("path", F.lit("").alias("text"))
-    full = raw.select("path", normalize_v0(F.decode(F.col("content"), "UTF-8")).alias("text"))
+    if known_store(root.toString()):
+        raw = read_files(list_files(spark, root.toString(), (".txt",), hidden))
+        texts = raw.select("path", normalize_v0(F.decode(F.col("content"), "UTF-8")).alias("text"))
+    else:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+        listed = spark.createDataFrame([(f,) for f in raw.inputFiles()], "uri string").select(decoded_path(F.col("uri")).alias("path"))
+        empty = listed.join(raw.select("path"), "path", "left_anti").select("path", F.lit("").alias("text"))
+        texts = raw.select("path", normalize_v0(F.decode(F.col("content"), "UTF-8")).alias("text")).union(empty)
     zero = F.lit(0).cast("bigint")
-    return full.union(empty).select(
-        order_key(F.col("path"), zero, root.toString()).alias("doc_key"), F.col("path").alias("file_path"), zero.alias("row_index"), "text"
-    )
+    return texts.select(order_key(F.col("path"), zero, root.toString()).alias("doc_key"), F.col("path").alias("file_path"), zero.alias("row_index"), "text")
 
 
-def _check_text_column(spark: SparkSession, files: list[str]) -> None:
+def _check_text_column(spark: SparkSession, df: DataFrame, root: str) -> None:
     """Every Parquet file must have a string column ``text``.  Spark takes a table's schema from one
-    file and reads others as null, so the footers are read, one task per few files."""
-    from pyarrow import fs as pafs
-
-    def wrong(names: list[str], kind: str) -> str | None:
-        return None if "text" in names and kind in ("string", "large_string") else kind or "missing"
+    file and reads others as null, so tasks read the footers of the files that tasks list."""
 
     def look(batches):
         import pyarrow.parquet as pq
@@ -79,23 +82,23 @@ def _check_text_column(spark: SparkSession, files: list[str]) -> None:
         for b in batches:
             out = []
             for uri in b.column(0).to_pylist():
-                system, name = pafs.FileSystem.from_uri(uri)
+                system, name = open_store(uri)
                 schema = pq.read_schema(name, filesystem=system)
-                kind = str(schema.field("text").type) if "text" in schema.names else ""
-                if bad := wrong(schema.names, kind):
-                    out.append((uri, bad))
+                kind = str(schema.field("text").type) if "text" in schema.names else "missing"
+                if kind not in ("string", "large_string"):
+                    out.append((uri, kind))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(2)], names=["uri", "kind"])
 
-    try:
-        pafs.FileSystem.from_uri(files[0])
-    except (pa.ArrowInvalid, OSError):  # a store that only Spark's readers know: footer by footer
-        for f in files:
+    if not known_store(root):  # a store that only Spark's readers know: footer by footer
+        for f in df.inputFiles():
             types = dict(spark.read.parquet(f).dtypes)
             if types.get("text") != "string":
-                raise ValueError(f"{f}: column 'text' is {types.get('text', 'missing')}, expected a string") from None
+                raise ValueError(f"{f}: column 'text' is {types.get('text', 'missing')}, expected a string")
         return
-    table = spark.createDataFrame([(f,) for f in files], "uri string")
-    bad = table.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))).mapInArrow(look, "uri string, kind string").limit(3).collect()
+    is_file = root.endswith(".parquet") and hadoop_path(spark, root)[0].getFileStatus(hadoop_path(spark, root)[1]).isFile()
+    files = spark.createDataFrame([(root,)], "path string") if is_file else list_files(spark, root, (".parquet",)).select("path")
+    tasks = max(1, min(files.count() // 16, spark.sparkContext.defaultParallelism * 4))
+    bad = files.repartition(tasks, "path").mapInArrow(look, "uri string, kind string").limit(3).collect()
     if bad:
         raise ValueError("; ".join(f"{r['uri']}: column 'text' is {r['kind']}, expected a string" for r in bad))
 
@@ -109,7 +112,7 @@ def read_parquet_text(spark: SparkSession, path: str, extra_cols: Iterable[str]
     """
     _, root = hadoop_path(spark, path)
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    _check_text_column(spark, df.inputFiles())
+    _check_text_column(spark, df, root.toString())
     path_col = decoded_path(F.col("_metadata.file_path"))
     row = F.col("_metadata.row_index").cast("bigint")
     return df.where(F.col("text").isNotNull()).select(
@@ -117,25 +120,38 @@ def read_parquet_text(spark: SparkSession, path: str, extra_cols: Iterable[str]
     )
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, hidden: bool = False) -> DataFrame:
     """S1 + S2 + S3: ``.txt`` and ``.parquet`` files under ``path`` in corpus order.
 
-    Returns ``(doc_key, file_path, row_index, text)``; sort by ``doc_key`` for the order.
+    Returns ``(doc_key, file_path, row_index, text)``; sort by ``doc_key`` for the order, or number
+    the rows by ``ranked``.  ``hidden`` holds for text files.
     """
     fs, root = hadoop_path(spark, path)
     if not fs.exists(root):
         raise FileNotFoundError(f"no such folder: {path}")
+
+    def some(suffix: str) -> bool:
+        if known_store(root.toString()):
+            return not list_files(spark, root.toString(), (suffix,), hidden and suffix == ".txt").isEmpty()
+        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path).inputFiles())
+
     parts = []
-    for glob, read in (("*.txt", read_text_files), ("*.parquet", read_parquet_text)):
-        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-        if listing.inputFiles():
-            parts.append(read(spark, path))
+    if some(".txt"):
+        parts.append(read_text_files(spark, path, hidden))
+    if some(".parquet"):
+        parts.append(read_parquet_text(spark, path))
     if not parts:
         raise FileNotFoundError(f"{path} holds no .txt and no .parquet file")
-    docs = parts[0]
-    for p in parts[1:]:
-        docs = docs.unionByName(p)
-    return docs
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ranked(docs: DataFrame, key: str = "doc_key", out: str = "rank") -> DataFrame:
+    """S3 as a dense rank from 0: every row's place in the order of the unique ``key``.
+
+    Rows are range-ordered into slices, slices' sizes are added up, rows are numbered inside their
+    slice (``packing.prefix_offsets``): select what is needed first, all columns move once.
+    """
+    return prefix_offsets(docs.withColumn("_one", F.lit(1).cast("bigint")), [], key, "_one", out).drop("_one")
 
 
 def read_sources(spark: SparkSession, sources: list[Mapping[str, str]], raw_dir: str | None = None) -> DataFrame:

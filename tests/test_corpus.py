@@ -152,3 +152,46 @@ def test_dedup_keeps_every_document(spark):
     got = {r["doc_key"]: r["text"] for r in prep.dedup_lines(df).collect()}
     assert got == {1: "a\nb", 2: "", 3: None, 4: "", 5: "c", 6: None}
     assert {r["doc_key"]: r["n_copies"] for r in prep.dedup_exact(df).collect()} == dict.fromkeys(range(1, 7), 1)
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """Deep and wide trees, hidden names on demand, and ranks that follow path components."""
+    root = tmp_path / "tree"
+    want = []
+    for d in ("a", "a-1", "a b", "a/x", "b"):
+        (root / d).mkdir(parents=True, exist_ok=True)
+        for i in range(30):
+            (root / d / f"{i:02d}.txt").write_text(f"{d} {i}", encoding="utf-8")
+            want.append(f"{d}/{i:02d}.txt")
+    (root / ".hid").mkdir()
+    (root / ".hid" / "h.txt").write_text("hidden", encoding="utf-8")
+    (root / "_u.txt").write_text("under", encoding="utf-8")
+    shown = corpus.read_corpus(spark, str(root))
+    got = [(r["rank"], r["text"]) for r in corpus.ranked(shown.select("doc_key", "text")).orderBy("rank").collect()]
+    order = sorted(want, key=lambda n: n.split("/"))
+    assert got == [(i, f"{n.rsplit('/', 1)[0]} {int(n[-6:-4])}") for i, n in enumerate(order)]
+    assert order != sorted(want)
+    every = {r["text"] for r in corpus.read_corpus(spark, str(root), hidden=True).collect()}
+    assert every == {t for _, t in got} | {"hidden", "under"}
+
+
+def test_listing_has_lengths_and_no_paths_on_the_driver(spark, tmp_path, monkeypatch):
+    from shardwright.sources import listing
+
+    for i in range(200):
+        (tmp_path / f"{i}.txt").write_text("x" * (i % 3))
+    made = []
+    create = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.append(len(data)) or create(self, data, *a, **k))
+    files = listing.list_files(spark, f"file:{tmp_path}", (".txt",))
+    assert sorted(r["length"] for r in files.collect()) == sorted(i % 3 for i in range(200))
+    assert corpus.read_text_files(spark, str(tmp_path)).where("text = ''").count() == 67
+    assert set(made) == {1}
+
+
+def test_stores_only_spark_knows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "known_store", lambda uri: False)
+    (tmp_path / "a.txt").write_text("one\r\n")
+    (tmp_path / "b.txt").write_text("")
+    spark.createDataFrame([("p",)], "text string").write.parquet(str(tmp_path / "c"))
+    assert [r["text"] for r in corpus.read_corpus(spark, str(tmp_path)).orderBy("doc_key").collect()] == ["one\n", "", "p"]
