@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from shardwright.session import store
 
 UINT16_MAX_VOCAB = 1 << 16
 ROWS_PER_SLICE = 50_000  # documents per slice of the prefix sums
+TOKENS_PER_SLICE = 8 << 20  # of a range of documents that a task packs
+MOST_SLICES = 1 << 16  # bounds the offsets that every task gets; beyond it slices are larger
 
 
 def add_boundaries(ids: Column, bos_id: int | None = None, eos_id: int | None = None) -> Column:
@@ -146,13 +151,101 @@ def pack_documents(
     bos_id: int | None = None,
     eos_id: int | None = None,
 ) -> DataFrame:
-    """K1 + K3 + K4: tokenized, split-assigned documents -> shards.
+    """K1 + K3 + K4: tokenized, split-assigned documents -> shards, as ``cut_shards`` makes them.
 
-    The tokens are written once; the offsets read only the keys and sizes of that table, and
-    the tokens move once, to be joined with their offsets by key.
+    The tokens cross one exchange: they are range-ordered by (split, key) into slices and written with
+    each document's place in its slice.  The slices' totals, a row each and at most MOST_SLICES, give every
+    slice its offset; then tasks cut what they read into shards.  A shard that lies whole in a task's
+    rows is done; only the heads and tails of those rows move again, to be joined.
     """
-    marked = docs.select(key, split, add_boundaries(F.col(ids), bos_id, eos_id).alias("ids"))
-    marked = store(marked.withColumn("n", F.size("ids").cast("bigint")), "tokens")
-    starts = prefix_offsets(marked.select(key, split, "n"), [split], key, "n", "start")
-    placed = marked.drop("n").join(starts.select(key, split, "start"), [key, split])
-    return cut_shards(placed, shard_size, split, "ids")
+    if shard_size < 1:
+        raise ValueError(f"a shard holds at least one token, not {shard_size}")
+    marked = docs.select(F.col(key).alias("key"), F.col(split).alias("split"), add_boundaries(F.col(ids), bos_id, eos_id).alias("ids"))
+    marked = store(marked.where(F.size("ids") > 0).withColumn("n", F.size("ids").cast("bigint")), "tokens")
+    total = marked.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+    n_slices = min(MOST_SLICES, max(1, -(-total // TOKENS_PER_SLICE), min(docs.sparkSession.sparkContext.defaultParallelism, total >> 20)))
+    ranged = marked.repartitionByRange(n_slices, "split", "key") if n_slices > 1 else marked.coalesce(1)
+    kind = marked.schema["split"].dataType.simpleString()
+    placed = store(ranged.sortWithinPartitions("split", "key").select("split", "n", "ids").mapInArrow(_place, f"split {kind}, ids array<int>, slice int, at bigint"), "slices")
+    sums = placed.groupBy("slice", "split").agg(F.sum(F.size("ids")).alias("n")).collect()
+    offsets, seen = {}, {}
+    for r in sorted(sums, key=lambda r: r["slice"]):
+        offsets[r["slice"], r["split"]] = seen.get(r["split"], 0)
+        seen[r["split"]] = seen.get(r["split"], 0) + r["n"]
+    shared = docs.sparkSession.sparkContext.broadcast(offsets)
+    parts = f"split {kind}, shard_idx int, at bigint, tokens array<int>"
+    whole, pieces = (placed.mapInArrow(_cutter(shared, shard_size, w), parts) for w in (True, False))
+    joined = pieces.groupBy("split", "shard_idx").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("fs"))
+    rest = joined.select("split", "shard_idx", F.flatten(F.transform("fs", lambda f: f["tokens"])).alias("tokens"))
+    shards = whole.select("split", "shard_idx", "tokens").unionByName(rest)
+    return shards.select(
+        F.col("split").alias(split),
+        "shard_idx",
+        shard_name(F.col("split"), F.col("shard_idx")).alias("filename"),
+        F.size("tokens").cast("bigint").alias("num_tokens"),
+        "tokens",
+    )
+
+
+def _place(batches):
+    """Adds a slice's number and each document's place in it, counted per split."""
+    number, at = TaskContext.get().partitionId(), {}
+    for b in batches:
+        places = []
+        for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            places.append(at.get(s, 0))
+            at[s] = places[-1] + n
+        columns = [b.column(0), b.column(2), pa.array([number] * len(places), pa.int32()), pa.array(places, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["split", "ids", "slice", "at"])
+
+
+def _cutter(shared, shard_size: int, whole: bool):
+    """Rows in stream order -> the shards that lie whole in a run of neighbouring documents, or the
+    pieces at the run's ends that belong to shards shared with other tasks."""
+
+    def cut(batches):
+        offsets, kind = shared.value, None
+        split, start, end, held = None, 0, 0, []  # the run's tokens that are in no part yet
+        out, size = [], 0
+
+        def take(upto: int) -> None:
+            nonlocal start, held, size
+            if upto > start:
+                done = (start % shard_size == 0) and upto - start == shard_size
+                tokens = held[0] if len(held) == 1 else np.concatenate(held)
+                if done == whole:
+                    out.append((split, start // shard_size, start, tokens[: upto - start]))
+                    size += upto - start
+                held = [tokens[upto - start :]]
+                start = upto
+
+        def ready() -> pa.RecordBatch:
+            edges = np.concatenate([[0], np.cumsum([len(o[3]) for o in out])]).astype(np.int32)
+            values = np.concatenate([o[3] for o in out]) if out else np.zeros(0, np.int32)
+            columns = [pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64())]
+            tokens = pa.ListArray.from_arrays(pa.array(edges), pa.array(values, pa.int32()))
+            return pa.RecordBatch.from_arrays([*columns, tokens], names=["split", "shard_idx", "at", "tokens"])
+
+        for b in batches:
+            kind = b.column(0).type
+            lists = b.column(1)
+            edges, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for i, (s, number, at) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
+                place = offsets[number, s] + at
+                if s != split or place != end:
+                    take(end)
+                    split, start, end, held = s, place, place, []
+                ids = values[edges[i] : edges[i + 1]]
+                held.append(ids)
+                end += len(ids)
+                while (edge := (start // shard_size + 1) * shard_size) <= end:
+                    take(edge)
+                if size >= 2 << 20:
+                    yield ready()
+                    out, size = [], 0
+            held = [h.copy() for h in held]  # not to keep the batch
+        take(end)
+        if out:
+            yield ready()
+
+    return cut

@@ -179,3 +179,27 @@ def test_token_audits(spark):
     assert examples.context_audit(df, "x", 8).collect()[0]["n_too_long"] == 1
     with pytest.raises(Exception, match="exceeds"):
         examples.strict(examples.context_audit(df, "x", 8)).collect()
+
+
+@pytest.mark.parametrize("slices, shard_size", [(1, 7), (6, 7), (6, 1000), (6, 1)])
+def test_slices_make_the_shards_of_one_stream(spark, monkeypatch, slices, shard_size):
+    """Shards that cross slices, tasks and long documents equal cuts of the concatenated documents."""
+    monkeypatch.setattr(packing, "MOST_SLICES", slices)
+    monkeypatch.setattr(packing, "TOKENS_PER_SLICE", 20)
+    rows, streams = [], {}
+    for i in range(120):
+        ids = [(i * 37 + k) % 300 for k in range([0, 3, 1, 12, 90][i % 5])]
+        rows.append((f"k{i:03d}", ["train", "val", None][i % 7 % 3], ids))
+        streams.setdefault(rows[-1][1], []).extend([7, *ids])
+    docs = spark.createDataFrame(rows, "name string, part string, toks array<int>").repartition(5)
+    got = packing.pack_documents(docs, shard_size, key="name", split="part", ids="toks", bos_id=7).collect()
+    want = {(s, i): t[i * shard_size : (i + 1) * shard_size] for s, t in streams.items() for i in range(-(-len(t) // shard_size))}
+    assert len(got) == len(want) and {(r["part"], r["shard_idx"]): list(r["tokens"]) for r in got} == want
+    assert all(r["num_tokens"] == len(r["tokens"]) for r in got)
+
+
+def test_tokens_cross_one_exchange(spark):
+    """Behind the written slices only the pieces at the tasks' ends are grouped."""
+    docs = spark.range(50).selectExpr("id AS k", "'train' AS split", "transform(sequence(1, 40), x -> CAST(x AS INT)) AS ids")
+    plan = packing.pack_documents(docs, 64, key="k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("MapInArrow") == 2 and "Join" not in plan
