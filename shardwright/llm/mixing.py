@@ -274,14 +274,22 @@ def cut_text(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
     return b"\n".join(text[start[x] : end[y - 1]] for x, y in runs)
 
 
+def row_digest(docs: DataFrame) -> Column:
+    """SHA-256 of a row: each column is a null mark or its length and value, so rows that hold the
+    same values in other columns, or nulls in other places, differ."""
+    texts = [F.col(f"`{c}`").cast("string") for c in docs.columns]
+    parts = [F.when(x.isNull(), "n").otherwise(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x)) for x in texts]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def mixed_documents(docs: DataFrame, block: int = 128, seed: int = 11) -> DataFrame:
     """The mix as documents: a row per row of docs and pass that took some of it, with the
     words taken as text; other columns unchanged, a column ``n_chars`` counted anew.
 
     Spans are gathered per document (a list bounded by its own length), so the texts are
-    shuffled once, by a hash of the whole row; identical rows share one text."""
+    shuffled once, by a digest of the whole row; identical rows share one text."""
     cols = docs.columns
-    keyed = docs.select(F.xxhash64(*[F.col(c) for c in cols]).alias("_row"), F.struct(*cols).alias("_doc"))
+    keyed = docs.select(row_digest(docs).alias("_row"), F.struct(*cols).alias("_doc"))
     spans = Mix(keyed.select("_row", "_doc.text", "_doc.source"), block, seed, key="_row").spans()
     passes = spans.groupBy("_row", "start", "pass_no").agg(F.collect_list(F.struct("from_word", "words")).alias("cuts"))
     cuts = passes.groupBy("_row").agg(F.sort_array(F.collect_list("cuts")).alias("_cuts"))

@@ -85,3 +85,19 @@ def test_cut_text_keeps_whole_texts_and_white_space():
     assert M.cut_text(t, [(2, 2), (0, 2)]) == t
     assert M.cut_text(t, [(1, 2)]) == b"two\tthree"
     assert M.cut_text(t, [(0, 1), (3, 1)]) == b"one\nfour"
+
+
+def test_rows_that_differ_in_where_nulls_stand_all_stay(spark):
+    text = " ".join(f"w{i}" for i in range(8))
+    rows = [(8, text, None, "en", 3), (8, text, "en", None, 3), (8, text, "en", "en", None), (3, text, "en", "en", 8), (8, text, "en", "en", 3), (8, text, "en", "en", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    digests = docs.select(M.row_digest(docs).alias("d"), "*").collect()
+    assert len({bytes(r["d"]) for r in digests}) == 5
+    want = Counter()
+    for r in M.taken_words(docs).collect():
+        want[r["doc_id"]] += r["taken"]
+    got, sources = Counter(), set()
+    for r in M.mixed_documents(docs).collect():
+        got[r["doc_id"]] += len(r["text"].split())
+        sources.add(r["source"])
+    assert sources == {"en", None} and sum(got.values()) == sum(want.values())
