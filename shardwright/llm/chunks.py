@@ -84,7 +84,7 @@ class _Codes:
 class ChunkCoder:
     """``encode_many(list of str) -> Codes`` codes chunks; codes are kept for about ``most`` of them."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Codes], most: int = 2_500_000):
+    def __init__(self, encode_many: Callable[[list[str]], Codes], most: int = 1_000_000):
         self.encode_many, self.most = encode_many, most
         self.inner = _Codes()  # of " " + word, for words without white space at their ends
 
