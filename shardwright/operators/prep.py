@@ -53,20 +53,21 @@ def dedup_lines(docs: DataFrame, key: str = "doc_key", text: str = "text") -> Da
     (corpus order = key, then line number); empty lines are kept.
 
     Returns every document with ``text`` rebuilt: one whose lines were all seen earlier has an
-    empty text, a null text stays null.  Survivors are matched on the unique ``(key, line_no)``;
-    the per-document regroup is bounded by the document itself.
+    empty text, a null text stays null.  Lines are grouped as 128-bit digests with their (key, line
+    number), combined before the shuffle; a document gets back the numbers of the lines that stay,
+    and is cut where its text is: no line's text is shuffled, and each text moves once.
     """
-    lines = line_table(docs, key, text)
-    keep = first_lines(lines, key).select(key, "line_no", F.lit(True).alias("_keep"))
-    kept = (
-        lines.join(keep, [key, "line_no"], "left")
-        .where((F.col("line") == F.lit("")) | F.col("_keep").isNotNull())
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
-        .select(key, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("_kept"))
-    )
-    was = F.when(F.col(text).isNotNull(), F.coalesce("_kept", F.lit("")))
-    return docs.join(kept, key, "left").withColumn(text, was).drop("_kept")
+    lines = F.split(F.col(text), "\n", -1)
+    digest = lambda x: F.when(x != F.lit(""), F.substring(F.unhex(text_digest(x)), 1, 16))
+    digests = docs.select(key, F.posexplode(F.transform(lines, digest)).alias("_no", "_d")).where(F.col("_d").isNotNull())
+    firsts = digests.groupBy("_d").agg(F.min(F.struct(key, "_no")).alias("_first"))
+    stay = firsts.groupBy(F.col(f"_first.{key}").alias(key)).agg(F.collect_list("_first._no").alias("_stay"))
+    cut = docs.join(stay, key, "left").withColumn("_lines", lines)
+    none = F.array().cast("array<int>")
+    blank = F.filter(F.transform("_lines", lambda x, i: F.when(x == F.lit(""), i)), lambda i: i.isNotNull())
+    numbers = F.array_sort(F.concat(F.coalesce("_stay", none), F.coalesce(blank, none)))
+    kept = F.array_join(F.transform(numbers, lambda i: F.get(F.col("_lines"), i)), "\n")
+    return cut.withColumn(text, F.when(F.col(text).isNotNull(), kept)).drop("_lines", "_stay")
 
 
 def split_draw(key: Column, seed: int) -> Column:

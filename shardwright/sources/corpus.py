@@ -47,12 +47,13 @@ def decoded_path(uri: Column) -> Column:
     return F.url_decode(F.replace(same_form(uri), F.lit("+"), F.lit("%2B")))
 
 
-def read_text_files(spark: SparkSession, path: str, hidden: bool = False) -> DataFrame:
+def read_text_files(spark: SparkSession, path: str, hidden: bool = False, files: DataFrame | None = None) -> DataFrame:
     """Every file with suffix exactly ``.txt`` under ``path`` is one document.
 
     Strict UTF-8 (malformed input fails the job), ``\\r\\n`` / lone ``\\r`` become ``\\n`` as
     Python's text mode does; a BOM is kept, a file of no bytes is an empty document.  Hidden files
-    and folders (``.x``, ``_x``) are skipped unless ``hidden``.  Tasks list the folders and read the files.
+    and folders (``.x``, ``_x``) are skipped unless ``hidden``.  Tasks list the folders and read the files;
+    ``files`` (path, length) is such a listing, if there is one.
 
     In a store that only Spark's readers know, Spark lists on the driver, hidden files are always
     skipped, and files of no bytes, which a scan gives no row, are taken from that listing.
@@ -61,7 +62,7 @@ def read_text_files(spark: SparkSession, path: str, hidden: bool = False) -> Dat
     if not fs.exists(root):
         raise FileNotFoundError(f"no such folder: {path}")
     if known_store(root.toString()):
-        raw = read_files(list_files(spark, root.toString(), (".txt",), hidden))
+        raw = read_files(list_files(spark, root.toString(), (".txt",), hidden) if files is None else files)
         texts = raw.select("path", normalize_v0(F.decode(F.col("content"), "UTF-8")).alias("text"))
     else:
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
@@ -72,7 +73,7 @@ def read_text_files(spark: SparkSession, path: str, hidden: bool = False) -> Dat
     return texts.select(order_key(F.col("path"), zero, root.toString()).alias("doc_key"), F.col("path").alias("file_path"), zero.alias("row_index"), "text")
 
 
-def _check_text_column(spark: SparkSession, df: DataFrame, root: str) -> None:
+def _check_text_column(spark: SparkSession, df: DataFrame, root: str, files: DataFrame | None) -> None:
     """Every Parquet file must have a string column ``text``.  Spark takes a table's schema from one
     file and reads others as null, so tasks read the footers of the files that tasks list."""
 
@@ -95,15 +96,17 @@ def _check_text_column(spark: SparkSession, df: DataFrame, root: str) -> None:
             if types.get("text") != "string":
                 raise ValueError(f"{f}: column 'text' is {types.get('text', 'missing')}, expected a string")
         return
-    is_file = root.endswith(".parquet") and hadoop_path(spark, root)[0].getFileStatus(hadoop_path(spark, root)[1]).isFile()
-    files = spark.createDataFrame([(root,)], "path string") if is_file else list_files(spark, root, (".parquet",)).select("path")
+    if files is None:
+        is_file = root.endswith(".parquet") and hadoop_path(spark, root)[0].getFileStatus(hadoop_path(spark, root)[1]).isFile()
+        files = spark.createDataFrame([(root,)], "path string") if is_file else list_files(spark, root, (".parquet",))
+    files = files.select("path")
     tasks = max(1, min(files.count() // 16, spark.sparkContext.defaultParallelism * 4))
     bad = files.repartition(tasks, "path").mapInArrow(look, "uri string, kind string").limit(3).collect()
     if bad:
         raise ValueError("; ".join(f"{r['uri']}: column 'text' is {r['kind']}, expected a string" for r in bad))
 
 
-def read_parquet_text(spark: SparkSession, path: str, extra_cols: Iterable[str] = ()) -> DataFrame:
+def read_parquet_text(spark: SparkSession, path: str, extra_cols: Iterable[str] = (), files: DataFrame | None = None) -> DataFrame:
     """Only column ``text`` (plus ``extra_cols``), nulls dropped.
 
     Column pruning and the null filter reach the Parquet reader (ReadSchema / PushedFilters).  Any
@@ -112,7 +115,7 @@ def read_parquet_text(spark: SparkSession, path: str, extra_cols: Iterable[str]
     """
     _, root = hadoop_path(spark, path)
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    _check_text_column(spark, df, root.toString())
+    _check_text_column(spark, df, root.toString(), files)
     path_col = decoded_path(F.col("_metadata.file_path"))
     row = F.col("_metadata.row_index").cast("bigint")
     return df.where(F.col("text").isNotNull()).select(
@@ -130,16 +133,22 @@ def read_corpus(spark: SparkSession, path: str, hidden: bool = False) -> DataFra
     if not fs.exists(root):
         raise FileNotFoundError(f"no such folder: {path}")
 
-    def some(suffix: str) -> bool:
-        if known_store(root.toString()):
-            return not list_files(spark, root.toString(), (suffix,), hidden and suffix == ".txt").isEmpty()
+    text, table, parts = None, None, []
+    if known_store(root.toString()):
+        listed = list_files(spark, root.toString(), (".txt", ".parquet"), hidden)
+        below = F.substring("path", len(root.toString().rstrip("/")) + 1, 1 << 30)
+        text = listed.where(F.col("path").endswith(".txt"))
+        table = listed.where(F.col("path").endswith(".parquet") & ~below.rlike("/[._]"))  # Spark's reader skips hidden ones
+
+    def some(files: DataFrame | None, suffix: str) -> bool:
+        if files is not None:
+            return not files.isEmpty()
         return bool(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path).inputFiles())
 
-    parts = []
-    if some(".txt"):
-        parts.append(read_text_files(spark, path, hidden))
-    if some(".parquet"):
-        parts.append(read_parquet_text(spark, path))
+    if some(text, ".txt"):
+        parts.append(read_text_files(spark, path, hidden, text))
+    if some(table, ".parquet"):
+        parts.append(read_parquet_text(spark, path, files=table))
     if not parts:
         raise FileNotFoundError(f"{path} holds no .txt and no .parquet file")
     return reduce(DataFrame.unionByName, parts)

@@ -195,3 +195,18 @@ def test_stores_only_spark_knows(spark, tmp_path, monkeypatch):
     (tmp_path / "b.txt").write_text("")
     spark.createDataFrame([("p",)], "text string").write.parquet(str(tmp_path / "c"))
     assert [r["text"] for r in corpus.read_corpus(spark, str(tmp_path)).orderBy("doc_key").collect()] == ["one\n", "", "p"]
+
+
+def test_no_line_text_is_shuffled(spark):
+    rows = [(i, "\n".join([f"line {i % 7}", "", "shared", f"own {i}", "shared", ""])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_key bigint, text string")
+    seen, want = set(), {}
+    for k, t in rows:
+        want[k] = "\n".join(x for x in t.split("\n") if x == "" or not (x in seen or seen.add(x)))
+    out = prep.dedup_lines(df.repartition(3))
+    assert {r["doc_key"]: r["text"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 2
+    for line in plan.splitlines():
+        if "Aggregate" in line:
+            assert "text" not in line and "_lines" not in line
