@@ -184,6 +184,20 @@ TOKENS_CTE = (
     f"tokens[example_idx * {CONTEXT} + 2 : example_idx * {CONTEXT} + {CONTEXT + 1}] AS y FROM ex)"
 )
 
+def q_file_job() -> str:
+    ids = f"list_transform({chars('s')}, lambda c: unicode(c)) || [{EOS_ID}]"
+    return (
+        f"WITH {merge_chain()},\n"
+        f"e AS (SELECT doc_id, lang, {encode_fold(byte_str('text'))} AS s FROM documents WHERE text IS NOT NULL),\n"
+        f"d AS (SELECT doc_id, lang, {ids} AS ids FROM e),\n"
+        "o AS (SELECT ids, coalesce(sum(len(ids)) OVER (ORDER BY lang, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),\n"
+        "t AS (SELECT start + i AS pos, tok FROM (SELECT start, unnest(ids) AS tok, unnest(range(len(ids))) AS i FROM o)),\n"
+        f"sh AS (SELECT CAST(pos // {SHARD_SIZE} AS INTEGER) AS shard_idx, list(tok ORDER BY pos) AS tokens FROM t GROUP BY pos // {SHARD_SIZE})\n"
+        "SELECT 'train' AS split, shard_idx, printf('train_%05d.bin', shard_idx) AS filename, CAST(len(tokens) AS BIGINT) AS num_tokens, "
+        f"{ids_digest('tokens')} AS digest FROM sh"
+    )
+
+
 BIGRAM_CTE = (
     "bg AS (SELECT split, x, y, count(*) AS n FROM "
     "(SELECT split, unnest(x) AS x, unnest(y) AS y FROM exy) GROUP BY split, x, y),\n"
@@ -278,6 +292,7 @@ SQL: dict[str, str] = {
         "SELECT split, shard_idx, printf('%s_%05d.bin', split, shard_idx) AS filename, "
         f"CAST(len(tokens) AS BIGINT) AS num_tokens, {ids_digest('tokens')} AS digest FROM sh"
     ),
+    "file_job": q_file_job(),
     "perplexity": (
         f"WITH {TOKENS_CTE},\n{BIGRAM_CTE}\n"
         "SELECT 'all' AS corpus, CAST(sum(n) AS BIGINT) AS n_tokens, round(exp(sum(n * nll1) / sum(n)), 6) AS ppl FROM sc"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from shardwright.functions.codepoints import digest
 from shardwright.operators import audit, bpe, evaluation, examples, packing, prep
 from shardwright.operators.specials import split_special
+from shardwright.plans.file_job import pack_folder, packed_shards
 from shardwright.session import checkpoint_dir, store
 from shardwright.sources import shards as shard_files
 from shardwright.sources.corpus import balance, hadoop_path, ranked, read_corpus, read_parquet_text
@@ -276,6 +277,15 @@ def q_shard_files(spark, sf_dir):
     return both.select("split", "shard_idx", "filename", F.size("tokens").cast("bigint").alias("num_tokens"), digest(F.col("tokens")).alias("digest"))
 
 
+def q_file_job(spark, sf_dir):
+    """A folder of Parquet files -> tokenizer, shard files and manifest -> the shards that the manifest names."""
+    home = f"{checkpoint_dir(spark)}/file-job-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", F.col("lang").alias("src"))
+    docs.repartition("src").sortWithinPartitions("src", "doc_id").write.partitionBy("src").parquet(f"{home}/in")
+    pack_folder(spark, f"{home}/in", f"{home}/out", TRAIN_MERGES, SPECIALS, SHARD_SIZE, eos=SPECIALS[1])
+    return packed_shards(spark, f"{home}/out")
+
+
 def q_perplexity(spark, sf_dir):
     """E3 over all splits together."""
     sums = evaluation.bigram_nll(example_rows(spark, sf_dir), BYTE_VOCAB, ALPHA).withColumn("corpus", F.lit("all"))
@@ -313,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pack_shards": q_pack_shards,
     "manifest": q_manifest,
     "shard_files": q_shard_files,
+    "file_job": q_file_job,
     "examples": q_examples,
     "example_at": q_example_at,
     "first_batch": q_first_batch,
