@@ -8,6 +8,12 @@
     byte-level BPE     every row of the mix is encoded, and decoded again
 
 The first four return the columns of ``documents``.
+
+Defined cases: null or empty texts score as a text without terms and fail the quality rules, so they go there;
+a null or repeated id is a row like any other until the Jaccard stage, where rows of one id count as
+one document; a null source is a source of its own, last in order; other columns, whatever their
+names, pass through the first four stages unchanged; a very long text is worked on whole, by one task;
+an empty ``documents`` or ``labels`` gives an empty result or a constant toxicity score.
 """
 
 from __future__ import annotations
