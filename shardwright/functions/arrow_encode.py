@@ -1,4 +1,4 @@
-"""T8, Arrow path: merges applied in Arrow batches (``mapInPandas``).
+"""T8 and T9, Arrow paths: merges applied in Arrow batches (``mapInPandas``), ids decoded by a gather.
 
 For merge lists too long for one JVM expression.  The merge list (bounded by the vocabulary) is
 captured once per task.  A chunk is cut where no merge can join two neighbours, and each distinct
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from shardwright.functions.codepoints import SURROGATE_SHIFT, tok
 from shardwright.functions.symbols import Merger, codes_of
@@ -50,3 +51,33 @@ def encode_partitions(model, text_col: str, out_col: str, allow_specials: bool =
             yield pdf
 
     return run
+
+
+def decode_partitions(model, ids_at: int, out_col: str):
+    """Each row's bytes are gathered from one flat table of the vocabulary's bytes."""
+    vocab = model.vocab_bytes()
+
+    def run(batches):
+        flat = np.frombuffer(b"".join(vocab), np.uint8)
+        size = np.array([len(v) for v in vocab], np.int64)
+        start = np.cumsum(size) - size
+
+        def text(ids: np.ndarray) -> str:
+            bad = (ids < 0) | (ids >= len(size))
+            if bad.any():
+                raise ValueError(f"no bytes for token id {ids[bad][0]}")
+            n = size[ids]
+            ends = np.cumsum(n)
+            at = np.repeat(start[ids] - (ends - n), n) + np.arange(int(n.sum()))
+            return flat[at].tobytes().decode("utf-8", "replace")
+
+        for b in batches:
+            lists = b.column(ids_at)
+            values, edges = lists.values, lists.offsets.to_pylist()
+            if values.null_count:
+                raise ValueError("no bytes for token id null")
+            values = values.to_numpy()
+            texts = [text(values[x:y]) for x, y in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
+
+    return run

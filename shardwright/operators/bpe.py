@@ -455,3 +455,15 @@ def decode(ids: Column, model: BPEModel) -> Column:
     return F.when(
         unknown, F.raise_error(F.concat(F.lit("no bytes for token id "), F.element_at(bad, 1).cast("string")))
     ).otherwise(F.coalesce(valid, F.lit("")))
+
+
+def decode_documents(docs: DataFrame, model: BPEModel, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
+    """T9 over a DataFrame, in Arrow batches: ``docs`` with ``out_col`` (not among its columns), null ids as an
+    empty text.  The vocabulary goes to the tasks as one flat table of bytes with offsets, so the plan is
+    as small for any vocabulary; unknown ids raise, as in ``decode``."""
+    from shardwright.functions.arrow_encode import decode_partitions
+
+    if out_col in docs.columns:
+        raise ValueError(f"column {out_col!r} is there already")
+    schema = T.StructType(docs.schema.fields + [T.StructField(out_col, T.StringType())])
+    return docs.mapInArrow(decode_partitions(model, docs.columns.index(ids_col), out_col), schema)

@@ -261,6 +261,7 @@ SQL: dict[str, str] = {
     "bpe_train": q_bpe_train(),
     "bpe_train_long": q_bpe_train_long(),
     "bpe_encode_long": q_bpe_encode_long(),
+    "bpe_decode_long": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents",
     "bpe_vocab": q_bpe_vocab(),
     "bpe_encode": q_bpe_encode(),
     "bpe_roundtrip": (

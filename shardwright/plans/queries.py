@@ -197,6 +197,13 @@ def q_bpe_encode_long(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest(F.col("ids")).alias("digest"))
 
 
+def q_bpe_decode_long(spark, sf_dir):
+    model = long_model(spark, sf_dir)
+    coded = bpe.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), model).select("doc_id", "ids")
+    back = bpe.decode_documents(coded, model)
+    return back.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5("text").alias("digest"))
+
+
 def q_bpe_vocab(spark, sf_dir):
     model = trained_model(spark, sf_dir)
     return model.vocab_df(spark).select("token_id", "kind", F.hex("bytes").alias("bytes_hex"))
@@ -315,6 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bpe_train": q_bpe_train,
     "bpe_train_long": q_bpe_train_long,
     "bpe_encode_long": q_bpe_encode_long,
+    "bpe_decode_long": q_bpe_decode_long,
     "bpe_vocab": q_bpe_vocab,
     "bpe_encode": q_bpe_encode,
     "bpe_roundtrip": q_bpe_roundtrip,

@@ -99,3 +99,20 @@ def test_hundreds_of_merges_equal_recounts(spark, sf0001, monkeypatch):
     assert 1 < report.passes < 40
     coded = sorted(bpe.encode_documents(df, model).collect(), key=lambda r: r["doc_id"])
     assert ["".join(map(tok, r["ids"])) for r in coded] == strings
+
+
+def test_decoding_by_gather(spark):
+    model = bpe.BPEModel(("<|eos|>",), ((0xE6, 0x97), (257, 0xA5), (97, 98)))
+    rows = [(1, [97, 256, 258, 259]), (2, []), (3, None), (4, [0xE6, 0x97]), (5, [65, 0xFF, 66, 257]), (6, [0xED, 0xA0, 0x80])]
+    df = spark.createDataFrame(rows, "k int, ids array<int>")
+    vocab = model.vocab_bytes()
+    want = {k: b"".join(vocab[i] for i in ids or []).decode("utf-8", "replace") for k, ids in rows}
+    assert {r["k"]: r["text"] for r in bpe.decode_documents(df.repartition(2), model).collect()} == want
+    for bad in (260, -1, 999999):
+        with pytest.raises(Exception, match="no bytes for token id"):
+            bpe.decode_documents(spark.createDataFrame([(1, [97, bad])], "k int, ids array<int>"), model).collect()
+    wide = bpe.BPEModel((), tuple((97, 98 + i) for i in range(100)))
+    plan = lambda m: len(bpe.decode_documents(df, m)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(plan(model) - plan(wide)) < 20
+    with pytest.raises(ValueError):
+        bpe.decode_documents(df, model, out_col="k")
