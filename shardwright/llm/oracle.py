@@ -77,17 +77,17 @@ WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([
     TRY_CAST(regexp_extract(url, '/(\\d{{1,18}})(?:\\.html|/)?(?:[?#].*)?$', 1) AS BIGINT) AS doc_id FROM pages),
 o AS (SELECT page_id, max(bad) AS bad FROM (SELECT page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1
     WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END AS bad FROM u JOIN labels USING (doc_id)) WHERE bad IS NOT NULL GROUP BY page_id),
-hc AS (SELECT host, count(*) AS n, sum(bad) AS bad, regexp_extract(host, '(?:[^.]*\\.)?[^.]*$') AS two, regexp_extract(host, '(?:[^.]*\\.){{0,2}}[^.]*$') AS three
-    FROM u JOIN o USING (page_id) GROUP BY host),
+hc AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_extract(host, '(?:[^.]*\\.)?[^.]*$') AS two, regexp_extract(host, '(?:[^.]*\\.){{0,2}}[^.]*$') AS three
+    FROM u LEFT JOIN o USING (page_id) GROUP BY host),
 hd AS (SELECT host, n, bad, CASE WHEN two IN ({two_part}) THEN three ELSE two END AS domain FROM hc),
 dc AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, CASE WHEN contains(domain, '.') THEN regexp_replace(domain, '^[^.]*\\.', '') ELSE '' END AS suffix
     FROM hd GROUP BY domain),
 sc AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dc GROUP BY suffix),
-tot AS (SELECT sum(bad) / sum(n) AS p FROM sc),{level("s", "sc", ", tot", "suffix")},{level("d", "dc", "JOIN (SELECT suffix, q AS p FROM s) USING (suffix)", "domain")},
+tot AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS p FROM sc),{level("s", "sc", ", tot", "suffix")},{level("d", "dc", "JOIN (SELECT suffix, q AS p FROM s) USING (suffix)", "domain")},
 {level("h", "hd", "JOIN (SELECT domain, q AS p FROM d) USING (domain)", "host")},
 low AS (SELECT host, q - {b.z} * sqrt(q * (1 - q) / (w + 1)) AS low FROM h)
 SELECT page_id, host, path, CASE {rule} END AS rule,
-    CASE {verdict} ELSE CASE WHEN coalesce(low, 0) > {b.max_bad} THEN 'block' ELSE 'allow' END END AS verdict
+    CASE {verdict} ELSE CASE WHEN low > {b.max_bad} THEN 'block' ELSE 'allow' END END AS verdict
 FROM u LEFT JOIN low USING (host)
 """
 

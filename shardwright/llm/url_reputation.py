@@ -11,14 +11,16 @@ The prior strengths m1..m3 are estimated by the method of moments from how far t
 children's shares lie from their parents' beyond binomial noise, over all labelled
 pages.  A host is blocked when the lower bound of its bad share,
 ``mean - z * sqrt(mean * (1 - mean) / (n_h' + 1))`` (the posterior beta's mean and
-deviation), exceeds ``max_bad``.  Fixed rules go first: the longest that fits decides.
+deviation), exceeds ``max_bad``.  A host without a labelled page has n = bad = 0, so its mean is
+its domain's, that of an unlabelled domain its suffix's, and that of an unlabelled suffix the rate
+of all pages.  Fixed rules go first: the longest that fits decides.
 
 Registered domain: the last two labels of the host, or three where the last two are a
 suffix of ``SUFFIXES``; a host of one label is its own domain; suffix: what follows the
 domain's first label ('' if nothing does).
 
 Defined cases: a null url or one without ``://`` has empty host and path; pages of the
-empty host form a host like any other; a null or unknown outcome counts for nothing;
+empty host form a host like any other; a null or unknown outcome is no label;
 repeated pages are judged and counted row by row; with no outcomes at all the rate is 0
 and every page without a rule is allowed.  Extra columns are ignored.
 """
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import ascii_lower
+from shardwright.llm.common import ascii_lower, stored
 
 #: Public suffixes of two labels.
 SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
@@ -77,7 +79,7 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _strength(children: DataFrame, b: Bound) -> Column:
+def _strength(b: Bound) -> Column:
     """Method of moments for children(n, bad, p): p the parent's share.  With few or evenly
     spread children the estimate is the weakest prior or the strongest."""
     noise = F.col("p") * (1 - F.col("p"))
@@ -89,28 +91,31 @@ def _strength(children: DataFrame, b: Bound) -> Column:
 
 
 def host_reputation(outcomes: DataFrame, bound: Bound | None = None) -> DataFrame:
-    """outcomes(host, bad 0/1, one row per labelled page) -> host, domain, n, bad, mean, low."""
+    """outcomes(host, bad: 0, 1 or no label, one row per page) -> host, domain, n, bad, mean, low, a row per host.
+
+    The counts are stored once, a row per host; every level is read from them.  What a level needs of
+    all its rows (the rate, a strength) is one number, and goes into the next plan as a literal."""
     b = bound or Bound()
-    hosts = (
-        outcomes.where(F.col("bad").isin(0, 1))
-        .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").cast("bigint").alias("bad"))
-        .withColumn("domain", domain_of(F.col("host")))
-    )
-    domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("suffix", suffix_of(F.col("domain")))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg((F.sum("bad") / F.sum("n")).alias("p"))
-
-    def shrunk(level: DataFrame, parents: DataFrame, on: str | None) -> DataFrame:
-        """level with its posterior share ``q`` and weight ``w``; parents(on, p)."""
-        rows = level.join(parents, on) if on else level.crossJoin(F.broadcast(parents))  # parents: one row
-        m = rows.agg(_strength(rows, b).alias("m"))
-        post = rows.crossJoin(F.broadcast(m)).withColumn("w", F.col("n") + F.col("m"))  # m: one row
-        return post.withColumn("q", (F.col("bad") + F.col("m") * F.col("p")) / F.col("w")).drop("p", "m")
-
-    s = shrunk(suffixes, total, None)
-    d = shrunk(domains, s.select("suffix", F.col("q").alias("p")), "suffix")
-    h = shrunk(hosts, d.select("domain", F.col("q").alias("p")), "domain")
+    marked = F.col("bad").isin(0, 1)
+    counts = outcomes.groupBy("host").agg(F.count_if(marked).alias("n"), F.coalesce(F.sum(F.when(marked, F.col("bad"))), F.lit(0)).cast("bigint").alias("bad"))
+    domain = domain_of(F.col("host"))
+    hosts = stored(counts.withColumn("domain", domain).withColumn("suffix", suffix_of(F.col("domain"))), "host-counts")
+
+    def level(*keys: str) -> DataFrame:
+        return hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+    def one(df: DataFrame, number: Column) -> Column:
+        return F.lit(df.agg(number.alias("x")).first()["x"])
+
+    def shrunk(rows: DataFrame) -> DataFrame:
+        """rows(n, bad, p: the parent's share) with the posterior share ``q`` and weight ``w``."""
+        m = one(rows, _strength(b))
+        return rows.withColumn("w", F.col("n") + m).withColumn("q", (F.col("bad") + m * F.col("p")) / F.col("w")).drop("p")
+
+    rate = one(hosts, F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)))
+    s = shrunk(level("suffix").withColumn("p", rate))
+    d = shrunk(level("suffix", "domain").join(s.select("suffix", F.col("q").alias("p")), "suffix"))
+    h = shrunk(hosts.join(d.select("domain", F.col("q").alias("p")), "domain"))
     low = F.col("q") - b.z * F.sqrt(F.col("q") * (1 - F.col("q")) / (F.col("w") + 1))
     return h.select("host", "domain", "n", "bad", F.col("q").alias("mean"), low.alias("low"))
 
@@ -125,9 +130,9 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, bound: Bound
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     # rows and outcomes of one page id meet as counts, so that a repeated row isn't multiplied
     marks = outcomes.where(F.col("bad").isin(0, 1)).groupBy("page_id").agg(F.max("bad").alias("bad"))
-    rep = host_reputation(rows.select("page_id", "host").join(marks, "page_id").select("host", "bad"), b)
+    rep = host_reputation(rows.select("page_id", "host").join(marks, "page_id", "left").select("host", "bad"), b)
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    own = F.when(F.coalesce(F.col("low"), F.lit(0.0)) > b.max_bad, F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when(F.col("low") > b.max_bad, F.lit("block")).otherwise(F.lit("allow"))
     return (
         rows.join(rep.select("host", "low"), "host", "left")
         .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "low")

@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 from shardwright.llm import url_reputation as U
 
 URLS = [
@@ -37,7 +39,39 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     rows += [(len(rows), "http://evil.spam.com/new"), (len(rows) + 1, "http://unseen.org/x")]
     out = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, bad int"))
     verdict = {(r["host"], r["verdict"]) for r in out.collect()}
-    assert verdict == {("evil.spam.com", "block"), ("other.spam.com", "block"), ("fine.good.com", "allow"), ("one.good.com", "allow"), ("unseen.org", "allow")}
+    assert verdict == {("evil.spam.com", "block"), ("other.spam.com", "block"), ("fine.good.com", "allow"), ("one.good.com", "allow"), ("unseen.org", "block")}  # 113 of 181 pages are bad, and nothing else is known of it
+
+
+def spam(spark):
+    """Five bad hosts of spam.com; many good hosts elsewhere; pages of hosts without a label."""
+    hosts = [(f"h{i}.spam.com", 60, 60) for i in range(5)] + [(f"w{i}.site{i % 9}.com", 60, i % 2) for i in range(36)] + [(f"a{i}.fine.org", 60, 0) for i in range(6)]
+    rows, marks = [], []
+    for host, n, bad in hosts:
+        for i in range(n):
+            marks.append((len(rows), int(i < bad)))
+            rows.append((len(rows), f"http://{host}/p{i}"))
+    unseen = ("new.spam.com", "spam.com", "new.site1.com", "unseen.com", "unseen.org", "unseen.info")
+    rows += [(len(rows) + i, f"http://{h}/x") for i, h in enumerate(unseen)]
+    return spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, bad int")
+
+
+def test_unlabelled_hosts_have_the_posterior_of_what_is_above_them(spark):
+    out = U.judge_urls(*spam(spark))
+    got = {r["host"]: (r["verdict"], r["low"]) for r in out.where("path = '/x'").collect()}
+    assert {h: v for h, (v, _) in got.items()} == {
+        "new.spam.com": "block", "spam.com": "block", "new.site1.com": "allow", "unseen.com": "allow", "unseen.org": "allow", "unseen.info": "allow"
+    }
+    assert all(low is not None for _, low in got.values()) and got["new.spam.com"][1] == got["spam.com"][1]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") < 10 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_unlabelled_hosts_change_nothing_of_the_others(spark):
+    pages, marks = spam(spark)
+    h = pages.join(marks, "page_id", "left").select(U.host_of(F.col("url")).alias("host"), "bad")
+    key = lambda df: {r["host"]: (r["n"], r["bad"], round(r["mean"], 9), round(r["low"], 9)) for r in df.collect()}
+    every, labelled = key(U.host_reputation(h)), key(U.host_reputation(h.where("bad is not null")))
+    assert len(every) == len(labelled) + 6 and {k: every[k] for k in labelled} == labelled
 
 
 def test_posterior_matches_a_plain_restatement(spark):
