@@ -89,10 +89,16 @@ def _runs(key: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
 
 
+def dealt_rows(groups: DataFrame, size: str, block: int) -> int:
+    """Rows that ``in_blocks`` deals for groups of these sizes: a member goes to each sub-block of its group."""
+    return groups.agg(F.sum(F.col(size) * F.ceil(F.col(size) / block)).alias("n")).first()["n"] or 0
+
+
 def in_blocks(rows: DataFrame, by: list[str], size: str, block: int, per_task: int, total: int) -> DataFrame:
     """Deal rows(by, rep, size of the group) over the blocks of their group: a group of s sub-blocks has
     a block for every pair of them, and a row goes to the s blocks of its own.  Adds ``blk`` (the
-    block), ``side`` (0: the sub-block of lower number) and ``g`` (what a task takes at a time)."""
+    block), ``side`` (0: the sub-block of lower number) and ``g`` (what a task takes at a time: about
+    ``per_task`` of the ``total`` rows dealt, whole blocks)."""
     s = F.ceil(F.col(size) / block).cast("int")
     dealt = rows.withColumn("_s", s).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_s")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
@@ -101,7 +107,7 @@ def in_blocks(rows: DataFrame, by: list[str], size: str, block: int, per_task: i
     return dealt.withColumn("g", F.pmod("blk", F.lit(max(16, total // per_task)))).select("g", "blk", "rep", "side")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, tables: Tables | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, tables: Tables | None = None, per_task: int = 20_000) -> DataFrame:
     """vectors(vec_id, embedding) -> vec_id, n_links, component_id, kept, a row per row."""
     e = F.col("embedding").cast("array<double>")
     good = (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
@@ -125,7 +131,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
 
     sig = stored(spread(reps.select("rep", "x"), "rep").mapInArrow(hash_rows, "rep long, t int, key long, dim int"), "lsh-keys")
     full = stored(sig.groupBy("t", "key", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lsh-buckets")
-    dealt = in_blocks(sig.join(full, ["t", "key", "dim"]), ["t", "key", "dim"], "n", block, 20_000, n * t.n)
+    dealt = in_blocks(sig.join(full, ["t", "key", "dim"]), ["t", "key", "dim"], "n", block, per_task, dealt_rows(full, "n", block))
 
     def connect(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x, out = pdf["rep"].to_numpy(), pdf["x"].to_numpy(), []
@@ -139,7 +145,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
     stars = dealt.join(reps.select("rep", "x"), "rep").groupBy("g").applyInPandas(connect, "u long, v long")
     cc = stored(components(stars), "lsh-components")
     sizes = stored(cc.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "lsh-sizes")
-    inside = in_blocks(cc.withColumnRenamed("node", "rep").join(sizes, "component"), ["component"], "n", block, 20_000, n)
+    inside = in_blocks(cc.withColumnRenamed("node", "rep").join(sizes, "component"), ["component"], "n", block, per_task, dealt_rows(sizes, "n", block))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x, side, copies, out = *(pdf[c].to_numpy() for c in ("rep", "x", "side", "copies")), []
