@@ -322,7 +322,7 @@ def _classes(pairs: DataFrame, cc: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def across(groups: DataFrame, cc: DataFrame, sketches: DataFrame, block: int = 1024) -> DataFrame:
+def across(groups: DataFrame, cc: DataFrame, sketches: DataFrame, block: int = 1024, per_task: int = 5000, most: int = 200_000) -> DataFrame:
     """groups(g, id) that span components: pairs of different components that set size and the Hamming
     distance of parity sketches don't rule out."""
     c = cc.select(F.col("node").alias("id"), "component")
@@ -343,9 +343,16 @@ def across(groups: DataFrame, cc: DataFrame, sketches: DataFrame, block: int = 1
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     dealt = dealt.select("g", "lead", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
-    n = max(16, open_.agg(F.sum("m")).collect()[0][0] or 0)
-    tasks = max(16, n // 5000)  # blocks of groups with one least id go together: a pair that they share is given once
-    filled = dealt.join(sketches, "id").withColumn("t", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(tasks)))
+    # blocks of groups with one least id go together, so that a pair that they share is given once.  A least
+    # id with more than ``most`` rows (about 80 MB) is dealt by group; each part may give a pair again, so
+    # ``most`` is as large as a task's memory allows, and the pairs are made distinct after
+    rows_dealt = F.sum(F.col("m") * F.ceil(F.col("m") / block))
+    total = open_.agg(rows_dealt.alias("n")).first()["n"] or 0
+    tasks = int(max(16, total // per_task))
+    parts = open_.groupBy("lead").agg(F.ceil(rows_dealt / most).alias("parts"))
+    part = open_.join(parts, "lead").select("g", F.pmod(F.xxhash64("g", F.lit(3)), F.col("parts")).alias("part"))
+    t = F.pmod(F.xxhash64("lead", "part", "i", "j"), F.lit(tasks))
+    filled = dealt.join(part, "g").join(sketches, "id").withColumn("t", t).drop("part")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[int, int]] = set()

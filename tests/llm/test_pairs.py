@@ -1,5 +1,7 @@
 """Embedding and shingle near-duplicates against brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from brute import classes, shingle_set, similar
@@ -41,7 +43,7 @@ def test_embeddings_match_brute_force_with_hot_blocks(spark):
     hot = (x[0] + np.random.default_rng(4).normal(size=(120, 16)) * 0.02).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate([*x, *hot, *[x[7]] * 5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
-    got = {r["vec_id"]: r for r in E.near_duplicates(df, block=32).collect()}
+    got = {r["vec_id"]: r for r in E.near_duplicates(df, block=32, per_task=200).collect()}
     n, comp = brute_vectors(rows)
     found, all_ = sum(got[i]["n_links"] for i, _ in rows), int(n.sum())
     assert all(got[i]["n_links"] <= n[i] for i, _ in rows) and found >= 0.99 * all_
@@ -49,6 +51,21 @@ def test_embeddings_match_brute_force_with_hot_blocks(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_blocks_are_dealt_by_the_rows_they_hold(spark):
+    """A large group is dealt over as many tasks as its rows need, and each pair of members meets once."""
+    m, block = 300, 10
+    rows = spark.range(m).selectExpr("id as rep", "1L as component").join(spark.createDataFrame([(1, m)], "component long, n long"), "component")
+    total = E.dealt_rows(spark.createDataFrame([(1, m)], "component long, n long"), "n", block)
+    assert total == m * 30 and E.dealt_rows(spark.createDataFrame([], "n long"), "n", block) == 0
+    dealt = E.in_blocks(rows, ["component"], "n", block, 50, total).toPandas()
+    assert len(dealt) == total and dealt["g"].nunique() > 100 and dealt.groupby("g").size().max() < 10 * dealt.groupby("g").size().median()
+    met = Counter()
+    for _, at in dealt.groupby("blk"):
+        low, high = (set(at.loc[at["side"] == k, "rep"]) for k in (0, 1))
+        met.update((min(x, y), max(x, y)) for x in low for y in high) if high else met.update((x, y) for x in low for y in low if x < y)
+    assert len(met) == m * (m - 1) // 2 and set(met.values()) == {1}
+
+
 def test_recall_at_the_threshold():
     t = E.plan_tables(50_000, 0.9)
     rng = np.random.default_rng(6)
@@ -138,6 +155,11 @@ def test_groups_across_components(spark):
     true = {p for p in similar(dict(rows))}
     assert true - {(0, 2)} <= pairs and (0, 2) not in pairs
     assert {(r["a"], r["b"]) for r in J.verified(J.across(groups, cc, sk), df).collect()} == true - {(0, 2)}
+    # many groups of one least id are dealt over several tasks: each pair still comes once
+    many = spark.createDataFrame([(g, i) for g in range(40) for i in range(6) if i == 0 or (g >> (i - 1)) & 1], "g long, id long")
+    for most in (3, 200_000):
+        got = [(r["a"], r["b"]) for r in J.verified(J.across(many, cc, sk, block=2, per_task=5, most=most), df).collect()]
+        assert len(got) == len(set(got)) and set(got) == {p for p in true - {(0, 2)} if sum(1 << (i - 1) for i in p if i) < 40}
 
 
 def test_hard_documents(spark, hard, none):
