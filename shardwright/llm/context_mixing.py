@@ -53,6 +53,7 @@ GATES = (48, 4)  # inside a word, at its start
 MAP = 33  # steps of the probability map, over stretched probabilities -8..8
 PART = 1 << 16  # slots that travel together
 HOT = 1 << 18
+SLICE = 4 << 20  # bytes of text that a task takes at a time
 END = 10
 _NODES = np.array([[(1 << k) | (v >> (8 - k)) for k in range(8)] for v in range(256)], np.uint64)
 _BITS = np.array([[(v >> (7 - k)) & 1 for k in range(8)] for v in range(256)], np.uint8)
@@ -274,13 +275,13 @@ class Learner:
     def flush(self) -> None:
         words = sorted(self.words)  # neighbours share their first bytes, and so the slots of those
         times = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        for a, b in slices([len(w) + 1 for w in words], 1 << 20):
+        for a, b in slices([len(w) + 1 for w in words], 1 << 18):
             values, ctx, place, which = inner_contexts(words[a:b])
             t = times[a:b][which]
             self.mixer.code(ctx, values, 0, place, t)
             self.mixer.count(ctx, values, 0, t)
         self.words.clear()
-        self.run = min(self.run * 4, 500_000)
+        self.run = min(self.run * 4, 200_000)
 
 
 @dataclass
@@ -300,7 +301,7 @@ class Model:
 
     def places(self, names: list[bytes], hot: np.ndarray, hot_n: np.ndarray) -> np.ndarray:
         """Places of distinct words; new ones are scored.  Kept from task to task of a Python worker."""
-        if len(self.names) > 2_500_000:
+        if len(self.names) > 1_000_000:
             self.forget()
         column = pa.array(names, pa.binary())
         place = pc.index_in(column, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -321,7 +322,7 @@ class Model:
         """ln probability of each word after its first byte, its space included."""
         out, order = np.zeros(len(words)), sorted(range(len(words)), key=words.__getitem__)
         words = [words[i] for i in order]
-        for a, b in slices([len(w) + 1 for w in words], 1 << 20):
+        for a, b in slices([len(w) + 1 for w in words], 1 << 18):
             values, ctx, place, which = inner_contexts(words[a:b])
             out[order[a:b]] = np.bincount(which, self.mixer.code(ctx, values, 0, place), b - a)
         return out
@@ -353,6 +354,8 @@ def _word_parts(hashes: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.nd
 
 
 PARTS = "kind int, part int, x binary, y binary"
+SUMMED = {"kind": "int", "part": "int", "g": "int", "x": "binary", "y": "binary"}
+FAN = 256  # tasks or sums that are added up at a time
 
 
 def _row(kind: int, part: int, x: bytes, y: bytes) -> pa.RecordBatch:
@@ -367,7 +370,7 @@ def learn(docs: DataFrame, n_buckets: int) -> DataFrame:
         learner, some = Learner(), False
         for b in batches:
             raw = b.column(0).fill_null(b"")
-            for a, z in slices(pc.binary_length(raw).to_pylist(), 8 << 20):
+            for a, z in slices(pc.binary_length(raw).to_pylist(), SLICE):
                 t = tokens_of(raw.slice(a, z - a))
                 learner.add(t)
                 some = True
@@ -385,23 +388,34 @@ def learn(docs: DataFrame, n_buckets: int) -> DataFrame:
             weights = np.concatenate([w.ravel().astype(float) * m.bits for w in m.weights] + [[m.bits]])
             yield _row(2, TaskContext.get().partitionId() % 32, weights.tobytes(), m.maps.tobytes())
 
-    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, part = int(key[0]), int(key[1])
-        if kind == 0:
-            h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["x"]])
-            n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["y"]])
-            u, at = np.unique(h, return_inverse=True)
-            x, y = u.tobytes(), np.bincount(at, n, len(u)).astype("<i8").tobytes()
-        elif kind == 1:
-            all_ = np.zeros(len(_unzip(pdf["x"].iloc[0], np.uint32)), np.uint64)
-            for v in pdf["x"]:
-                all_ += _unzip(v, np.uint32)
-            x, y = _zip(all_.clip(0, 2**31).astype(np.uint32)), b""
-        else:
-            x, y = (np.sum([np.frombuffer(v) for v in pdf[c]], axis=0).tobytes() for c in "xy")
-        return pd.DataFrame({"kind": [kind], "part": [part], "x": [x], "y": [y]})
-
-    return docs.mapInArrow(work, PARTS).groupBy("kind", "part").applyInPandas(total, PARTS)
+    def total(first: bool):
+        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            kind, part, g = map(int, key)
+            if kind == 0:
+                if len(pdf) == 1 and not first:
+                    return pdf.assign(g=g)[[*SUMMED]]
+                h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["x"]])
+                n = np.concatenate([np.frombuffer(y, "<u4" if first else "<i8") for y in pdf["y"]])
+                u, at = np.unique(h, return_inverse=True)
+                x, y = u.tobytes(), np.bincount(at, n, len(u)).astype("<i8").tobytes()
+            elif kind == 1:
+                all_ = np.zeros(len(_unzip(pdf["x"].iloc[0], np.uint32)), np.uint64)
+                for v in pdf["x"]:
+                    all_ += _unzip(v, np.uint32)
+                x, y = _zip(all_.clip(0, 2**31).astype(np.uint32)), b""
+            else:
+                x, y = (np.sum([np.frombuffer(v) for v in pdf[c]], axis=0).tobytes() for c in "xy")
+            return pd.DataFrame({"kind": [kind], "part": [part], "g": [g], "x": [x], "y": [y]})
+
+        return add
+
+    # a tree: what FAN tasks learned is summed first, then FAN of those sums, then the rest
+    rows = docs.mapInArrow(work, PARTS).withColumn("g", F.spark_partition_id())
+    schema = ", ".join(f"{c} {t}" for c, t in SUMMED.items())
+    for level in range(3):
+        up = F.floor(F.col("g") / FAN) if level < 2 else F.lit(0)
+        rows = rows.withColumn("g", up.cast("int")).groupBy("kind", "part", "g").applyInPandas(total(level == 0), schema)
+    return rows.drop("g")
 
 
 def _model_bytes(learned: DataFrame) -> dict:
@@ -483,7 +497,7 @@ def scores(docs: DataFrame, held_out: int = 7, held: int = 2, bucket_words: int
         batch = TaskContext.get().partitionId() << 32
         for b in batches:
             keys, raw, marks = b.column(0), b.column(1).fill_null(b""), b.column(2)
-            for a, z in slices(pc.binary_length(raw).to_pylist(), 8 << 20):
+            for a, z in slices(pc.binary_length(raw).to_pylist(), SLICE):
                 t = tokens_of(raw.slice(a, z - a))
                 names = [*t.words, b"\n"]  # the end symbol is numbered as in its sequence
                 place = lm.places(names, hot, hot_n)
