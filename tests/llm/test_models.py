@@ -55,6 +55,70 @@ def test_held_out_accuracy_and_filter(spark, hard, none):
     assert kept.schema == hard.schema and kept.count() == got.where("score < 0.5").count() and X.toxicity_scores(none, m).count() == 0
 
 
+def test_train_learns_terms_that_tell_only_in_pairs(spark):
+    rng = random.Random(11)
+    docs, labels = [], []
+    for i in range(2500):
+        words, one, two = prose(i, 30).split(), rng.random() < 0.5, rng.random() < 0.5
+        for w, there in (("amber", one), ("Cobalt.", two)):
+            if there:
+                words[rng.randrange(30)] = w
+        there = {x.strip(".") for x in words}
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(("amber" in there) != ("Cobalt" in there))))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    m = X.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {X.slot(b"amber"), X.slot(b"cobalt")} <= set(m.features.tolist())
+    y = dict(labels)
+    held = [(r["score"] >= 0.5) == (y[r["doc_id"]] == 1) for r in X.toxicity_scores(docs, m).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(held) > 300 and np.mean(held) > 0.95
+
+
+def test_pairs_match_a_count_of_every_pair(monkeypatch):
+    monkeypatch.setattr(X, "PAIR_BLOCK", 5)
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(23) < rng.random(23)) for _ in range(700)]
+    y = [int((3 in r and 17 in r) or rng.random() < 0.2) for r in rows]
+    rows = [r.astype("<u4").tobytes() for r in rows] * 2  # repeated rows count once
+    fit = X.fit_terms_of(rows, y * 2)
+    once = {(tuple(np.frombuffer(r, "<u4").tolist()), t) for r, t in zip(rows, y * 2)}
+    share = np.mean([t for _, t in once])
+    bar = 2 * math.log(23 * 22 / 2)
+    support = math.ceil(bar / (-2 * math.log(min(share, 1 - share))))
+
+    def g2(k, n, p):
+        return 2 * ((k * math.log(k / (n * p)) if k else 0) + ((n - k) * math.log((n - k) / (n * (1 - p))) if n > k else 0))
+
+    def seen(*slots):
+        has = [t for r, t in once if set(slots) <= set(r)]
+        return sum(has), len(has)
+
+    want = set()
+    for a in range(23):
+        for b in range(a):
+            k, n = seen(a, b)
+            if n >= support and min(g2(k, n, seen(x)[0] / seen(x)[1]) for x in (a, b)) > bar:
+                want |= {a, b}
+    got = np.concatenate([X.paired_places(fit, i) for i in range(-(-len(fit.slots) // 5))])
+    assert set(fit.slots[got].tolist()) == want and {3, 17} <= want
+    assert X.fit_terms_of(rows, [1] * len(rows)) is None and X.fit_terms_of([], []) is None
+
+
+def test_every_slot_with_evidence_is_a_feature(spark):
+    counts = spark.range(9000).selectExpr("cast(id as int) slot", "100L n", "if(id < 6000, 90L, 50L) pos")
+    got = X.evidence(counts, 10_000, 5_000, np.arange(0, 9000, 2))
+    assert got.tolist() == list(range(0, 6000, 2))
+
+
+def test_a_bound_on_terms_draws_fewer_rows(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    real, sizes = X.fit_machine, []
+    monkeypatch.setattr(X, "fit_machine", lambda rows, *a: sizes.append(len(rows)) or real(rows, *a))
+    X.train(docs, labels)
+    X.train(docs, labels, fit_terms=6_000)
+    assert 650 < sizes[0] < 800 and 100 < sizes[1] < 400
+
+
 def test_labels_of_one_kind_or_none(spark, hard):
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 9)], "doc_id long, toxic int")
     assert X.train(hard, odd).score(np.zeros(0, int)) < 0.01
