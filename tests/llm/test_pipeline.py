@@ -48,7 +48,7 @@ def test_run_matches_brute_force(spark, tmp_path):
     def good(text):
         raw = (text or "").encode()
         base = quality.base_features(raw)
-        return not quality.base_failed(base[0], base[4]) and not any(x.rejects(raw, base) for x in quality.RULES)
+        return not quality.base_failed(base[0], base[4]) and not any(x.rejects(quality.Features(raw)) for x in quality.RULES)
 
     left = [r for r in left if good(r[1])]
     sets = {r[0]: shingle_set(r[1]) for r in left if r[0] is not None}
