@@ -33,6 +33,7 @@ _SPACE = b" \t\n\x0b\x0c\r"
 _NOT_STARTS = bytes(range(0x80, 0xC0)) + _SPACE  # what is left after deleting these: one byte a code point
 _ASCII_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _UPPER = bytes(range(65, 91))
+_MARKS = bytes(range(0x21, 0x41))  # ASCII marks and digits
 WINDOW = 5
 
 BASE_FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -152,7 +153,7 @@ def _top_word(f: Features) -> bool:
 
 def _no_letters(f: Features) -> bool:
     words = f["words"]
-    return 2 * sum(w.isdigit() or not w.translate(None, bytes(range(0x21, 0x41))) for w in words) > len(words)
+    return 2 * sum(w.isdigit() or not w.translate(None, _MARKS) for w in words) > len(words)
 
 
 #: The two halves of ``base_failed``.
