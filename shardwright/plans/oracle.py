@@ -288,6 +288,16 @@ SQL: dict[str, str] = {
         f"SELECT split, shard_idx, example_idx, {ids_digest('x')} AS x_digest, {ids_digest('y')} AS y_digest FROM exy "
         "WHERE split = 'train' AND shard_idx = 0 ORDER BY example_idx DESC LIMIT 1"
     ),
+    "file_examples": (
+        f"WITH {TOKENS_CTE}\n"
+        f"SELECT split, shard_idx, example_idx, {ids_digest('x')} AS x_digest, {ids_digest('y')} AS y_digest FROM exy"
+    ),
+    "file_example_at": (
+        f"WITH {TOKENS_CTE},\n"
+        "ends AS (SELECT split, shard_idx, unnest([min(example_idx), max(example_idx)]) AS example_idx FROM exy GROUP BY split, shard_idx)\n"
+        f"SELECT split, shard_idx, example_idx, {ids_digest('x')} AS x_digest, {ids_digest('y')} AS y_digest "
+        "FROM ends JOIN exy USING (split, shard_idx, example_idx)"
+    ),
     "shard_files": (
         f"WITH {TOKENS_CTE}\n"
         "SELECT split, shard_idx, printf('%s_%05d.bin', split, shard_idx) AS filename, "

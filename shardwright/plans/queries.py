@@ -18,6 +18,7 @@ from shardwright.operators import audit, bpe, evaluation, examples, packing, pre
 from shardwright.operators.specials import split_special
 from shardwright.plans.file_job import pack_folder, packed_shards
 from shardwright.session import checkpoint_dir, store
+from shardwright.sources import ranges
 from shardwright.sources import shards as shard_files
 from shardwright.sources.corpus import balance, hadoop_path, ranked, read_corpus, read_parquet_text
 
@@ -31,6 +32,7 @@ TRAIN_MERGES = 8
 LONG_MERGES = 1024  # learned from the conversations
 SHARD_SIZE = 65536
 CONTEXT = 128
+READ_TOKENS = 1 << 14  # of one read of a shard file: several reads a shard
 BATCH = 4
 ALPHA = 1.0
 AUDIT_VOCAB = 200  # below the ids of the specials: some rows break it
@@ -284,6 +286,27 @@ def q_shard_files(spark, sf_dir):
     return both.select("split", "shard_idx", "filename", F.size("tokens").cast("bigint").alias("num_tokens"), digest(F.col("tokens")).alias("digest"))
 
 
+def packed_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the packed corpus's shard files, written anew."""
+    out = f"{checkpoint_dir(spark)}/example-files-{uuid.uuid4().hex}"
+    shard_files.write_shards(shards(spark, sf_dir), out, packing.dtype_for_vocab(BYTE_VOCAB)).write.format("noop").mode("overwrite").save()
+    return out
+
+
+def q_file_examples(spark, sf_dir):
+    """X1 over shard files by byte ranges: every example of every file."""
+    ex = ranges.read_examples(spark, packed_files(spark, sf_dir), packing.dtype_for_vocab(BYTE_VOCAB), CONTEXT, tokens_per_read=READ_TOKENS)
+    return ex.select("split", "shard_idx", "example_idx", digest(F.col("x")).alias("x_digest"), digest(F.col("y")).alias("y_digest"))
+
+
+def q_file_example_at(spark, sf_dir):
+    """X3 over shard files: the first and the last example of every shard, each by its own bytes."""
+    ends = F.explode(F.array(F.lit(0), F.lit(-1))).alias("index")
+    asked = shards(spark, sf_dir).select("split", "shard_idx", ends)
+    one = ranges.examples_at(asked, packed_files(spark, sf_dir), packing.dtype_for_vocab(BYTE_VOCAB), CONTEXT)
+    return one.select("split", "shard_idx", "example_idx", digest(F.col("x")).alias("x_digest"), digest(F.col("y")).alias("y_digest"))
+
+
 def q_file_job(spark, sf_dir):
     """A folder of Parquet files -> tokenizer, shard files and manifest -> the shards that the manifest names."""
     home = f"{checkpoint_dir(spark)}/file-job-{uuid.uuid4().hex}"
@@ -334,6 +357,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_job": q_file_job,
     "examples": q_examples,
     "example_at": q_example_at,
+    "file_examples": q_file_examples,
+    "file_example_at": q_file_example_at,
     "first_batch": q_first_batch,
     "token_id_audit": q_token_id_audit,
     "bigram_table": q_bigram_table,
