@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from shardwright.llm.common import slices
+from shardwright.llm.common import give_back, slices
 
 #: Codes of several chunks: all ids, and how many each chunk has.
 Codes = tuple[np.ndarray, np.ndarray]
@@ -146,4 +146,4 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = 6 << 20) -> Iter
         except pa.ArrowInvalid:  # not UTF-8
             texts = pa.array([x.decode("utf-8", "replace") for x in part.to_pylist()], pa.string())
         yield batch.slice(a, b - a), texts
-        pa.default_memory_pool().release_unused()
+        give_back()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import WORD, stored
+from shardwright.llm.common import WORD, give_back, stored
 
 WEIGHTS = (5, 2, 1)
 
@@ -297,6 +297,7 @@ def mixed_documents(docs: DataFrame, block: int = 128, seed: int = 11) -> DataFr
     at, chars = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else None
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             row, texts, have = [], [], b.column(0).flatten()
             for i, (text, lists) in enumerate(zip(have[at].cast(pa.binary()).to_pylist(), b.column(1).to_pylist())):

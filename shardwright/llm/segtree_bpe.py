@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from shardwright.llm.chunks import ChunkCoder, Codes, text_slices
-from shardwright.llm.common import spread, text_bytes
+from shardwright.llm.common import give_back, spread, text_bytes
 
 NONE = np.int64(1) << np.int64(62)
 LONG = 128  # bytes; wider trees are walked one by one
@@ -218,6 +218,7 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str, decode: bool = F
     fields = [f"`{n}` {t}" for n, t in docs.select(*others).dtypes] + ["ids array<int>"] + ["decoded binary"] * decode
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         coder, ranks = coder_of(path, pattern), ranks_of(path)
         for b in batches:
             for part, texts in text_slices(b, len(others)):
