@@ -6,14 +6,12 @@ exactly the characters U+0020 and U+0009..U+000D, ``bytes.lower()`` changes only
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,15 +107,6 @@ class Memo(dict):
             self.clear()
 
 
-def give_back() -> None:
-    """Return freed memory to the system: a Python worker serves many tasks and stages, and what an earlier
-    one has freed would otherwise count as its own to the end."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim is not None:
-        trim(0)
-
-
 def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Cut rows of these sizes into runs of at most ``most`` in all (a single larger row is a run)."""
     start = total = 0
