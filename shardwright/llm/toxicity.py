@@ -155,7 +155,7 @@ def fit_terms_of(rows: list[bytes], y: list[int]) -> Fit | None:
     return Fit(slots[keep].astype(np.int64), new.astype(np.int32), start, label, n[keep], pos, support, bar)
 
 
-PAIR_BLOCK = 256
+PAIR_BLOCK = 128
 
 
 def paired_places(fit: Fit, block: int) -> np.ndarray:
@@ -171,13 +171,16 @@ def paired_places(fit: Fit, block: int) -> np.ndarray:
         r = row[a]
         own, rest = fit.at[mine[a] : mine[b - 1] + 1] - lo, fit.at[mine[a] : fit.start[r + 1]] - lo
         both[fit.y[r]][np.ix_(own, rest)] += 1  # no place twice in a row
-    n = both[0] + both[1]
-    a, b = np.nonzero(np.triu(n >= fit.support, 1))
-    n, k = n[a, b].astype(float), both[1][a, b].astype(float)
     rate = fit.pos / np.maximum(1, fit.n)
-    g = np.minimum(_surprise(k, n, rate[a + lo]), _surprise(k, n, rate[b + lo]))
-    found = g > fit.bar
-    return np.unique(np.concatenate([a[found], b[found]])) + lo
+    out = []
+    for i in range(hi - lo):  # a first term at a time: many pairs may be frequent
+        n = both[0, i] + both[1, i]
+        b = np.flatnonzero(n >= fit.support)
+        b = b[b > i]
+        k, n = both[1, i, b].astype(float), n[b].astype(float)
+        b = b[np.minimum(_surprise(k, n, rate[lo + i]), _surprise(k, n, rate[lo + b])) > fit.bar] + lo
+        out += [b, [lo + i]] if len(b) else []
+    return np.unique(np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64))
 
 
 def pair_evidence(spark: SparkSession, fit: Fit | None) -> np.ndarray:
