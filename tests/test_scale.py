@@ -1,11 +1,15 @@
 """What a task holds at once is bounded, whatever the size of its input."""
 
+from collections import Counter
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from shardwright.functions import arrow_encode
+from shardwright.functions import arrow_encode, symbols
 from shardwright.operators import bpe, packing
+from shardwright.sources import listing
 
 
 def row_groups(df):
@@ -32,3 +36,48 @@ def test_encoding_hands_ids_on_in_slices():
     assert [r["k"] for r in rows] == list(range(len(texts)))
     want = {texts[0]: [258] * 100_000, None: None, "": [], texts[3]: [120, 256, 258, 257]}
     assert all(r["ids"] == want[r["text"]] for r in rows)
+
+
+def test_pairs_counted_by_table_and_by_sort():
+    strings = ["abcab", "b", "", "ca", "āab", "\U00010001a\U00010001"]
+    for some in (strings[:4], strings[:5], strings):
+        for weights in ([1] * len(some), range(2, 2 + len(some))):
+            want, got = Counter(), Counter()
+            for s, w in zip(some, weights):
+                for a, b in zip(s, s[1:]):
+                    want[(ord(a) << symbols.SHIFT) | ord(b)] += w
+            for k, n in symbols.pair_sums(some, weights, 6):
+                got.update(dict(zip(k.tolist(), n.tolist())))
+            assert got == want
+    joins = symbols.Joins(np.array(sorted((ord(a) << symbols.SHIFT) | ord(b) for a, b in ("ab", "bc")), np.int64))
+    assert joins.dim and [("xabc\U00010001ab")[a:b] for a, b in symbols.pieces("xabc\U00010001ab", joins)] == ["abc", "ab"]
+
+
+def test_pieces_are_given_on_before_a_batch_ends(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "HELD_SYMBOLS", 8)
+    state = spark.range(0, 40, 1, 1).selectExpr("concat('ab', char(100 + id % 3), 'ab', char(100 + id % 5)) AS s", "id + 1 AS w")
+    kept, _ = bpe._pieces(state, [(9, "ab"), (8, "bd"), (7, "be")])
+    want = Counter()
+    for r in state.collect():
+        for a, b in symbols.pieces(r["s"], np.array(sorted((ord(p[0]) << symbols.SHIFT) | ord(p[1]) for p in ("ab", "bd", "be")), np.int64)):
+            want[r["s"][a:b]] += r["w"]
+    assert {r["s"]: r["w"] for r in kept.collect()} == want
+
+
+def test_decoding_hands_texts_on_in_slices():
+    model = bpe.BPEModel((), ((97, 98),))
+    ids = [[256] * 600_000, None, [], [120]] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ids))), pa.array(ids, pa.list_(pa.int32()))], names=["k", "ids"])
+    out = list(arrow_encode.decode_partitions(model, 1, "text")([batch]))
+    assert len(out) > 1 and [t for b in out for t in b.column(2).to_pylist()] == ["ab" * 600_000, "", "", "x"] * 4
+    assert [k for b in out for k in b.column(0).to_pylist()] == list(range(len(ids)))
+
+
+def test_listing_many_folders_takes_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "FOLDERS_PER_TASK", 1)
+    for i in range(200):
+        (tmp_path / f"f{i:03d}").mkdir()
+        (tmp_path / f"f{i:03d}" / "a.txt").write_text("x")
+    files = listing.list_files(spark, f"file:{tmp_path}", (".txt",))
+    assert files.count() == 200
+    assert len(files.inputFiles()) <= spark.sparkContext.defaultParallelism * 4 + 2
