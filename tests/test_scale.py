@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardwright.functions import arrow_encode, symbols
 from shardwright.operators import bpe, packing
-from shardwright.sources import listing
+from shardwright.sources import corpus, listing
 
 
 def row_groups(df):
@@ -81,3 +81,18 @@ def test_listing_many_folders_takes_few_tasks(spark, tmp_path, monkeypatch):
     files = listing.list_files(spark, f"file:{tmp_path}", (".txt",))
     assert files.count() == 200
     assert len(files.inputFiles()) <= spark.sparkContext.defaultParallelism * 4 + 2
+
+
+def test_parquet_files_are_read_by_name(spark, tmp_path):
+    rows = spark.createDataFrame([("x",), ("y",)], "text string")
+    for name in ("a b/p%41.parquet", "c/d/q.parquet"):
+        rows.coalesce(1).write.parquet(f"file:{tmp_path}/{name}")
+    files = listing.list_files(spark, f"file:{tmp_path}", (".parquet",))
+    assert len(corpus._named(files)) == 2
+    read = corpus.read_corpus(spark, f"file:{tmp_path}")
+    assert sorted(r["text"] for r in read.collect()) == ["x", "x", "y", "y"]
+    assert all(k.count("\x00") in (3, 4) for k in [r["doc_key"] for r in read.collect()])
+    rows.coalesce(1).write.parquet(f"file:{tmp_path}/e{{f}}.parquet")
+    files = listing.list_files(spark, f"file:{tmp_path}", (".parquet",))
+    assert corpus._named(files) == []
+    assert corpus.read_corpus(spark, f"file:{tmp_path}").count() == 6
