@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shardwright.functions import arrow_encode, symbols
 from shardwright.operators import bpe, packing
-from shardwright.sources import corpus, listing
+from shardwright.plans import file_job
+from shardwright.sources import corpus, listing, shards
 
 
 def row_groups(df):
@@ -96,3 +97,35 @@ def test_parquet_files_are_read_by_name(spark, tmp_path):
     files = listing.list_files(spark, f"file:{tmp_path}", (".parquet",))
     assert corpus._named(files) == []
     assert corpus.read_corpus(spark, f"file:{tmp_path}").count() == 6
+
+
+def test_tokens_move_as_bytes_and_give_the_same_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TOKENS_PER_PART", 50)
+    rows = [(i, "val" if i % 7 == 0 else "train", [(i * j) % 300 + (70_000 if i % 5 == 0 else 0) for j in range(i % 40)]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "k bigint, split string, ids array<int>").repartition(3)
+    stored = []
+    monkeypatch.setattr(packing, "store", lambda df, label, *a, real=packing.store: stored.append((label, real(df, label, *a))) or stored[-1][1])
+    got = packing.pack_documents(docs, 64, key="k", eos_id=1).collect()
+    assert [dict(df.dtypes)["ids"] for _, df in stored] == ["binary", "binary"]
+    for split in ("train", "val"):
+        stream = [t for _, s, ids in rows if s == split for t in [*ids, 1]]
+        shards = sorted((r for r in got if r["split"] == split), key=lambda r: r["shard_idx"])
+        assert [r["tokens"] for r in shards] == [stream[i : i + 64] for i in range(0, len(stream), 64)]
+
+
+def test_shard_files_are_read_in_small_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "TOKENS_PER_PART", 10)
+    table = spark.createDataFrame([("train", i, f"train_{i:05d}.bin", list(range(i))) for i in range(1, 9)], "split string, shard_idx int, filename string, tokens array<int>").coalesce(1)
+    info = shards.write_shards(table, f"file:{tmp_path}", "uint16").collect()
+    assert sorted((r["filename"], r["num_tokens"]) for r in info) == [(f"train_{i:05d}.bin", i) for i in range(1, 9)]
+    read = shards.read_shards(spark, f"file:{tmp_path}", "uint16")
+    assert {r["shard_idx"]: r["tokens"] for r in read.collect()} == {i: list(range(i)) for i in range(1, 9)}
+
+
+def test_joins_of_shard_files_hold_no_tokens(spark, tmp_path):
+    docs = spark.createDataFrame([("aab " * 50,), ("abc" * 40,)], "text string")
+    docs.coalesce(1).write.parquet(f"file:{tmp_path}/in")
+    file_job.pack_folder(spark, f"file:{tmp_path}/in", f"file:{tmp_path}/out", 4, ("<e>",), 32, eos="<e>")
+    plan = file_job.packed_shards(spark, f"file:{tmp_path}/out")._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert "array_join" in plan[join:] and "array_join" not in plan[:join]
