@@ -104,9 +104,10 @@ def test_tokens_move_as_bytes_and_give_the_same_shards(spark, monkeypatch):
     rows = [(i, "val" if i % 7 == 0 else "train", [(i * j) % 300 + (70_000 if i % 5 == 0 else 0) for j in range(i % 40)]) for i in range(200)]
     docs = spark.createDataFrame(rows, "k bigint, split string, ids array<int>").repartition(3)
     stored = []
-    monkeypatch.setattr(packing, "store", lambda df, label, *a, real=packing.store: stored.append((label, real(df, label, *a))) or stored[-1][1])
+    for name in ("store", "store_at"):
+        monkeypatch.setattr(packing, name, lambda df, *a, real=getattr(packing, name): stored.append(real(df, *a)) or stored[-1])
     got = packing.pack_documents(docs, 64, key="k", eos_id=1).collect()
-    assert [dict(df.dtypes)["ids"] for _, df in stored] == ["binary", "binary"]
+    assert [dict(df.dtypes)["ids"] for df in stored] == ["binary", "binary"]
     for split in ("train", "val"):
         stream = [t for _, s, ids in rows if s == split for t in [*ids, 1]]
         shards = sorted((r for r in got if r["split"] == split), key=lambda r: r["shard_idx"])
