@@ -56,8 +56,8 @@ def document_slots(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for b in batches:
             b = b.filter(pa.array(bits[b.column(2).to_numpy(zero_copy_only=False)] > 0))
             out = []
-            for text in b.column(1).to_pylist():
-                out.append(slots_of(text or b"", memo).astype("<u4").tobytes())
+            for text in b.column(1):  # one at a time: a batch may hold 64 MB
+                out.append(slots_of(text.as_py() or b"", memo).astype("<u4").tobytes())
                 memo.trim()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "slots"])
 
@@ -300,7 +300,7 @@ def toxicity_scores(docs: DataFrame, machine: Machine) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(machine)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(score, b.column(1).to_pylist())), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(x.as_py()) for x in b.column(1)], pa.float64())], names=["doc_id", "score"])
 
     rows = spread(docs.select("doc_id", text_bytes().alias("text")), "doc_id")
     return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
@@ -313,6 +313,6 @@ def toxic_filter(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(machine)
         for b in batches:
-            yield b.filter(pa.array([score(x) < threshold for x in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([score(x.as_py()) < threshold for x in b.column(at).cast(pa.binary())], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
