@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from shardwright import session
 from shardwright.functions import arrow_encode, symbols
 from shardwright.operators import bpe, packing
 from shardwright.plans import file_job
@@ -130,3 +131,19 @@ def test_joins_of_shard_files_hold_no_tokens(spark, tmp_path):
     plan = file_job.packed_shards(spark, f"file:{tmp_path}/out")._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join")
     assert "array_join" in plan[join:] and "array_join" not in plan[:join]
+
+
+def test_arrow_batches_are_small_while_tokens_are_packed(spark, monkeypatch):
+    monkeypatch.setattr(session, "BATCH_BYTES", 10_000)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["rows"])
+
+    docs = spark.range(0, 400, 1, 1).select(F.sequence(F.lit(1), F.lit(200)).alias("ids")).mapInArrow(sizes, "rows long")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with session.small_batches(spark):
+        few = [r["rows"] for r in docs.collect()]
+    assert spark.conf.get(key) == before and sum(few) == 400 and max(few) < 40
+    assert [r["rows"] for r in docs.select("rows").collect()] == [400]
