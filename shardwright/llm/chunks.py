@@ -10,6 +10,8 @@ codes together are array operations; Python sees the distinct chunks of a slice
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import compress
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,9 @@ def glued(parts: list[str]) -> Iterator[str]:
     yield " ".join(held)
 
 
-def _tight(word: str) -> bool:
-    return bool(word) and not word[0].isspace() and not word[-1].isspace()
+def _tight(words: list[str]) -> np.ndarray:
+    """Which words have no white space at their ends, and are not empty."""
+    return np.fromiter(map(eq, map(str.strip, words), words), bool, len(words)) & np.fromiter(map(bool, words), bool, len(words))
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -97,8 +100,8 @@ class ChunkCoder:
         if len(new):
             names = words.take(pa.array(new))
             text = names.to_pylist()
-            ok = np.fromiter(map(_tight, text), bool, len(text))
-            first = self.inner.add(names.filter(pa.array(ok)), self.encode_many([" " + w for w, good in zip(text, ok) if good]))
+            ok = _tight(text)
+            first = self.inner.add(names.filter(pa.array(ok)), self.encode_many(list(map(" ".__add__, compress(text, ok.tolist())))))
             place[new[ok]] = first + np.arange(int(ok.sum()))
         return place
 

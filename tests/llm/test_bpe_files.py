@@ -48,6 +48,13 @@ def test_chunks_encode_like_whole_texts(public, library):
     assert cut(B.coder_of(JSON).code(texts)) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_with_white_space_at_an_end_are_told_apart(library):
+    words = ["a", "", " ", "a b", "a\u00a0", "\u00a0a", "\x1cé", "é\x85", "\u3000", "東", "a\tb", "b\n"]
+    assert chunks._tight(words).tolist() == [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words]
+    ids, n = B.coder_of(JSON).encode_many([" a", " é", " 東x", " a\tb"])  # as one text, cut by its tokens' bytes
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(w, add_special_tokens=False).ids for w in [" a", " é", " 東x", " a\tb"]]
+
+
 def test_chunk_memos_are_bounded():
     c = chunks.ChunkCoder(lambda xs: (np.frombuffer("".join(xs).encode(), np.uint8).astype(np.int32), np.array([len(x) for x in xs])), most=10)
     for i in range(50):
