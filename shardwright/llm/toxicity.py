@@ -25,12 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import FILTER_BITS, Memo, id_bucket, id_filter, spread, stored, text_bytes
+from shardwright.llm.common import FILTER_BITS, Memo, id_bucket, id_filter, slices, spread, stored, text_bytes
 
 BITS, RANK = 22, 8
+WORDS = 100_000  # that a task remembers
+SLICE = 2 << 20  # bytes of a batch that are worked on at once
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -47,16 +50,24 @@ def slots_of(text: bytes, memo: Memo) -> np.ndarray:
     return np.sort(np.fromiter(got, np.uint32, len(got)))
 
 
+def runs(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about SLICE bytes in column ``at``, one row at least: what is copied or sorted
+    at once is bounded, whatever the batch (64 MB at most)."""
+    for a, b in slices(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), SLICE):
+        yield batch.slice(a, b - a)
+
+
 def document_slots(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, slots (binary, little-endian uint32) of the documents of ids(id), and a few more."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bits = Memo(slot), np.unpackbits(np.frombuffer(shared.value, np.uint8))
-        for b in batches:
-            b = b.filter(pa.array(bits[b.column(2).to_numpy(zero_copy_only=False)] > 0))
+        memo, bits = Memo(slot, WORDS), np.frombuffer(shared.value, np.uint8)
+        for b in (part for batch in batches for part in runs(batch, 1)):
+            bit = b.column(2).to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array((bits[bit >> 3] >> (7 - (bit & 7))) & 1 > 0))
             out = []
-            for text in b.column(1):  # one at a time: a batch may hold 64 MB
+            for text in b.column(1):  # one at a time
                 out.append(slots_of(text.as_py() or b"", memo).astype("<u4").tobytes())
                 memo.trim()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "slots"])
@@ -163,7 +174,7 @@ def paired_places(fit: Fit, block: int) -> np.ndarray:
     that of b explains.  Counts of all such pairs: PAIR_BLOCK rows of as many numbers as there are slots."""
     lo, m = block * PAIR_BLOCK, len(fit.slots)
     hi = min(m, lo + PAIR_BLOCK)
-    both = np.zeros((2, hi - lo, m - lo), np.int32)
+    both = np.zeros((2, hi - lo, m - lo), np.min_scalar_type(len(fit.y)))
     mine = np.flatnonzero((fit.at >= lo) & (fit.at < hi))
     row = np.searchsorted(fit.start, mine, side="right") - 1
     edge = np.flatnonzero(np.diff(row, prepend=-1, append=len(fit.start)))
@@ -174,7 +185,7 @@ def paired_places(fit: Fit, block: int) -> np.ndarray:
     rate = fit.pos / np.maximum(1, fit.n)
     out = []
     for i in range(hi - lo):  # a first term at a time: many pairs may be frequent
-        n = both[0, i] + both[1, i]
+        n = both[0, i].astype(np.int64) + both[1, i]
         b = np.flatnonzero(n >= fit.support)
         b = b[b > i]
         k, n = both[1, i, b].astype(float), n[b].astype(float)
@@ -199,6 +210,7 @@ def pair_evidence(spark: SparkSession, fit: Fit | None) -> np.ndarray:
     # the first blocks, of the most frequent terms, have most to do: dealt round
     dealt = spark.range(blocks).repartition(min(blocks, 256), "id")
     places = dealt.mapInArrow(work, "place long").distinct().toArrow().column(0).to_numpy()
+    shared.destroy()
     return np.sort(fit.slots[places])
 
 
@@ -251,10 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, fit_rows: int =
         return _constant(positive / n if n else 0.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per batch, so that a frequent term is a row a batch."""
-        for b in batches:
-            if not b.num_rows:
-                continue
+        """Per run of rows, so that a frequent term is a row a run."""
+        for b in (part for batch in batches for part in runs(batch, 0)):
             parts = [np.frombuffer(x, "<u4") for x in b.column(0).to_pylist()]
             all_, label = np.concatenate(parts), np.repeat(b.column(1).to_numpy(zero_copy_only=False), list(map(len, parts)))
             slots, at = np.unique(all_, return_inverse=True)
@@ -282,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, fit_rows: int =
 def _scorer(machine: Machine):
     """bytes -> score, with memos of this task."""
     place = {int(s): i for i, s in enumerate(machine.features.tolist())}
-    memo = Memo(lambda w: place.get(slot(w), -1))
+    memo = Memo(lambda w: place.get(slot(w), -1), WORDS)
     none = machine.score(np.zeros(0, np.int64))
 
     def score(text: bytes | None) -> float:
@@ -299,7 +309,7 @@ def toxicity_scores(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(machine)
-        for b in batches:
+        for b in (part for batch in batches for part in runs(batch, 1)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(x.as_py()) for x in b.column(1)], pa.float64())], names=["doc_id", "score"])
 
     rows = spread(docs.select("doc_id", text_bytes().alias("text")), "doc_id")
@@ -312,7 +322,7 @@ def toxic_filter(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(machine)
-        for b in batches:
+        for b in (part for batch in batches for part in runs(batch, at)):
             yield b.filter(pa.array([score(x.as_py()) < threshold for x in b.column(at).cast(pa.binary())], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import lower_words
 from conftest import prose
@@ -55,6 +56,27 @@ def test_held_out_accuracy_and_filter(spark, hard, none):
     assert kept.schema == hard.schema and kept.count() == got.where("score < 0.5").count() and X.toxicity_scores(none, m).count() == 0
 
 
+def test_scores_and_filter_work_on_runs_of_a_batch(monkeypatch, spark):
+    rows = [(i, [None, "", "idiot " * 9, "fine words here"][i % 4]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    m = X.Machine(np.array([X.slot(b"idiot")]), -2.0, np.array([4.0]), np.zeros((1, X.RANK)))
+    batch = pa.RecordBatch.from_pydict({"t": pa.array([t and t.encode() for _, t in rows], pa.binary())})
+    monkeypatch.setattr(X, "SLICE", 60)
+    parts = list(X.runs(batch, 0))
+    assert len(parts) > 9 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and not list(X.runs(batch.slice(0, 0), 0))
+    assert {(r["doc_id"], r["score"] > 0.5) for r in X.toxicity_scores(docs, m).collect()} == {(i, i % 4 == 2) for i in range(40)}
+    assert [r["doc_id"] for r in X.toxic_filter(docs, m).orderBy("doc_id").collect()] == [i for i in range(40) if i % 4 != 2]
+
+
+def test_pair_counts_take_no_more_room_than_their_rows_need(monkeypatch):
+    rows = [np.array([i % 9, 9 + i], "<u4").tobytes() for i in range(200)]  # rows that differ
+    fit = X.fit_terms_of(rows, [i % 2 for i in range(200)])
+    real, kinds = np.zeros, []
+    monkeypatch.setattr(X.np, "zeros", lambda shape, dtype=float: kinds.append(np.dtype(dtype)) or real(shape, dtype))
+    X.paired_places(fit, 0)
+    assert len(fit.slots) == 9 and len(fit.y) == 200 and kinds[0].itemsize == 1
+
+
 def test_train_learns_terms_that_tell_only_in_pairs(spark):
     rng = random.Random(11)
     docs, labels = [], []
