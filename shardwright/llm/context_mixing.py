@@ -28,9 +28,9 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -54,15 +54,19 @@ MAP = 33  # steps of the probability map, over stretched probabilities -8..8
 PART = 1 << 16  # slots that travel together
 HOT = 1 << 18
 SLICE = 4 << 20  # bytes of text that a task takes at a time
+KEPT = 1 << 18  # bytes whose slots are kept from coding to counting (33 MB)
 END = 10
 _NODES = np.array([[(1 << k) | (v >> (8 - k)) for k in range(8)] for v in range(256)], np.uint64)
 _BITS = np.array([[(v >> (7 - k)) & 1 for k in range(8)] for v in range(256)], np.uint8)
-_NODE_SALT = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
+_NODE_SALT = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))[_NODES]
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+word_hash = xxhash.xxh3_64_intdigest
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
 
 # ---------------------------------------------------------------- contexts
@@ -94,13 +98,34 @@ def inner_contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def slots(ctx: np.ndarray, values: np.ndarray, kind: int) -> np.ndarray:
     """(predictors, bytes * 8) places in the joint table; kind 0: inside a word, 1: at its start."""
-    node = _NODE_SALT[_NODES[values]]
+    node = _NODE_SALT[values]
     first, bits = (0, INNER) if kind == 0 else (len(INNER), START)
-    out = np.empty((len(bits), len(values) * 8), np.int64)
+    out = np.empty((len(bits), len(values), 8), np.uint64)
     for k, b in enumerate(bits):
-        base = mix64(ctx[:, k] + np.uint64(first + k + 1))
-        out[k] = ((((base[:, None] ^ node) * _PHI) >> np.uint64(64 - b)).astype(np.int64) + OFFSET[first + k]).ravel()
-    return out
+        np.bitwise_xor(mix64(ctx[:, k] + np.uint64(first + k + 1))[:, None], node, out=out[k])
+        out[k] *= _PHI
+        out[k] >>= np.uint64(64 - b)
+        out[k] += np.uint64(OFFSET[first + k])
+    return out.reshape(len(bits), -1).view(np.int64)
+
+
+def merged(ctx: np.ndarray, values: np.ndarray, place: np.ndarray, run: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes inside words that nothing tells apart, as those of a prefix that neighbours share: the first place of
+    each kind, ascending, and the kind of every byte.  With ``run``, bytes of different runs stay apart."""
+    order = np.argsort(np.minimum(place, 65_535).astype(np.uint16), kind="stable")  # the same place of neighbours
+    new = np.ones(len(order), bool)
+    apart = np.zeros(max(len(order) - 1, 0), bool)
+    # the last four bytes hold the last two and three; the gate asks for the first four places
+    for x in (ctx[:, 2], ctx[:, 3], values, np.minimum(place, 4), *([np.arange(len(order)) // run] if run else [])):
+        x = x[order]
+        apart |= x[1:] != x[:-1]
+    new[1:] = apart
+    which = np.empty(len(order), np.int64)
+    first = order[new]
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    which[order] = rank[np.cumsum(new) - 1]
+    return np.sort(first), which
 
 
 # ---------------------------------------------------------------- the model
@@ -126,17 +151,20 @@ class Mixer:
         """Votes (predictors + 1, bits) and gates of bits at these slots."""
         x = np.empty((len(at) + 1, at.shape[1]), np.float32)
         seen = []
-        pairs = self.n.reshape(-1, 2)
+        pairs = self.n.view(np.uint64)
         for k, a in enumerate(at):
             if self.frozen is not None:
-                x[k] = self.frozen[0][a]
+                x[k] = self.frozen[0].take(a)
                 if k >= len(at) - 2:
-                    seen.append(self.frozen[1][a])
+                    seen.append(self.frozen[1].take(a))
                 continue
-            both = pairs[a].astype(np.float32)
-            x[k] = np.log((both[:, 1] + np.float32(D)) / (both[:, 0] + np.float32(D)))
+            both = pairs.take(a).view(np.uint32).reshape(-1, 2)
+            zeros, ones = both[:, 0].astype(np.float32), both[:, 1].astype(np.float32)
             if k >= len(at) - 2:
-                seen.append(self.level(both.sum(1)))
+                seen.append(self.level(zeros + ones))
+            ones += np.float32(D)
+            zeros += np.float32(D)
+            np.log(np.divide(ones, zeros, out=ones), out=x[k])
         x[-1] = 1
         gate = seen[1].astype(np.int64)
         if kind == 0:
@@ -168,19 +196,34 @@ class Mixer:
         return np.clip(0.5 * p + 0.5 * q[row, step], 1e-6, 1 - 1e-6), row, step
 
     def code(self, ctx: np.ndarray, values: np.ndarray, kind: int, place: np.ndarray, times: np.ndarray | None = None, run: int = 2048) -> np.ndarray:
-        """ln probability of each byte.  With ``times`` (occurrences), weights and map learn on the way."""
-        out = np.empty(len(values))
-        for a in range(0, len(values), run):
-            v = values[a : a + run]
-            x, gate = self.votes(slots(ctx[a : a + run], v, kind), kind, place[a : a + run])
+        """ln probability of each byte.  With ``times`` (occurrences), weights and map learn from the bytes instead, and
+        all are counted once the last is coded.  Bytes that can't differ are worked on once."""
+        which, edges = None, np.arange(0, len(values), run)
+        if kind == 0:
+            first, which = merged(ctx, values, place, run if times is not None else None)
+            ctx, values, place = ctx[first], values[first], place[first]
+            if times is not None:
+                times, edges = np.bincount(which, times, len(first)).astype(np.int64), np.searchsorted(first, edges)
+            else:
+                edges = np.arange(0, len(first), run)
+        out, runs = np.empty(len(values) if times is None else 0), []
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(values)]):
+            v = values[a:b]
+            at = slots(ctx[a:b], v, kind)
+            x, gate = self.votes(at, kind, place[a:b])
             w = self.weights[kind][gate]
             z = np.clip(np.einsum("kn,nk->n", x, w), -12, 12)
             bit = _BITS[v].ravel()
             p, row, step = self.refine(z, kind)
-            out[a : a + run] = np.log(np.where(bit, p, 1 - p)).reshape(-1, 8).sum(1)
-            if times is not None:
-                self.learn(kind, x, gate, z, bit, row, step, np.repeat(times[a : a + run], 8))
-        return out
+            if times is None:
+                out[a:b] = np.log(np.where(bit, p, 1 - p)).reshape(-1, 8).sum(1)
+            else:
+                runs.append((a, b, at.astype(np.int32) if a < KEPT else None))
+                self.learn(kind, x, gate, z, bit, row, step, np.repeat(times[a:b], 8))
+        if times is not None:
+            self.count(runs, ctx, values, kind, times)
+            return out
+        return out if which is None else out[which]
 
     def learn(self, kind, x, gate, z, bit, row, step, times) -> None:
         err = (bit - 1 / (1 + np.exp(-z))) * times
@@ -195,12 +238,13 @@ class Mixer:
         self.maps[kind] += flat.reshape(8, MAP, 2)
         self.bits += float(times.sum())
 
-    def count(self, ctx: np.ndarray, values: np.ndarray, kind: int, times: np.ndarray, run: int = 1 << 15) -> None:
-        for a in range(0, len(values), run):
-            v, t = values[a : a + run], np.repeat(times[a : a + run], 8).astype(np.uint32)
-            bit = _BITS[v].ravel().astype(np.int64)
-            for at in slots(ctx[a : a + run], v, kind):
-                np.add.at(self.n, at * 2 + bit, t)
+    def count(self, runs: list[tuple[int, int, np.ndarray | None]], ctx: np.ndarray, values: np.ndarray, kind: int, times: np.ndarray) -> None:
+        """Count bytes, run by run (start, end, slots if they were kept): zeros in the low half of a slot's 64 bits, ones in the high."""
+        pairs = self.n.view(np.uint64)
+        for a, b, at in runs:
+            t = (times[a:b, None].astype(np.uint64) << (_BITS[values[a:b]].astype(np.uint64) * np.uint64(32))).ravel()
+            for k in slots(ctx[a:b], values[a:b], kind) if at is None else at:
+                np.add.at(pairs, k.astype(np.int64), t)
 
 
 @dataclass
@@ -211,6 +255,10 @@ class Tokens:
     at: np.ndarray
     n: np.ndarray
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.words)
+
     def sequence(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tokens with the end symbols (numbered len(words)), the token before each (len(words) + 1
         at a text's beginning), the number of the text."""
@@ -247,12 +295,21 @@ class Starts:
 
     def __init__(self, t: Tokens):
         seq, before, self.text = t.sequence()
-        first = np.frombuffer(bytes([w[0] for w in t.words]) + b"\n", np.uint8)
-        tail = np.frombuffer(b"".join([w[-2:].rjust(2) for w in t.words]) + b"\0\0\0\0", "<u2").astype(np.uint64)
-        whole = np.array([*map(word_hash, t.words), 0, 0], np.uint64)
-        _, at, self.which, self.times = np.unique(before * 256 + first[seq], return_index=True, return_inverse=True, return_counts=True)
-        b = before[at]
-        self.first = first[seq[at]]
+        # behind the words: the end, and what stands before a text
+        size = np.fromiter(map(len, t.words), np.int64, len(t.words))
+        raw = np.frombuffer(b"".join([b" ", *t.words]), np.uint8)
+        last = np.cumsum(size)
+        first = np.append(raw[last - size + 1], np.uint8(END))
+        tail = np.where(size > 1, raw[last - 1], 32) + raw[last].astype(np.uint64) * np.uint64(256)
+        tail, whole = (np.append(x, np.zeros(2, np.uint64)) for x in (tail.astype(np.uint64), t.hashes))
+        coded = pa.array(before * 256 + first[seq]).dictionary_encode()
+        both = coded.dictionary.to_numpy()
+        order = np.argsort(both)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        both, self.which = both[order], rank[coded.indices.to_numpy()]
+        self.times = np.bincount(self.which, minlength=len(both))
+        b, self.first = both >> 8, (both & 255).astype(np.uint8)
         self.ctx = np.stack([np.zeros(len(b), np.uint64), tail[b] + np.uint64(1), whole[b]], 1)
         self.place = np.zeros(len(b), np.int64)
 
@@ -261,14 +318,13 @@ class Learner:
     """A task's online model.  Words wait until a run is full, are coded by what was counted before, then counted."""
 
     def __init__(self):
-        self.mixer, self.words, self.run = Mixer(), Counter(), 2_000
+        self.mixer, self.words, self.run = Mixer(), {}, 2_000
 
     def add(self, t: Tokens) -> None:
-        for w, c in zip(t.words, np.bincount(t.at, minlength=len(t.words)).tolist()):
-            self.words[w] += c
+        seen = self.words.get
+        self.words.update([(w, c + seen(w, 0)) for w, c in zip(t.words, np.bincount(t.at, minlength=len(t.words)).tolist())])
         s = Starts(t)
         self.mixer.code(s.ctx, s.first, 1, s.place, s.times)
-        self.mixer.count(s.ctx, s.first, 1, s.times)
         if len(self.words) >= self.run:
             self.flush()
 
@@ -277,9 +333,7 @@ class Learner:
         times = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         for a, b in slices([len(w) + 1 for w in words], 1 << 18):
             values, ctx, place, which = inner_contexts(words[a:b])
-            t = times[a:b][which]
-            self.mixer.code(ctx, values, 0, place, t)
-            self.mixer.count(ctx, values, 0, t)
+            self.mixer.code(ctx, values, 0, place, times[a:b][which])
         self.words.clear()
         self.run = min(self.run * 4, 200_000)
 
@@ -308,7 +362,7 @@ class Model:
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
             new = [names[i] for i in fresh.tolist()]
-            h = np.fromiter(map(word_hash, new), np.uint64, len(new))
+            h = word_hashes(new)
             at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
             c = np.where(hot[at] == h, hot_n[at], -1) if len(hot) else np.full(len(new), -1)
             spelled = self.word_scores(new)
@@ -374,7 +428,7 @@ def learn(docs: DataFrame, n_buckets: int) -> DataFrame:
                 t = tokens_of(raw.slice(a, z - a))
                 learner.add(t)
                 some = True
-                h = np.array([*map(word_hash, t.words), word_hash(b"\n")], np.uint64)
+                h = np.append(t.hashes, np.uint64(word_hash(b"\n")))
                 n = np.append(np.bincount(t.at, minlength=len(t.words)), len(t.n))  # the end symbols last
                 for part, at in _word_parts(h, n_buckets):
                     yield _row(0, part, h[at].tobytes(), n[at].astype("<u4").tobytes())

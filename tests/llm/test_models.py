@@ -227,6 +227,37 @@ def test_every_counted_bit_teaches():
     assert learner.mixer.bits == 8 * sum(sum(len(w) + 1 for w in t.split()) + 1 for t in texts)
 
 
+def test_bytes_of_a_shared_prefix_are_worked_on_once(monkeypatch):
+    words = sorted({f"prefix{i:03}".encode() for i in range(300)} | {b"p", b"pre", b"q" * 70_000})
+    values, ctx, place, which = M.inner_contexts(words)
+    first, kind = M.merged(ctx, values, place, None)
+    bits = [*zip(map(tuple, ctx.tolist()), values.tolist(), np.minimum(place, 4).tolist())]
+    assert [bits[i] for i in first[kind]] == bits and (np.diff(first) > 0).all() and len(first) < 71_000 < len(values)
+    apart, kind = M.merged(ctx, values, place, 100)
+    assert (apart[kind] // 100 == np.arange(len(values)) // 100).all()
+    worked, real = [], M.slots
+    monkeypatch.setattr(M, "slots", lambda ctx, values, kind: worked.append(len(values)) or real(ctx, values, kind))
+    few = [w for w in words if len(w) < 70_000]
+    values, ctx, place, which = M.inner_contexts(few)
+    got, alone, times = M.Mixer(), M.Mixer(), np.arange(len(few))[which] + 1
+    got.code(ctx, values, 0, place, times)
+    assert sum(worked) < len(values) / 2  # coded and counted
+    bit = M._BITS[values].ravel().astype(np.int64)
+    for at in real(ctx, values, 0):
+        np.add.at(alone.n, at * 2 + bit, np.repeat(times, 8).astype(np.uint32))
+    assert (got.n == alone.n).all() and got.bits == 8 * times.sum()
+    m = M.Model(got)
+    assert np.allclose(m.mixer.code(ctx, values, 0, place), [m.mixer.code(ctx[i : i + 1], values[i : i + 1], 0, place[i : i + 1])[0] for i in range(len(values))])
+
+
+def test_slots_that_are_not_kept_are_counted_too(monkeypatch):
+    texts = [prose(i, 300).encode() for i in range(8)]
+    want = learnt(texts).mixer
+    monkeypatch.setattr(M, "KEPT", 0)
+    got = learnt(texts).mixer
+    assert (got.frozen[0] == want.frozen[0]).all() and (got.frozen[1] == want.frozen[1]).all()
+
+
 def test_word_scores_do_not_depend_on_company():
     m = learnt([prose(i, 100).encode() for i in range(10)])
     words = prose(50, 40).encode().split()
