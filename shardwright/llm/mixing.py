@@ -31,12 +31,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import WORD, stored
+from shardwright.llm.common import WORD, slices, stored
 
 WEIGHTS = (5, 2, 1)
+SLICE = 2 << 20  # bytes of texts that are cut at once
 
 
 def n_words(text: Column) -> Column:
@@ -274,6 +276,13 @@ def cut_text(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
     return b"\n".join(text[start[x] : end[y - 1]] for x, y in runs)
 
 
+def runs(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about SLICE bytes in field ``at`` of its first column, one row at least: the Python
+    objects made of them at once are bounded, whatever the batch."""
+    for a, b in slices(pc.fill_null(pc.binary_length(batch.column(0).flatten()[at]), 0).to_pylist(), SLICE):
+        yield batch.slice(a, b - a)
+
+
 def row_digest(docs: DataFrame) -> Column:
     """SHA-256 of a row: each column is a null mark or its length and value, so rows that hold the
     same values in other columns, or nulls in other places, differ."""
@@ -297,7 +306,7 @@ def mixed_documents(docs: DataFrame, block: int = 128, seed: int = 11) -> DataFr
     at, chars = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else None
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in runs(batch, at)):
             row, texts, have = [], [], b.column(0).flatten()
             for i, (text, lists) in enumerate(zip(have[at].cast(pa.binary()).to_pylist(), b.column(1).to_pylist())):
                 for c in lists:

@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import words
 from pyspark.sql import functions as F
@@ -87,6 +88,15 @@ def test_cut_text_keeps_whole_texts_and_white_space():
     assert M.cut_text(t, [(0, 1), (3, 1)]) == b"one\nfour"
 
 
+def test_texts_are_cut_in_runs_of_a_batch(monkeypatch):
+    texts = ["a b c", None, "", "word " * 9, *["x y"] * 20]
+    batch = pa.RecordBatch.from_pydict({"_doc": pa.array([{"k": i, "text": t} for i, t in enumerate(texts)]), "_cuts": pa.array([[i] for i in range(24)])})
+    monkeypatch.setattr(M, "SLICE", 12)
+    parts = list(M.runs(batch, 1))
+    assert len(parts) > 5 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and not list(M.runs(batch.slice(0, 0), 1))
+    assert [x for p in parts for x in p.column(0).flatten()[1].to_pylist()] == texts
+
+
 def test_rows_that_differ_in_where_nulls_stand_all_stay(spark):
     text = " ".join(f"w{i}" for i in range(8))
     rows = [(8, text, None, "en", 3), (8, text, "en", None, 3), (8, text, "en", "en", None), (3, text, "en", "en", 8), (8, text, "en", "en", 3), (8, text, "en", "en", 3)]

@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from brute import classes, shingle_set, similar, words
 from conftest import prose
 
 import corpus_pipeline as C
+from shardwright import session
 from shardwright.llm import mixing, quality, toxicity
 
 
@@ -84,6 +86,18 @@ def test_run_matches_brute_force(spark, tmp_path):
     assert Counter(map(tuple, C.run(spark, folder).collect())) == digests
 
 
+def test_stages_run_on_small_batches(spark, monkeypatch):
+    def rows_at_once(spark, docs, sf_dir):
+        return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long")
+
+    docs = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('word ', 20) text")
+    monkeypatch.setattr(session, "BATCH_BYTES", 2_000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = [r["n"] for r in C.kept("rows", rows_at_once)(spark, docs, "").collect()]
+    assert sum(got) == 400 and max(got) < 60 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert {stage.__qualname__.split(".")[0] for _, stage in C.STAGES} == {"kept"}
+
+
 def test_empty_documents(spark, tmp_path):
     folder = (tmp_path / "none").as_uri()
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
