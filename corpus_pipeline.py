@@ -7,8 +7,8 @@
                        text the words taken
     byte-level BPE     every row of the mix is encoded, and decoded again
 
-The first four return the columns of ``documents``.  Every stage writes its rows to the shared checkpoint folder, with
-Arrow batches of 8 MB at most: of Spark's usual 64 MB, a task holds several copies in the JVM and in Python.
+The first four return the columns of ``documents``.  A stage leaves the session with Arrow batches of 8 MB at most, unless
+it names a size of its own: of Spark's usual 64 MB, a task holds several copies in the JVM and in Python.
 
 Defined cases: null or empty texts score as a text without terms and fail the quality rules, so they go there;
 a null or repeated id is a row like any other until the Jaccard stage, where rows of one id count as
@@ -26,17 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from shardwright.llm import mixing, parity_join, quality, toxicity
 from shardwright.llm.common import stored
 from shardwright.llm.queries import bpe_digests
-from shardwright.session import small_batches
+from shardwright.session import keep_batches_small
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def kept(label: str, stage: Stage) -> Stage:
-    """The stage with its rows written and read again, in small Arrow batches."""
+def lean(stage: Stage) -> Stage:
+    """The stage in small Arrow batches; its rows are made later, when the caller asks for them, so the setting stays."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with small_batches(spark):
-            return stored(stage(spark, docs, sf_dir), label)
+        keep_batches_small(spark)
+        return stage(spark, docs, sf_dir)
 
     return run_stage
 
@@ -63,11 +63,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", kept("pipeline-0", clean)),
-    ("quality rules", kept("pipeline-1", good)),
-    ("n-gram Jaccard join", kept("pipeline-2", distinct)),
-    ("mixing sources to target weights", kept("pipeline-3", mix)),
-    ("byte-level BPE encoding and decoding", kept("pipeline-4", tokens)),
+    ("toxicity", lean(clean)),
+    ("quality rules", lean(good)),
+    ("n-gram Jaccard join", lean(distinct)),
+    ("mixing sources to target weights", lean(mix)),
+    ("byte-level BPE encoding and decoding", lean(tokens)),
 ]
 
 #: The fitted machine, the drawn mix and BPE have no SQL form; the tests hold run() against brute force.
@@ -76,6 +76,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)

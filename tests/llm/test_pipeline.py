@@ -92,10 +92,16 @@ def test_stages_run_on_small_batches(spark, monkeypatch):
 
     docs = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('word ', 20) text")
     monkeypatch.setattr(session, "BATCH_BYTES", 2_000)
-    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
-    got = [r["n"] for r in C.kept("rows", rows_at_once)(spark, docs, "").collect()]
-    assert sum(got) == 400 and max(got) < 60 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
-    assert {stage.__qualname__.split(".")[0] for _, stage in C.STAGES} == {"kept"}
+    saved = spark.conf.get(session.BATCH_KEY, None)
+    try:
+        spark.conf.unset(session.BATCH_KEY)
+        got = [r["n"] for r in C.lean(rows_at_once)(spark, docs, "").collect()]
+        assert sum(got) == 400 and max(got) < 60
+        spark.conf.set(session.BATCH_KEY, "1m")  # a size of the session's own stays
+        assert [r["n"] for r in C.lean(rows_at_once)(spark, docs, "").collect()] == [400]
+    finally:
+        spark.conf.unset(session.BATCH_KEY) if saved is None else spark.conf.set(session.BATCH_KEY, saved)
+    assert {stage.__qualname__.split(".")[0] for _, stage in C.STAGES} == {"lean"}
 
 
 def test_empty_documents(spark, tmp_path):
